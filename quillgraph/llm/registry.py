@@ -1,4 +1,4 @@
-"""The subpackage's queries, `opN_<name>`, and their DuckDB twins."""
+"""The subpackage's queries, `opN_<name>` and `pipeline`, and their DuckDB twins."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import sharding, simhash
+from quillgraph.llm import language, packing, sharding, simhash
 from quillgraph.llm.common import read_table
 
 
@@ -14,12 +14,22 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op4_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict_languages(read_table(spark, sf_dir, "documents"))
+
+
 def op8_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"), n_shards=40)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op4_retrieval_packing": op4_retrieval_packing,
+    "op6_language_id": op6_language_id,
     "op8_rendezvous_sharding": op8_rendezvous_sharding,
 }
 
