@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import decontamination, language, packing, sharding, simhash
+from quillgraph.llm import decontamination, language, linededup, packing, sharding, simhash
 from quillgraph.llm.common import read_table
 
 
@@ -22,6 +22,10 @@ def op4_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_languages(read_table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op4_retrieval_packing": op4_retrieval_packing,
+    "op5_line_dedup": op5_line_dedup,
     "op6_language_id": op6_language_id,
     "op8_rendezvous_sharding": op8_rendezvous_sharding,
 }
