@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from quillgraph.llm import decontamination, language, linededup, packing, sharding, simhash
 from quillgraph.llm.common import read_table
 
@@ -41,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op6_language_id": op6_language_id,
     "op8_rendezvous_sharding": op8_rendezvous_sharding,
+    "pipeline": corpus_pipeline.run,
 }
 
 
