@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quillgraph.llm import decontamination, language, linededup, packing, passages, sharding, simhash
+from quillgraph.llm import decontamination, language, linededup, packing, passages, pii, sharding, simhash
 from quillgraph.llm.common import read_table
 
 
@@ -35,6 +35,10 @@ def op8_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"), n_shards=40)
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_documents_pii(read_table(spark, sf_dir, "documents"))
+
+
 def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(read_table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op6_language_id": op6_language_id,
     "op8_rendezvous_sharding": op8_rendezvous_sharding,
+    "op9_pii": op9_pii,
     "op10_passage_dedup": op10_passage_dedup,
     "pipeline": corpus_pipeline.run,
 }
