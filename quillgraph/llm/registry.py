@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quillgraph.llm import decontamination, language, linededup, packing, passages, pii, sharding, simhash, toxicity
+from quillgraph.llm import decontamination, language, linededup, packing, passages, pii, sharding, simhash, spotsigs, toxicity
 from quillgraph.llm.common import read_table
 
 
@@ -35,6 +35,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_languages(read_table(spark, sf_dir, "documents"))
 
 
+def op7_spotsigs_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprint_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op8_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"), n_shards=40)
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_retrieval_packing": op4_retrieval_packing,
     "op5_line_dedup": op5_line_dedup,
     "op6_language_id": op6_language_id,
+    "op7_spotsigs_fingerprints": op7_spotsigs_fingerprints,
     "op8_rendezvous_sharding": op8_rendezvous_sharding,
     "op9_pii": op9_pii,
     "op10_passage_dedup": op10_passage_dedup,
