@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES: list = []
+from quillgraph.plans import text_queries
+
+MODULES = [text_queries]
 
 
 def queries() -> dict[str, Query]:
