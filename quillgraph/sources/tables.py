@@ -54,7 +54,7 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").cast("string").alias("doc_id"),
         F.when(F.col("l_linenumber") % 2 == 0, "v1").otherwise("v2").alias("version"),
         F.round(1 - F.col("l_discount"), 2).alias("confidence"),
-        F.col("l_shipdate").alias("created_at"),
+        F.col("l_shipdate").cast("timestamp").alias("created_at"),
         F.when(F.col("l_linestatus") == "O", "Results").otherwise("Methods").alias("section"),
         F.col("l_linenumber").alias("line"),
     )
