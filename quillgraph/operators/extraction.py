@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,27 +120,27 @@ def resolve_entity_types(triples: DataFrame) -> DataFrame:
     def hinted(c: str) -> Column:
         return hint_type(F.col(c))
 
-    ready = triples.select("*", exact_type(F.col("raw_subject_type")).alias("__se"), exact_type(F.col("raw_object_type")).alias("__oe"), hinted("subject").alias("__sh"), hinted("object").alias("__oh"))
+    ready = triples.select("*", exact_type(F.col("raw_subject_type")).alias("exact_s"), exact_type(F.col("raw_object_type")).alias("exact_o"), hinted("subject").alias("hint_s"), hinted("object").alias("hint_o"))
 
     def vote(rows):
         rows = rows.sort_values("pos")
         votes: dict[str, dict[str, int]] = {}
         picked = []
-        for r in rows.itertuples():
+        columns = ("subject", "exact_s", "hint_s", "object", "exact_o", "hint_o")
+        for subject, se, sh, obj, oe, oh in zip(*(rows[c].tolist() for c in columns)):
             pair = []
-            for name, exact, hint in ((r.subject, r._asdict()["_se"], r._asdict()["_sh"]), (r.object, r._asdict()["_oe"], r._asdict()["_oh"])):
+            for name, exact, hint in ((subject, se, sh), (obj, oe, oh)):
                 own = votes.get(name)
                 pair.append(exact or (max(own, key=own.get) if own else None) or hint)
             picked.append(pair)
             if all(pair):
-                for name, t in zip((r.subject, r.object), pair):
+                for name, t in zip((subject, obj), pair):
                     votes.setdefault(name, {}).setdefault(t, 0)
                     votes[name][t] += 1
-        return rows.assign(subject_type=[p[0] for p in picked], object_type=[p[1] for p in picked]).drop(columns=["_se", "_sh", "_oe", "_oh"])
+        return rows.assign(subject_type=[p[0] for p in picked], object_type=[p[1] for p in picked]).drop(columns=["exact_s", "hint_s", "exact_o", "hint_o"])
 
-    renamed = ready.withColumnsRenamed({"__se": "_se", "__oe": "_oe", "__sh": "_sh", "__oh": "_oh"})
     schema = ", ".join(f"`{n}` {t}" for n, t in triples.dtypes) + ", subject_type string, object_type string"
-    return renamed.groupBy("element_id").applyInPandas(vote, schema)
+    return ready.groupBy("element_id").applyInPandas(vote, schema)
 
 
 def link_exact(text: Column, target: Column) -> Column:
@@ -166,8 +167,6 @@ def window_ratio(text: str, target: str, threshold: float) -> tuple[int, int] |
 
 def link_spans(rows: DataFrame, text: str, target: str, threshold: float = config.SPAN_RATIO) -> DataFrame:
     """Adds `span` (start, end): exact, then case-insensitive, then the best fuzzy window. Only rows without the first two reach Python."""
-    import pandas as pd
-
     start = link_exact(F.col(text), F.col(target))
     found = rows.withColumn("span", F.when(start.isNotNull(), F.struct(start.cast("int").alias("start"), (start + F.length(target)).cast("int").alias("end"))))
 
