@@ -13,9 +13,13 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.common import checkpointed
 
-MAX_EDITS = 2
+MAX_EDITS = 1
 #: Lines with fewer characters than this are headings, list marks and the like; they are left alone.
 MIN_CHARS = 24
+#: Frequent letters whose counts are compared before a pair becomes a candidate (8 at most).
+COUNTED = "eantri"
+#: Most hashes of candidate lines (8 bytes each) that are broadcast to pick out their texts.
+BROADCAST_LINES = 1_000_000
 _LAST = (1 << 63) - 1
 
 
@@ -123,37 +127,78 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "version", "line_no", "line", rank.cast("decimal(38,0)").alias("rank"))
 
 
-def near_lines(lines: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
-    """`a, b, distance` for each two of the distinct lines (column `line`) within `edits` edits; a < b.
+def letter_counts(line: Column) -> Column:
+    """How often each of the COUNTED letters occurs, a byte each (modulo 256)."""
+    out = F.lit(0).cast("long")
+    for i, letter in enumerate(COUNTED):
+        n = (F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit("")))).cast("long")
+        out = out.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(255)), 8 * i))
+    return out
 
-    Lines must be longer than `edits` characters; shorter and null ones have no links.
+
+def counts_differ_by(a: Column, b: Column) -> Column:
+    """Sum over letters of the differences of their counts; two lines within k edits have 2 * k at most."""
+    total = F.lit(0).cast("long")
+    for i in range(len(COUNTED)):
+        d = F.abs(F.shiftright(a, 8 * i).bitwiseAND(F.lit(255)) - F.shiftright(b, 8 * i).bitwiseAND(F.lit(255)))
+        total = total + F.least(d, 256 - d)
+    return total
+
+
+def candidates(lines: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
+    """`x, y`: hashes of each two of the distinct lines (column `line`) of which one holds a segment of the other; x < y.
+
+    Pairs whose letter counts alone put them more than `edits` apart are left out within the join, so many
+    versions of one line, which share most of their segments, don't all become candidates of each other.
     """
-    own = lines.select("line", F.xxhash64("line").alias("h"), F.length("line").alias("n")).where(F.col("n") > edits)
-    index = own.select("h", F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("key"))
-    probe = own.select(F.col("h").alias("p"), F.explode(probe_keys(F.col("line"), F.col("n"), edits)).alias("key")).where("key is not null")
-    met = index.join(probe, "key").where("h <> p").select(F.least("h", "p").alias("x"), F.greatest("h", "p").alias("y")).distinct()
-    text = own.select("h", "line")
+    own = lines.select("line", F.xxhash64("line").alias("h"), F.length("line").alias("n"), letter_counts(F.col("line")).alias("counts")).where(F.col("n") > edits)
+    index = own.select("h", "counts", F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("key"))
+    probe = own.select(F.col("h").alias("p"), F.col("counts").alias("q"), F.explode(probe_keys(F.col("line"), F.col("n"), edits)).alias("key")).where("key is not null")
+    alike = (index["key"] == probe["key"]) & (F.col("h") != F.col("p")) & (counts_differ_by(F.col("counts"), F.col("q")) <= 2 * edits)
+    return index.join(probe, alike).select(F.least("h", "p").alias("x"), F.greatest("h", "p").alias("y")).distinct()
+
+
+def verified(met: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """`a, b, distance` of the candidates within `edits` edits, by the lines' texts; a < b."""
+    text = texts.select(F.xxhash64("line").alias("h"), "line")
     pairs = met.join(text.select(F.col("h").alias("x"), F.col("line").alias("s")), "x").join(text.select(F.col("h").alias("y"), F.col("line").alias("t")), "y")
     pairs = pairs.withColumn("distance", banded_edit_distance(F.col("s"), F.col("t"), edits)).where("distance is not null")
     return pairs.select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"), "distance")
 
 
+def near_lines(lines: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
+    """`a, b, distance` for each two of the distinct lines (column `line`) within `edits` edits; a < b.
+
+    Lines must be longer than `edits` characters; shorter and null ones have no links.
+    """
+    return verified(candidates(lines, edits), lines, edits)
+
+
 def _marked(docs: DataFrame, edits: int) -> DataFrame:
     """Lines of which occurrences go: two hashes, the first rank, whether an earlier line is near, links."""
-    lines = _occurrences(docs).groupBy("line").agg(F.min("rank").alias("first"), F.count("*").alias("copies"))
-    lines = checkpointed(lines)
-    links = near_lines(lines, edits)
+    occurrences = _occurrences(docs)
+    met = checkpointed(candidates(occurrences.groupBy("line").agg(F.count("*").alias("copies")), edits))
+    # The texts of candidates alone are fetched again; the rest of the work is on hashes.
+    wanted = met.select(F.explode(F.array("x", "y")).alias("h")).distinct()
+    small = met.count() * 2 <= BROADCAST_LINES
+    texts = occurrences.join(F.broadcast(wanted) if small else wanted, F.xxhash64("line") == F.col("h"), "left_semi")
+    texts = checkpointed(texts.groupBy("line").agg(F.min("rank").alias("first")))
+    links = verified(met, texts, edits)
     ends = links.select(F.col("a").alias("line"), F.col("b").alias("other")).unionAll(links.select(F.col("b").alias("line"), F.col("a").alias("other")))
-    rank = lines.select("line", "first")
-    ends = ends.join(rank, "line").join(rank.select(F.col("line").alias("other"), F.col("first").alias("other_first")), "other")
-    near = ends.groupBy("line").agg(F.count("*").alias("links"), F.min("other_first").alias("other_first"))
-    out = lines.join(near, "line", "left").where("copies > 1 or links > 0")
-    return out.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "first", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce(F.col("other_first") < F.col("first"), F.lit(False)).alias("late"))
+    ends = ends.join(texts, "line").join(texts.select(F.col("line").alias("other"), F.col("first").alias("other_first")), "other")
+    near = ends.groupBy("line").agg(F.count("*").alias("links"), F.max(F.col("other_first") < F.col("first")).alias("late"))
+    near = near.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "links", "late")
+    lines = _hashed(occurrences).groupBy("h1", "h2").agg(F.min("rank").alias("first"), F.count("*").alias("copies"))
+    out = lines.join(near, ["h1", "h2"], "left").where("copies > 1 or links > 0")
+    return out.select("h1", "h2", "first", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("late", F.lit(False)).alias("late"))
+
+
+def _hashed(occurrences: DataFrame) -> DataFrame:
+    return occurrences.select("doc_id", "version", "line_no", "rank", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
 def _decisions(docs: DataFrame, edits: int) -> DataFrame:
-    occurrences = _occurrences(docs).select("doc_id", "version", "line_no", "rank", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
-    met = occurrences.join(_marked(docs, edits), ["h1", "h2"])
+    met = _hashed(_occurrences(docs)).join(_marked(docs, edits), ["h1", "h2"])
     gone = F.col("late") | (F.col("rank") != F.col("first"))
     return met.groupBy("doc_id", "version").agg(
         F.array_sort(F.collect_set(F.when(gone, F.col("line_no")))).alias("removed"),
