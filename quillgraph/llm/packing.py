@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,11 +24,12 @@ END_ID = 1
 SHARD_DOCS = 1000
 K1, B_LENGTH = 1.2, 0.75
 QUERY_TERMS = 24
-#: Words whose ids a Python worker remembers; beyond that it starts anew.
-CACHE_WORDS = 600_000
+#: Words (and as many words with what is attached to them) whose ids a Python worker remembers; beyond that it starts anew.
+CACHE_WORDS = 800_000
 _CONTROL = "\x1c\x1d\x1e\x1f"
 
 _cache: dict[str, dict[str, bytes]] = {}
+_bare: dict[str, dict[str, bytes]] = {}
 _tokenizers: dict[str, object] = {}
 
 
@@ -47,33 +49,93 @@ def _tokenizer(path: str):
         _tokenizers[path] = Tokenizer.from_file(path)
         if _tokenizers[path].get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in 16 bits")
-        _cache[path] = {}
+        _cache[path], _bare[path] = {}, {}
     return _tokenizers[path]
 
 
-def token_bytes(text: str | None, path: str) -> bytes:
-    """Ids of a text as little-endian 16-bit integers, with END_ID at the end.
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if it prints, else the next from U+0100 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(others)}
 
-    The vocabulary never joins characters across white space, so words are encoded one by one and
-    remembered. str.split() also cuts at four control characters that the vocabulary does not
-    treat as white space; texts that hold one are encoded whole.
+
+_LETTERS = _byte_letters()
+
+
+def _remember(new: list[str], tok, cache: dict[str, bytes], bare: dict[str, bytes]) -> None:
+    """Puts the ids of new words in the cache.
+
+    The vocabulary's own rule lowers case and parts letters from signs. So a word of Latin letters, with
+    or without a comma or stop after it, has the ids of its letters in lower case and of the sign; its
+    letters are one piece to the vocabulary and the model is asked for it directly. Others go the whole way.
+    """
+    if len(bare) > CACHE_WORDS:
+        bare.clear()
+    tokenize, pack, others = tok.model.tokenize, struct.pack, []
+    signs = {c: pack(f"<{len(ids)}H", *ids) for c in ",." for ids in [tok.encode(c, add_special_tokens=False).ids]}
+    for word in new:
+        sign = signs.get(word[-1:])
+        core = word if sign is None else word[:-1]
+        if not (core.isalpha() and (core.isascii() or max(core) < "\u0130")):
+            others.append(word)
+            continue
+        core = core.lower()
+        ids = bare.get(core)
+        if ids is None:
+            piece = core if core.isascii() else core.encode().decode("latin-1").translate(_LETTERS)
+            numbers = [t.id for t in tokenize(piece)]
+            ids = bare[core] = pack(f"<{len(numbers)}H", *numbers)
+        cache[word] = ids if sign is None else ids + sign
+    for word, e in zip(others, tok.encode_batch_fast(others, add_special_tokens=False)):
+        cache[word] = pack(f"<{len(e.ids)}H", *e.ids)
+
+
+def token_bytes(texts: pa.Array, path: str) -> list[bytes]:
+    """Ids of each text as little-endian 16-bit integers, with END_ID at the end.
+
+    The vocabulary never joins characters across white space, so the differing words of all texts are
+    encoded once, remembered, and put together by their numbers. Splitting also cuts at four control
+    characters that the vocabulary does not treat as white space; texts that hold one are encoded whole.
     """
     tok = _tokenizer(path)
-    text = text or ""
-    if any(c in text for c in _CONTROL):
-        ids = tok.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids) + 1}H", *ids, END_ID)
-    cache, words = _cache[path], text.split()
-    parts = list(map(cache.get, words))
-    if None in parts:
+    cache, end = _cache[path], struct.pack("<H", END_ID)
+    texts = pc.fill_null(texts, "")
+    words = pc.utf8_split_whitespace(texts)
+    bounds = words.offsets.to_numpy(zero_copy_only=False)
+    numbered = words.flatten().dictionary_encode()
+    unique, index = numbered.dictionary.to_pylist(), numbered.indices.to_numpy(zero_copy_only=False)
+    parts = list(map(cache.get, unique))
+    new = [w for w, ids in zip(unique, parts) if ids is None]
+    if new:
         if len(cache) > CACHE_WORDS:
             cache.clear()
-        new = [w for w in dict.fromkeys(words) if w not in cache]
-        for w, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False)):
-            cache[w] = struct.pack(f"<{len(e.ids)}H", *e.ids)
-        parts = list(map(cache.__getitem__, words))
-    parts.append(struct.pack("<H", END_ID))
-    return b"".join(parts)
+            new = unique
+        _remember(new, tok, cache, _bare[path])
+        parts = list(map(cache.__getitem__, unique))
+    pool = np.frombuffer(b"".join(parts), dtype="<u2")
+    sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 2
+    starts = np.cumsum(sizes) - sizes
+    n = sizes[index]
+    after = np.cumsum(n)
+    shift = (starts[index] - (after - n)).astype(np.int32)
+    ids = pool[np.repeat(shift, n) + np.arange(after[-1] if len(after) else 0, dtype=np.int32)]
+    at = np.concatenate([[0], after])[bounds - bounds[0]]
+    out = [ids[a:b].tobytes() + end for a, b in zip(at[:-1], at[1:])]
+    for i in np.flatnonzero(pc.match_substring_regex(texts, f"[{_CONTROL}]").to_numpy(zero_copy_only=False)):
+        whole = tok.encode(texts[i].as_py(), add_special_tokens=False).ids
+        out[i] = struct.pack(f"<{len(whole)}H", *whole) + end
+    return out
+
+
+def _blocks(texts: pa.Array, size: int = 1 << 23) -> Iterator[pa.Array]:
+    """Slices of about `size` bytes, of one text at least."""
+    lengths = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) if len(texts) else []
+    start = 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(lengths, (lengths[start - 1] if start else 0) + size, "right")))
+        yield texts.slice(start, stop - start)
+        start = stop
 
 
 def ids_crc32(ids: bytes) -> int:
@@ -88,8 +150,7 @@ def _tokenize(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens, crcs, tails = [], [], []
-            for t in batch.column(2):
-                ids = token_bytes(t.as_py(), path)
+            for ids in (ids for block in _blocks(batch.column(2)) for ids in token_bytes(block, path)):
                 full = len(ids) // (2 * WINDOW) * 2 * WINDOW
                 tokens.append(len(ids) // 2)
                 crcs.append([ids_crc32(ids[i : i + 2 * WINDOW]) for i in range(0, full, 2 * WINDOW)])
