@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import checkpointed
-from quillgraph.llm.components import connected_components
+from quillgraph.functions.components import connected_components
 
 SHINGLE_WORDS = 3
 SEED = 42

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quillgraph.llm import decontamination, language, linededup, packing, passages, pii, sharding, simhash, spotsigs, toxicity
-from quillgraph.llm.components import connected_components
+from quillgraph.functions.components import connected_components
 
 
 def components(nodes, links):
