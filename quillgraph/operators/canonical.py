@@ -8,7 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph import config
+from quillgraph.functions.components import connected_components
 
+#: Vectors in a block of queries.
+QUERY_BLOCK = 1024
+#: Members of one cluster are linked by pairs at least this near: the square of the merge threshold.
+BLOCK_COSINE = config.MERGE_BASE**2
 NODE_NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"
 
 
@@ -60,14 +65,15 @@ def missing_embeddings(names: DataFrame, cache: DataFrame) -> DataFrame:
 def similarity_search(queries: DataFrame, corpus: DataFrame, threshold: float, k: int | None = None) -> DataFrame:
     """`query_id, id, score` of unit vectors at least `threshold` alike, best first.
 
-    A bounded query set against the corpus, in blocks: queries are packed into matrices that are joined
-    to every partition of the corpus, and a block's product is one matrix multiplication in Python.
+    The queries are packed into blocks of about QUERY_BLOCK vectors, each block is joined to the whole
+    corpus, and within a task a block's scores are one matrix product.
     """
     import numpy as np
     import pandas as pd
 
-    blocks = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(8)).alias("block"), "query_id", "vector").groupBy("block").agg(F.collect_list(F.struct("query_id", "vector")).alias("queries"))
-    dealt = corpus.select("id", "vector", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("block"))
+    n = max(1, -(-queries.count() // QUERY_BLOCK))
+    blocks = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(n)).alias("block"), "query_id", "vector").groupBy("block").agg(F.collect_list(F.struct("query_id", "vector")).alias("queries"))
+    dealt = corpus.select("id", "vector", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
 
     def score(parts):
         for rows in parts:
@@ -166,6 +172,19 @@ def greedy_clusters(rows: list[dict]) -> list[int]:
     return owner
 
 
+def merge_blocks(entities: DataFrame, least: float = BLOCK_COSINE) -> DataFrame:
+    """`name, block` from `name, vector` (unit vectors): connected components of the pairs at least `least` near.
+
+    A join needs a cosine of the merge threshold t with the cluster's centroid, so some member is at least
+    t * t near: no cluster crosses a block. With hashing vectors most names are that near to each other
+    and blocks are large; they are meant for real vectors.
+    """
+    ids = entities.select(F.xxhash64("name").alias("id"), "name", "vector")
+    near = similarity_search(ids.select(F.col("id").alias("query_id"), "vector"), ids, least).where("query_id < id")
+    labels = connected_components(near, "query_id", "id")
+    return ids.join(labels, ids["id"] == labels["node"], "left").select("name", F.coalesce("label", "id").alias("block"))
+
+
 def cluster_entities(entities: DataFrame, blocks: DataFrame) -> DataFrame:
     """`name, cluster` from featured entities with unit vectors, block by block (`name, block`).
 

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from quillgraph import config
 
 
+#: Triples in a group that is voted on together.
+VOTE_ROWS = 20_000
+
+
 def triple_budget(elements: DataFrame) -> DataFrame:
     """`element_id, budget`: one triple for 60 words or a sentence, whichever is more, within the model's limits."""
     words = F.size(F.regexp_extract_all("content", F.lit("[^ ]+"), F.lit(0)))
@@ -114,7 +118,8 @@ def exact_type(text: Column) -> Column:
 def resolve_entity_types(triples: DataFrame) -> DataFrame:
     """Adds `subject_type, object_type`: the given type if exact, else the votes of earlier accepted triples of the element, else hints.
 
-    Votes depend on the order within an element, which holds at most the triples of its budget.
+    Votes depend on the order within an element, which holds at most the triples of its budget. Elements
+    are dealt to groups of about VOTE_ROWS triples, so that Python is not called for each.
     """
 
     def hinted(c: str) -> Column:
@@ -123,11 +128,13 @@ def resolve_entity_types(triples: DataFrame) -> DataFrame:
     ready = triples.select("*", exact_type(F.col("raw_subject_type")).alias("exact_s"), exact_type(F.col("raw_object_type")).alias("exact_o"), hinted("subject").alias("hint_s"), hinted("object").alias("hint_o"))
 
     def vote(rows):
-        rows = rows.sort_values("pos")
+        rows = rows.sort_values(["element_id", "pos"])
         votes: dict[str, dict[str, int]] = {}
-        picked = []
-        columns = ("subject", "exact_s", "hint_s", "object", "exact_o", "hint_o")
-        for subject, se, sh, obj, oe, oh in zip(*(rows[c].tolist() for c in columns)):
+        picked, current = [], None
+        columns = ("element_id", "subject", "exact_s", "hint_s", "object", "exact_o", "hint_o")
+        for element, subject, se, sh, obj, oe, oh in zip(*(rows[c].tolist() for c in columns)):
+            if element != current:
+                votes, current = {}, element
             pair = []
             for name, exact, hint in ((subject, se, sh), (obj, oe, oh)):
                 own = votes.get(name)
@@ -137,10 +144,11 @@ def resolve_entity_types(triples: DataFrame) -> DataFrame:
                 for name, t in zip((subject, obj), pair):
                     votes.setdefault(name, {}).setdefault(t, 0)
                     votes[name][t] += 1
-        return rows.assign(subject_type=[p[0] for p in picked], object_type=[p[1] for p in picked]).drop(columns=["exact_s", "hint_s", "exact_o", "hint_o"])
+        return rows.assign(subject_type=[p[0] for p in picked], object_type=[p[1] for p in picked]).drop(columns=["exact_s", "hint_s", "exact_o", "hint_o", "dealt"])
 
     schema = ", ".join(f"`{n}` {t}" for n, t in triples.dtypes) + ", subject_type string, object_type string"
-    return ready.groupBy("element_id").applyInPandas(vote, schema)
+    groups = max(1, -(-triples.count() // VOTE_ROWS))
+    return ready.withColumn("dealt", F.pmod(F.xxhash64("element_id"), F.lit(groups))).groupBy("dealt").applyInPandas(vote, schema)
 
 
 def link_exact(text: Column, target: Column) -> Column:

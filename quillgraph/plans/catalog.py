@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-from quillgraph.plans import extraction_queries, graph_queries, quality_queries, text_queries
+from quillgraph.plans import extraction_queries, graph_queries, more_queries, quality_queries, text_queries
 
-MODULES = [text_queries, extraction_queries, graph_queries, quality_queries]
+MODULES = [text_queries, extraction_queries, graph_queries, quality_queries, more_queries]
 
 
 def queries() -> dict[str, Query]:
