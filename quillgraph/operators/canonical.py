@@ -94,7 +94,7 @@ def similarity_search(queries: DataFrame, corpus: DataFrame, threshold: float, k
 
 def section_shares(sections: dict | None) -> dict:
     total = sum(v for v in (sections or {}).values() if v > 0)
-    return {k: round(v / total, 4) for k, v in sections.items() if v > 0} if total else {}
+    return {k: v / total for k, v in sections.items() if v > 0} if total else {}
 
 
 def _top_sections(sections: dict, n: int = 2) -> set:
@@ -205,14 +205,24 @@ def cluster_entities(entities: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def cluster_nodes(clustered: DataFrame) -> DataFrame:
-    """Nodes from `cluster, name, normalised, type, times_seen, docs`: most seen name and type, other names as aliases, uuid5 id."""
+    """Nodes from `cluster, name, normalised, type, times_seen, docs` and, if there is one, the map `sections`.
+
+    The most seen name and type (then the greatest), the other names as aliases, sums; the id is a uuid5 over
+    the sorted normalised names and, where there are sections, their shares with four digits.
+    """
     names = clustered.groupBy("cluster", "name").agg(F.sum("times_seen").alias("n")).groupBy("cluster").agg(F.max_by("name", F.struct("n", "name")).alias("name"), F.array_sort(F.collect_set("name")).alias("names"))
     types = clustered.groupBy("cluster", "type").agg(F.sum("times_seen").alias("n")).groupBy("cluster").agg(F.max_by("type", F.struct("n", "type")).alias("type"))
     base = clustered.groupBy("cluster").agg(F.sum("times_seen").alias("times_seen"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("docs")))).alias("docs"), F.array_join(F.array_sort(F.collect_set("normalised")), "|").alias("token"))
+    joined = base.join(names, "cluster").join(types, "cluster")
+    if "sections" in clustered.columns:
+        counts = clustered.select("cluster", F.explode("sections").alias("section", "n")).where("n > 0").groupBy("cluster", "section").agg(F.sum("n").alias("n"))
+        share = F.col("n") / F.sum("n").over(Window.partitionBy("cluster"))
+        parts = counts.withColumn("part", F.format_string("%s:%.4f", "section", share)).groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("section", "part"))).alias("parts"))
+        parts = parts.select("cluster", F.array_join(F.transform("parts", lambda p: p["part"]), "|").alias("shares"))
+        joined = joined.join(parts, "cluster", "left").withColumn("token", F.concat_ws("::", "token", "shares"))
     digest = F.sha1(F.concat(F.unhex(F.lit(NODE_NAMESPACE)), F.col("token").cast("binary")))
     variant = F.substring(F.lit("89ab89ab89ab89ab"), F.conv(F.substring(digest, 17, 1), 16, 10).cast("int") + 1, F.lit(1))
     node_id = F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit("5"), F.substring(digest, 14, 3)), F.concat(variant, F.substring(digest, 18, 3)), F.substring(digest, 21, 12))
-    joined = base.join(names, "cluster").join(types, "cluster")
     return joined.select("cluster", node_id.alias("node_id"), "name", "type", F.array_remove("names", F.col("name")).alias("aliases"), "times_seen", "docs")
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillgraph.operators import canonical, quality
-from quillgraph.plans import sql
 from quillgraph.plans.extraction_queries import _ROLES, _TRIPLES, _validated
 from quillgraph.plans.graph_queries import _EDGE_TABLE, _edges
 from quillgraph.sources import tables

@@ -100,8 +100,13 @@ def test_clusters_do_not_depend_on_blocks(spark):
 
 
 def test_node_id_is_a_uuid5(spark):
-    rows = spark.createDataFrame([("c", "Net", "net", "T", 2, ["d"])], "cluster string, name string, normalised string, type string, times_seen bigint, docs array<string>")
-    assert canonical.cluster_nodes(rows).collect()[0].node_id == str(uuid.uuid5(uuid.UUID(canonical.NODE_NAMESPACE), "net"))
+    schema = "cluster string, name string, normalised string, type string, times_seen bigint, docs array<string>, sections map<string,int>"
+    rows = spark.createDataFrame([("c", "Net", "net", "T", 2, ["d"], {"R": 2, "M": 1}), ("c", "Nets", "nets", "T", 1, ["e"], {"R": 1}), ("e", "Map", "map", "T", 1, [], {})], schema)
+    space = uuid.UUID(canonical.NODE_NAMESPACE)
+    got = {r.cluster: r.node_id for r in canonical.cluster_nodes(rows).collect()}
+    assert got == {"c": str(uuid.uuid5(space, "net|nets::M:0.2500|R:0.7500")), "e": str(uuid.uuid5(space, "map"))}
+    plain = {r.cluster: r.node_id for r in canonical.cluster_nodes(rows.drop("sections")).collect()}
+    assert plain["c"] == str(uuid.uuid5(space, "net|nets"))
 
 
 def test_downloads_close_the_latest_open_start(spark):
