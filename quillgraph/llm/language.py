@@ -137,11 +137,13 @@ def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     df = dict(rows.select("text").mapInArrow(_doc_frequencies, "dim int, df long").groupBy("dim").agg(F.sum("df").alias("df")).collect())
     n = df.get(-1, 0)
     idf = np.log((1 + n) / (1 + np.array([df.get(i, 0) for i in range(DIMS)]))) + 1
-    # A rate for each language, so that about fit_rows of its rows are taken, whatever their number.
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    rate = F.least(F.lit(1.0), F.lit(float(fit_rows)) / F.col("n"))
+    # A rate for each language, so that about fit_rows of its rows are taken, whatever their number. The
+    # rates are literals: the draw is a filter on the scan, and only the rows drawn are shuffled.
+    rate = F.lit(0.0)
+    for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect():
+        rate = F.when(F.col("lang") == r.lang, min(1.0, fit_rows / r.n)).otherwise(rate)
     draw = F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = rows.join(counts, "lang").where(draw < rate).select("lang", "text")
+    sample = rows.where(draw < rate).select("lang", "text")
     fitted = sample.groupBy("lang").applyInArrow(_fitter(idf, k), "lang string, radius double, centroid array<float>").orderBy("lang", "radius").collect()
     return Model(tuple(r.lang for r in fitted), np.array([r.centroid for r in fitted], dtype=np.float32).reshape(-1, DIMS), np.array([r.radius for r in fitted]) * RADIUS_SHARE, idf)
 
