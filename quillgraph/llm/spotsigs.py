@@ -143,12 +143,14 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST))
     base = docs.select(key.alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    # Dealt by key here, so that both joins below read one shuffle of the texts.
+    dealt = base.repartition("key")
     third = F.floor(F.length("text") / 3).cast("int")
     wanted = base.groupBy("key").agg(F.max(third).alias("third"))
     links = next_keys(wanted).join(wanted, "key").select(F.col("key").alias("owner"), F.col("next").alias("key"), "third")
-    first = base.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("text"))).where("k = 1")
+    first = dealt.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("text"))).where("k = 1")
     lent = first.join(links, "key").select(F.col("owner").alias("key"), F.expr("substring(text, 1, third)").alias("lent"), signature_set(F.col("text")).alias("next_sigs"))
-    joined = base.join(lent, "key").withColumn("n", F.length("text"))
+    joined = dealt.join(lent, "key").withColumn("n", F.length("text"))
     edited = joined.withColumn("edited", F.expr("concat(substring(text, 1, n - cast(floor(n / 3) as int)), substring(lent, 1, cast(floor(n / 3) as int)))"))
     sets = edited.select("key", "n", "next_sigs", F.sha2(F.col("edited"), 256).alias("edited_sha256"), signature_set(F.col("text")).alias("sigs"), signature_set(F.col("edited")).alias("edited_sigs"))
     return sets.select(
