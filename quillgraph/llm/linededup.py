@@ -17,7 +17,7 @@ MAX_EDITS = 1
 #: Lines with fewer characters than this are headings, list marks and the like; they are left alone.
 MIN_CHARS = 24
 #: Frequent letters whose counts are compared before a pair becomes a candidate (8 at most).
-COUNTED = "eantri"
+COUNTED = "eant"
 #: Most hashes of candidate lines (8 bytes each) that are broadcast to pick out their texts.
 BROADCAST_LINES = 1_000_000
 _LAST = (1 << 63) - 1
@@ -131,7 +131,7 @@ def letter_counts(line: Column) -> Column:
     """How often each of the COUNTED letters occurs, a byte each (modulo 256)."""
     out = F.lit(0).cast("long")
     for i, letter in enumerate(COUNTED):
-        n = (F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit("")))).cast("long")
+        n = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))).cast("long")
         out = out.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(255)), 8 * i))
     return out
 
@@ -151,7 +151,8 @@ def candidates(lines: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
     Pairs whose letter counts alone put them more than `edits` apart are left out within the join, so many
     versions of one line, which share most of their segments, don't all become candidates of each other.
     """
-    own = lines.select("line", F.xxhash64("line").alias("h"), F.length("line").alias("n"), letter_counts(F.col("line")).alias("counts")).where(F.col("n") > edits)
+    counts = F.col("counts") if "counts" in lines.columns else letter_counts(F.col("line"))
+    own = lines.select("line", F.xxhash64("line").alias("h"), F.length("line").alias("n"), counts.alias("counts")).where(F.col("n") > edits)
     index = own.select("h", "counts", F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("key"))
     probe = own.select(F.col("h").alias("p"), F.col("counts").alias("q"), F.explode(probe_keys(F.col("line"), F.col("n"), edits)).alias("key")).where("key is not null")
     alike = (index["key"] == probe["key"]) & (F.col("h") != F.col("p")) & (counts_differ_by(F.col("counts"), F.col("q")) <= 2 * edits)
@@ -177,7 +178,9 @@ def near_lines(lines: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
 def _marked(docs: DataFrame, edits: int) -> DataFrame:
     """Lines of which occurrences go: two hashes, the first rank, whether an earlier line is near, links."""
     occurrences = _occurrences(docs)
-    met = checkpointed(candidates(occurrences.groupBy("line").agg(F.count("*").alias("copies")), edits))
+    # Letters are counted once, before the lines are dealt out: both sides of the join read that shuffle.
+    lines = occurrences.groupBy("line", letter_counts(F.col("line")).alias("counts")).agg(F.count("*").alias("copies"))
+    met = checkpointed(candidates(lines, edits))
     # The texts of candidates alone are fetched again; the rest of the work is on hashes.
     wanted = met.select(F.explode(F.array("x", "y")).alias("h")).distinct()
     small = met.count() * 2 <= BROADCAST_LINES
@@ -198,7 +201,9 @@ def _hashed(occurrences: DataFrame) -> DataFrame:
 
 
 def _decisions(docs: DataFrame, edits: int) -> DataFrame:
-    met = _hashed(_occurrences(docs)).join(_marked(docs, edits), ["h1", "h2"])
+    # Cut here, both sides of the join come straight from a shuffle, and Spark can split a line that
+    # very many documents hold.
+    met = _hashed(_occurrences(docs)).join(checkpointed(_marked(docs, edits)), ["h1", "h2"])
     gone = F.col("late") | (F.col("rank") != F.col("first"))
     return met.groupBy("doc_id", "version").agg(
         F.array_sort(F.collect_set(F.when(gone, F.col("line_no")))).alias("removed"),
