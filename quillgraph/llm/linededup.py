@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.common import checkpointed
 
-MAX_EDITS = 1
-#: Lines with fewer characters than this are headings, list marks and the like; they are left alone.
+MAX_EDITS = 2
+#: Lines with fewer characters than this (headings, list marks and the like) go by exact copies alone.
 MIN_CHARS = 24
 #: Frequent letters whose counts are compared before a pair becomes a candidate (8 at most).
 COUNTED = "eant"
@@ -120,9 +120,9 @@ def _column(c: Column, acc: Column, j: Column, edits: int, width: int, full: int
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """Lines of MIN_CHARS characters and more, trimmed of blanks, with document, number of line and rank."""
+    """Lines that aren't blank, trimmed of blanks, with document, number of line and rank."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    rows = rows.withColumn("line", F.trim("line")).where(F.length("line") >= MIN_CHARS)
+    rows = rows.withColumn("line", F.trim("line")).where("line <> ''")
     rank = F.coalesce("doc_id", F.lit(_LAST)).cast("decimal(38,0)") * F.lit(10**10).cast("decimal(11,0)") + F.col("line_no")
     return rows.select("doc_id", "version", "line_no", "line", rank.cast("decimal(38,0)").alias("rank"))
 
@@ -136,13 +136,14 @@ def letter_counts(line: Column) -> Column:
     return out
 
 
-def counts_differ_by(a: Column, b: Column) -> Column:
-    """Sum over letters of the differences of their counts; two lines within k edits have 2 * k at most."""
-    total = F.lit(0).cast("long")
+def counts_allow(a: Column, b: Column, edits: int) -> Column:
+    """Whether lines with these counts can be within `edits` edits: one edit raises one count at most and lowers one."""
+    up = down = F.lit(0).cast("long")
     for i in range(len(COUNTED)):
-        d = F.abs(F.shiftright(a, 8 * i).bitwiseAND(F.lit(255)) - F.shiftright(b, 8 * i).bitwiseAND(F.lit(255)))
-        total = total + F.least(d, 256 - d)
-    return total
+        d = F.pmod(F.shiftright(a, 8 * i) - F.shiftright(b, 8 * i), F.lit(256))
+        up = up + F.when(d < 128, d).otherwise(0)
+        down = down + F.when(d >= 128, 256 - d).otherwise(0)
+    return (up <= edits) & (down <= edits)
 
 
 def candidates(lines: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
@@ -155,7 +156,7 @@ def candidates(lines: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
     own = lines.select("line", F.xxhash64("line").alias("h"), F.length("line").alias("n"), counts.alias("counts")).where(F.col("n") > edits)
     index = own.select("h", "counts", F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("key"))
     probe = own.select(F.col("h").alias("p"), F.col("counts").alias("q"), F.explode(probe_keys(F.col("line"), F.col("n"), edits)).alias("key")).where("key is not null")
-    alike = (index["key"] == probe["key"]) & (F.col("h") != F.col("p")) & (counts_differ_by(F.col("counts"), F.col("q")) <= 2 * edits)
+    alike = (index["key"] == probe["key"]) & (F.col("h") != F.col("p")) & counts_allow(F.col("counts"), F.col("q"), edits)
     return index.join(probe, alike).select(F.least("h", "p").alias("x"), F.greatest("h", "p").alias("y")).distinct()
 
 
@@ -179,7 +180,7 @@ def _marked(docs: DataFrame, edits: int) -> DataFrame:
     """Lines of which occurrences go: two hashes, the first rank, whether an earlier line is near, links."""
     occurrences = _occurrences(docs)
     # Letters are counted once, before the lines are dealt out: both sides of the join read that shuffle.
-    lines = occurrences.groupBy("line", letter_counts(F.col("line")).alias("counts")).agg(F.count("*").alias("copies"))
+    lines = occurrences.where(F.length("line") >= MIN_CHARS).groupBy("line", letter_counts(F.col("line")).alias("counts")).agg(F.count("*").alias("copies"))
     met = checkpointed(candidates(lines, edits))
     # The texts of candidates alone are fetched again; the rest of the work is on hashes.
     wanted = met.select(F.explode(F.array("x", "y")).alias("h")).distinct()
@@ -217,7 +218,8 @@ def line_duplicates(docs: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
 
     removed_lines are the numbers (from 0) of lines that go: all occurrences of a line but the first by
     (doc_id, line number), and all occurrences of a line that is within `edits` edits of an earlier
-    line. Lines are compared without the blanks around them; lines under MIN_CHARS characters stay.
+    line. Lines are compared without the blanks around them; lines under MIN_CHARS characters go as exact
+    copies only, and blank lines stay.
     n_links counts links of the document's lines to different lines. A null text has no lines; a null
     doc_id ranks last; rows that repeat a doc_id and text share one decision. Other columns are not read.
     """
