@@ -2,7 +2,7 @@
 
 import random
 
-from quillgraph.llm import linededup
+from quillgraph.llm import linededup, pii
 
 
 def edit_distance(a, b):
@@ -45,3 +45,19 @@ def test_line_dedup_equals_brute_force_at_two_edits(spark):
     want = {i: [k for k, line in enumerate(t.split("\n")) if line and (first[line] != (i, k) or line in late)] for i, t in enumerate(texts)}
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: r.removed_lines for r in linededup.line_duplicates(docs).collect()} == want
+
+
+def test_pii_gate_lets_every_wide_pattern_through(spark):
+    texts = {
+        "write to joe (at) site.org": "email",
+        "write to joe[at]site(dot)com": "email",
+        "host fe:ab:cd:ef:aa:bb:cc:dd is down": "ip",
+        "seen by Dr. Anna Weber": "name",
+    }
+    model = pii.Model({k: (9.0, *[0.0] * len(pii.LABELERS)) for k in pii.KINDS}, {})
+    for text, kind in texts.items():
+        assert not any(c.isdigit() for c in text)
+        assert [s[0] for s in pii.candidates(text, [])] == [kind]
+        assert [s[0] for s in pii.find_pii(text, model)[1]] == [kind]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert set(pii.train(docs).weights) == {"email", "ip", "name"}
