@@ -85,7 +85,7 @@ def features(text: str | None, terms: dict[str, tuple[int, float]]) -> np.ndarra
         max(strengths, default=0.0),
         np.log1p(occurrences),
         min(1.0, 20 * occurrences / len(words)),
-        sum(c.isupper() for c in text[:10_000]) / min(len(text), 10_000),
+        sum(c.isupper() for c in text) / len(text),
         min(1.0, 10 * sum(map(text.count, "!?*#$%&")) / len(words)),
         1 - len(unique) / len(words),
     )

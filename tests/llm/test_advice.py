@@ -2,7 +2,7 @@
 
 import random
 
-from quillgraph.llm import linededup, pii
+from quillgraph.llm import linededup, pii, toxicity
 
 
 def edit_distance(a, b):
@@ -61,3 +61,9 @@ def test_pii_gate_lets_every_wide_pattern_through(spark):
         assert [s[0] for s in pii.find_pii(text, model)[1]] == [kind]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert set(pii.train(docs).weights) == {"email", "ip", "name"}
+
+
+def test_shouting_counts_wherever_it_stands():
+    calm, loud = "plain words go on " * 1000, "SHOUTED WORDS GO ON " * 1000
+    shouting = toxicity.LEXICONS + 4
+    assert toxicity.features(calm + loud, {})[shouting] == toxicity.features(loud + calm, {})[shouting] > 0.4
