@@ -1,9 +1,9 @@
 """Near-duplicate lines by a segment-partition edit join. DataFrame functions only.
 
 Two lines within K edits: cut the shorter into K + 1 segments and at least one of them is in the longer
-one unchanged, close to where it was. Segments of every distinct line are indexed by (length, number,
-text); each line probes the index with the substrings that could be such a segment, for every length it
-may be near. Candidates are verified by a banded bit-parallel edit distance.
+one unchanged, close to where it was. Every distinct line names its segments by (length, number, text)
+and the substrings that can be a segment of a line near it; two lines that share such a name are
+candidates, which a banded bit-parallel edit distance verifies.
 """
 
 from __future__ import annotations
@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import checkpointed
 
 MAX_EDITS = 2
-#: Lines with fewer characters than this (headings, list marks and the like) go by exact copies alone.
-MIN_CHARS = 24
+#: Two edits in fewer characters than this leave lines less than 0.8 alike; such lines go by exact copies alone.
+MIN_CHARS = 10
 #: Frequent letters whose counts are compared before a pair becomes a candidate (8 at most).
-COUNTED = "eant"
+COUNTED = "eantiors"
 #: Most hashes of candidate lines (8 bytes each) that are broadcast to pick out their texts.
 BROADCAST_LINES = 1_000_000
 _LAST = (1 << 63) - 1
@@ -36,19 +36,28 @@ def _key(length: Column, i: int, text: Column) -> Column:
     return F.xxhash64(length.cast("int"), F.lit(i), text)
 
 
-def index_keys(line: Column, length: Column, edits: int) -> Column:
+def folded(line: Column) -> Column:
+    """The line as bytes, one for each character: those beyond ASCII become one and the same, which keeps near lines near."""
+    plain = F.octet_length(line) == F.length(line)
+    return F.when(plain, line).otherwise(F.regexp_replace(line, r"[^\x00-\x7F]", "?")).cast("binary")
+
+
+def index_keys(line: Column, length: Column, edits: int) -> list[Column]:
+    """Keys of a line's own segments."""
     keys = []
     for i in range(edits + 1):
         start, size = _segment(length, i, edits)
         keys.append(_key(length, i, line.substr(start, size)))
-    return F.array(*keys)
+    return keys
 
 
-def probe_keys(line: Column, length: Column, edits: int) -> Column:
-    """Keys of the substrings that can be a segment of a line shorter by 0 to `edits` characters.
+def probe_keys(line: Column, length: Column, edits: int) -> list[Column]:
+    """Keys of the substrings that can be a segment of a line shorter by 0 to `edits` characters, besides the line's own segments.
 
     Segment i of the shorter line begins at p; edits before it are at most i from the left view and
     edits - i from the right view, which bounds the shift of the matching substring (multi-match-aware).
+    Of two lines of one length each is the other's shorter one: what moves left from here moves right
+    from there, so substrings moved to the right are enough, and those in place are the own segments.
     """
     keys = []
     for shorter in range(edits + 1):
@@ -57,10 +66,10 @@ def probe_keys(line: Column, length: Column, edits: int) -> Column:
             start, size = _segment(other, i, edits)
             low = max(-i, shorter - (edits - i), -((edits - shorter) // 2))
             high = min(i, shorter + (edits - i), (edits + shorter) // 2)
-            for shift in range(low, high + 1):
+            for shift in range(low if shorter else 1, high + 1):
                 at = start + shift
                 keys.append(F.when((at >= 1) & (at + size - 1 <= length), _key(other, i, line.substr(at, size))))
-    return F.array(*keys)
+    return keys
 
 
 def banded_edit_distance(a: Column, b: Column, edits: int) -> Column:
@@ -81,7 +90,16 @@ def banded_edit_distance(a: Column, b: Column, edits: int) -> Column:
     )
     none = F.array().cast("array<int>")
     close = F.abs(F.length(a) - F.length(b)) <= edits
-    found = F.transform(F.array(chars), lambda c: F.aggregate(F.when(c["n"] > 0, F.sequence(F.lit(1), c["n"])).otherwise(none), _start(c["gap"], edits, full), lambda acc, j: _column(c, acc, j, edits, width, full), lambda acc: acc["d"]))[0]
+    found = F.transform(
+        F.array(chars),
+        lambda c: F.aggregate(
+            F.when(c["n"] > 0, F.sequence(F.lit(1), c["n"])).otherwise(none),
+            _start(c["gap"], edits, full),
+            # The score never falls along its diagonal: beyond the edits allowed the rest is skipped.
+            lambda acc, j: F.when(acc["d"] > edits, acc).otherwise(_column(c, acc, j, edits, width, full)),
+            lambda acc: acc["d"],
+        ),
+    )[0]
     d = F.when(close, found)
     return F.when(d <= edits, d)
 
@@ -146,18 +164,28 @@ def counts_allow(a: Column, b: Column, edits: int) -> Column:
     return (up <= edits) & (down <= edits)
 
 
+def _names(lines: DataFrame, edits: int) -> DataFrame:
+    """`key, h, counts, own` for each key of each distinct line; own is 1 for its segments, 0 for what it only probes."""
+    counts = F.col("counts") if "counts" in lines.columns else letter_counts(F.col("line"))
+    known = lines.select(folded(F.col("line")).alias("b"), F.xxhash64("line").alias("h"), F.length("line").alias("n"), counts.alias("counts")).where(F.col("n") > edits)
+    own, probes = index_keys(F.col("b"), F.col("n"), edits), probe_keys(F.col("b"), F.col("n"), edits)
+    listed = known.select("h", "counts", F.posexplode(F.array(*own, *probes)).alias("i", "key")).where("key is not null")
+    return listed.select("key", "h", "counts", (F.col("i") < len(own)).cast("byte").alias("own"))
+
+
 def candidates(lines: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
     """`x, y`: hashes of each two of the distinct lines (column `line`) of which one holds a segment of the other; x < y.
 
     Pairs whose letter counts alone put them more than `edits` apart are left out within the join, so many
     versions of one line, which share most of their segments, don't all become candidates of each other.
+    Both sides of the join are one and the same shuffle.
     """
-    counts = F.col("counts") if "counts" in lines.columns else letter_counts(F.col("line"))
-    own = lines.select("line", F.xxhash64("line").alias("h"), F.length("line").alias("n"), counts.alias("counts")).where(F.col("n") > edits)
-    index = own.select("h", "counts", F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("key"))
-    probe = own.select(F.col("h").alias("p"), F.col("counts").alias("q"), F.explode(probe_keys(F.col("line"), F.col("n"), edits)).alias("key")).where("key is not null")
-    alike = (index["key"] == probe["key"]) & (F.col("h") != F.col("p")) & counts_allow(F.col("counts"), F.col("q"), edits)
-    return index.join(probe, alike).select(F.least("h", "p").alias("x"), F.greatest("h", "p").alias("y")).distinct()
+    names = _names(lines, edits)
+    a, b = names.alias("a"), names.alias("b")
+    # Two own segments meet once, an own segment and a probe from the segment's side.
+    met = ((F.col("a.own") > F.col("b.own")) & (F.col("a.h") != F.col("b.h"))) | ((F.col("a.own") + F.col("b.own") == 2) & (F.col("a.h") < F.col("b.h")))
+    alike = (F.col("a.key") == F.col("b.key")) & met & counts_allow(F.col("a.counts"), F.col("b.counts"), edits)
+    return a.join(b, alike).select(F.least("a.h", "b.h").alias("x"), F.greatest("a.h", "b.h").alias("y")).distinct()
 
 
 def verified(met: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
@@ -235,11 +263,21 @@ def line_duplicates(docs: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
     )
 
 
+def _without(lines: Column, gone: Column) -> Column:
+    """An array without the elements at the sorted positions `gone`: the slices between those, so it takes one pass."""
+    parts = F.struct(lines.alias("all"), F.concat(F.array(F.lit(0)), F.transform(gone, lambda g: g + 1)).alias("from"), F.concat(gone, F.array(F.size(lines))).alias("to"))
+    cut = lambda p: F.flatten(F.zip_with(p["from"], p["to"], lambda a, b: F.slice(p["all"], a + 1, b - a)))
+    return F.transform(F.array(parts), cut)[0]
+
+
 def remove_duplicate_lines(docs: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
-    """Documents with the lines that `line_duplicates` names taken out of `text`; every row stays, n_chars is renewed if there is one."""
+    """Documents with the lines that `line_duplicates` names taken out of `text`; every row stays, n_chars is renewed if there is one.
+
+    Null and empty texts stay as they are; rows that repeat a doc_id and text lose the same lines.
+    """
     got = _decisions(docs, edits).where(F.size("removed") > 0).select(F.col("doc_id").alias("__d"), F.col("version").alias("__v"), F.col("removed").alias("__gone"))
     joined = docs.join(got, docs["doc_id"].cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__v")), "left")
-    kept = F.filter(F.split(docs["text"], "\n", -1), lambda x, i: ~F.array_contains(F.col("__gone"), i))
+    kept = _without(F.split(docs["text"], "\n", -1), F.col("__gone"))
     text = F.when(F.col("__gone").isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))
     columns = [text.alias("text") if c == "text" else F.length(text).cast("long").alias("n_chars") if c == "n_chars" else docs[c] for c in docs.columns]
     return joined.select(*columns)

@@ -238,10 +238,11 @@ def test_line_dedup_equals_brute_force(spark):
     first = {}
     for i, t in enumerate(texts):
         for k, line in enumerate(t.split("\n")):
-            if len(line) >= 24:
+            if line.strip():
                 first.setdefault(line, (i, k))
-    late = {a for a in first for b in first if first[b] < first[a] and edit_distance(a, b) <= 1}
-    gone = {i: [k for k, line in enumerate(t.split("\n")) if len(line) >= 24 and (first[line] != (i, k) or line in late)] for i, t in enumerate(texts)}
+    long = [a for a in first if len(a) >= 10]
+    late = {a for a in long for b in long if first[b] < first[a] and edit_distance(a, b) <= 2}
+    gone = {i: [k for k, line in enumerate(t.split("\n")) if line.strip() and (first[line] != (i, k) or line in late)] for i, t in enumerate(texts)}
     got = {r.doc_id: r.removed_lines for r in linededup.line_duplicates(docs).collect()}
     assert got == gone
     kept = {r.doc_id: (r.text, r.n_chars) for r in linededup.remove_duplicate_lines(docs).collect()}
