@@ -23,53 +23,28 @@ BROADCAST_LINES = 1_000_000
 _LAST = (1 << 63) - 1
 
 
-def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """First character (from 1) and size of segment i (from 0) of a line; the last ones are one longer if need be."""
-    n = edits + 1
-    base = F.floor(length / n).cast("int")
-    longer = length - base * n  # so many of the last segments have one character more
-    start = base * i + F.greatest(F.lit(0), longer - (n - i)) + 1
-    return start.cast("int"), (base + F.when(F.lit(i) >= F.lit(n) - longer, 1).otherwise(0)).cast("int")
-
-
-def _key(length: Column, i: int, text: Column) -> Column:
-    return F.xxhash64(length.cast("int"), F.lit(i), text)
-
-
 def folded(line: Column) -> Column:
     """The line as bytes, one for each character: those beyond ASCII become one and the same, which keeps near lines near."""
     plain = F.octet_length(line) == F.length(line)
     return F.when(plain, line).otherwise(F.regexp_replace(line, r"[^\x00-\x7F]", "?")).cast("binary")
 
 
-def index_keys(line: Column, length: Column, edits: int) -> list[Column]:
-    """Keys of a line's own segments."""
-    keys = []
-    for i in range(edits + 1):
-        start, size = _segment(length, i, edits)
-        keys.append(_key(length, i, line.substr(start, size)))
-    return keys
-
-
-def probe_keys(line: Column, length: Column, edits: int) -> list[Column]:
-    """Keys of the substrings that can be a segment of a line shorter by 0 to `edits` characters, besides the line's own segments.
+def name_shapes(edits: int) -> list[tuple[int, int, int, int]]:
+    """(own, shorter, segment, shift) of each name of a line.
 
-    Segment i of the shorter line begins at p; edits before it are at most i from the left view and
-    edits - i from the right view, which bounds the shift of the matching substring (multi-match-aware).
-    Of two lines of one length each is the other's shorter one: what moves left from here moves right
-    from there, so substrings moved to the right are enough, and those in place are the own segments.
+    Own names are the line's segments. The others are the substrings that can be a segment of a line
+    shorter by 0 to `edits` characters: segment i of that begins at p; edits before it are at most i from
+    the left view and edits - i from the right view, which bounds the shift (multi-match-aware). Of two
+    lines of one length each is the other's shorter one: what moves left from here moves right from there,
+    so substrings moved to the right are enough, and those in place are the own segments.
     """
-    keys = []
+    shapes = [(1, 0, i, 0) for i in range(edits + 1)]
     for shorter in range(edits + 1):
-        other = length - shorter
         for i in range(edits + 1):
-            start, size = _segment(other, i, edits)
             low = max(-i, shorter - (edits - i), -((edits - shorter) // 2))
             high = min(i, shorter + (edits - i), (edits + shorter) // 2)
-            for shift in range(low if shorter else 1, high + 1):
-                at = start + shift
-                keys.append(F.when((at >= 1) & (at + size - 1 <= length), _key(other, i, line.substr(at, size))))
-    return keys
+            shapes += [(0, shorter, i, shift) for shift in range(low if shorter else 1, high + 1)]
+    return shapes
 
 
 def banded_edit_distance(a: Column, b: Column, edits: int) -> Column:
@@ -158,19 +133,28 @@ def counts_allow(a: Column, b: Column, edits: int) -> Column:
     """Whether lines with these counts can be within `edits` edits: one edit raises one count at most and lowers one."""
     up = down = F.lit(0).cast("long")
     for i in range(len(COUNTED)):
-        d = F.pmod(F.shiftright(a, 8 * i) - F.shiftright(b, 8 * i), F.lit(256))
+        d = F.pmod(F.shiftright(a, 8 * i).bitwiseAND(F.lit(255)) - F.shiftright(b, 8 * i).bitwiseAND(F.lit(255)), F.lit(256))
         up = up + F.when(d < 128, d).otherwise(0)
         down = down + F.when(d >= 128, 256 - d).otherwise(0)
     return (up <= edits) & (down <= edits)
 
 
 def _names(lines: DataFrame, edits: int) -> DataFrame:
-    """`key, h, counts, own` for each key of each distinct line; own is 1 for its segments, 0 for what it only probes."""
+    """`key, h, counts, own` for each name of each distinct line; own is 1 for its segments, 0 for what it only probes."""
     counts = F.col("counts") if "counts" in lines.columns else letter_counts(F.col("line"))
     known = lines.select(folded(F.col("line")).alias("b"), F.xxhash64("line").alias("h"), F.length("line").alias("n"), counts.alias("counts")).where(F.col("n") > edits)
-    own, probes = index_keys(F.col("b"), F.col("n"), edits), probe_keys(F.col("b"), F.col("n"), edits)
-    listed = known.select("h", "counts", F.posexplode(F.array(*own, *probes)).alias("i", "key")).where("key is not null")
-    return listed.select("key", "h", "counts", (F.col("i") < len(own)).cast("byte").alias("own"))
+    # One expression for all shapes: generated code stays small enough to be compiled.
+    shapes = F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(shape, ("own", "shorter", "i", "shift"))]) for shape in name_shapes(edits)])
+    listed = known.select("b", "h", "n", "counts", F.explode(shapes).alias("s")).select("b", "h", "n", "counts", "s.*")
+    parts = edits + 1
+    listed = listed.withColumn("other", F.col("n") - F.col("shorter")).withColumn("base", (F.col("other") / parts).cast("int"))
+    # The last segments are one character longer if need be.
+    listed = listed.withColumn("longer", F.col("other") - F.col("base") * parts)
+    start = F.col("base") * F.col("i") + F.greatest(F.lit(0), F.col("longer") - (parts - F.col("i"))) + 1 + F.col("shift")
+    size = F.col("base") + (F.col("i") >= F.lit(parts) - F.col("longer")).cast("int")
+    listed = listed.select("b", "h", "n", "counts", "own", "other", "i", start.alias("at"), size.alias("size")).where("at >= 1 and at + size - 1 <= n")
+    key = F.xxhash64("other", "i", F.col("b").substr(F.col("at"), F.col("size")))
+    return listed.select(key.alias("key"), "h", "counts", F.col("own").cast("byte").alias("own"))
 
 
 def candidates(lines: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
