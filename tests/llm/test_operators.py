@@ -353,45 +353,70 @@ def test_passages_inside_lines(spark):
     rng = random.Random(2)
     words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(3000)]
     some = lambda n: " ".join(rng.choice(words) for _ in range(n))
-    passage = some(60)
-    texts = [some(30) + " " + passage + " " + some(30), some(100), some(11) + " " + passage.upper() + "\n" + some(9), some(80), "of of of " * 40, "a b c d e f g h i j k l m n o p q r s t " * 2]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    passage, line = some(60), some(20)
+    texts = [some(30) + " " + passage + " " + some(30), some(100), some(11) + " " + passage.upper() + "\n" + some(9), some(80), "of of of " * 8, f"{some(5)}\n{line}\n{some(4)}", f"{line.title()} \n{some(19)}", passage + "\nx y\n" + passage]
+    docs = spark.createDataFrame([(i, t, "mine") for i, t in enumerate(texts)], "doc_id long, text string, removed string")
     got = passages.repeated_passages(docs).collect()
-    assert {r.doc_id for r in got} == {2} and {r.kept_doc_id for r in got} == {0}
-    assert sum(r.words for r in got) >= 40
+    assert {(r.doc_id, r.kept_doc_id) for r in got} == {(2, 0), (6, 5), (7, 0)}
+    assert sum(r.words for r in got if r.doc_id == 2) >= 40
+    # Of the two copies in document 7 both go, the earlier one is in document 0.
+    assert sum(r.end - r.start for r in got if r.doc_id == 7) > 1.5 * len(passage)
     cut = {r.doc_id: r for r in passages.remove_passages(docs).collect()}
-    spans = [(s.start, s.end) for s in cut[2].removed]
-    left = texts[2]
-    for a, b in reversed(spans):
-        left = left[:a] + left[b:]
-    assert cut[2].text == left and cut[0].text == texts[0] and not cut[0].removed
+    for i, text in enumerate(texts):
+        left = text
+        for s in reversed(cut[i].removed):
+            left = left[: s.start] + left[s.end :]
+        assert cut[i].text == left
+    assert not cut[0].removed and cut[6].text.strip() == texts[6].split("\n")[1]
+
+
+def test_passages_repeated_within_a_document(spark):
+    rng = random.Random(6)
+    para = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60))
+    docs = spark.createDataFrame([(1, "\n".join([para] * 500))], "doc_id long, text string")
+    got = passages.repeated_passages(docs).collect()
+    assert [(r.kept_doc_id, r.start) for r in got] == [(1, len(para) + 1)]
+    assert passages.remove_passages(docs).collect()[0].text.strip() == para
 
 
-def test_passage_units_do_not_depend_on_place():
+def test_passage_pieces_do_not_depend_on_place():
     rng = random.Random(4)
     words = ["".join(rng.choice("abcdef") for _ in range(6)) for _ in range(500)]
-    body = " ".join(rng.choice(words) for _ in range(200))
-    a, b = passages.units("x y z " + body), passages.units("p q r s t u v " + body)
-    shared = set(a[0].tolist()) & set(b[0].tolist())
-    assert len(shared) > 0.9 * len(a[0])
+    for n in range(40):
+        body = " ".join(rng.choice(words) for _ in range(50))
+        a, b = passages.units("x y z " + body + " u v"), passages.units(" ".join(rng.choice(words) for _ in range(n)) + " " + body + " w" * n)
+        own = set(a[1][~a[0]].tolist())
+        assert sum(w for d, w, line in zip(b[1].tolist(), b[6].tolist(), b[0].tolist()) if not line and d in own) >= 30
 
 
 def test_passages_equal_grouping_by_hand(spark, docs):
-    units = defaultdict(set)
+    holders = defaultdict(set)
     mine = {}
     for r in docs.collect():
-        d, start, end, n = passages.units(r.text)
-        mine[r.doc_id] = list(zip(d.tolist(), start.tolist(), end.tolist(), n.tolist()))
-        for x in d.tolist():
-            units[x].add(r.doc_id)
+        rows = list(zip(*[c.tolist() for c in passages.units(r.text)]))
+        mine[r.doc_id] = rows
+        for row in rows:
+            holders[row[1], row[2]].add(r.doc_id)
     want = set()
     for i, rows in mine.items():
-        run = []
+        spans, run, before = [], [], set()
         for row in [*rows, None]:
-            if row and min(units[row[0]]) < i:
+            gone = row and (min(holders[row[1], row[2]]) < i or (row[1], row[2]) in before)
+            if row:
+                before.add((row[1], row[2]))
+            if gone and row[0]:
+                spans.append((row[4], row[5]))
+            if gone and not row[0]:
                 run.append(row)
             else:
-                if sum(r[3] for r in run) >= passages.MIN_WORDS:
-                    want.add((i, run[0][1], run[-1][2]))
+                if sum(r[6] for r in run) >= passages.MIN_WORDS:
+                    spans.append((run[0][4], run[-1][5]))
                 run = []
+        merged = []
+        for a, b in sorted(spans):
+            if merged and a < merged[-1][1]:
+                merged[-1][1] = max(b, merged[-1][1])
+            else:
+                merged.append([a, b])
+        want |= {(i, a, b) for a, b in merged}
     assert want == {(r.doc_id, r.start, r.end) for r in passages.repeated_passages(docs).collect()}
