@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import checkpointed, shuffle_width
 
 CHAIN = 2
-#: One in so many runs of neighbouring words is a signature too.
-RUNS = 8
 #: Hexadecimal digits of a signature in a fingerprint.
 DIGITS = 8
 # Common words that serve as anchors.
@@ -38,34 +36,37 @@ def _anchor_words() -> list[str]:
 def signature_set(text: Column, chain: int = CHAIN) -> Column:
     """Sorted distinct signatures of a text, as 32-bit integers.
 
-    Words are runs of letters and digits in lower case. Lists and texts in other languages have few
-    spots, so one in RUNS of all runs of `chain` neighbouring words, picked by hash, joins the set. Where
-    that leaves nothing every such run is taken, of a shorter text its words together; no words give
-    an empty set. Null counts as empty.
+    Words are runs of letters and digits in lower case. A text without a spot (a list, a text in another
+    language) has all its runs of `chain` neighbouring words instead, a shorter one its words together;
+    no words give an empty set. Null counts as empty.
     """
     anchors = _anchor_words()
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return F.transform(F.array(words), lambda ws: _signatures(ws, anchors, chain))[0]
+    return _let(words, lambda ws: _signatures(ws, anchors, chain))
+
+
+def _let(value: Column, then) -> Column:
+    """`then` of a value that is worked out once."""
+    return F.transform(F.array(value), then)[0]
 
 
 def _signatures(words: Column, anchors: list[str], chain: int) -> Column:
     # The anchor with j others before it, at word p, has p - j content words before it: its chain starts there.
     spots = F.filter(F.transform(words, lambda w, i: F.when(w.isin(anchors), i)), lambda p: p.isNotNull())
-    parts = F.struct(F.filter(words, lambda w: ~w.isin(anchors)).alias("content"), spots.alias("spots"), words.alias("words"))
+    parts = F.struct(F.filter(words, lambda w: ~w.isin(anchors)).alias("content"), spots.alias("spots"))
 
     def chosen(s: Column) -> Column:
         content, n = s["content"], F.size(s["content"])
-        at_spots = F.filter(F.transform(s["spots"], lambda p, j: p - j), lambda k: k <= n - chain)
-        by_spot = F.transform(at_spots, lambda k: _hash([F.get(content, k + i) for i in range(chain)]))
-        runs = F.filter(F.transform(s["words"], lambda w, i: i), lambda i: i <= F.size(s["words"]) - chain)
-        by_run = F.transform(runs, lambda k: _hash([F.get(s["words"], k + i) for i in range(chain)]))
-        whole = F.array(_hash([F.array_join(s["words"], " ")]))
+        starts = F.filter(F.array_distinct(F.transform(s["spots"], lambda p, j: p - j)), lambda k: k <= n - chain)
+        return F.transform(starts, lambda k: _hash([F.get(content, k + i) for i in range(chain)]))
+
+    def instead(found: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.size(words) - chain), lambda k: _hash([F.get(words, k + i) for i in range(chain)]))
+        whole = F.array(_hash([F.array_join(words, " ")]))
         none = F.array().cast("array<int>")
-        sampled = F.concat(by_spot, F.filter(by_run, lambda h: F.pmod(h, F.lit(RUNS)) == 0))
-        picked = F.when(F.size(sampled) > 0, sampled).when(F.size(s["words"]) >= chain, by_run).when(F.size(s["words"]) > 0, whole).otherwise(none)
-        return F.sort_array(F.array_distinct(picked))
+        return F.when(F.size(found) > 0, found).when(F.size(words) >= chain, runs).when(F.size(words) > 0, whole).otherwise(none)
 
-    return F.transform(F.array(parts), chosen)[0]
+    return F.sort_array(F.array_distinct(_let(_let(parts, chosen), instead)))
 
 
 def _hash(words: list[Column]) -> Column:
@@ -138,21 +139,26 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     The edited text has the last floor(n_chars / 3) code points replaced by the first as many of the
     next document's (descending doc_id; after the last comes the first). Null texts count as empty; a
     null doc_id counts as the smallest of all. Rows that repeat a doc_id each get a row; as the next
-    document the least of their texts stands for them. An only document is its own next. Other columns
+    document the text with the least hash stands for them. An only document is its own next. Other columns
     are not read; an empty table gives an empty table.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST))
-    base = docs.select(key.alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    # Dealt by key here, so that both joins below read one shuffle of the texts.
-    dealt = base.repartition("key")
+    texts = docs.select(key.alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    # Signatures are found once, before the texts are dealt by key; both joins below read that one shuffle,
+    # and Spark can split a key that very many rows have, as neither join is by the text.
+    base = texts.select("key", "text", signature_set(F.col("text")).alias("sigs"))
     third = F.floor(F.length("text") / 3).cast("int")
-    wanted = base.groupBy("key").agg(F.max(third).alias("third"))
-    links = next_keys(wanted).join(wanted, "key").select(F.col("key").alias("owner"), F.col("next").alias("key"), "third")
-    first = dealt.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("text"))).where("k = 1")
-    lent = first.join(links, "key").select(F.col("owner").alias("key"), F.expr("substring(text, 1, third)").alias("lent"), signature_set(F.col("text")).alias("next_sigs"))
-    joined = dealt.join(lent, "key").withColumn("n", F.length("text"))
+    wanted = checkpointed(texts.groupBy("key").agg(F.max(third).alias("third"), F.min(F.xxhash64("text")).alias("least")))
+    links = next_keys(wanted).join(wanted.select("key", "third"), "key").select(F.col("key").alias("owner"), F.col("next").alias("key"), "third")
+    picked = links.join(wanted.select("key", "least"), "key")
+    # Of the rows that share a key the text with the least hash is lent. Not written as an equality, which would deal the texts anew.
+    own = F.xxhash64("text")
+    lent = base.join(picked, (base["key"] == picked["key"]) & (own >= F.col("least")) & (own <= F.col("least")))
+    lent = lent.select(F.col("owner").alias("key"), F.expr("substring(text, 1, third)").alias("lent"), F.col("sigs").alias("next_sigs"))
+    lent = lent.groupBy("key").agg(F.first("lent").alias("lent"), F.first("next_sigs").alias("next_sigs"))
+    joined = base.join(lent, "key").withColumn("n", F.length("text"))
     edited = joined.withColumn("edited", F.expr("concat(substring(text, 1, n - cast(floor(n / 3) as int)), substring(lent, 1, cast(floor(n / 3) as int)))"))
-    sets = edited.select("key", "n", "next_sigs", F.sha2(F.col("edited"), 256).alias("edited_sha256"), signature_set(F.col("text")).alias("sigs"), signature_set(F.col("edited")).alias("edited_sigs"))
+    sets = edited.select("key", "n", "next_sigs", F.sha2(F.col("edited"), 256).alias("edited_sha256"), "sigs", signature_set(F.col("edited")).alias("edited_sigs"))
     return sets.select(
         F.when(F.col("key") != _FIRST, F.col("key")).alias("doc_id"),
         F.col("n").cast("long").alias("n_chars"),

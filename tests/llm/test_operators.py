@@ -279,10 +279,12 @@ def test_spot_signatures(spark):
     text = "The quick fox is in the old house of a big red dog and the"
     spots, words = brute_signatures(text)
     h = lambda pair: (lambda v: (v >> 32) - (1 << 31))(xxhash.xxh64_intdigest(pair[1].encode(), xxhash.xxh64_intdigest(pair[0].encode(), 42)))
-    runs = [h(p) for p in zip(words, words[1:])]
-    want = sorted({h(s) for s in spots} | {r for r in runs if r % spotsigs.RUNS == 0})
-    got = spark.createDataFrame([(text,)], "t string").select(spotsigs.signature_set(F.col("t")).alias("s")).collect()[0].s
-    assert got == want
+    want = sorted({h(s) for s in spots})
+    listed = "alpha beta gamma delta"
+    rows = spark.createDataFrame([(text,), (listed,), ("the", ), ("alone",), (" - ",), (None,)], "t string")
+    got = [r.s for r in rows.select(spotsigs.signature_set(F.col("t")).alias("s")).collect()]
+    assert got[:2] == [want, sorted(h(p) for p in zip(listed.split(), listed.split()[1:]))]
+    assert [len(s) for s in got[2:]] == [1, 1, 0, 0]
 
 
 def test_spotsigs_documents(spark, docs):
