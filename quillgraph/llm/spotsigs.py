@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import checkpointed, shuffle_width
 
 CHAIN = 2
+#: Texts with fewer spots than one in so many words (lists, texts in another language) have runs of neighbouring words as well.
+RARE = 24
 #: Hexadecimal digits of a signature in a fingerprint.
 DIGITS = 8
 # Common words that serve as anchors.
@@ -36,9 +38,9 @@ def _anchor_words() -> list[str]:
 def signature_set(text: Column, chain: int = CHAIN) -> Column:
     """Sorted distinct signatures of a text, as 32-bit integers.
 
-    Words are runs of letters and digits in lower case. A text without a spot (a list, a text in another
-    language) has all its runs of `chain` neighbouring words instead, a shorter one its words together;
-    no words give an empty set. Null counts as empty.
+    Words are runs of letters and digits in lower case. A text with fewer spots than one in
+    RARE words has all its runs of `chain` neighbouring words as well, one of fewer words its words
+    together; no words give an empty set. Null counts as empty.
     """
     anchors = _anchor_words()
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
@@ -60,13 +62,13 @@ def _signatures(words: Column, anchors: list[str], chain: int) -> Column:
         starts = F.filter(F.array_distinct(F.transform(s["spots"], lambda p, j: p - j)), lambda k: k <= n - chain)
         return F.transform(starts, lambda k: _hash([F.get(content, k + i) for i in range(chain)]))
 
-    def instead(found: Column) -> Column:
+    def helped(found: Column) -> Column:
         runs = F.transform(F.sequence(F.lit(0), F.size(words) - chain), lambda k: _hash([F.get(words, k + i) for i in range(chain)]))
         whole = F.array(_hash([F.array_join(words, " ")]))
         none = F.array().cast("array<int>")
-        return F.when(F.size(found) > 0, found).when(F.size(words) >= chain, runs).when(F.size(words) > 0, whole).otherwise(none)
+        return F.when((F.size(found) > 0) & (F.size(found) * RARE >= F.size(words)), found).when(F.size(words) >= chain, F.concat(found, runs)).when(F.size(words) > 0, whole).otherwise(none)
 
-    return F.sort_array(F.array_distinct(_let(_let(parts, chosen), instead)))
+    return F.sort_array(F.array_distinct(_let(_let(parts, chosen), helped)))
 
 
 def _hash(words: list[Column]) -> Column:
