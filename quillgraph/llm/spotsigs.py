@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import checkpointed, shuffle_width
 
 CHAIN = 2
-#: Texts with fewer spots than one in so many words (lists, texts in another language) have runs of neighbouring words as well.
-RARE = 24
+#: A stretch of so many words without an anchor (a list, another language) has its runs of neighbouring words as signatures.
+STRETCH = 24
 #: Hexadecimal digits of a signature in a fingerprint.
 DIGITS = 8
 # Common words that serve as anchors.
@@ -38,9 +38,10 @@ def _anchor_words() -> list[str]:
 def signature_set(text: Column, chain: int = CHAIN) -> Column:
     """Sorted distinct signatures of a text, as 32-bit integers.
 
-    Words are runs of letters and digits in lower case. A text with fewer spots than one in
-    RARE words has all its runs of `chain` neighbouring words as well, one of fewer words its words
-    together; no words give an empty set. Null counts as empty.
+    Words are runs of letters and digits in lower case. A stretch of STRETCH words
+    and more without an anchor adds its runs of `chain` neighbouring words. Where that leaves nothing,
+    every such run is taken, of a shorter text its words together; no words give an empty set. Null
+    counts as empty.
     """
     anchors = _anchor_words()
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
@@ -55,18 +56,24 @@ def _let(value: Column, then) -> Column:
 def _signatures(words: Column, anchors: list[str], chain: int) -> Column:
     # The anchor with j others before it, at word p, has p - j content words before it: its chain starts there.
     spots = F.filter(F.transform(words, lambda w, i: F.when(w.isin(anchors), i)), lambda p: p.isNotNull())
-    parts = F.struct(F.filter(words, lambda w: ~w.isin(anchors)).alias("content"), spots.alias("spots"))
+    parts = F.struct(F.filter(words, lambda w: ~w.isin(anchors)).alias("content"), spots.alias("spots"), F.size(words).alias("n"))
+    none = F.array().cast("array<int>")
+
+    def runs(starts: Column) -> Column:
+        return F.transform(starts, lambda k: _hash([F.get(words, k + i) for i in range(chain)]))
 
     def chosen(s: Column) -> Column:
-        content, n = s["content"], F.size(s["content"])
-        starts = F.filter(F.array_distinct(F.transform(s["spots"], lambda p, j: p - j)), lambda k: k <= n - chain)
-        return F.transform(starts, lambda k: _hash([F.get(content, k + i) for i in range(chain)]))
+        content, last = s["content"], F.size(s["content"]) - chain
+        starts = F.filter(F.array_distinct(F.transform(s["spots"], lambda p, j: p - j)), lambda k: k <= last)
+        by_spot = F.transform(starts, lambda k: _hash([F.get(content, k + i) for i in range(chain)]))
+        before, after = F.concat(F.array(F.lit(-1)), s["spots"]), F.concat(s["spots"], F.array(s["n"]))
+        stretches = F.zip_with(before, after, lambda a, b: F.when(b - a > STRETCH, F.sequence(a + 1, b - chain)).otherwise(none))
+        return F.concat(by_spot, runs(F.flatten(stretches)))
 
     def helped(found: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(0), F.size(words) - chain), lambda k: _hash([F.get(words, k + i) for i in range(chain)]))
+        every = runs(F.sequence(F.lit(0), F.size(words) - chain))
         whole = F.array(_hash([F.array_join(words, " ")]))
-        none = F.array().cast("array<int>")
-        return F.when((F.size(found) > 0) & (F.size(found) * RARE >= F.size(words)), found).when(F.size(words) >= chain, F.concat(found, runs)).when(F.size(words) > 0, whole).otherwise(none)
+        return F.when(F.size(found) > 0, found).when(F.size(words) >= chain, every).when(F.size(words) > 0, whole).otherwise(none)
 
     return F.sort_array(F.array_distinct(_let(_let(parts, chosen), helped)))
 

@@ -285,6 +285,10 @@ def test_spot_signatures(spark):
     got = [r.s for r in rows.select(spotsigs.signature_set(F.col("t")).alias("s")).collect()]
     assert got[:2] == [want, sorted(h(p) for p in zip(listed.split(), listed.split()[1:]))]
     assert [len(s) for s in got[2:]] == [1, 1, 0, 0]
+    # A long stretch without an anchor has its runs, next to the spots before it.
+    many = [f"w{i}" for i in range(spotsigs.STRETCH + 3)]
+    got = spark.createDataFrame([("the " + " ".join(many),)], "t string").select(spotsigs.signature_set(F.col("t")).alias("s")).collect()[0].s
+    assert got == sorted(h(p) for p in zip(many, many[1:]))
 
 
 def test_spotsigs_documents(spark, docs):
