@@ -8,18 +8,20 @@ so they are equal: they are the join key. The rest of the chain prunes candidate
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import checkpointed
 from quillgraph.functions.components import connected_components
 
 SHINGLE_WORDS = 3
+#: Shingles of the pipeline's stage.
+STAGE_SHINGLE_WORDS = 5
 SEED = 42
 MAX_DISTANCE = 2
 SEGMENTS = 9
@@ -28,34 +30,39 @@ HOT_BUCKET = 24
 _BLOCK = 1 << 15
 
 
-def simhash(text: str | None) -> int:
-    """Unsigned 64-bit fingerprint: a bit is set if it is set in over half of the shingle hashes."""
+def simhash(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
+    """Unsigned 64-bit fingerprint of shingles of so many words: a bit is set if it is set in over half of the shingle hashes."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return 0
-    if len(words) <= SHINGLE_WORDS:
+    if len(words) <= shingle_words:
         return xxhash.xxh64_intdigest(b" ".join(words), SEED)
-    n = len(words) - SHINGLE_WORDS + 1
+    n = len(words) - shingle_words + 1
     counts = np.zeros(64, dtype=np.int64)
     digest, seed = xxhash.xxh64_intdigest, SEED
     for start in range(0, n, _BLOCK):
-        part = words[start : start + _BLOCK + SHINGLE_WORDS - 1]
-        hashes = np.array([digest(b"%b %b %b" % t, seed) for t in zip(part, part[1:], part[2:])], dtype="<u8")
+        part = words[start : start + _BLOCK + shingle_words - 1]
+        form = b" ".join([b"%b"] * shingle_words)
+        hashes = np.array([digest(form % t, seed) for t in zip(*(part[i:] for i in range(shingle_words)))], dtype="<u8")
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
     return int(((counts * 2 > n).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64))
 
 
-def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        prints = np.array([simhash(t.as_py()) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["id", "fp"])
+def _fingerprint_batches(shingle_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = np.array([simhash(t.as_py(), shingle_words) for t in batch.column(2)], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.int64())], ["id", "version", "fp"])
 
+    return run
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`id, fp` for every row; a null text counts as empty and has fingerprint zero."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(_fingerprint_batches, "id long, fp long")
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+    """`id, version, fp` for every row, version being a hash of the text; a null text counts as empty and has fingerprint zero."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("version"), text.alias("text"))
+    return source.mapInArrow(_fingerprint_batches(shingle_words), "id long, version long, fp long")
 
 
 def _segments() -> list[tuple[int, int]]:
@@ -131,7 +138,17 @@ def near_pairs(prints: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
     return pairs.unionAll(stars).distinct()
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = MAX_DISTANCE) -> DataFrame:
+def _grouped(docs: DataFrame, id_col: str, text_col: str, distance: int, shingle_words: int) -> DataFrame:
+    """`id, version, fp, label, component_id, component_size` for every row; label is one fingerprint of the group."""
+    prints = checkpointed(fingerprints(docs, id_col, text_col, shingle_words))
+    classes = prints.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    labels = connected_components(near_pairs(classes.select("fp"), distance), "a", "b")
+    labelled = classes.join(labels, classes.fp == labels.node, "left").select("fp", "first", "n", F.coalesce("label", "fp").alias("label"))
+    groups = labelled.groupBy("label").agg(F.min("first").alias("component_id"), F.sum("n").alias("component_size"))
+    return prints.join(labelled.join(groups, "label").select("fp", "label", "component_id", "component_size"), "fp")
+
+
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = MAX_DISTANCE, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """`doc_id, fingerprint, component_id, component_size` for every row of `docs`.
 
     Rows with equal fingerprints are one class; classes within `distance` bits are linked, and
@@ -139,13 +156,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     kept and never names a component (component_id is null only where no member has an id). Repeated
     rows stay repeated; other columns are not read.
     """
-    prints = checkpointed(fingerprints(docs, id_col, text_col))
-    classes = prints.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    labels = connected_components(near_pairs(classes.select("fp"), distance), "a", "b")
-    labelled = classes.join(labels, classes.fp == labels.node, "left").select("fp", "first", "n", F.coalesce("label", "fp").alias("label"))
-    groups = labelled.groupBy("label").agg(F.min("first").alias("component_id"), F.sum("n").alias("component_size"))
-    named = labelled.join(groups, "label").select("fp", "component_id", "component_size")
-    return prints.join(named, "fp").select(
+    return _grouped(docs, id_col, text_col, distance, shingle_words).select(
         F.col("id").alias("doc_id"),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
@@ -153,12 +164,19 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     )
 
 
-def keep_first_of_group(docs: DataFrame) -> DataFrame:
-    """Documents with one of each near-duplicate group left: the one whose id names the group.
+def keep_first_of_group(docs: DataFrame, distance: int = MAX_DISTANCE, shingle_words: int = STAGE_SHINGLE_WORDS) -> DataFrame:
+    """Documents with one row of each near-duplicate group left, with their columns as they are.
 
-    Rows with a null doc_id can't be named and stay; of rows that repeat a doc_id one stays.
+    The row that stays has the group's least doc_id; of several such rows the one whose text has the
+    least hash, then the one whose columns have. Rows with a null doc_id can't be named and stay. Null
+    and empty texts are one group; an empty table stays empty.
     """
-    groups = near_duplicate_groups(docs)
-    keep = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    groups = _grouped(docs, "doc_id", "text", distance, shingle_words).where("id = component_id")
+    keep = groups.groupBy("label", "id").agg(F.min("version").alias("version")).select(F.col("id").alias("__id"), F.col("version").alias("__version"))
+    version = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    marked = docs.where(F.col("doc_id").isNotNull()).withColumns({"__id": F.col("doc_id").cast("long"), "__version": version})
+    named = marked.join(keep, ["__id", "__version"], "left_semi")
+    # One row of those that repeat id and text; the rest are dropped before the shuffle, whatever their number.
+    order = Window.partitionBy("__id", "__version").orderBy(F.xxhash64(*docs.columns))
+    named = named.withColumn("__k", F.row_number().over(order)).where("__k = 1")
     return named.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

@@ -73,6 +73,16 @@ def test_simhash_pairs_of_crowded_fingerprints(spark, monkeypatch, hot):
     assert components(signed, [(r.a, r.b) for r in pairs]) == want
 
 
+def test_one_row_of_each_simhash_group_stays(spark):
+    long = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(5, long, "a"), (3, long, "b"), (3, long, "a"), (3, "another text of its own words here", "c"), (4, "", "d"), (7, None, "e"), (None, long, "f"), (9, long + " x", "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    got = sorted(simhash.keep_first_of_group(docs).collect(), key=str)
+    assert {(r.doc_id, r.text) for r in got} == {(3, long), (3, rows[3][1]), (4, ""), (None, long), (9, long + " x")} and len(got) == 5
+    assert sorted(simhash.keep_first_of_group(docs.orderBy("label").repartition(3)).collect(), key=str) == got
+    assert simhash.simhash(long, 5) == simhash.simhash(long.upper(), 5) != simhash.simhash(long, 3)
+
+
 def test_shards_by_key(spark, docs):
     got = sharding.shard_documents(docs).toPandas()
     texts = {r.doc_id: r.text or "" for r in docs.collect()}

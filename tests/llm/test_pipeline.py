@@ -15,7 +15,7 @@ def test_stages_take_effect(spark, sf, docs):
     for r in lines.collect():
         assert r.text == "\n".join(x for k, x in enumerate(before[r.doc_id].split("\n")) if k not in removed[r.doc_id])
     unique = corpus_pipeline.near_duplicates_stage(spark, lines, sf)
-    groups = {r.component_id for r in simhash.near_duplicate_groups(lines).collect()}
+    groups = {r.component_id for r in simhash.near_duplicate_groups(lines, shingle_words=5).collect()}
     assert sorted(r.doc_id for r in unique.collect()) == sorted(groups)
     clean = corpus_pipeline.decontamination_stage(spark, unique, sf)
     assert decontamination.find_contamination(clean, bench).count() == 0
