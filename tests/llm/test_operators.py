@@ -126,6 +126,64 @@ def test_decontamination_blocks_equal_one_index(spark, docs, sf, monkeypatch):
     assert want and {tuple(r) for r in decontamination.find_contamination(docs, bench).collect()} == want
 
 
+def least_edits_anywhere(p, t):
+    row = [0] * (len(t) + 1)
+    for i, x in enumerate(p, 1):
+        new = [i]
+        for j, y in enumerate(t, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return min(row)
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdefgh"])
+def test_decontamination_equals_aligning_every_window(letters):
+    rng = random.Random(len(letters))
+    some = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    items = {k: some(n) for k, n in enumerate((12, 30, 80, 95, 130, 70))}
+    items[9] = "0" * 60
+    rows = [(k, decontamination.letters(t)[0]) for k, t in items.items()]
+    index = decontamination.build_index(rows)
+    windows = {(k, a): t[a : a + decontamination.WINDOW] for k, t in items.items() for a in decontamination.window_starts(len(t))}
+    for n in range(30):
+        parts = [some(rng.randint(0, 40))]
+        for _ in range(2):
+            t = items[rng.choice(list(items))]
+            cut = rng.randint(0, len(t) // 3)
+            t = list(t[cut : cut + rng.randint(len(t) // 2, len(t))])
+            for _ in range(rng.randint(0, 8)):
+                at = rng.randrange(len(t))
+                t[at : at + rng.randint(0, 1)] = rng.choice(["", "z", "q"])
+            parts += ["".join(t), some(rng.randint(0, 30))]
+        text = ("0" * 300 if n == 3 else "") + " ".join(parts)
+        folded = text.replace(" ", "")
+        want = {}
+        for (k, a), w in windows.items():
+            d = least_edits_anywhere(w, folded)
+            if d <= decontamination.edit_budget(len(w)):
+                want.setdefault(k, []).append(d)
+        got = {m[0]: (m[3], m[4]) for m in decontamination.matches(text, index)}
+        assert got == {k: (min(v), len(v)) for k, v in want.items()}
+
+
+def test_every_fragment_of_an_item_is_found():
+    rng = random.Random(8)
+    item = "".join(rng.choice("abcdefghij") for _ in range(326))
+    index = decontamination.build_index([(1, decontamination.letters(item)[0])])
+    for a in range(len(item) - decontamination.FRAGMENT + 1):
+        assert decontamination.matches("x y " + item[a : a + decontamination.FRAGMENT] + " z", index)
+
+
+def test_repeated_letters_take_bounded_memory():
+    import tracemalloc
+
+    index = decontamination.build_index([(1, decontamination.letters("0" * 300)[0])])
+    tracemalloc.start()
+    assert decontamination.matches("0" * 80_000, index)
+    assert tracemalloc.get_traced_memory()[1] < 400e6
+    tracemalloc.stop()
+
+
 def test_banded_alignment_equals_full_table():
     rng = random.Random(1)
     for _ in range(300):
