@@ -1,14 +1,18 @@
 """Lexical retrieval packing.
 
 Documents are tokenized and cut: windows that one document fills are done at once; the tails are dealt to
-shards of a bounded number of documents. In a shard, a BM25 inverted index over token ids returns the
-unused neighbours of each seed, which fill its window greedily; the neighbour that no longer fits is cut
-there and its rest seeds the next window, so only the last window of a shard isn't full. That one is
-split into sequences whose lengths are powers of two, which need no padding.
+shards of a bounded number of documents. Tails that share a least hash of their token runs follow the
+first of them, all others stand with those of the same leading token, and that order is cut every
+SHARD_DOCS tails: so a tail's close neighbours are in its shard however large the corpus is. In a shard, a
+BM25 inverted index over token ids returns the unused neighbours of each seed, which fill its window
+greedily; the neighbour that no longer fits is cut there and its rest seeds the next window, so only the
+last window of a shard isn't full. That one is split into sequences whose lengths are powers of two,
+which need no padding.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -16,14 +20,17 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.llm.common import checkpointed, shuffle_width
+
 WINDOW = 2048
 END_ID = 1
 SHARD_DOCS = 1000
 K1, B_LENGTH = 1.2, 0.75
-QUERY_TERMS = 24
+#: Tokens of a run, and how many least hashes of runs a tail is filed under.
+RUN, KEYS = 4, 4
 #: Words (and as many words with what is attached to them) whose ids a Python worker remembers; beyond that it starts anew.
 CACHE_WORDS = 800_000
 _CONTROL = "\x1c\x1d\x1e\x1f"
@@ -31,6 +38,16 @@ _CONTROL = "\x1c\x1d\x1e\x1f"
 _cache: dict[str, dict[str, bytes]] = {}
 _bare: dict[str, dict[str, bytes]] = {}
 _tokenizers: dict[str, object] = {}
+# How a vocabulary must treat a text so that words can be encoded one by one.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+_by_words: dict[str, bool] = {}
 
 
 def default_vocabulary() -> str:
@@ -50,6 +67,9 @@ def _tokenizer(path: str):
         if _tokenizers[path].get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in 16 bits")
         _cache[path], _bare[path] = {}, {}
+        with open(path, encoding="utf-8") as file:
+            rules = json.load(file)
+        _by_words[path] = rules.get("normalizer") == _NORMALIZER and rules.get("pre_tokenizer") == _PRE_TOKENIZER
     return _tokenizers[path]
 
 
@@ -97,10 +117,13 @@ def token_bytes(texts: pa.Array, path: str) -> list[bytes]:
     The vocabulary never joins characters across white space, so the differing words of all texts are
     encoded once, remembered, and put together by their numbers. Splitting also cuts at four control
     characters that the vocabulary does not treat as white space; texts that hold one are encoded whole.
+    So is every text with a vocabulary that has other rules.
     """
     tok = _tokenizer(path)
     cache, end = _cache[path], struct.pack("<H", END_ID)
     texts = pc.fill_null(texts, "")
+    if not _by_words[path]:
+        return [struct.pack(f"<{len(e.ids)}H", *e.ids) + end for e in tok.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
     words = pc.utf8_split_whitespace(texts)
     bounds = words.offsets.to_numpy(zero_copy_only=False)
     numbered = words.flatten().dictionary_encode()
@@ -143,23 +166,74 @@ def ids_crc32(ids: bytes) -> int:
     return zlib.crc32(np.frombuffer(ids, dtype="<u2").astype("<u4").tobytes())
 
 
-_TAILS = "doc_id long, shard int, doc_tokens long, crcs array<long>, tail binary"
+_TAILS = "doc_id long, doc_tokens long, crcs array<long>, tail binary, keys array<long>, topic int"
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_ROLES = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407][:KEYS], dtype=np.uint64)
+#: Leading tokens are told apart modulo this; rows are numbered below it.
+TOPICS, _ROWS = 128, 1 << 56
+
+
+def content_keys(tail: bytes) -> tuple[list[int], int]:
+    """The least hashes of a tail's runs of RUN ids (KEYS hash functions), and its most frequent id modulo TOPICS.
+
+    Alike tails share a key with a chance that is the likeness of their run sets. A tail of fewer ids
+    than a run has one run; an empty one has no keys.
+    """
+    ids = np.frombuffer(tail, dtype="<u2").astype(np.uint64)
+    if not len(ids):
+        return [], 0
+    with np.errstate(over="ignore"):
+        n = max(1, len(ids) - RUN + 1)
+        h = np.zeros(n, dtype=np.uint64)
+        for k in range(min(RUN, len(ids))):
+            h = (h + ids[k : k + n] + np.uint64(1)) * _MIX
+            h ^= h >> np.uint64(32)
+        least = [int(v) for v in ((h[None, :] ^ (h[None, :] >> np.uint64(29))) * _ROLES[:, None]).min(axis=1)]
+    # Each hash function has keys of its own: its number replaces the two lowest bits.
+    keys = [(v & ~3 | k) - (1 << 64 if v >> 63 else 0) for k, v in enumerate(least)]
+    return keys, int(np.bincount(ids[:-1].astype(np.int64) if len(ids) > 1 else ids.astype(np.int64)).argmax()) % TOPICS
 
 
 def _tokenize(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens, crcs, tails = [], [], []
-            for ids in (ids for block in _blocks(batch.column(2)) for ids in token_bytes(block, path)):
+            for ids in (ids for block in _blocks(batch.column(1)) for ids in token_bytes(block, path)):
                 full = len(ids) // (2 * WINDOW) * 2 * WINDOW
                 tokens.append(len(ids) // 2)
                 crcs.append([ids_crc32(ids[i : i + 2 * WINDOW]) for i in range(0, full, 2 * WINDOW)])
                 tails.append(ids[full:])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(tails, pa.binary())], ["doc_id", "shard", "doc_tokens", "crcs", "tail"])
+            found = [content_keys(t) for t in tails]
+            columns = [pa.array(tokens, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(tails, pa.binary()), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.int32())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [c.split()[0] for c in _TAILS.split(", ")])
 
     return run
 
 
+def _numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """The rows with a gapless `number` from 0 in the given order, which must tell all rows apart; no task sorts them all."""
+    ranges = shuffle_width(rows.sparkSession)
+    dealt = checkpointed(rows.repartitionByRange(ranges, *order).withColumn("__part", F.spark_partition_id()))
+    sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
+    # As many rows as ranges: small enough for one task.
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__from"))
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    return dealt.withColumn("number", place).join(F.broadcast(offsets), "__part").withColumn("number", F.col("number") + F.col("__from")).drop("__part", "__from")
+
+
+def _shards(tails: DataFrame, shard_docs: int) -> DataFrame:
+    """`uid, shard` of tails with `uid, keys`: SHARD_DOCS neighbours in the order of their labels.
+
+    A tail's label is the least uid of those that share one of its keys; uids begin with the topic.
+    """
+    filed = tails.select("uid", F.explode("keys").alias("key"))
+    first = filed.groupBy("key").agg(F.min("uid").alias("first"), F.count("*").alias("n")).where("n > 1")
+    labels = filed.join(first, "key").groupBy("uid").agg(F.min("first").alias("label"))
+    placed = tails.select("uid").join(labels, "uid", "left").select("uid", F.coalesce("label", "uid").alias("label"))
+    return _numbered(placed, ["label", "uid"]).select("uid", F.expr(f"number div {int(shard_docs)}").alias("shard"))
+
+
 class Bm25Index:
     """Inverted index over the token ids of a shard's tails."""
 
@@ -176,19 +250,22 @@ class Bm25Index:
         norm = K1 * (1 - B_LENGTH + B_LENGTH * lengths / max(lengths.mean(), 1e-9)) if n else lengths
         at = np.repeat(np.arange(len(self.terms)), df)
         self.weight = idf[at] * tf * (K1 + 1) / (tf + norm[self.doc])
-        order = np.lexsort((-self.weight, self.doc))
+        order = np.argsort(self.doc, kind="stable")
         bounds = np.searchsorted(self.doc[order], np.arange(n + 1))
-        self.query = [at[order[a : min(b, a + QUERY_TERMS)]] for a, b in zip(bounds[:-1], bounds[1:])]
+        self.query = [at[order[a:b]] for a, b in zip(bounds[:-1], bounds[1:])]
         self.n = n
 
+    def scores(self, seed: int) -> np.ndarray:
+        """Every document's score for all of the seed's terms."""
+        terms = self.query[seed]
+        n = self.stop[terms] - self.start[terms]
+        entry = np.repeat(self.start[terms] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.bincount(self.doc[entry], weights=self.weight[entry], minlength=self.n)
+
     def neighbours(self, seed: int, free: np.ndarray) -> np.ndarray:
-        """Free documents by falling score for the seed's weightiest terms, ties by number."""
-        scores = np.zeros(self.n)
-        for t in self.query[seed]:
-            part = slice(self.start[t], self.stop[t])
-            scores[self.doc[part]] += self.weight[part]
+        """Free documents by falling score for the seed, ties by number."""
         found = np.flatnonzero(free)
-        return found[np.argsort(-scores[found], kind="stable")]
+        return found[np.argsort(-self.scores(seed)[found], kind="stable")]
 
 
 def pack_tails(tails: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
@@ -271,10 +348,11 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, shard_docs: i
     """Pieces of every document: `doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_tokens`.
 
     A null text counts as empty: its only id is END_ID. Null and repeated doc_ids are packed row by row
-    like others. Rows are dealt to shards in turn, not by key, so a shard holds about `shard_docs`
-    documents and fewer than WINDOW ids of each. Other columns are not read; no rows give no pieces.
+    like others. A shard holds `shard_docs` documents, the last one fewer, and fewer than WINDOW ids of
+    each, however many documents are alike. Other columns are not read; no rows give no pieces.
     """
-    shards = max(1, -(-docs.count() // shard_docs))
-    dealt = docs.select(F.col("doc_id").cast("long"), (F.monotonically_increasing_id() % shards).cast("int").alias("shard"), "text")
-    tails = dealt.mapInArrow(_tokenize(vocabulary or default_vocabulary()), _TAILS)
-    return tails.groupBy("shard").applyInArrow(_pack_shard, _PIECES)
+    read = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_tokenize(vocabulary or default_vocabulary()), _TAILS)
+    # Cut here: texts are tokenized once, and rows keep their numbers.
+    tails = checkpointed(read).withColumn("uid", F.col("topic") * F.lit(_ROWS) + F.monotonically_increasing_id()).drop("topic")
+    dealt = tails.drop("keys").join(_shards(tails.select("uid", "keys"), shard_docs), "uid").drop("uid")
+    return dealt.groupBy("shard").applyInArrow(_pack_shard, _PIECES)

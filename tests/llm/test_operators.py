@@ -251,6 +251,41 @@ def test_packing_round_trip(spark, docs):
     assert padding == 0
 
 
+def test_packing_shards_hold_the_close_neighbours(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = packing.pack_documents(docs, shard_docs=100)
+    got = got.where("start + length = doc_tokens").select("doc_id", F.shiftright("sequence_id", 32).alias("shard"))
+    shard = {r.doc_id: r.shard for r in got.collect()}
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    raw = packing.token_bytes(pa.array([t for _, t in rows]), packing.default_vocabulary())
+    tails = [np.frombuffer(ids[len(ids) // 4096 * 4096 :], "<u2") for ids in raw]
+    sizes = np.bincount(list(shard.values()))
+    assert sizes.max() == 100 and (sizes == 100).sum() >= len(sizes) - 1
+    runs = [{t[k : k + 4].tobytes() for k in range(max(1, len(t) - 3))} for t in tails]
+    holders = defaultdict(set)
+    for i, own in enumerate(runs):
+        for run in own:
+            holders[run].add(i)
+    close = same = 0
+    for i, own in enumerate(runs):
+        for k in set().union(*(holders[run] for run in own)) - {i}:
+            if 2 * len(own & runs[k]) >= len(own | runs[k]) and len(tails[k]) > 1:
+                close += 1
+                same += shard[rows[i][0]] == shard[rows[k][0]]
+    assert close > 50 and same >= 0.9 * close, (same, close)
+
+
+def test_other_vocabularies_are_encoded_whole():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    texts = ["Ab cd  ef.", "", None]
+    for t, raw in zip(texts, packing.token_bytes(pa.array(texts, pa.string()), path)):
+        assert np.frombuffer(raw, "<u2").tolist() == [*tok.encode(t or "", add_special_tokens=False).ids, 1]
+
+
 def test_packing_takes_lexical_neighbours():
     a, b = np.arange(100, 400, dtype="<u2"), np.arange(5000, 5300, dtype="<u2")
     tails = [a, b, a[10:], b[5:], a[20:], b[9:]]
