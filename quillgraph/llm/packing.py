@@ -173,38 +173,55 @@ _ROLES = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0
 TOPICS, _ROWS = 128, 1 << 56
 
 
-def content_keys(tail: bytes) -> tuple[list[int], int]:
-    """The least hashes of a tail's runs of RUN ids (KEYS hash functions), and its most frequent id modulo TOPICS.
+def content_keys(tails: list[bytes]) -> tuple[list[list[int]], list[int]]:
+    """For each tail the least hashes of its runs of RUN ids (KEYS hash functions), and its leading id class (modulo TOPICS).
 
     Alike tails share a key with a chance that is the likeness of their run sets. A tail of fewer ids
-    than a run has one run; an empty one has no keys.
+    than a run is one run, filled up with nothing; an empty one has no keys.
     """
-    ids = np.frombuffer(tail, dtype="<u2").astype(np.uint64)
-    if not len(ids):
-        return [], 0
-    with np.errstate(over="ignore"):
-        n = max(1, len(ids) - RUN + 1)
-        h = np.zeros(n, dtype=np.uint64)
-        for k in range(min(RUN, len(ids))):
-            h = (h + ids[k : k + n] + np.uint64(1)) * _MIX
-            h ^= h >> np.uint64(32)
-        least = [int(v) for v in ((h[None, :] ^ (h[None, :] >> np.uint64(29))) * _ROLES[:, None]).min(axis=1)]
-    # Each hash function has keys of its own: its number replaces the two lowest bits.
-    keys = [(v & ~3 | k) - (1 << 64 if v >> 63 else 0) for k, v in enumerate(least)]
-    return keys, int(np.bincount(ids[:-1].astype(np.int64) if len(ids) > 1 else ids.astype(np.int64)).argmax()) % TOPICS
+    sizes = np.array([len(t) // 2 for t in tails], dtype=np.int64)
+    some = np.flatnonzero(sizes)
+    ids = np.frombuffer(b"".join(tails), dtype="<u2").astype(np.uint64)
+    starts = (np.cumsum(sizes) - sizes)[some]
+    keys: list[list[int]] = [[] for _ in tails]
+    topics = np.zeros(len(tails), dtype=np.int64)
+    if len(some):
+        owner = np.repeat(np.arange(len(some)), sizes[some])
+        left = np.repeat(starts + sizes[some], sizes[some]) - np.arange(len(ids))
+        with np.errstate(over="ignore"):
+            h = np.zeros(len(ids), dtype=np.uint64)
+            for k in range(RUN):
+                ahead = np.zeros(len(ids), dtype=np.uint64)
+                ahead[: max(0, len(ids) - k)] = ids[k:] + np.uint64(1)
+                ahead[left <= k] = 0
+                h = (h + ahead) * _MIX
+                h ^= h >> np.uint64(32)
+            # Only runs that end within their tail count, and the first of a tail that has no such run.
+            inside = left >= RUN
+            inside[starts] = True
+            h, first = h[inside], np.searchsorted(np.flatnonzero(inside), starts)
+            least = np.stack([np.minimum.reduceat((h ^ h >> np.uint64(29)) * role, first) for role in _ROLES], axis=1)
+        # Each hash function has keys of its own: its number replaces the two lowest bits.
+        for i, row in zip(some.tolist(), (least & ~np.uint64(3) | np.arange(KEYS, dtype=np.uint64)).view(np.int64).tolist()):
+            keys[i] = row
+        topics[some] = np.bincount(owner * TOPICS + (ids % np.uint64(TOPICS)).astype(np.int64), minlength=len(some) * TOPICS).reshape(-1, TOPICS).argmax(axis=1)
+    return keys, topics.tolist()
 
 
 def _tokenize(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, crcs, tails = [], [], []
-            for ids in (ids for block in _blocks(batch.column(1)) for ids in token_bytes(block, path)):
-                full = len(ids) // (2 * WINDOW) * 2 * WINDOW
-                tokens.append(len(ids) // 2)
-                crcs.append([ids_crc32(ids[i : i + 2 * WINDOW]) for i in range(0, full, 2 * WINDOW)])
-                tails.append(ids[full:])
-            found = [content_keys(t) for t in tails]
-            columns = [pa.array(tokens, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(tails, pa.binary()), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.int32())]
+            tokens, crcs, tails, keys, topics = [], [], [], [], []
+            for block in _blocks(batch.column(1)):
+                new = token_bytes(block, path)
+                full = [len(ids) // (2 * WINDOW) * 2 * WINDOW for ids in new]
+                tokens += [len(ids) // 2 for ids in new]
+                crcs += [[ids_crc32(ids[i : i + 2 * WINDOW]) for i in range(0, n, 2 * WINDOW)] for ids, n in zip(new, full)]
+                tails += [ids[n:] for ids, n in zip(new, full)]
+                found = content_keys(tails[-len(new) :])
+                keys += found[0]
+                topics += found[1]
+            columns = [pa.array(tokens, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(tails, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(topics, pa.int32())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [c.split()[0] for c in _TAILS.split(", ")])
 
     return run
@@ -250,17 +267,24 @@ class Bm25Index:
         norm = K1 * (1 - B_LENGTH + B_LENGTH * lengths / max(lengths.mean(), 1e-9)) if n else lengths
         at = np.repeat(np.arange(len(self.terms)), df)
         self.weight = idf[at] * tf * (K1 + 1) / (tf + norm[self.doc])
+        # Terms of many documents are kept as whole rows of weights, the others as postings.
+        wide = df * 8 > n
+        row = np.cumsum(wide) - 1
+        common = wide[at]
+        self.rows = np.zeros((int(wide.sum()), n), dtype=np.float32)
+        self.rows[row[at[common]], self.doc[common]] = self.weight[common]
         order = np.argsort(self.doc, kind="stable")
         bounds = np.searchsorted(self.doc[order], np.arange(n + 1))
-        self.query = [at[order[a:b]] for a, b in zip(bounds[:-1], bounds[1:])]
+        terms = [at[order[a:b]] for a, b in zip(bounds[:-1], bounds[1:])]
+        self.query = [(row[t[wide[t]]], t[~wide[t]]) for t in terms]
         self.n = n
 
     def scores(self, seed: int) -> np.ndarray:
         """Every document's score for all of the seed's terms."""
-        terms = self.query[seed]
+        common, terms = self.query[seed]
         n = self.stop[terms] - self.start[terms]
         entry = np.repeat(self.start[terms] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return np.bincount(self.doc[entry], weights=self.weight[entry], minlength=self.n)
+        return np.bincount(self.doc[entry], weights=self.weight[entry], minlength=self.n) + self.rows[common].sum(axis=0)
 
     def neighbours(self, seed: int, free: np.ndarray) -> np.ndarray:
         """Free documents by falling score for the seed, ties by number."""

@@ -251,6 +251,28 @@ def test_packing_round_trip(spark, docs):
     assert padding == 0
 
 
+def test_bm25_scores_equal_the_formula():
+    rng = np.random.default_rng(3)
+    tails = [rng.integers(0, 60, rng.integers(0, 40)).astype("<u2") for _ in range(30)]
+    index, mean = packing.Bm25Index(tails), np.mean([len(t) for t in tails])
+    for seed in range(30):
+        want = np.zeros(30)
+        for term in set(tails[seed].tolist()):
+            df = sum(term in t for t in tails)
+            for d, t in enumerate(tails):
+                tf = (t == term).sum()
+                want[d] += np.log(1 + (30 - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(t) / mean))
+        assert np.allclose(index.scores(seed), want, atol=1e-4)
+
+
+def test_content_keys_of_a_batch_equal_those_of_each():
+    rng = np.random.default_rng(4)
+    tails = [rng.integers(0, 500, n).astype("<u2").tobytes() for n in (0, 1, 3, 4, 5, 90, 0, 2000)]
+    keys, topics = packing.content_keys(tails)
+    for i, t in enumerate(tails):
+        assert packing.content_keys([t]) == ([keys[i]], [topics[i]]) and len(keys[i]) == (packing.KEYS if t else 0)
+
+
 def test_packing_shards_hold_the_close_neighbours(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = packing.pack_documents(docs, shard_docs=100)
