@@ -30,6 +30,8 @@ RADIUS_SHARE = 0.4
 MIN_LETTERS = 24
 TEMPERATURE = 0.05
 UNKNOWN = "und"
+#: A model has CENTROIDS vectors of DIMS numbers for each language and is sent to every task.
+MOST_LANGUAGES = 2000
 _BLOCK = 1 << 20
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -116,11 +118,34 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c.astype(np.float32)
 
 
+_VECTORS = "lang string, place long, letters int, dims array<int>, counts array<int>"
+
+
+def _vector_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """n-gram counts of each text: at most DIMS numbers, however long it is."""
+    for batch in batches:
+        got = [ngram_counts(t.as_py()) for t in batch.column(2)]
+        dims = [np.flatnonzero(c) for c, _ in got]
+        columns = [
+            pa.array([n for _, n in got], pa.int32()),
+            pa.array([d.tolist() for d in dims], pa.list_(pa.int32())),
+            pa.array([np.minimum(c[d], 1 << 30).tolist() for (c, _), d in zip(got, dims)], pa.list_(pa.int32())),
+        ]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["lang", "place", "letters", "dims", "counts"])
+
+
 def _fitter(idf: np.ndarray, k: int) -> Callable[[pa.Table], pa.Table]:
     def fit(table: pa.Table) -> pa.Table:
-        rows = [ngram_counts(t.as_py()) for t in table.column("text")]
-        x = np.stack([vector(c, idf) for c, letters in rows if letters] or [np.zeros(DIMS, np.float32)])
-        size = np.array([letters for _, letters in rows if letters] or [0])
+        # In a fixed order, so that the clusters don't depend on the shuffle.
+        table = table.sort_by([("place", "ascending"), ("letters", "ascending")])
+        rows, size = [], []
+        for letters, dims, counts in zip(*(table.column(c).to_pylist() for c in ("letters", "dims", "counts"))):
+            if letters:
+                whole = np.zeros(DIMS, dtype=np.int64)
+                whole[dims] = counts
+                rows.append(vector(whole, idf))
+                size.append(letters)
+        x, size = np.stack(rows or [np.zeros(DIMS, np.float32)]), np.array(size or [0])
         c = _cluster(x, k)
         near = x @ c.T
         owner, best = near.argmax(axis=1), near.max(axis=1)
@@ -131,20 +156,24 @@ def _fitter(idf: np.ndarray, k: int) -> Callable[[pa.Table], pa.Table]:
 
 
 def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", k: int = CENTROIDS, fit_rows: int = FIT_ROWS) -> Model:
-    """Fits a model on all rows with a language: document frequencies over every row, centroids on about `fit_rows` of each."""
+    """Fits a model on all rows with a language: document frequencies over every row, centroids on about `fit_rows` of each.
+
+    More than MOST_LANGUAGES values of the language column are an error, as the model goes to every task.
+    """
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
     # Each partition yields one count for each dimension (-1: texts); Spark sums them.
     df = dict(rows.select("text").mapInArrow(_doc_frequencies, "dim int, df long").groupBy("dim").agg(F.sum("df").alias("df")).collect())
     n = df.get(-1, 0)
     idf = np.log((1 + n) / (1 + np.array([df.get(i, 0) for i in range(DIMS)]))) + 1
-    # A rate for each language, so that about fit_rows of its rows are taken, whatever their number. The
-    # rates are literals: the draw is a filter on the scan, and only the rows drawn are shuffled.
-    rate = F.lit(0.0)
-    for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect():
-        rate = F.when(F.col("lang") == r.lang, min(1.0, fit_rows / r.n)).otherwise(rate)
+    # A rate for each language, so that about fit_rows of its rows are taken, whatever their number; only
+    # the rows drawn are shuffled, as counts.
+    rates = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(fit_rows)) / F.count("*")).alias("rate"))
+    if rates.limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     draw = F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = rows.where(draw < rate).select("lang", "text")
-    fitted = sample.groupBy("lang").applyInArrow(_fitter(idf, k), "lang string, radius double, centroid array<float>").orderBy("lang", "radius").collect()
+    sample = rows.withColumn("draw", draw).join(F.broadcast(rates), "lang").where("draw < rate").select("lang", F.xxhash64("id", "text").alias("place"), "text")
+    vectors = sample.mapInArrow(_vector_batches, _VECTORS)
+    fitted = vectors.groupBy("lang").applyInArrow(_fitter(idf, k), "lang string, radius double, centroid array<float>").orderBy("lang", "radius", "centroid").collect()
     return Model(tuple(r.lang for r in fitted), np.array([r.centroid for r in fitted], dtype=np.float32).reshape(-1, DIMS), np.array([r.radius for r in fitted]) * RADIUS_SHARE, idf)
 
 
@@ -194,6 +223,10 @@ def predict_languages(docs: DataFrame) -> DataFrame:
 
 
 def keep_known_languages(docs: DataFrame) -> DataFrame:
-    """Documents that the classifier doesn't reject, with their columns as they are."""
+    """Documents that the classifier doesn't reject, with their columns as they are.
+
+    Null texts and texts without a letter are rejected; repeated rows stay or go together; without a row
+    to learn from everything is rejected.
+    """
     model = train(docs.where(docs["doc_id"].isNotNull() & ~_held_out(docs)))
     return _classified(docs, model).where("not __rejected").select(*docs.columns)

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -35,7 +36,18 @@ CONTEXT_WORDS = {
 }
 TOP_DOMAINS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "eu", "us")
 TITLES = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame", "Señor", "Señora")
-GIVEN_NAMES = ("James", "Mary", "John", "Anna", "Peter", "Maria", "Hans", "Pierre", "Marie", "Juan", "Carmen", "Klaus")
+GIVEN_NAMES = (
+    "James", "Mary", "John", "Anna", "Peter", "Maria", "Hans", "Pierre", "Marie", "Juan", "Carmen", "Klaus", "Robert", "Linda", "David", "Susan", "Thomas", "Sarah",
+    "Michael", "Laura", "Daniel", "Emma", "Paul", "Julia", "Martin", "Eva", "Andreas", "Sabine", "Stefan", "Petra", "Wolfgang", "Ursula", "Jean", "Claire", "Louis",
+    "Camille", "Michel", "Sophie", "Luc", "Isabelle", "Carlos", "Ana", "Luis", "Elena", "Miguel", "Lucia", "Pedro", "Sofia", "Jorge", "Rosa",
+)
+#: How values of the other kinds begin that are known to be in use: issuers, calling codes, keys' marks, countries.
+CARD_STARTS = ("34", "36", "37", "38", "4", "50", "51", "52", "53", "54", "55", "6011", "62", "65")
+CALLING_CODES = ("1", "20", "27", "30", "31", "32", "33", "34", "39", "41", "43", "44", "45", "46", "47", "48", "49", "52", "54", "55", "61", "81", "86", "91", "351", "353")
+SECRET_STARTS = ("sk-", "sk_", "pk_", "ghp_", "gho_", "xoxa-", "xoxb-", "xoxp-", "AKIA", "AIza", "eyJ")
+IBAN_COUNTRIES = ("AT", "BE", "CH", "DE", "DK", "ES", "FI", "FR", "GB", "IE", "IT", "LU", "NL", "NO", "PL", "PT", "SE")
+#: Networks that no public host has.
+INNER_NETWORKS = ("0.", "10.", "127.", "169.254.", "192.168.", "255.")
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -43,14 +55,15 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-# Whatever a pattern of any kind needs: a text without this holds no candidate.
-_ANY = re.compile(r"[0-9@+]|\(at\)|\[at\]|\b(?:" + "|".join(TITLES) + r")\b|(?:[A-Fa-f]{1,4}:){7}[A-Fa-f]")
 _WIDE = (
     ("email", re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]{1,63}){1,4}")),
     ("phone", re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])")),
     ("card", re.compile(r"(?<![0-9-])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9-])")),
     ("ip", re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")),
-    ("secret", re.compile(r"(?<![0-9A-Za-z])(?=[A-Za-z]*[0-9])[0-9A-Za-z_]{32,128}(?![0-9A-Za-z])")),
+    ("secret", re.compile(r"(?<![0-9A-Za-z])eyJ[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+")),
+    ("secret", re.compile(r"(?<![0-9A-Za-z])(?:sk[-_]|pk_|gh[op]_|xox[abp]-|AKIA|AIza)[0-9A-Za-z_-]{16,}+")),
+    ("secret", re.compile(r"(?<![0-9A-Za-z+/])[0-9A-Za-z+/]{40,}+={1,2}(?![0-9A-Za-z=])")),
+    ("secret", re.compile(r"(?<![0-9A-Za-z_])(?=[A-Za-z_]*[0-9])[0-9A-Za-z_]{32,}+")),
     ("iban", re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])")),
     ("ssn", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
     ("name", re.compile(r"\b(?:" + "|".join(TITLES) + r")\.? [A-Z][a-zà-ÿ]{1,20}(?: [A-Z][a-zà-ÿ]{1,20})?")),
@@ -103,20 +116,60 @@ def _by_start(s: Span) -> tuple[int, int, int]:
 
 def candidates(text: str, base: list[Span]) -> list[Span]:
     """Spans of the wider patterns that don't overlap a base span or an earlier candidate."""
-    taken = [(a, b) for _, a, b in base]
+    # Disjoint stretches that are taken, in order: where each begins and ends.
+    starts: list[int] = []
+    ends: list[int] = []
+    for _, a, b in sorted(base, key=lambda s: s[1]):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     out: list[Span] = []
     for kind, pattern in _WIDE:
+        new = []
         for m in pattern.finditer(text):
             a, b = m.span()
-            if all(b <= x or a >= y for x, y in taken):
-                out.append((kind, a, b))
-                taken.append((a, b))
+            i = bisect_left(starts, b) - 1
+            if i < 0 or ends[i] <= a:
+                new.append((a, b))
+        # Matches of one pattern don't overlap each other, so they are taken together.
+        out += [(kind, a, b) for a, b in new]
+        both = sorted([*zip(starts, ends), *new]) if new else []
+        starts, ends = ([a for a, _ in both], [b for _, b in both]) if new else (starts, ends)
     return out
 
 
 LABELERS = ("pattern", "gazetteer", "context", "variety", "edges", "checksum", "quoted")
 
 
+def _listed(kind: str, value: str, digits: str) -> int:
+    """The gazetteers' vote: how values of a kind begin or end that are in use."""
+    if kind == "email":
+        return int(value.rsplit(".", 1)[-1].lower() in TOP_DOMAINS)
+    if kind == "name":
+        return int(any(n in value.split() for n in GIVEN_NAMES))
+    if kind == "card":
+        return int(digits.startswith(CARD_STARTS))
+    if kind == "phone":
+        return int(value.startswith("+") and digits.startswith(CALLING_CODES))
+    if kind == "secret":
+        return int(value.startswith(SECRET_STARTS))
+    if kind == "iban":
+        return 1 if value.startswith(IBAN_COUNTRIES) else -1
+    if kind == "ip":
+        return -1 if value.startswith(INNER_NETWORKS) else 0
+    return 0
+
+
+def shape(span: Span, text: str) -> tuple[int, ...]:
+    """What the classifier sees of a span besides the votes: its length, digits and signs, in a few steps each."""
+    _, a, b = span
+    value = text[a:b]
+    digits, signs = sum(c.isdigit() for c in value), sum(not c.isalnum() for c in value)
+    return (min(6, (b - a).bit_length()), 4 * digits // (b - a), min(4, signs))
+
+
 def votes(text: str, span: Span) -> tuple[int, ...]:
     """One vote for each labeler: 1 personal, -1 not, 0 no opinion."""
     kind, a, b = span
@@ -127,17 +180,12 @@ def votes(text: str, span: Span) -> tuple[int, ...]:
         "ip": ":" in value or value.count(".") == 3,
         "card": 13 <= len(digits) <= 19,
         "phone": 10 <= len(digits) <= 15,
-        "secret": bool(re.fullmatch(r"[0-9a-f]{32,64}", value)),
+        "secret": bool(re.fullmatch(r"[0-9a-f]{32,}", value)) or value.startswith(SECRET_STARTS),
         "iban": 15 <= len(value.replace(" ", "")) <= 34,
         "ssn": not value.startswith(("000", "666", "9")),
         "name": " " in value,
     }[kind]
-    if kind == "email":
-        gazetteer = 1 if value.rsplit(".", 1)[-1].lower() in TOP_DOMAINS else 0
-    elif kind == "name":
-        gazetteer = 1 if any(n in value.split() for n in GIVEN_NAMES) else 0
-    else:
-        gazetteer = 0
+    gazetteer = _listed(kind, value, digits)
     context = 1 if _CONTEXT[kind].search(before) else 0
     variety = len(set(value.lower())) if kind != "name" else 6
     check = 0
@@ -153,36 +201,51 @@ def votes(text: str, span: Span) -> tuple[int, ...]:
 
 @dataclass(frozen=True)
 class Model:
-    """Of each kind: the classifier's weights over the labelers' votes, and the labelers' reliabilities."""
+    """Of each kind: the classifier's weights (bias, labelers' votes, shape), and the labelers' reliabilities."""
 
     weights: dict[str, tuple[float, ...]]
     reliability: dict[str, tuple[float, ...]]
 
-    def probability(self, kind: str, vote: tuple[int, ...]) -> float:
+    def probability(self, kind: str, vote: tuple[int, ...], form: tuple[int, ...]) -> float:
         w = self.weights.get(kind)
-        return 0.0 if w is None else float(1 / (1 + np.exp(-(w[0] + np.dot(w[1:], vote)))))
+        return 0.0 if w is None else float(1 / (1 + np.exp(-(w[0] + np.dot(w[1:], (*vote, *form))))))
 
 
-def fit_kind(vote: np.ndarray, n: np.ndarray, rounds: int = 50, prior: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
-    """EM over distinct vote patterns and their counts; (classifier weights with bias first, reliabilities).
+#: What is taken of a labeler before any vote is seen: how reliable it is, and how many votes that is worth.
+START = {"checksum": (0.98, 1000.0)}
+USUAL_START = (0.7, 10.0)
 
-    A labeler that votes is right with its reliability, whatever the class; smoothing keeps labelers
-    that seldom vote near 0.7. The classifier is a logistic regression on the posteriors, fitted by
-    gradient steps over the patterns.
+
+def expectation_maximisation(vote: np.ndarray, n: np.ndarray, rounds: int = 50, prior: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+    """Posteriors of distinct vote patterns with counts n, and the labelers' reliabilities.
+
+    A labeler that votes is right with its reliability, whatever the class. START keeps labelers that
+    seldom vote near where they began; a checksum is arithmetic and hardly moves.
     """
-    right = np.full(vote.shape[1], 0.7)
+    begin = np.array([START.get(name, USUAL_START) for name in LABELERS])
+    right = begin[:, 0].copy()
     for _ in range(rounds):
         odds = np.log(prior / (1 - prior)) + vote @ np.log(right / (1 - right))
         post = 1 / (1 + np.exp(-odds))
         agree = np.where(vote > 0, post[:, None], np.where(vote < 0, 1 - post[:, None], 0)) * n[:, None]
         spoke = (vote != 0) * n[:, None]
-        right = np.clip((agree.sum(0) + 7) / (spoke.sum(0) + 10), 0.55, 0.99)
+        right = np.clip((agree.sum(0) + begin[:, 0] * begin[:, 1]) / (spoke.sum(0) + begin[:, 1]), 0.55, 0.99)
         prior = float(np.clip((post @ n + 1) / (n.sum() + 2), 0.1, 0.9))
-    x, w = np.column_stack([np.ones(len(vote)), vote]), np.zeros(vote.shape[1] + 1)
-    share = n / n.sum()
-    for _ in range(400):
-        p = 1 / (1 + np.exp(-(x @ w)))
-        w += 2.0 * (x.T @ ((post - p) * share) - 1e-4 * w)
+    return post, right
+
+
+def fit_kind(vote: np.ndarray, form: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """EM over vote patterns, and a logistic regression of its posteriors on votes and shape: (weights with the bias first, reliabilities)."""
+    post, right = expectation_maximisation(vote, n)
+    x = np.column_stack([np.ones(len(vote)), vote, form]).astype(float)
+    share, w = n / n.sum(), np.zeros(x.shape[1])
+    penalty = np.diag([1e-6, *[1e-3] * (x.shape[1] - 1)])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve(x.T @ (x * (share * (p * (1 - p) + 1e-6))[:, None]) + penalty, x.T @ ((post - p) * share) - penalty @ w)
+        w += step
+        if np.abs(step).max() < 1e-8:
+            break
     return w, right
 
 
@@ -191,11 +254,9 @@ def _vote_patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         count: dict[tuple[str, str], int] = {}
         for t in batch.column(0):
             text = t.as_py() or ""
-            if not _ANY.search(text):
-                continue
             base = base_spans(text)
             for span in base + candidates(text, base):
-                key = span[0], ",".join(map(str, votes(text, span)))
+                key = span[0], ",".join(map(str, (*votes(text, span), *shape(span, text))))
                 count[key] = count.get(key, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in count], pa.string()), pa.array([k[1] for k in count], pa.string()), pa.array(count.values(), pa.int64())], ["kind", "votes", "n"])
 
@@ -203,14 +264,15 @@ def _vote_patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def train(docs: DataFrame) -> Model:
     """Reliabilities and classifiers from every candidate of all documents.
 
-    Spark sums the counts; what reaches the driver is at most 3 ** labelers patterns for each kind.
+    Spark sums the counts; what reaches the driver is at most 3 ** labelers patterns for each kind and shape.
     """
     rows = docs.select("text").where("text is not null").mapInArrow(_vote_patterns, "kind string, votes string, n long").groupBy("kind", "votes").agg(F.sum("n").alias("n")).orderBy("kind", "votes").collect()
-    weights, reliability = {}, {}
+    weights, reliability, k = {}, {}, len(LABELERS)
     for kind in KINDS:
         own = [r for r in rows if r.kind == kind]
         if own:
-            w, right = fit_kind(np.array([[int(v) for v in r.votes.split(",")] for r in own]), np.array([r.n for r in own], dtype=float))
+            seen = np.array([[int(v) for v in r.votes.split(",")] for r in own])
+            w, right = fit_kind(seen[:, :k], seen[:, k:], np.array([r.n for r in own], dtype=float))
             weights[kind], reliability[kind] = tuple(w), tuple(right)
     return Model(weights, reliability)
 
@@ -218,13 +280,8 @@ def train(docs: DataFrame) -> Model:
 def find_pii(text: str | None, model: Model, threshold: float = 0.5) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans: the base ones and the candidates that the classifier takes."""
     text = text or ""
-    if not _ANY.search(text):
-        return [], []
     base = base_spans(text)
-    found = [(s, votes(text, s)) for s in candidates(text, base)]
-    # A number whose checksum fails is an ordinary number, unless the words before it call it a card or an account.
-    found = [(s, v) for s, v in found if v[LABELERS.index("checksum")] >= 0 or v[LABELERS.index("context")] > 0]
-    more = [s for s, v in found if model.probability(s[0], v) >= threshold]
+    more = [s for s in candidates(text, base) if model.probability(s[0], votes(text, s), shape(s, text)) >= threshold]
     return base, sorted(base + more, key=_by_start)
 
 
@@ -277,5 +334,9 @@ def _masker(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 
 
 def mask_pii(docs: DataFrame) -> DataFrame:
-    """Documents with every span replaced by its kind, as `<EMAIL>`; overlapping spans count as the first."""
+    """Documents with every span replaced by its kind, as `<EMAIL>`; overlapping spans count as the first.
+
+    Null and empty texts and texts without a span stay as they are, and so do all other columns; repeated
+    rows are masked alike, and an empty table stays empty.
+    """
     return docs.mapInArrow(_masker(train(docs)), docs.schema)

@@ -51,6 +51,16 @@ def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(read_table(spark, sf_dir, "documents"))
 
 
+def llm_spotsigs_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of fingerprint classes at least 0.8 alike, by size partitions and pruned Jaccard."""
+    return spotsigs.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def llm_weighted_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendezvous hashing over eight shards, the last of which are of double weight."""
+    return sharding.weighted_shards(read_table(spark, sf_dir, "documents"), [1.0] * 6 + [2.0] * 2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -63,6 +73,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_passage_dedup": op10_passage_dedup,
     "pipeline": corpus_pipeline.run,
+    "llm_spotsigs_near_duplicates": llm_spotsigs_near_duplicates,
+    "llm_weighted_shards": llm_weighted_shards,
 }
 
 

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import shuffle_width
 
 
+_SPREAD = 1 << 16
+
+
 def _score(key: Column, shard: int, weight: float | None) -> Column:
     h = F.xxhash64(key, F.lit(shard).cast("int"))
     if weight is None:
@@ -53,12 +56,19 @@ def assign_slots(rows: DataFrame, shard: str, order: Sequence[str], slot: str =
     sizes = counted.groupBy(shard, "__b").agg(F.sum("__n").alias("__size"))
     offset = Window.partitionBy(shard).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(shard, "__b", F.coalesce(F.sum("__size").over(offset), F.lit(0)).alias("__from"))
-    first = F.col("__from") + F.col("__at")
-    return numbered.join(offsets, [shard, "__b"]).select(*cols, F.explode(F.sequence(first, first + F.col("__n") - 1)).alias(slot))
+    placed = numbered.join(offsets, [shard, "__b"]).withColumn("__first", F.col("__from") + F.col("__at"))
+    # Spread out in two steps, so that no array is longer than _SPREAD or the copies divided by it.
+    parts = placed.withColumn("__at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(_SPREAD).cast("long"))))
+    last = F.least(F.col("__at") + _SPREAD, F.col("__n")) - 1
+    return parts.select(*cols, F.explode(F.sequence(F.col("__first") + F.col("__at"), F.col("__first") + last)).alias(slot))
 
 
 def write_shards(rows: DataFrame, shard: Column, path: str) -> None:
-    """Writes whole records as Parquet, one folder a shard, several files each so that no task holds a shard."""
+    """Writes whole records as Parquet, one folder a shard, several files each so that no task holds a shard.
+
+    What stands at `path` is replaced. A column `shard` that the rows have is replaced too; nulls,
+    repeated rows and empty texts are written as they are, and an empty table writes no folder.
+    """
     width = shuffle_width(rows.sparkSession)
     placed = rows.withColumn("shard", shard)
     placed.repartition(width, "shard", F.spark_partition_id() % 4).write.mode("overwrite").partitionBy("shard").parquet(path)
@@ -67,13 +77,14 @@ def write_shards(rows: DataFrame, shard: Column, path: str) -> None:
 def shard_documents(docs: DataFrame, n_shards: int = 40) -> DataFrame:
     """`doc_id, size, text_crc32, law, shard, slot, grown_shard` for every document, by the `key` law.
 
-    Null texts have size 16 and the checksum of an empty text; a null doc_id is a key of its own.
-    Repeated rows each get a slot. Other columns are not read; an empty table gives an empty table.
+    Ids count as long integers, whatever their column's type. Null texts have size 16 and the checksum of
+    an empty text; a null doc_id is a key of its own. Repeated rows each get a slot. Other columns are
+    not read; an empty table gives an empty table.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    key = F.col("doc_id")
+    key = F.col("doc_id").cast("long")
     placed = docs.select(
-        key,
+        key.alias("doc_id"),
         (F.octet_length(text).cast("long") + 16).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         rendezvous_shard(key, n_shards).alias("shard"),
@@ -81,3 +92,17 @@ def shard_documents(docs: DataFrame, n_shards: int = 40) -> DataFrame:
     )
     slots = assign_slots(placed, "shard", ["doc_id", "size", "text_crc32", "grown_shard"])
     return slots.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def weighted_shards(docs: DataFrame, weights: Sequence[float]) -> DataFrame:
+    """`doc_id, size, shard, grown_shard` for every document over weighted shards; grown_shard: with one more of weight 1.
+
+    Nulls and repeated rows are treated as in `shard_documents`.
+    """
+    key, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(
+        key.alias("doc_id"),
+        (F.octet_length(text).cast("long") + 16).alias("size"),
+        rendezvous_shard(key, len(weights), weights).alias("shard"),
+        rendezvous_shard(key, len(weights) + 1, [*weights, 1.0]).alias("grown_shard"),
+    )

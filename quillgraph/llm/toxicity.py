@@ -15,18 +15,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import crc32_mod
+from quillgraph.llm.common import checkpointed, crc32_mod
 
 THRESHOLD = 0.7
 #: Labelled rows the voters and the classifier are fitted on, about; a hash of the id picks them.
 FIT_ROWS = 20_000
 LEXICONS = 8
 PREFIXES = (4, 5, 6)
-#: Most terms of all lexicons together, by strength.
-TERMS = 1_200
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -49,11 +47,11 @@ def _term_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def learn_terms(sample: DataFrame, n_toxic: int, n_clean: int) -> dict[str, tuple[int, float]]:
-    """Lexicon number and strength (log odds) of each term that leans clearly towards toxic texts."""
+    """Lexicon number and strength (log odds) of every term that leans clearly towards toxic texts; `fit_rows` bounds the sample, and so the terms."""
     seen = sample.select("text", "toxic").mapInArrow(_term_batches, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where("toxic >= 3")
     odds = F.log((F.col("toxic") + 0.5) / F.lit(n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / F.lit(n_clean + 1.0))
     z = odds / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    rows = seen.select("term", odds.alias("odds"), z.alias("z")).where("odds > 1.5 and z > 3").orderBy(F.desc("z"), "term").limit(TERMS).collect()
+    rows = seen.select("term", odds.alias("odds"), z.alias("z")).where("odds > 1.5 and z > 3").orderBy(F.desc("z"), "term").collect()
     return {r.term: (i % LEXICONS, float(r.odds)) for i, r in enumerate(rows)}
 
 
@@ -118,23 +116,30 @@ class LabelModel:
         return 1 / (1 + np.exp(-(np.log(self.prior / (1 - self.prior)) + score)))
 
 
-def fit_label_model(vote: np.ndarray, start: np.ndarray, rounds: int = 25) -> LabelModel:
-    """EM from starting posteriors; then voters correlated within the classes share their weight, and EM again."""
-    n, k = vote.shape
+def fit_label_model(vote: np.ndarray, start: np.ndarray, rounds: int = 25, alone: tuple[int, ...] = ()) -> LabelModel:
+    """EM from starting posteriors; then voters correlated within the classes share their weight, and EM with those weights.
+
+    Voters in `alone` (negative numbers count from the last) neither share their weight nor lower others'.
+    """
+    k = vote.shape[1]
     weight, post = np.ones(k), start
-    for _ in range(2):
+    for last in (False, True):
         for _ in range(rounds):
             by_class = np.stack([1 - post, post])
             chance = np.stack([[[(c @ (vote[:, j] == v)) for v in (-1, 0, 1)] for j in range(k)] for c in by_class]) + 1.0
             chance /= chance.sum(axis=2, keepdims=True)
             model = LabelModel(chance, weight, float(np.clip(post.mean(), 0.01, 0.9)))
             post = model.posterior(vote)
+        if last:
+            break
         expected = (1 - post)[:, None] * (chance[0, :, 2] - chance[0, :, 0]) + post[:, None] * (chance[1, :, 2] - chance[1, :, 0])
         residual = vote - expected
         norm = np.sqrt((residual**2).sum(0)) + 1e-9
         together = np.clip((residual.T @ residual) / np.outer(norm, norm), 0, 1)
+        together[list(alone), :] = together[:, list(alone)] = 0
+        np.fill_diagonal(together, 1)
         weight = 1 / together.sum(axis=1)
-    return LabelModel(model.chance, weight, model.prior)
+    return model
 
 
 def fit_classifier(x: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -184,12 +189,15 @@ def sample_labels(labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """Fits on the documents of about `fit_rows` labels; with one class only, every score is that class's share.
 
-    The labels drawn go to the documents, so no text is shuffled.
+    The labels drawn go to the documents; of rows that repeat a doc_id the text with the least hash is
+    taken, so the sample has one text a label at most. It is kept once for all steps.
     """
     drawn = sample_labels(labels, fit_rows)
     small = drawn.count() <= 2 * fit_rows + 1000
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-    sample = texts.join(F.broadcast(drawn) if small else drawn, "doc_id")
+    met = texts.join(F.broadcast(drawn) if small else drawn, "doc_id")
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    sample = checkpointed(met.withColumn("k", F.row_number().over(order)).where("k = 1").select("text", "toxic"))
     sizes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         share = float(np.clip(sizes.get(1, 0) / max(sum(sizes.values()), 1), 1e-3, 1 - 1e-3))
@@ -198,9 +206,8 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     got = sample.select("text", "toxic").mapInArrow(_feature_batches(terms), "x array<double>, toxic int").collect()
     x, label = np.array([r.x for r in got]), np.array([r.toxic for r in got])
     vote = np.column_stack([votes(x), label * 2 - 1])
-    model = fit_label_model(vote, np.where(label == 1, 0.9, 0.05))
     # The annotation speaks for itself: it is never discounted for agreeing with the lexicons learned from it.
-    model.weight[-1] = 1.0
+    model = fit_label_model(vote, np.where(label == 1, 0.9, 0.05), alone=(-1,))
     return Model(terms, *fit_classifier(x, model.posterior(vote)))
 
 

@@ -95,6 +95,33 @@ def test_shards_by_key(spark, docs):
         assert sorted(part["slot"]) == list(range(len(part)))
 
 
+def test_shards_equal_the_highest_hash(spark, docs):
+    def h(key, shard):
+        v = xxhash.xxh64_intdigest(int(shard).to_bytes(4, "little", signed=True), xxhash.xxh64_intdigest(int(key).to_bytes(8, "little", signed=True), 42))
+        return v - (1 << 64) if v >> 63 else v
+
+    for r in sharding.shard_documents(docs).collect():
+        assert r.shard == max(range(40), key=lambda s: (h(r.doc_id, s), -s)) and r.grown_shard == max(range(41), key=lambda s: (h(r.doc_id, s), -s))
+    weights = [1.0, 3.0, 0.5]
+    score = lambda key, s, w: -w / np.log(((h(key, s) % (1 << 64) >> 12) + 0.5) / 2**52)
+    for r in sharding.weighted_shards(docs, weights).collect():
+        assert r.shard == max(range(3), key=lambda s: score(r.doc_id, s, weights[s]))
+        assert r.grown_shard in (r.shard, 3)
+    narrow = docs.withColumn("doc_id", F.col("doc_id").cast("int"))
+    assert {tuple(r) for r in sharding.shard_documents(narrow).collect()} == {tuple(r) for r in sharding.shard_documents(docs).collect()}
+
+
+def test_many_copies_of_a_row_get_slots(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(sharding, "_SPREAD", 7)
+    rows = spark.range(100).select(F.lit(1).alias("s"), (F.col("id") % 2).alias("x"))
+    got = sharding.assign_slots(rows, "s", ["x"]).collect()
+    assert sorted(r.slot for r in got) == list(range(100))
+    docs = spark.createDataFrame([(1, "a", 9), (None, None, 9), (1, "a", 9)], "doc_id long, text string, shard int")
+    sharding.write_shards(docs, sharding.rendezvous_shard(F.col("doc_id"), 3), str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r.doc_id or 0, r.text or "") for r in back.collect()) == [(0, ""), (1, "a"), (1, "a")]
+
+
 def test_weighted_shards_follow_their_weights(spark):
     n = spark.range(20_000).select(sharding.rendezvous_shard(F.col("id"), 3, [1.0, 2.0, 1.0]).alias("s")).groupBy("s").count().collect()
     share = {r.s: r["count"] / 20_000 for r in n}
@@ -227,6 +254,41 @@ def test_label_model_trusts_the_better_voters():
     assert ((model.posterior(vote) > 0.5) == y).mean() > 0.93
 
 
+def test_label_model_ends_with_its_own_weights():
+    rng = np.random.default_rng(5)
+    y = rng.random(500) < 0.4
+    vote = np.column_stack([np.where(rng.random(500) < p, y, ~y) * 2 - 1 for p in (0.9, 0.8, 0.8)])
+    vote = np.column_stack([vote, vote[:, 2]])
+    model = toxicity.fit_label_model(vote, np.where(vote[:, 0] > 0, 0.8, 0.2), rounds=200, alone=(0,))
+    assert model.weight[0] == 1 and model.weight[2] < 0.7
+    post = []
+    for row in vote:
+        odds = model.prior / (1 - model.prior)
+        for j, v in enumerate(row):
+            odds *= (model.chance[1, j, v + 1] / model.chance[0, j, v + 1]) ** model.weight[j]
+        post.append(odds / (1 + odds))
+    assert np.allclose(post, model.posterior(vote))
+    # One more M step with these posteriors gives the same chances: the weights are those of the last round.
+    post = np.array(post)
+    for c, own in ((0, 1 - post), (1, post)):
+        for j in range(4):
+            want = np.array([own[vote[:, j] == v].sum() for v in (-1, 0, 1)]) + 1
+            assert np.allclose(want / want.sum(), model.chance[c, j], atol=1e-3)
+
+
+def test_classifier_reaches_the_least_loss():
+    rng = np.random.default_rng(6)
+    x, target = rng.normal(size=(300, 3)), rng.random(300)
+    w, mean, scale = toxicity.fit_classifier(x, target, ridge=1.0)
+    z = np.column_stack([np.ones(300), (x - mean) / scale])
+
+    def loss(w):
+        p = 1 / (1 + np.exp(-z @ w))
+        return -(target * np.log(p) + (1 - target) * np.log(1 - p)).sum() + 0.5 * (w[1:] ** 2).sum()
+
+    assert all(loss(w) <= loss(w + 0.01 * d) for d in rng.normal(size=(50, 4)))
+
+
 def test_packing_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
@@ -387,6 +449,31 @@ def test_language_held_out_accuracy_and_rejection(spark):
     assert language.classify("привет как дела " * 5, model)[2] and language.classify("123", model) == ("und", 0.0, True)
 
 
+def test_language_equals_cosines_by_hand(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language.train(docs)
+    for r in docs.limit(60).collect():
+        grams = defaultdict(int)
+        letters = [c.lower() if len(c.lower()) == 1 else c for c in r.text]
+        padded = re.sub(r"\0+", "\0", "\0" + "".join(c if c.isalpha() else "\0" for c in letters) + "\0")
+        for order in language.ORDERS:
+            for k in range(len(padded) - order + 1):
+                code = 0
+                for c in padded[k : k + order]:
+                    code = (code * 0x110001 + ord(c) + 1) % (1 << 64)
+                grams[(code * 0x9E3779B97F4A7C15) % (1 << 64) >> 52] += 1
+        v = np.zeros(language.DIMS)
+        for slot, n in grams.items():
+            v[slot] = np.log1p(n) * model.idf[slot]
+        v /= np.linalg.norm(v) or 1
+        near = model.centroids @ v
+        got = language.classify(r.text, model)
+        if any(c.isalpha() for c in r.text):
+            assert got[0] == model.langs[int(near.argmax())]
+            tops = {lang: max(n for n, x in zip(near, model.langs) if x == lang) for lang in set(model.langs)}
+            assert got[1] == pytest.approx(1 / sum(np.exp((t - near.max()) / language.TEMPERATURE) for t in tops.values()), rel=1e-3)
+
+
 def brute_signatures(text):
     words = [w for w in re.split(r"[^\w]|_", text.lower()) if w]
     anchors = {w for ws in spotsigs.ANCHORS.values() for w in ws}
@@ -480,6 +567,47 @@ def test_pii_adds_and_masks(spark):
     assert "<EMAIL>" in masked.text and "a@b.com" not in masked.text and masked.more == "x"
 
 
+def test_pii_candidates_equal_comparing_all_pairs():
+    rng = random.Random(1)
+    words = ["555-123-4567", "a@b.com", "joe (at) x.org", "4111 1111 1111 1111", "123-45-6789", "Dr. Anna Weber", "sk_" + "a1" * 12, "f" * 31 + "0", "GB82 WEST 1234 5698 7654 32", "+1 555 123 4567", "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeK", "word"]
+    for _ in range(300):
+        text = rng.choice([" ", ",", ""]).join(rng.choice(words) for _ in range(6))
+        base = pii.base_spans(text)
+        taken, want = [(a, b) for _, a, b in base], []
+        for kind, pattern in pii._WIDE:
+            for m in pattern.finditer(text):
+                a, b = m.span()
+                if all(b <= x or a >= y for x, y in taken):
+                    want.append((kind, a, b))
+                    taken.append((a, b))
+        assert pii.candidates(text, base) == want
+
+
+def test_pii_reliabilities_equal_a_loop():
+    rng = np.random.default_rng(2)
+    k = len(pii.LABELERS)
+    vote = np.unique(rng.integers(-1, 2, (40, k)), axis=0)
+    n = rng.integers(1, 50, len(vote)).astype(float)
+    post, right = pii.expectation_maximisation(vote, n, rounds=6)
+    start = [pii.START.get(name, pii.USUAL_START) for name in pii.LABELERS]
+    rel, prior = [s for s, _ in start], 0.5
+    for _ in range(6):
+        p = []
+        for row in vote:
+            yes, no = prior, 1 - prior
+            for v, r in zip(row, rel):
+                yes *= r if v > 0 else 1 - r if v < 0 else 1
+                no *= 1 - r if v > 0 else r if v < 0 else 1
+            p.append(yes / (yes + no))
+        rel = []
+        for j, (s, weight) in enumerate(start):
+            agree = sum(c * (q if row[j] > 0 else 1 - q) for row, q, c in zip(vote, p, n) if row[j])
+            spoke = sum(c for row, c in zip(vote, n) if row[j])
+            rel.append(min(0.99, max(0.55, (agree + s * weight) / (spoke + weight))))
+        prior = min(0.9, max(0.1, (sum(q * c for q, c in zip(p, n)) + 1) / (n.sum() + 2)))
+    assert np.allclose(post, p) and np.allclose(right, rel)
+
+
 def test_passages_inside_lines(spark):
     rng = random.Random(2)
     words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(3000)]
