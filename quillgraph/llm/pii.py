@@ -194,9 +194,11 @@ def votes(text: str, span: Span) -> tuple[int, ...]:
     elif kind == "iban":
         moved = value.replace(" ", "")[4:] + value.replace(" ", "")[:4]
         check = 1 if int("".join(str(int(c, 36)) for c in moved)) % 97 == 1 else -1
-    edges = 1 if (a == 0 or not text[a - 1].isalnum()) and not after.isalnum() else -1
+    edges = 0 if (a == 0 or not text[a - 1].isalnum()) and not after.isalnum() else -1
     quoted = 1 if a and text[a - 1] in "\"'=:<(" else 0
-    return (1 if pattern else -1, gazetteer, context, -1 if variety < 4 else 1 if variety > 6 else 0, edges, check, quoted)
+        # What every candidate has says nothing for it: plain digits, enough different signs, clean edges.
+    plain = kind in ("card", "iban")
+    return (-1 if not pattern else 0 if plain else 1, gazetteer, context, -1 if variety < 4 else 0, edges, check, quoted)
 
 
 @dataclass(frozen=True)
@@ -211,25 +213,25 @@ class Model:
         return 0.0 if w is None else float(1 / (1 + np.exp(-(w[0] + np.dot(w[1:], (*vote, *form))))))
 
 
-#: What is taken of a labeler before any vote is seen: how reliable it is, and how many votes that is worth.
-START = {"checksum": (0.98, 1000.0)}
-USUAL_START = (0.7, 10.0)
+#: Where reliabilities begin, and how many votes that is worth; a checksum's is known and stays.
+START, START_VOTES = 0.7, 10.0
+KNOWN = {"checksum": 0.98}
 
 
 def expectation_maximisation(vote: np.ndarray, n: np.ndarray, rounds: int = 50, prior: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
     """Posteriors of distinct vote patterns with counts n, and the labelers' reliabilities.
 
     A labeler that votes is right with its reliability, whatever the class. START keeps labelers that
-    seldom vote near where they began; a checksum is arithmetic and hardly moves.
+    seldom vote near where they began.
     """
-    begin = np.array([START.get(name, USUAL_START) for name in LABELERS])
-    right = begin[:, 0].copy()
+    known = np.array([KNOWN.get(name, 0.0) for name in LABELERS])
+    right = np.where(known > 0, known, START)
     for _ in range(rounds):
         odds = np.log(prior / (1 - prior)) + vote @ np.log(right / (1 - right))
         post = 1 / (1 + np.exp(-odds))
         agree = np.where(vote > 0, post[:, None], np.where(vote < 0, 1 - post[:, None], 0)) * n[:, None]
         spoke = (vote != 0) * n[:, None]
-        right = np.clip((agree.sum(0) + begin[:, 0] * begin[:, 1]) / (spoke.sum(0) + begin[:, 1]), 0.55, 0.99)
+        right = np.where(known > 0, known, np.clip((agree.sum(0) + START * START_VOTES) / (spoke.sum(0) + START_VOTES), 0.55, 0.99))
         prior = float(np.clip((post @ n + 1) / (n.sum() + 2), 0.1, 0.9))
     return post, right
 

@@ -589,8 +589,7 @@ def test_pii_reliabilities_equal_a_loop():
     vote = np.unique(rng.integers(-1, 2, (40, k)), axis=0)
     n = rng.integers(1, 50, len(vote)).astype(float)
     post, right = pii.expectation_maximisation(vote, n, rounds=6)
-    start = [pii.START.get(name, pii.USUAL_START) for name in pii.LABELERS]
-    rel, prior = [s for s, _ in start], 0.5
+    rel, prior = [pii.KNOWN.get(name, pii.START) for name in pii.LABELERS], 0.5
     for _ in range(6):
         p = []
         for row in vote:
@@ -600,10 +599,10 @@ def test_pii_reliabilities_equal_a_loop():
                 no *= 1 - r if v > 0 else r if v < 0 else 1
             p.append(yes / (yes + no))
         rel = []
-        for j, (s, weight) in enumerate(start):
+        for j, name in enumerate(pii.LABELERS):
             agree = sum(c * (q if row[j] > 0 else 1 - q) for row, q, c in zip(vote, p, n) if row[j])
             spoke = sum(c for row, c in zip(vote, n) if row[j])
-            rel.append(min(0.99, max(0.55, (agree + s * weight) / (spoke + weight))))
+            rel.append(pii.KNOWN.get(name) or min(0.99, max(0.55, (agree + pii.START * 10) / (spoke + 10))))
         prior = min(0.9, max(0.1, (sum(q * c for q, c in zip(p, n)) + 1) / (n.sum() + 2)))
     assert np.allclose(post, p) and np.allclose(right, rel)
 
