@@ -8,10 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Checkpoints go to the shared folder in spark.checkpoint.dir; a local one is made only where none is set."""
+    """Checkpoints go to the shared folder in spark.checkpoint.dir.
+
+    Where none is set, a local master (as in tests) gets a folder of its own; on a cluster it is an error,
+    as executors don't see each other's folders.
+    """
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    if sc.getCheckpointDir() is not None:
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+    sc.setCheckpointDir(folder)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
