@@ -82,12 +82,12 @@ FALLBACK_CONFIDENCE = 0.45
 SECTION_WEIGHTS = (("Results", 1.2), ("Discussion", 1.1), ("Methods", 1.1))
 SUMMARY_LIMIT = 12
 INTENT_KEYWORDS = {
-    "paper": ("paper", "summary of", "summarize"),
-    "cluster": ("cluster", "group", "topic"),
-    "entity": ("what is", "who is", "tell me about", "describe"),
+    "paper": ("summarize", "paper", "overview"),
+    "cluster": ("summarize", "cluster"),
+    "entity": ("what is", "describe", "define", "explain"),
 }
 INTENT_THRESHOLDS = {"paper": 0.33, "cluster": 0.5, "entity": 0.25}
-DOCUMENT_PREFIXES = ("doc", "paper", "arxiv")
+DOCUMENT_PREFIXES = ("paper", "doc", "document")
 WH_WORDS = ("what", "which", "who", "whom", "where", "when", "why", "how")
 
 KPI_ACCEPTANCE, KPI_SUCCESS = (0.70, 0.60), (0.97, 0.95)

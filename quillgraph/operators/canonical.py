@@ -62,6 +62,17 @@ def missing_embeddings(names: DataFrame, cache: DataFrame) -> DataFrame:
     return keyed.join(cache.select("key").distinct(), "key", "left_anti")
 
 
+#: Blocks of queries that may be broadcast: about 30 MB of vectors of 64 numbers.
+BROADCAST_BLOCKS = 32
+#: Blocks with more members are reported: one is worked on by one task.
+GIANT_BLOCK = 20_000
+
+
+def giant_blocks(blocks: DataFrame, most: int = GIANT_BLOCK) -> DataFrame:
+    """`block, members` of merge blocks with more than `most` members: raise the threshold of `merge_blocks` for these."""
+    return blocks.groupBy("block").agg(F.count("*").alias("members")).where(F.col("members") > most)
+
+
 def similarity_search(queries: DataFrame, corpus: DataFrame, threshold: float, k: int | None = None) -> DataFrame:
     """`query_id, id, score` of unit vectors at least `threshold` alike, best first.
 
@@ -85,7 +96,8 @@ def similarity_search(queries: DataFrame, corpus: DataFrame, threshold: float, k
                 found.append(pd.DataFrame({"query_id": [q[i]["query_id"] for i, _ in hit], "id": part["id"].to_numpy()[hit[:, 1]], "score": s[hit[:, 0], hit[:, 1]]}))
             yield pd.concat(found) if found else pd.DataFrame({"query_id": [], "id": [], "score": []})
 
-    met = dealt.join(blocks, "block").mapInPandas(score, "query_id long, id long, score double")
+    # Few blocks go to the corpus, so that it isn't shuffled; n bounds their size.
+    met = dealt.join(F.broadcast(blocks) if n <= BROADCAST_BLOCKS else blocks, "block").mapInPandas(score, "query_id long, id long, score double")
     if k is None:
         return met
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")

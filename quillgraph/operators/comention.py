@@ -47,10 +47,16 @@ def comention_pairs(occurrences: DataFrame, distance: int = config.COMENTION_DIS
 
 
 def comention_edges(pairs: DataFrame, least: int = config.COMENTION_MIN) -> DataFrame:
-    """Edges `correlates-with` of pairs that occur `least` times in a document, with the first occurrence as evidence."""
+    """Edges `correlates-with` of pairs that occur `least` times in a document, with the first occurrence as evidence.
+
+    Attributes mark them as co-mentions, which views hide unless asked for.
+    """
     grouped = pairs.groupBy("doc_id", "a", "b").agg(
         F.count("*").alias("times_seen"),
         F.min_by(F.struct("element_id", "sentence"), F.struct("element_id", "sent_no", "a_at", "b_at")).alias("evidence"),
         F.array_sort(F.collect_set("section")).alias("sections"),
     )
-    return grouped.where(F.col("times_seen") >= least).select("doc_id", "a", "b", F.lit("correlates-with").alias("relation"), F.lit(config.COMENTION_CONFIDENCE).alias("confidence"), "times_seen", "evidence", "sections")
+    # The names and values that views look for.
+    known = {"method": F.lit("co-mention"), "hidden": F.lit("true"), "sections": F.concat_ws(",", "sections"), "surface_relation": F.lit("co-mentioned")}
+    attributes = F.create_map(*[x for k, v in known.items() for x in (F.lit(k), v)])
+    return grouped.where(F.col("times_seen") >= least).select("doc_id", "a", "b", F.lit("correlates-with").alias("relation"), F.lit(config.COMENTION_CONFIDENCE).alias("confidence"), "times_seen", "evidence", "sections", attributes.alias("attributes"))

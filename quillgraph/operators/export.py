@@ -32,10 +32,15 @@ def write_graphml(lines: DataFrame, path: str, files: int = 8) -> None:
     lines.repartitionByRange(files, "part", "id").sortWithinPartitions("part", "id").select("line").write.mode("overwrite").text(path)
 
 
-def export_manifest(parts: DataFrame) -> DataFrame:
-    """`part, rows, bytes, digest` of exported lines `part, id, line`; the digest combines those of the lines whatever their order."""
-    each = parts.select("part", F.octet_length("line").alias("b"), F.conv(F.substring(F.sha2("line", 256), 1, 12), 16, 10).cast("long").alias("h"))
-    return each.groupBy("part").agg(F.count("*").alias("rows"), F.sum(F.col("b").cast("long")).alias("bytes"), F.bit_xor("h").alias("digest"))
+def export_manifest(parts: DataFrame, version: str = "1", filters: str = "") -> DataFrame:
+    """`part, rows, bytes, digest, version, filters` of exported lines `part, id, line`.
+
+    The digest is the sum of 60 bits of each line's sha-256: it doesn't depend on the lines' order, counts
+    repeated lines, and takes no task that holds a part. version and filters say what was exported.
+    """
+    each = parts.select("part", F.octet_length("line").alias("b"), F.conv(F.substring(F.sha2("line", 256), 1, 15), 16, 10).cast("decimal(20,0)").alias("h"))
+    summed = each.groupBy("part").agg(F.count("*").alias("rows"), F.sum(F.col("b").cast("long")).alias("bytes"), F.sum("h").cast("string").alias("digest"))
+    return summed.withColumn("version", F.lit(version)).withColumn("filters", F.lit(filters))
 
 
 def share_records(sizes: DataFrame) -> DataFrame:
@@ -44,8 +49,11 @@ def share_records(sizes: DataFrame) -> DataFrame:
     return sizes.select("share_id", F.round(mb, 6).alias("mb"), F.when(mb > config.EXPORT_BLOCK_MB, "blocked").when(mb > config.EXPORT_WARN_MB, "warned").otherwise("ok").alias("state"))
 
 
-def share_state(events: DataFrame) -> DataFrame:
-    """`share_id, created_at, first_download_at, latency_s, downloads, revoked` from create, download and revoke events."""
+def share_state(events: DataFrame, lifetime: int = 30, now: str | None = None) -> DataFrame:
+    """`share_id, created_at, first_download_at, latency_s, downloads, revoked, expired` from create, download and revoke events.
+
+    A share has expired if its last event, or `now` if given, is later than `lifetime` days after its creation.
+    """
 
     def first(kind: str) -> Column:
         return F.min(F.when(F.col("event_type") == kind, F.col("ts")))
@@ -55,6 +63,9 @@ def share_state(events: DataFrame) -> DataFrame:
         first("download").alias("first_download_at"),
         F.count_if(F.col("event_type") == "download").alias("downloads"),
         F.max(F.col("event_type") == "revoke").alias("revoked"),
+        F.max("ts").alias("__last"),
     )
+    seen = F.col("__last") if now is None else F.lit(now).cast("timestamp")
+    out = out.withColumn("expired", F.coalesce(F.unix_micros(seen) > F.unix_micros("created_at") + lifetime * 86_400_000_000, F.lit(False))).drop("__last")
     latency = (F.unix_micros("first_download_at") - F.unix_micros("created_at")) / 1e6
     return out.withColumn("latency_s", F.round(F.when(latency >= 0, latency), 3))

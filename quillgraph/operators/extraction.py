@@ -183,22 +183,25 @@ def link_spans(rows: DataFrame, text: str, target: str, threshold: float = confi
         spans = [window_ratio(a, b, threshold) if a and b else None for a, b in zip(texts, targets)]
         return pd.DataFrame({"start": pd.array([s[0] if s else None for s in spans], dtype="Int32"), "end": pd.array([s[1] if s else None for s in spans], dtype="Int32")})
 
-    missed = found.where("span is null").withColumn("span", fuzzy(text, target))
+    # Only these reach Python; texts or targets that are blank have no window.
+    open_ = F.col("span").isNull() & F.col(text).isNotNull() & (F.trim(text) != "") & F.col(target).isNotNull() & (F.trim(target) != "")
+    missed = found.where(open_).withColumn("span", fuzzy(F.col(text), F.trim(target)))
     missed = missed.withColumn("span", F.when(F.col("span.start").isNotNull(), F.col("span")))
-    return found.where("span is not null").unionByName(missed)
+    return found.where(~open_).unionByName(missed)
 
 
 def validate_triples(triples: DataFrame) -> DataFrame:
     """Adds `reason` (null if accepted), `src_text, dst_text` after the swap, and the sentence span as evidence.
 
     Needs content, subject, object, relation, swap, decision, subject_type, object_type, sentence, confidence.
+    Names and sentences are located as `link_spans` does: as written, in another case, or by the best fuzzy window.
     """
     swap = F.coalesce("swap", F.lit(False))
     src, dst = F.when(swap, F.col("object")).otherwise(F.col("subject")), F.when(swap, F.col("subject")).otherwise(F.col("object"))
-    s, o, sent = link_exact(F.col("content"), src), link_exact(F.col("content"), dst), link_exact(F.col("content"), F.col("sentence"))
-    staged = triples.select("*", src.alias("src_text"), dst.alias("dst_text"), s.alias("s_at"), o.alias("o_at"), sent.alias("sent_at"))
-    n = F.length("content")
-    s_end, o_end = F.col("s_at") + F.length("src_text"), F.col("o_at") + F.length("dst_text")
+    staged = triples.select("*", src.alias("src_text"), dst.alias("dst_text"))
+    for column, name in (("src_text", "s"), ("dst_text", "o"), ("sentence", "sent")):
+        staged = link_spans(staged, "content", column).withColumn(f"{name}_at", F.col("span.start")).withColumn(f"{name}_end", F.col("span.end")).drop("span")
+    n, s_end, o_end = F.length("content"), F.col("s_end"), F.col("o_end")
     reason = (
         F.when(F.col("decision") == "review", "relation_needs_review")
         .when(F.col("relation").isNull(), "relation_unmapped")
@@ -214,7 +217,7 @@ def validate_triples(triples: DataFrame) -> DataFrame:
         .when(o_end > n, "object_span_out_of_bounds")
         .when(F.greatest("s_at", "o_at") < F.least(s_end, o_end), "span_overlap")
         .when(F.col("sent_at").isNull(), "sentence_span_missing")
-        .when(F.col("sent_at") + F.length("sentence") > n, "sentence_span_out_of_bounds")
+        .when(F.col("sent_end") > n, "sentence_span_out_of_bounds")
     )
     return staged.withColumn("reason", reason)
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph import config
+from quillgraph.functions.checkpoints import checkpointed
 
 
 def node_names(nodes: DataFrame) -> DataFrame:
@@ -26,11 +27,21 @@ def match_exact(mentions: DataFrame, nodes: DataFrame, k: int = 5) -> DataFrame:
 
 
 def match_contains(mentions: DataFrame, nodes: DataFrame, k: int = 5) -> DataFrame:
-    """Nodes of which a name or alias contains the mention or one of its words (over two characters); exact names first."""
+    """Nodes of which a name or alias contains the mention or one of its words (over two characters); exact names first.
+
+    A name that contains a term contains the term's first three characters: names are listed under all
+    their pieces of one to three characters, joined by equality, and only then compared.
+    """
     low = F.lower("mention")
     words = F.filter(F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.length(w) > 2)
     terms = mentions.select("mention").distinct().select("mention", F.explode(F.array_distinct(F.concat(F.array(low), words))).alias("term"))
-    met = node_names(nodes).join(terms, F.contains(F.col("low"), F.col("term")))
+    terms = terms.where("term <> ''").withColumn("piece", F.substring("term", 1, 3))
+
+    def pieces(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("low") - n + 1, F.lit(1))), lambda i: F.substring(F.col("low"), i, F.lit(n)))
+
+    listed = node_names(nodes).select("*", F.explode(F.array_distinct(F.concat(pieces(1), pieces(2), pieces(3)))).alias("piece"))
+    met = listed.join(terms, "piece").where(F.contains(F.col("low"), F.col("term")))
     best = met.groupBy("mention", "node_id", "name", "times_seen").agg(F.max((F.col("low") == F.lower("mention")).cast("int")).alias("exact"))
     order = Window.partitionBy("mention").orderBy(F.desc("exact"), F.desc("times_seen"), "name", "node_id")
     return best.withColumn("k", F.row_number().over(order)).where(F.col("k") <= k)
@@ -62,7 +73,8 @@ def find_paths(pairs: DataFrame, edges: DataFrame, max_hops: int = 2, confidence
     usable = edges.where(F.col("confidence") >= confidence)
     if relations:
         usable = usable.where(F.col("relation").isin(*relations))
-    steps = both_directions(usable).select("at", "to", F.struct("edge_id", F.col("at").alias("from"), "to", "relation", "confidence", "created_at", "conflicting").alias("hop"))
+    # Made once: each hop and the goals' side read it.
+    steps = checkpointed(both_directions(usable).select("at", "to", F.struct("edge_id", F.col("at").alias("from"), "to", "relation", "confidence", "created_at", "conflicting").alias("hop")))
     pairs = pairs.select("start", "goal").distinct()
     trails = pairs.join(steps, F.col("start") == F.col("at")).select("start", "goal", F.col("to").alias("here"), F.array("hop").alias("hops"))
     found = [trails.where("here = goal")]
@@ -123,11 +135,31 @@ def _share(text: Column, words: Sequence[str]) -> Column:
     return hits / F.lit(float(len(words)))
 
 
+def question_documents(text: Column, prefixes: Sequence[str] = config.DOCUMENT_PREFIXES) -> Column:
+    """Document ids that a question names, in order of prefixes, without repeats."""
+    found = []
+    for p in prefixes:
+        found.append(F.regexp_extract_all(text, F.lit(rf"(?i){p}(?:[\s:=]+['\"]?)([A-Za-z0-9][A-Za-z0-9_.-]*)"), F.lit(1)))
+        found.append(F.regexp_extract_all(text, F.lit(rf"(?i)({p}[-_][A-Za-z0-9][A-Za-z0-9_.-]*)"), F.lit(1)))
+    words = F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9][A-Za-z0-9_.-]{2,})"), F.lit(1))
+    begins = F.filter(words, lambda w: F.lower(w).rlike("^(" + "|".join(prefixes) + ")"))
+
+    def tidy(ids: Column) -> Column:
+        return F.array_distinct(F.filter(F.transform(ids, lambda x: F.trim(x, F.lit(" '\".,;"))), lambda x: x != ""))
+
+    named = tidy(F.concat(*found))
+    return F.when(F.size(named) > 0, named).otherwise(tidy(begins))
+
+
 def classify_intent(questions: DataFrame) -> DataFrame:
-    """`question_id, intent, documents`: paper summary (only with a document named), cluster, entity, else factoid."""
+    """`question_id, intent, documents`: paper summary (only with a document named), cluster, entity, else factoid.
+
+    Documents are what stands behind a prefix and blanks, `:` or `=`, and words of a prefix joined by `-`
+    or `_`, prefix by prefix; where there are none, the words of three characters and more that begin
+    with a prefix. Only paper summaries carry them.
+    """
     low = F.lower("text")
-    prefixes = "|".join(config.DOCUMENT_PREFIXES)
-    documents = F.array_distinct(F.regexp_extract_all(low, F.lit(rf"(?:{prefixes})[ :=-]([a-z0-9]+)"), F.lit(1)))
+    documents = question_documents(F.col("text"))
     share = {k: _share(low, words) for k, words in config.INTENT_KEYWORDS.items()}
     t = config.INTENT_THRESHOLDS
     intent = (
@@ -136,7 +168,8 @@ def classify_intent(questions: DataFrame) -> DataFrame:
         .when(share["entity"] >= t["entity"], "entity_summary")
         .otherwise("factoid")
     )
-    return questions.select("question_id", intent.alias("intent"), documents.alias("documents"))
+    named = F.when(intent == "paper_summary", documents).otherwise(F.array().cast("array<string>"))
+    return questions.select("question_id", intent.alias("intent"), named.alias("documents"))
 
 
 def question_mentions(questions: DataFrame) -> DataFrame:
@@ -150,14 +183,21 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
 
 
+TOP_NODES = 500
+
+
 def resolve_mentions(mentions: DataFrame, nodes: DataFrame, vectors: DataFrame, k: int = config.MENTION_TOP, least: float = config.MENTION_SIMILARITY) -> DataFrame:
     """`mention, node_id, similarity, k`: exact matches (similarity 1), else the nodes nearest by vector.
 
+    Compared are the nodes whose name contains the mention or a word of it, or where there are none the
+    TOP_NODES most seen nodes, a bounded table.
     `vectors` holds unit vectors of mentions and of lower-case names and aliases: `text, vector`.
     """
     exact = match_exact(mentions, nodes, k).select("mention", "node_id", "name", "times_seen", F.lit(1.0).alias("similarity"))
     left = mentions.select("mention").distinct().join(exact.select("mention").distinct(), "mention", "left_anti")
-    candidates = match_contains(left, nodes, 500).select("mention", "node_id")
+    candidates = match_contains(left, nodes, TOP_NODES).select("mention", "node_id")
+    unmet = left.join(candidates.select("mention").distinct(), "mention", "left_anti")
+    candidates = candidates.unionAll(unmet.crossJoin(F.broadcast(top_nodes(nodes, TOP_NODES).select("node_id"))))
     names = node_names(nodes).join(candidates, "node_id")
     v, w = vectors.select(F.col("text").alias("mention"), F.col("vector").alias("v")), vectors.select(F.col("text").alias("low"), F.col("vector").alias("w"))
     near = names.join(v, "mention").join(w, "low").groupBy("mention", "node_id", "name", "times_seen").agg(F.max(dot(F.col("v"), F.col("w"))).alias("similarity")).where(F.col("similarity") >= least)

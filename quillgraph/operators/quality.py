@@ -175,12 +175,25 @@ def stage_timings(lines: DataFrame) -> DataFrame:
 
 
 def multi_paper_chains(edges: DataFrame) -> DataFrame:
-    """`a, via, b, chains`: two-hop trails whose edges come from different documents, counted for each pair of ends.
+    """`via, chains`: the number of two-hop trails over each middle node whose edges come from different documents.
+
+    Of n edges at a node, n_d of them from document d, that is (n * n - sum of n_d * n_d) / 2: no pairs are
+    made, however many edges a hub has. A self-loop is one edge at its node.
+    """
+    ends = edges.select(F.col("src").alias("via"), "doc_id").unionAll(edges.where("src <> dst").select(F.col("dst").alias("via"), "doc_id"))
+    by_document = ends.groupBy("via", "doc_id").agg(F.count("*").alias("n"))
+    counted = by_document.groupBy("via").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+    return counted.select("via", F.expr("(n * n - same) div 2").alias("chains")).where("chains > 0")
+
+
+def multi_paper_chain_pairs(edges: DataFrame, middles: DataFrame) -> DataFrame:
+    """`a, via, b, chains`: the same trails for each pair of ends, over the asked middle nodes (`via`) only.
 
     Steps are counted by (middle, end, document) first, so a hub meets itself once a document, not once an edge.
     """
+    edges = edges.select("src", "dst", "doc_id")
     ends = edges.select(F.col("src").alias("via"), F.col("dst").alias("end"), "doc_id").unionAll(edges.select(F.col("dst").alias("via"), F.col("src").alias("end"), "doc_id"))
-    steps = ends.groupBy("via", "end", "doc_id").agg(F.count("*").alias("n"))
+    steps = ends.join(middles.select("via").distinct(), "via", "left_semi").groupBy("via", "end", "doc_id").agg(F.count("*").alias("n"))
     left, right = steps.toDF("via", "a", "doc_a", "n"), steps.toDF("via", "b", "doc_b", "m")
     met = left.join(right, "via").where("a < b and doc_a <> doc_b")
     return met.groupBy("a", "via", "b").agg(F.sum(F.col("n") * F.col("m")).alias("chains"))

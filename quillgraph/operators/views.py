@@ -12,23 +12,31 @@ from quillgraph.operators.qa import both_directions
 RINGS = ("supplier", "part")
 
 
-def graph_view(edges: DataFrame, confidence: float = 0.5, relations: Sequence[str] = (), sections: Sequence[str] = (), comentions: bool = False, papers: DataFrame | None = None, limit: int = 500) -> DataFrame:
+def graph_view(edges: DataFrame, confidence: float = 0.5, relations: Sequence[str] = (), sections: Sequence[str] = (), comentions: bool = False, papers: DataFrame | None = None, limit: int = 500, nodes: DataFrame | None = None, access: DataFrame | None = None) -> DataFrame:
     """Edges that pass every filter, best first, `limit` of them, with their place `k`.
 
-    A section filter that no edge passes is dropped. Filters come before the limit.
+    An edge is in the sections of its own and, if `nodes` (`node_id, sections`) are given, of both its ends;
+    a section filter that no edge passes is dropped. `papers` are those asked for, `access` those that the
+    user may see (`doc_id`). Filters come before the limit.
     """
     kept = edges.where(F.col("confidence") >= confidence)
     if relations:
         kept = kept.where(F.col("relation").isin(*relations))
     if not comentions and "method" in edges.columns:
         kept = kept.where(F.coalesce(F.col("method") != "co-mention", F.lit(True)))
-    if papers is not None:
-        kept = kept.join(papers.select("doc_id").distinct(), "doc_id", "left_semi")
+    for allowed in (papers, access):
+        if allowed is not None:
+            kept = kept.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
     if sections:
-        passes = F.col("section").isin(*sections)
+        passes = F.coalesce(F.col("section").isin(*sections), F.lit(False))
+        if nodes is not None:
+            for end in ("src", "dst"):
+                own = nodes.select(F.col("node_id").alias(end), F.map_keys("sections").alias(f"__{end}"))
+                kept = kept.join(own, end, "left")
+                passes = passes | F.coalesce(F.arrays_overlap(F.col(f"__{end}"), F.array(*map(F.lit, sections))), F.lit(False))
         # One row says whether any edge passes; it decides for all.
         found = kept.agg(F.coalesce(F.max(passes.cast("int")), F.lit(0)).alias("__any"))
-        kept = kept.crossJoin(F.broadcast(found)).where((F.col("__any") == 0) | passes).drop("__any")
+        kept = kept.crossJoin(F.broadcast(found)).where((F.col("__any") == 0) | passes).drop("__any", "__src", "__dst")
     # The limit comes before the numbering, so one task numbers `limit` rows at most.
     top = kept.orderBy(F.desc("confidence"), F.desc("created_at"), "edge_id").limit(limit)
     return top.withColumn("k", F.row_number().over(Window.orderBy(F.desc("confidence"), F.desc("created_at"), "edge_id")))

@@ -158,7 +158,7 @@ def export_graphml(spark, sf):
 
 
 def export_manifest(spark, sf):
-    return export.export_manifest(export.graphml_lines(tables.graph_nodes(spark, sf), _edges(spark, sf))).select("part", "rows", "bytes", "digest")
+    return export.export_manifest(export.graphml_lines(tables.graph_nodes(spark, sf), _edges(spark, sf)))
 
 
 def share_records(spark, sf):
@@ -244,8 +244,8 @@ ORACLES = {
     "k_assign_paper_ids": "WITH s AS (SELECT p_partkey AS seq, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY seq) - 1 AS k FROM s) SELECT seq, CASE WHEN k = 0 THEN slug ELSE slug || '-' || k END AS paper_id FROM r",
     "l_export_edges": f"WITH {sql.SENTENCES} SELECT element_id, sent_no, CASE WHEN length(sentence) > 60 THEN rtrim(substr(sentence, 1, 60)) || '...' ELSE sentence END AS sentence FROM sents",
     "l_export_graphml": f"WITH {_LINES} SELECT part, id, line FROM lines",
-    "l_export_manifest": f"WITH {_LINES} SELECT part, count(*) AS rows, CAST(sum(strlen(line)) AS BIGINT) AS bytes, bit_xor(CAST('0x' || substr(sha256(line), 1, 12) AS BIGINT)) AS digest FROM lines GROUP BY part",
+    "l_export_manifest": f"WITH {_LINES} SELECT part, count(*) AS rows, CAST(sum(strlen(line)) AS BIGINT) AS bytes, CAST(sum(CAST('0x' || substr(sha256(line), 1, 15) AS BIGINT)) AS VARCHAR) AS digest, '1' AS version, '' AS filters FROM lines GROUP BY part",
     "l_share_records": "WITH s AS (SELECT source AS share_id, sum(strlen(text)) * 20 / 1048576.0::DOUBLE AS mb FROM documents GROUP BY source) SELECT share_id, round(mb, 6) AS mb, CASE WHEN mb > 5 THEN 'blocked' WHEN mb > 3 THEN 'warned' ELSE 'ok' END AS state FROM s",
-    "l_share_state": """WITH s AS (SELECT user_id AS share_id, min(ts) FILTER (event_type = 'signup') AS created_at, min(ts) FILTER (event_type = 'view') AS first_download_at, count(*) FILTER (event_type = 'view') AS downloads, bool_or(event_type = 'error') AS revoked FROM events WHERE event_type IN ('signup', 'view', 'error') GROUP BY user_id)
+    "l_share_state": """WITH s AS (SELECT user_id AS share_id, min(ts) FILTER (event_type = 'signup') AS created_at, min(ts) FILTER (event_type = 'view') AS first_download_at, count(*) FILTER (event_type = 'view') AS downloads, bool_or(event_type = 'error') AS revoked, coalesce(epoch_us(max(ts)) > epoch_us(min(ts) FILTER (event_type = 'signup')) + 30 * 86400000000, false) AS expired FROM events WHERE event_type IN ('signup', 'view', 'error') GROUP BY user_id)
         SELECT *, CASE WHEN first_download_at >= created_at THEN round((epoch_us(first_download_at) - epoch_us(created_at)) / 1e6, 3) END AS latency_s FROM s""",
 }

@@ -140,12 +140,12 @@ def _pairs(spark, sf):
 
 def _ranked(spark, sf):
     edges = graph.flag_conflicts(_edges(spark, sf))
-    paths = qa.find_paths(_pairs(spark, sf), edges, max_hops=2, confidence=0.95)
+    paths = qa.find_paths(_pairs(spark, sf), edges, max_hops=2)
     return qa.rank_paths(paths, _nodes(spark, sf))
 
 
 def find_paths(spark, sf):
-    paths = qa.find_paths(_pairs(spark, sf), _edges(spark, sf).withColumn("conflicting", F.lit(False)), max_hops=2, confidence=0.95)
+    paths = qa.find_paths(_pairs(spark, sf), _edges(spark, sf).withColumn("conflicting", F.lit(False)), max_hops=2)
     return paths.select("start", "goal", F.concat_ws(",", F.transform("hops", lambda h: h["edge_id"])).alias("signature"))
 
 
@@ -182,7 +182,7 @@ def summary_documents(spark, sf):
 
 def _questions(spark, sf):
     c = tables.read(spark, sf, "conversations").where("role = 'user'")
-    lead = F.get(F.array(*[F.lit(x) for x in ("Summarize paper doc:12 ", "What is ", "Which cluster group topic ", "How ", "Tell me about ")]), (F.col("conv_id") % 5).cast("int"))
+    lead = F.get(F.array(*[F.lit(x) for x in ("Summarize paper doc:12 ", "What is ", "Summarize the cluster of ", "An overview of Paper_a.1, ", "Describe document-x9; ")]), (F.col("conv_id") % 5).cast("int"))
     return c.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("question_id"), F.concat(lead, "text").alias("text"))
 
 
@@ -216,6 +216,14 @@ def graph_view(spark, sf):
     return views.graph_view(_edges(spark, sf).withColumn("section", F.col("attributes")["section"]), confidence=0.95, relations=("uses", "improves"), sections=("Results",), limit=500).select("edge_id", "k")
 
 
+def accessible_view(spark, sf):
+    """Results of the edges or of either end, in documents that user u3 may see."""
+    docs = tables.read(spark, sf, "orders").where("o_orderkey % 10 = 0 or o_orderkey % 15 = 3").select(F.col("o_orderkey").cast("string").alias("doc_id"))
+    nodes = _nodes(spark, sf).where("times_seen in (2, 5)")
+    edges = _edges(spark, sf).withColumn("section", F.col("attributes")["section"]).where("section = 'Methods'")
+    return views.graph_view(edges, confidence=0.95, sections=("Results",), limit=500, nodes=nodes, access=docs).select("edge_id", "k")
+
+
 def view_nodes(spark, sf):
     view = views.graph_view(_edges(spark, sf).withColumn("section", F.col("attributes")["section"]), confidence=0.98, limit=500)
     return views.view_nodes(view, tables.graph_nodes(spark, sf)).select("node_id", "name")
@@ -247,7 +255,7 @@ steps AS (SELECT *, src AS a, dst AS b FROM flagged UNION ALL SELECT *, dst, src
 
 _PATHS = _EDGE_TABLE + """,
 qpairs AS (SELECT 's' || s_suppkey AS start, 'c' || s_suppkey AS goal FROM supplier),
-good AS (SELECT * FROM steps WHERE confidence >= 0.95),
+good AS (SELECT * FROM steps WHERE confidence >= 0.7),
 weights AS (SELECT 's' || s_suppkey AS node_id, CASE WHEN (s_suppkey % 7 + 1) % 2 = 0 THEN 1.2 ELSE 1.1 END::DOUBLE AS w FROM supplier UNION ALL SELECT 'p' || p_partkey, CASE WHEN (p_partkey % 7 + 1) % 2 = 0 THEN 1.2 ELSE 1.1 END FROM part
             UNION ALL SELECT 'c' || c_custkey, CASE WHEN (c_custkey % 7 + 1) % 2 = 0 THEN 1.2 ELSE 1.1 END FROM customer UNION ALL SELECT 'n' || n_nationkey, CASE WHEN (n_nationkey % 7 + 1) % 2 = 0 THEN 1.2 ELSE 1.1 END FROM nation),
 weighted AS (SELECT g.*, g.confidence * x.w * y.w AS f FROM good g JOIN weights x ON x.node_id = g.a JOIN weights y ON y.node_id = g.b),
@@ -267,18 +275,26 @@ summary AS (SELECT * FROM (SELECT *, f[3] AS edge_id, row_number() OVER (PARTITI
 _FALLBACK = """met AS (SELECT question_id, s.*, max(CASE WHEN confidence >= 0.7 THEN 1 ELSE 0 END) OVER (PARTITION BY question_id) AS strong FROM asked JOIN {steps} s ON a = node_id WHERE confidence >= 0.45),
 fb AS (SELECT question_id, src, dst, relation, min((-confidence, -epoch_us(created_at), edge_id)) AS f FROM met WHERE strong = 0 OR confidence >= 0.7 GROUP BY ALL),
 fallback AS (SELECT * FROM (SELECT question_id, f[3] AS edge_id, -f[1] AS confidence, row_number() OVER (PARTITION BY question_id ORDER BY f) AS k FROM fb) WHERE k <= 50)"""
-_QUESTIONS = "q AS (SELECT conv_id || ':' || turn AS question_id, ['Summarize paper doc:12 ', 'What is ', 'Which cluster group topic ', 'How ', 'Tell me about '][conv_id % 5 + 1] || text AS text FROM conversations WHERE role = 'user')"
+_QUESTIONS = "q AS (SELECT conv_id || ':' || turn AS question_id, ['Summarize paper doc:12 ', 'What is ', 'Summarize the cluster of ', 'An overview of Paper_a.1, ', 'Describe document-x9; '][conv_id % 5 + 1] || text AS text FROM conversations WHERE role = 'user')"
 
 
 def _share(*words: str) -> str:
     return "(" + " + ".join(f"CAST(contains(lower(text), '{w}') AS INT)" for w in words) + f") / {len(words)}.0"
 
 
+def _named_documents() -> str:
+    parts = []
+    for p in config.DOCUMENT_PREFIXES:
+        parts.append(f"regexp_extract_all(text, '(?i){p}(?:[\\s:=]+[''\"]?)([A-Za-z0-9][A-Za-z0-9_.-]*)', 1)")
+        parts.append(f"regexp_extract_all(text, '(?i)({p}[-_][A-Za-z0-9][A-Za-z0-9_.-]*)', 1)")
+    return f"flatten([{', '.join(parts)}])"
+
+
 _I = config.INTENT_KEYWORDS
 QUERIES = {f"h_{f.__name__}": f for f in (upsert_nodes, combine_staged_nodes, upsert_edges, flag_conflicts, conflict_report, resolve_aliases, apply_alias_resolution, resolve_endpoints, unresolved_endpoints, known_documents, mark_cross_paper, check_edges, edge_attributes)}
 QUERIES |= {"f_deprecate_edges": deprecate_edges}
 QUERIES |= {f"i_{f.__name__}": f for f in (match_exact, match_contains, top_nodes, find_paths, rank_paths, neighbours, document_edges, fallback_neighbours, summary_neighbours, summary_documents, classify_intent, question_mentions, answer_table, answer_context, citation_check)}
-QUERIES |= {f"j_{f.__name__}": f for f in (graph_view, view_nodes, node_importance, partition_by_document, node_focus, accessible_papers)}
+QUERIES |= {f"j_{f.__name__}": f for f in (graph_view, accessible_view, view_nodes, node_importance, partition_by_document, node_focus, accessible_papers)}
 
 ORACLES = {
     "h_upsert_nodes": f"""WITH {sql.NODES}, s AS (SELECT * FROM named WHERE times_seen IN (2, 4, 6))
@@ -288,7 +304,7 @@ ORACLES = {
     "h_combine_staged_nodes": f"WITH {sql.NODES} SELECT node_id, CASE WHEN times_seen > 3 THEN 2 * times_seen ELSE times_seen END AS times_seen, CASE WHEN times_seen % 2 = 0 THEN times_seen ELSE 1 END * CASE WHEN times_seen > 3 THEN 2 ELSE 1 END AS in_sections, CASE WHEN times_seen > 3 THEN len(list_distinct(docs)) + 2 ELSE len(list_distinct(docs)) END AS n_docs FROM named WHERE type = 'part'",
     "h_upsert_edges": f"WITH {_EDGE_TABLE} SELECT src, dst, relation, doc_id, version, verbatim, confidence, times_seen, evidence, created_at, section FROM merged",
     "h_flag_conflicts": f"WITH {_EDGE_TABLE} SELECT relation, count(*) AS edges, CAST(sum(CAST(conflicting AS INT)) AS BIGINT) AS conflicting FROM flagged GROUP BY relation",
-    "h_conflict_report": f"WITH {_EDGE_TABLE} SELECT a.src, a.dst, a.relation, a.doc_id, b.doc_id AS reverse_doc_id FROM merged a JOIN merged b ON a.src = b.dst AND a.dst = b.src AND a.relation = b.relation WHERE a.relation <> 'correlates-with' AND (a.src < b.src OR (a.src = b.src AND a.doc_id <= b.doc_id))",
+    "h_conflict_report": f"WITH {_EDGE_TABLE.replace('merged AS (', 'merged AS MATERIALIZED (')}, f AS MATERIALIZED (SELECT src, dst, relation, doc_id, src || '|' || dst || '|' || relation AS k FROM merged WHERE relation <> 'correlates-with'), r AS MATERIALIZED (SELECT doc_id, dst || '|' || src || '|' || relation AS k FROM f) SELECT f.src, f.dst, f.relation, f.doc_id, r.doc_id AS reverse_doc_id FROM f JOIN r ON f.k = r.k WHERE f.src < f.dst OR (f.src = f.dst AND f.doc_id <= r.doc_id)",
     "h_resolve_aliases": f"WITH {_ALIASED} SELECT node_id, t[1] AS target_id, t[2] AS target_name FROM resolved",
     "h_apply_alias_resolution": f"WITH {_ALIASED} SELECT coalesce(t[1], s.node_id) AS node_id, coalesce(t[2], s.name) AS name, array_to_string(list_sort(list_filter([s.name, s.aliases[1], 'zz'], lambda x: x <> coalesce(t[2], s.name))), '|') AS aliases FROM staged s LEFT JOIN resolved r ON s.node_id = r.node_id",
     "h_resolve_endpoints": "WITH t AS (SELECT o_orderkey AS triple_id, o_custkey AS c, o_orderkey % 50 AS p FROM orders WHERE o_orderkey % 4 <> 0) SELECT triple_id, 'c' || c AS src, 'p' || p AS dst FROM t JOIN customer ON c_custkey = c JOIN part ON p_partkey = p",
@@ -311,14 +327,18 @@ ORACLES = {
     "i_summary_neighbours": f"WITH {_SUMMARY.format(asked=_ASKED.replace('s_suppkey AS question_id', 's_suppkey // 5 AS question_id'))} SELECT question_id, edge_id, n FROM summary",
     "i_summary_documents": f"""WITH {_EDGE_TABLE}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, created_at DESC, edge_id, a) AS k FROM steps WHERE confidence >= 0.45),
         g AS (SELECT CAST(doc_id AS BIGINT) % 500 AS question_id, edge_id, max(confidence) AS confidence, max(created_at) AS created_at FROM r WHERE k <= 24 GROUP BY ALL) SELECT question_id, edge_id, n FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY confidence DESC, created_at DESC, edge_id) AS n FROM g) WHERE n <= 12""",
-    "i_classify_intent": f"""WITH {_QUESTIONS}, d AS (SELECT *, regexp_extract_all(lower(text), '(?:doc|paper|arxiv)[ :=-]([a-z0-9]+)', 1) AS raw FROM q), u AS (SELECT *, list_filter(raw, lambda x, i: list_position(raw, x) = i) AS docs FROM d)
-        SELECT question_id, CASE WHEN {_share(*_I['paper'])} >= 0.33 AND len(docs) > 0 THEN 'paper_summary' WHEN {_share(*_I['cluster'])} >= 0.5 THEN 'cluster_summary' WHEN {_share(*_I['entity'])} >= 0.25 THEN 'entity_summary' ELSE 'factoid' END AS intent, array_to_string(docs, '|') AS documents FROM u""",
+    "i_classify_intent": f"""WITH {_QUESTIONS}, d AS (SELECT *, {_named_documents()} AS raw, list_filter(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9_.-]{{2,}}'), lambda w: regexp_matches(lower(w), '^(paper|doc|document)')) AS words FROM q),
+        t AS (SELECT *, list_filter(list_transform(CASE WHEN len(raw) > 0 THEN raw ELSE words END, lambda x: trim(x, ' ''".,;')), lambda x: x <> '') AS l FROM d), u AS (SELECT *, list_filter(l, lambda x, i: list_position(l, x) = i) AS docs FROM t),
+        k AS (SELECT question_id, docs, CASE WHEN {_share(*_I['paper'])} >= 0.33 AND len(docs) > 0 THEN 'paper_summary' WHEN {_share(*_I['cluster'])} >= 0.5 THEN 'cluster_summary' WHEN {_share(*_I['entity'])} >= 0.25 THEN 'entity_summary' ELSE 'factoid' END AS intent FROM u)
+        SELECT question_id, intent, CASE WHEN intent = 'paper_summary' THEN array_to_string(docs, '|') ELSE '' END AS documents FROM k""",
     "i_question_mentions": f"WITH {_QUESTIONS}, w AS (SELECT question_id, list_filter(regexp_extract_all(text, '[A-Z][A-Za-z0-9]+'), lambda w: lower(w) NOT IN {config.WH_WORDS}) AS l FROM q), r AS (SELECT question_id, l[p] AS mention, p - 1 AS pos FROM (SELECT *, unnest(range(1, len(l) + 1)) AS p FROM w)) SELECT question_id, arg_min(mention, pos) AS mention, min(pos) AS pos FROM r GROUP BY question_id, lower(mention)",
     "i_answer_table": f"""WITH {_PATHS}, {_ASKED}, {_FALLBACK.format(steps='steps')}, p AS (SELECT CAST(substr(start, 2) AS BIGINT) AS question_id, count(*) AS n, bool_or(conflicting) AS c, arg_min(signature, k) AS best FROM ranked GROUP BY 1), f AS (SELECT question_id, count(*) AS m FROM fallback GROUP BY 1)
         SELECT question_id, CASE WHEN n IS NULL THEN 'insufficient' WHEN c THEN 'conflicting' ELSE 'direct' END AS mode, CASE WHEN n IS NOT NULL THEN n || ' paths, best by edges ' || best WHEN m IS NOT NULL THEN 'no path; ' || m || ' related findings' ELSE 'no evidence' END AS summary FROM asked LEFT JOIN p USING (question_id) LEFT JOIN f USING (question_id)""",
     "i_answer_context": f"WITH {_SUMMARY.format(asked=_ASKED)} SELECT question_id, array_to_string(list_sort(list(DISTINCT doc_id)), '|') AS documents, string_agg(n || '. ' || src || ' ' || relation || ' ' || dst || ' [' || doc_id || ']', chr(10) ORDER BY n) AS prompt FROM summary GROUP BY question_id",
     "i_citation_check": "SELECT o_orderkey AS question_id, 2 AS cited, CASE WHEN o_orderkey % 5 = o_custkey % 5 THEN 1 ELSE 0 END AS valid FROM orders",
     "j_graph_view": f"WITH {_EDGE_TABLE} SELECT edge_id, row_number() OVER (ORDER BY confidence DESC, created_at DESC, edge_id) AS k FROM merged WHERE confidence >= 0.95 AND relation IN ('uses', 'improves') AND section = 'Results' ORDER BY k LIMIT 500",
+    "j_accessible_view": f"""WITH {_EDGE_TABLE}, {sql.NODES}, r AS (SELECT node_id FROM named WHERE times_seen = 2), v AS (SELECT * FROM merged WHERE confidence >= 0.95 AND section = 'Methods' AND (CAST(doc_id AS BIGINT) % 10 = 0 OR CAST(doc_id AS BIGINT) % 15 = 3)), p AS (SELECT *, src IN (SELECT node_id FROM r) OR dst IN (SELECT node_id FROM r) AS ok FROM v)
+        SELECT edge_id, row_number() OVER (ORDER BY confidence DESC, created_at DESC, edge_id) AS k FROM p WHERE ok OR NOT (SELECT coalesce(bool_or(ok), false) FROM p) ORDER BY k LIMIT 500""",
     "j_view_nodes": f"WITH {_EDGE_TABLE}, {sql.NODES}, v AS (SELECT src, dst FROM merged WHERE confidence >= 0.98 ORDER BY confidence DESC, created_at DESC, edge_id LIMIT 500) SELECT node_id, name FROM named WHERE node_id IN (SELECT src FROM v UNION SELECT dst FROM v)",
     "j_node_importance": f"""WITH {_EDGE_TABLE}, {sql.NODES}, d AS (SELECT node_id, count(*) AS degree FROM (SELECT src AS node_id FROM merged UNION ALL SELECT dst FROM merged) GROUP BY 1), i AS (SELECT n.node_id, type, coalesce(degree, 0) AS degree, times_seen + 2.5 * coalesce(degree, 0) AS raw FROM named n LEFT JOIN d USING (node_id)),
         r AS (SELECT *, raw / max(raw) OVER () AS importance, row_number() OVER (ORDER BY raw DESC, node_id) AS k FROM i) SELECT node_id, degree, round(importance, 9) AS importance, CASE WHEN k <= 3 THEN 0 ELSE CASE type WHEN 'supplier' THEN 1 WHEN 'part' THEN 2 ELSE 3 END END AS ring FROM r""",

@@ -119,7 +119,13 @@ def log_stages(spark, sf):
 
 
 def multi_paper_chains(spark, sf):
-    return quality.multi_paper_chains(_edges(spark, sf).where("confidence >= 0.97 and relation = 'uses'"))
+    return quality.multi_paper_chains(_edges(spark, sf).where("confidence >= 0.5"))
+
+
+def multi_paper_chain_pairs(spark, sf):
+    """Over the nations' first parts, as asked for."""
+    middles = tables.read(spark, sf, "nation").select(F.concat(F.lit("p"), (F.col("n_nationkey") + 1).cast("string")).alias("via"))
+    return quality.multi_paper_chain_pairs(_edges(spark, sf).where("confidence >= 0.5"), middles)
 
 
 def kpi_windows(spark, sf):
@@ -191,7 +197,7 @@ def _emb(column: str) -> str:
 
 
 QUERIES = {f"g_{f.__name__}": f for f in (aggregate_entities, name_features, hash_embedding, missing_embeddings, similarity_search, cluster_nodes, merge_map, merge_report)}
-QUERIES |= {f"m_{f.__name__}": f for f in (run_manifest, run_kpis, audit_kpis, audit_alerts, audit_summary, auto_audit, semantic_drift, triple_relevancy, recent_runs, kpi_status, recent_alerts, export_summary, qa_summary, soft_failures, recent_errors, graph_quality, log_downloads, log_stages, multi_paper_chains)}
+QUERIES |= {f"m_{f.__name__}": f for f in (run_manifest, run_kpis, audit_kpis, audit_alerts, audit_summary, auto_audit, semantic_drift, triple_relevancy, recent_runs, kpi_status, recent_alerts, export_summary, qa_summary, soft_failures, recent_errors, graph_quality, log_downloads, log_stages, multi_paper_chains, multi_paper_chain_pairs)}
 QUERIES |= {"s_kpi_windows": kpi_windows}
 
 ORACLES = {
@@ -230,6 +236,10 @@ ORACLES = {
         SELECT 'rejection', reason, round(n / (SELECT sum(n) FROM r), 6) FROM r UNION ALL SELECT * FROM (SELECT 'relation', relation, CAST(count(DISTINCT doc_id) AS DOUBLE) AS v FROM merged GROUP BY relation ORDER BY v DESC, relation LIMIT 10)""",
     "m_log_stages": """WITH g AS (SELECT 'paper' || user_id AS paper, event_id % 5 AS k, event_id % 1000 + 0.5::DOUBLE AS s FROM events WHERE event_id % 5 < 4), p AS (SELECT paper, round(sum(s) FILTER (k = 0), 6) AS parse, round(sum(s) FILTER (k = 1), 6) AS extraction, round(sum(s) FILTER (k = 2), 6) AS conversion, round(sum(s) FILTER (k = 3), 6) AS total FROM g GROUP BY paper)
         SELECT *, list_sort([(-coalesce(parse, 0), 'parse'), (-coalesce(extraction, 0), 'extraction'), (-coalesce(conversion, 0), 'conversion')])[1][2] AS dominant FROM p""",
-    "m_multi_paper_chains": f"WITH {_EDGE_TABLE}, s AS (SELECT b AS via, a AS e, doc_id FROM steps WHERE confidence >= 0.97 AND relation = 'uses') SELECT x.e AS a, x.via, y.e AS b, count(*) AS chains FROM s x JOIN s y ON x.via = y.via AND x.e < y.e AND x.doc_id <> y.doc_id GROUP BY ALL",
+    "m_multi_paper_chains": f"WITH {_EDGE_TABLE}, n AS (SELECT a AS via, doc_id, count(*) AS n FROM steps WHERE confidence >= 0.5 GROUP BY ALL), c AS (SELECT via, CAST((sum(n) * sum(n) - sum(n * n)) // 2 AS BIGINT) AS chains FROM n GROUP BY via) SELECT * FROM c WHERE chains > 0",
+    "m_multi_paper_chain_pairs": f"WITH {_EDGE_TABLE}, s AS (SELECT b AS via, a AS e, doc_id FROM steps WHERE confidence >= 0.5 AND b IN (SELECT 'p' || (n_nationkey + 1) FROM nation)) SELECT x.e AS a, x.via, y.e AS b, count(*) AS chains FROM s x JOIN s y ON x.via = y.via AND x.e < y.e AND x.doc_id <> y.doc_id GROUP BY ALL",
+    "m_log_downloads": """WITH e AS (SELECT user_id AS stream, event_id AS seq, ts, event_type, sum(CASE event_type WHEN 'view' THEN 1 ELSE -1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS s FROM events WHERE event_type IN ('view', 'click')),
+        m AS (SELECT a.stream, a.seq AS start_seq, a.ts, min(b.seq) AS end_seq FROM e a JOIN e b ON a.stream = b.stream AND b.s = a.s - 1 AND b.seq > a.seq WHERE a.event_type = 'view' GROUP BY ALL)
+        SELECT m.stream, start_seq, end_seq, round((epoch_us(e.ts) - epoch_us(m.ts)) / 1e6, 3) AS seconds FROM m JOIN e ON e.stream = m.stream AND e.seq = m.end_seq""",
     "s_kpi_windows": "SELECT date_trunc('day', ts) AS window_start, event_type AS metric, count(*) AS n, round(sum(value), 4) AS total, min(value) AS low, max(value) AS high FROM events GROUP BY ALL",
 }

@@ -82,7 +82,7 @@ def sentences(spark, sf):
 
 
 def _mentions(spark, sf):
-    return _elements(spark, sf).select("element_id", F.explode(F.slice(F.array_distinct(tables.capitalised(F.col("content"))), 1, 6)).alias("mention"))
+    return _elements(spark, sf).select("element_id", F.explode(F.slice(F.array_distinct(tables.capitalised(F.col("content"))), 1, config.MAX_MENTIONS)).alias("mention"))
 
 
 def _occurrences(spark, sf):
@@ -98,11 +98,11 @@ def comention_pairs(spark, sf):
 
 
 def comention_edges(spark, sf):
-    return comention.comention_edges(comention.comention_pairs(_occurrences(spark, sf))).select("doc_id", "a", "b", "relation", "confidence", "times_seen", F.col("evidence.element_id").alias("element_id"), F.col("evidence.sentence").alias("sentence"), F.concat_ws("|", "sections").alias("sections"))
+    return comention.comention_edges(comention.comention_pairs(_occurrences(spark, sf))).select("doc_id", "a", "b", "relation", "confidence", "times_seen", F.col("evidence.element_id").alias("element_id"), F.col("evidence.sentence").alias("sentence"), F.concat_ws("|", "sections").alias("sections"), F.col("attributes")["method"].alias("method"), F.col("attributes")["hidden"].alias("hidden"))
 
 
 _OCC = sql.SENTENCES + f""",
-mentions AS (SELECT element_id, m.mention FROM elements, LATERAL (SELECT unnest(c.l) AS mention FROM (SELECT list_filter(d, lambda x, i: i <= 6) AS l FROM (SELECT list_filter(q, lambda x, i: list_position(q, x) = i) AS d FROM (SELECT {sql.caps("content")} AS q))) c) m),
+mentions AS (SELECT element_id, m.mention FROM elements, LATERAL (SELECT unnest(c.l) AS mention FROM (SELECT list_filter(d, lambda x, i: i <= {config.MAX_MENTIONS}) AS l FROM (SELECT list_filter(q, lambda x, i: list_position(q, x) = i) AS d FROM (SELECT {sql.caps("content")} AS q))) c) m),
 parts AS (SELECT s.*, mention, string_split(lower(sentence), lower(mention)) AS parts FROM sents s JOIN mentions USING (element_id) WHERE contains(lower(sentence), lower(mention))),
 occ AS (SELECT doc_id, element_id, section, sent_no, sentence, mention, CAST(start + list_sum(list_transform(parts[1:k], lambda x: length(x))) + (k - 1) * length(mention) AS BIGINT) AS at FROM (SELECT *, unnest(range(1, len(parts))) AS k FROM parts)),
 met AS (SELECT a.doc_id, a.element_id, a.section, a.sent_no, a.sentence, a.mention AS a, b.mention AS b, a.at AS a_at, b.at AS b_at FROM occ a JOIN occ b ON a.element_id = b.element_id AND a.sent_no = b.sent_no AND lower(a.mention) < lower(b.mention) AND abs(a.at - b.at) <= 200),
@@ -146,5 +146,5 @@ ORACLES = {
     "e_mention_occurrences": f"WITH {_OCC} SELECT element_id, sent_no, mention, occ.\"at\" FROM occ",
     "e_comention_pairs": f"WITH {_OCC} SELECT element_id, sent_no, a, b, a_at, b_at, pair_no FROM pairs",
     "e_comention_edges": f"""WITH {_OCC}, g AS (SELECT doc_id, a, b, count(*) AS times_seen, arg_min((element_id, sentence), (element_id, sent_no, a_at, b_at)) AS ev, list_sort(list(DISTINCT section)) AS sections FROM pairs GROUP BY doc_id, a, b)
-        SELECT doc_id, a, b, 'correlates-with' AS relation, 0.3::DOUBLE AS confidence, times_seen, ev[1] AS element_id, ev[2] AS sentence, array_to_string(sections, '|') AS sections FROM g WHERE times_seen >= 2""",
+        SELECT doc_id, a, b, 'correlates-with' AS relation, 0.3::DOUBLE AS confidence, times_seen, ev[1] AS element_id, ev[2] AS sentence, array_to_string(sections, '|') AS sections, 'co-mention' AS method, 'true' AS hidden FROM g WHERE times_seen >= 2""",
 }

@@ -15,10 +15,14 @@ def read_parsed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return rows.where("type = 'paper_metadata'").select("doc_id", "title", "year", "venue", "doi"), rows.where("type = 'parsed_element'").select("doc_id", "element_id", "section", "content", "content_hash", "start_char", "end_char")
 
 
+BUCKETS = 64
+
+
 def write_parsed(papers: DataFrame, elements: DataFrame, path: str) -> None:
-    """Papers and elements as tagged JSON lines, a folder for each document."""
+    """Papers and elements as tagged JSON lines; a document is in one of BUCKETS folders, so that many small ones share files."""
     tagged = papers.withColumn("type", F.lit("paper_metadata")).unionByName(elements.withColumn("type", F.lit("parsed_element")), allowMissingColumns=True)
-    tagged.withColumn("part", F.col("doc_id")).write.mode("overwrite").partitionBy("part").json(path)
+    tagged = tagged.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)))
+    tagged.repartition("part").write.mode("overwrite").partitionBy("part").json(path)
 
 
 def read_log(spark: SparkSession, path: str, schema: StructType | str, last: int | None = None, order: str = "ts") -> DataFrame:
@@ -60,6 +64,18 @@ def decode_evidence(text):
     return F.when(e["element_id"].isNotNull(), F.struct(e["element_id"].alias("element_id"), e["doc_id"].alias("doc_id"), F.coalesce(e["text_span"]["start"], e["start"]).alias("start"), F.coalesce(e["text_span"]["end"], e["end"]).alias("end"), e["full_sentence"].alias("full_sentence")))
 
 
+def encode_attributes(attributes):
+    """A map of attributes as a JSON object with its keys in order; empty keys and null values are left out."""
+    kept = F.map_filter(attributes, lambda k, v: (k != "") & v.isNotNull())
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(kept))))
+
+
+def decode_attributes(text):
+    """Attributes from a JSON object; whatever can't be read is an empty map."""
+    empty = F.create_map().cast("map<string,string>")
+    return F.coalesce(F.from_json(text, "map<string,string>"), empty)
+
+
 def parse_text_log(lines: DataFrame) -> DataFrame:
     """Lines that carry a `yyyy-MM-dd HH:mm:ss,SSS` stamp: `ts, message`; others are dropped."""
     stamp = F.regexp_extract("value", "([0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2},[0-9]{3})", 1)

@@ -43,3 +43,18 @@ def kpi_windows(metrics: DataFrame, width: str = "1 day", late: str = "1 hour")
 def paper_status(events: DataFrame) -> DataFrame:
     """Latest status of each paper, in update mode when streamed."""
     return events.groupBy("paper_id").agg(F.max_by("status", F.struct("ts", "seq")).alias("status"), F.max("ts").alias("updated_at"))
+
+
+def write_paper_status(events: DataFrame, out_path: str, checkpoint: str) -> StreamingQuery:
+    """Streams status events in update mode; each batch's changed papers overwrite that batch's own folder, so it can run again."""
+
+    def batch(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out_path}/batch={number}")
+
+    return paper_status(events).writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_paper_status(spark, out_path: str) -> DataFrame:
+    """The status that the last batch with a change has written for each paper."""
+    rows = spark.read.parquet(out_path)
+    return rows.groupBy("paper_id").agg(F.max_by("status", "batch").alias("status"), F.max_by("updated_at", "batch").alias("updated_at"))
