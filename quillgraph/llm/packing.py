@@ -32,7 +32,7 @@ K1, B_LENGTH = 1.2, 0.75
 #: Tokens of a run, and how many least hashes of runs a tail is filed under.
 RUN, KEYS = 4, 4
 #: Words (and as many words with what is attached to them) whose ids a Python worker remembers; beyond that it starts anew.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 400_000
 _CONTROL = "\x1c\x1d\x1e\x1f"
 
 _cache: dict[str, dict[str, bytes]] = {}
@@ -151,7 +151,7 @@ def token_bytes(texts: pa.Array, path: str) -> list[bytes]:
     return out
 
 
-def _blocks(texts: pa.Array, size: int = 1 << 23) -> Iterator[pa.Array]:
+def _blocks(texts: pa.Array, size: int = 1 << 22) -> Iterator[pa.Array]:
     """Slices of about `size` bytes, of one text at least."""
     lengths = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) if len(texts) else []
     start = 0
@@ -208,6 +208,18 @@ def content_keys(tails: list[bytes]) -> tuple[list[list[int]], list[int]]:
     return keys, topics.tolist()
 
 
+def _groups(tails: list[bytes], size: int = 1 << 19) -> Iterator[list[bytes]]:
+    """The tails in groups of about `size` bytes, so that the arrays made of them stay small."""
+    at = held = 0
+    for i, t in enumerate(tails):
+        if held and held + len(t) > size:
+            yield tails[at:i]
+            at, held = i, 0
+        held += len(t)
+    if at < len(tails):
+        yield tails[at:]
+
+
 def _tokenize(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,9 +230,10 @@ def _tokenize(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 tokens += [len(ids) // 2 for ids in new]
                 crcs += [[ids_crc32(ids[i : i + 2 * WINDOW]) for i in range(0, n, 2 * WINDOW)] for ids, n in zip(new, full)]
                 tails += [ids[n:] for ids, n in zip(new, full)]
-                found = content_keys(tails[-len(new) :])
-                keys += found[0]
-                topics += found[1]
+                for own in _groups(tails[-len(new) :]):
+                    found = content_keys(own)
+                    keys += found[0]
+                    topics += found[1]
             columns = [pa.array(tokens, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(tails, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(topics, pa.int32())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [c.split()[0] for c in _TAILS.split(", ")])
 
