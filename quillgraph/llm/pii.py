@@ -50,23 +50,25 @@ IBAN_COUNTRIES = ("AT", "BE", "CH", "DE", "DK", "ES", "FI", "FR", "GB", "IE", "I
 INNER_NETWORKS = ("0.", "10.", "127.", "169.254.", "192.168.", "255.")
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_DIGIT = re.compile("[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # A match of the plain pattern always starts where a run of digits does, and takes whole runs.
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+# Each kind has patterns; a text without any of the literals that a pattern needs (a digit, where there are none) is not searched.
 _WIDE = (
-    ("email", re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]{1,63}){1,4}")),
-    ("phone", re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])")),
-    ("card", re.compile(r"(?<![0-9-])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9-])")),
-    ("ip", re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")),
-    ("secret", re.compile(r"(?<![0-9A-Za-z])eyJ[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+")),
-    ("secret", re.compile(r"(?<![0-9A-Za-z])(?:sk[-_]|pk_|gh[op]_|xox[abp]-|AKIA|AIza)[0-9A-Za-z_-]{16,}+")),
-    ("secret", re.compile(r"(?<![0-9A-Za-z+/])[0-9A-Za-z+/]{40,}+={1,2}(?![0-9A-Za-z=])")),
-    ("secret", re.compile(r"(?<![0-9A-Za-z_])(?=[A-Za-z_]*[0-9])[0-9A-Za-z_]{32,}+")),
-    ("iban", re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])")),
-    ("ssn", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
-    ("name", re.compile(r"\b(?:" + "|".join(TITLES) + r")\.? [A-Z][a-zà-ÿ]{1,20}(?: [A-Z][a-zà-ÿ]{1,20})?")),
+    ("email", re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]{1,63}){1,4}"), ("(at)", "[at]")),
+    ("phone", re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"), ()),
+    ("card", re.compile(r"(?<![0-9-])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9-])"), ()),
+    ("ip", re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"), (":",)),
+    ("secret", re.compile(r"(?<![0-9A-Za-z])eyJ[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+"), ("eyJ",)),
+    ("secret", re.compile(r"(?<![0-9A-Za-z])(?:sk[-_]|pk_|gh[op]_|xox[abp]-|AKIA|AIza)[0-9A-Za-z_-]{16,}+"), SECRET_STARTS),
+    ("secret", re.compile(r"(?<![0-9A-Za-z+/])[0-9A-Za-z+/]{40,}+={1,2}(?![0-9A-Za-z=])"), ("=",)),
+    ("secret", re.compile(r"(?<![0-9A-Za-z_])(?=[A-Za-z_]*[0-9])[0-9A-Za-z_]{32,}+"), ()),
+    ("iban", re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"), ()),
+    ("ssn", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), ()),
+    ("name", re.compile(r"\b(?:" + "|".join(TITLES) + r")\.? [A-Z][a-zà-ÿ]{1,20}(?: [A-Z][a-zà-ÿ]{1,20})?"), TITLES),
 )
 _CONTEXT = {k: re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, w)) + r")(?!\w)", re.I) for k, w in CONTEXT_WORDS.items()}
 #: Characters before a candidate in which context words are looked for.
@@ -99,6 +101,8 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 def base_spans(text: str) -> list[Span]:
     """The base patterns' spans by start, then kind; code points, end exclusive."""
     out: list[Span] = [("email", a, b) for a, b in _emails(text)]
+    if not _DIGIT.search(text):  # the other patterns begin with one, or with a plus and one
+        return out
     out += [("ip", *m.span()) for m in _IP.finditer(text) if all(int(p) <= 255 if len(p) < 10 else not p.strip("0") or int(p.lstrip("0")[:10]) <= 255 for p in m.group().split("."))]
     for m in _CARD.finditer(text):
         digits = re.sub("[^0-9]", "", m.group())
@@ -126,7 +130,10 @@ def candidates(text: str, base: list[Span]) -> list[Span]:
             starts.append(a)
             ends.append(b)
     out: list[Span] = []
-    for kind, pattern in _WIDE:
+    digits = _DIGIT.search(text) is not None
+    for kind, pattern, literals in _WIDE:
+        if not (any(x in text for x in literals) if literals else digits):
+            continue
         new = []
         for m in pattern.finditer(text):
             a, b = m.span()

@@ -574,7 +574,7 @@ def test_pii_candidates_equal_comparing_all_pairs():
         text = rng.choice([" ", ",", ""]).join(rng.choice(words) for _ in range(6))
         base = pii.base_spans(text)
         taken, want = [(a, b) for _, a, b in base], []
-        for kind, pattern in pii._WIDE:
+        for kind, pattern, _ in pii._WIDE:
             for m in pattern.finditer(text):
                 a, b = m.span()
                 if all(b <= x or a >= y for x, y in taken):
