@@ -127,10 +127,39 @@ def validate_contracts(rows: DataFrame, rules: Sequence[tuple[str, Column]]) ->
     return rows.withColumn("broken", broken)
 
 
+def _filled(*columns: str) -> list[tuple[str, Column]]:
+    return [(c, F.length(c) > 0) for c in columns]
+
+
+def _span(start: str, end: str) -> list[tuple[str, Column]]:
+    return [(start, F.col(start) >= 0), (end, F.col(end) > F.col(start))]
+
+
 def element_rules() -> list[tuple[str, Column]]:
     return [
         ("doc_id", F.trim("doc_id") != ""),
+        *_filled("element_id", "section", "content"),
         ("content_hash", F.col("content_hash").rlike("^[0-9a-f]{64}$")),
-        ("start_char", F.col("start_char") >= 0),
-        ("end_char", F.col("end_char") > F.col("start_char")),
+        *_span("start_char", "end_char"),
     ]
+
+
+def evidence_rules() -> list[tuple[str, Column]]:
+    return [*_filled("doc_id", "element_id"), *_span("span_start", "span_end")]
+
+
+def triple_rules() -> list[tuple[str, Column]]:
+    return [*_filled("src_text", "relation", "dst_text"), ("confidence", F.col("confidence").between(0, 1)), *evidence_rules(), *_filled("version")]
+
+
+def node_rules() -> list[tuple[str, Column]]:
+    return [*_filled("node_id", "name", "type"), ("times_seen", F.col("times_seen") >= 0)]
+
+
+def edge_rules() -> list[tuple[str, Column]]:
+    return [*_filled("src", "dst", "relation"), *evidence_rules(), ("confidence", F.col("confidence").between(0, 1)), *_filled("version"), ("created_at", F.col("created_at").isNotNull())]
+
+
+def paper_rules() -> list[tuple[str, Column]]:
+    """A year may be missing."""
+    return [*_filled("doc_id"), ("year", F.col("year").isNull() | F.col("year").between(1900, 2100))]

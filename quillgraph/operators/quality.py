@@ -197,3 +197,24 @@ def multi_paper_chain_pairs(edges: DataFrame, middles: DataFrame) -> DataFrame:
     left, right = steps.toDF("via", "a", "doc_a", "n"), steps.toDF("via", "b", "doc_b", "m")
     met = left.join(right, "via").where("a < b and doc_a <> doc_b")
     return met.groupBy("a", "via", "b").agg(F.sum(F.col("n") * F.col("m")).alias("chains"))
+
+
+def audit_overview(audits: DataFrame) -> DataFrame:
+    """One row over all audits: their number and edges, averages of ratios where an audit has edges, the latest time, reviewers by name."""
+    total = F.col("total_edges")
+    return audits.agg(
+        F.count("*").alias("reviews"),
+        F.sum(total.cast("long")).alias("total_edges"),
+        F.round(F.avg(F.when(total > 0, F.col("correct_edges") / total)), 6).alias("average_correct"),
+        F.round(F.avg(F.when(total > 0, F.col("duplicate_edges") / total)), 6).alias("average_duplicate"),
+        F.max("reviewed_at").alias("last_reviewed_at"),
+        F.array_sort(F.collect_set(F.nullif(F.trim("reviewer"), F.lit("")))).alias("reviewers"),
+    )
+
+
+def audit_findings(audits: DataFrame, n: int = 5) -> DataFrame:
+    """The n latest audits with their ratios; a missing reviewer is `Unknown`."""
+    total = F.col("total_edges")
+    named = audits.withColumn("reviewer", F.coalesce(F.nullif(F.trim("reviewer"), F.lit("")), F.lit("Unknown")))
+    rated = named.withColumns({"correct_ratio": F.when(total > 0, F.col("correct_edges") / total), "duplicate_ratio": F.when(total > 0, F.col("duplicate_edges") / total)})
+    return recent(rated, n, "reviewed_at", "audit_id")

@@ -13,10 +13,17 @@ def registry_state(events: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     return events.groupBy("paper_id").agg(*latest, F.min("ts").alias("uploaded_at"), F.max("ts").alias("updated_at"))
 
 
-def search_papers(papers: DataFrame, text: str | None = None, status: str | None = None) -> DataFrame:
+def search_papers(papers: DataFrame, text: str | None = None, status: str | None = None, author: str | None = None) -> DataFrame:
+    """Papers whose title or, where the table has it, `file_name` contains the text and one of whose `authors` contains `author`; case is ignored."""
     out = papers
     if text:
-        out = out.where(F.contains(F.lower("title"), F.lit(text.lower())))
+        places = [c for c in ("title", "file_name") if c in papers.columns]
+        met = F.lit(False)
+        for c in places:
+            met = met | F.coalesce(F.contains(F.lower(c), F.lit(text.lower())), F.lit(False))
+        out = out.where(met)
+    if author:
+        out = out.where(F.exists("authors", lambda a: F.contains(F.lower(a), F.lit(author.lower()))))
     if status:
         out = out.where(F.col("status") == status)
     return out
@@ -27,18 +34,30 @@ def paper_counts(papers: DataFrame) -> DataFrame:
 
 
 def assign_paper_ids(uploads: DataFrame) -> DataFrame:
-    """Slug of each name; `-1`, `-2` and so on in upload order where the slug is taken.
+    """Slug of each name; the next free of `-1`, `-2` and so on in upload order where the slug is taken.
 
-    A numbered slug that another upload has as its own is stepped over: numbers count from the free ones.
+    A number whose slug another upload has as its own isn't free.
     """
     slug = F.trim(F.regexp_replace(F.lower("name"), "[^a-z0-9]+", "-"), F.lit("-"))
-    rows = uploads.withColumn("slug", slug).withColumn("k", F.row_number().over(Window.partitionBy("slug").orderBy("seq")) - 1)
-    taken = rows.where("k = 0").select(F.col("slug").alias("other"))
-    wanted = rows.where("k > 0").withColumn("paper_id", F.concat_ws("-", "slug", F.col("k").cast("string")))
-    clash = wanted.join(taken, wanted["paper_id"] == taken["other"], "left_semi").withColumn("paper_id", F.concat_ws("-", "slug", F.col("k").cast("string"), "seq"))
-    free = wanted.join(taken, wanted["paper_id"] == taken["other"], "left_anti")
-    return rows.where("k = 0").select(*uploads.columns, F.col("slug").alias("paper_id")).unionByName(free.unionByName(clash).select(*uploads.columns, "paper_id"))
+    rows = uploads.withColumn("__slug", slug).withColumn("__k", F.row_number().over(Window.partitionBy("__slug").orderBy("seq")) - 1)
+    own = rows.where("__k = 0").select("__slug")
+    # Slugs that end in a number take it from their stem; the i-th such number t leaves t - i free ones below it.
+    form = "^(.+)-([1-9][0-9]{0,8})$"
+    numbers = own.select(F.regexp_extract("__slug", form, 1).alias("stem"), F.regexp_extract("__slug", form, 2).alias("t")).where("stem <> ''")
+    numbers = numbers.withColumn("t", F.col("t").cast("int"))
+    below = numbers.select(F.col("stem").alias("__slug"), (F.col("t") - F.row_number().over(Window.partitionBy("stem").orderBy("t"))).alias("__at"), F.lit(1).alias("__step"))
+    wanted = rows.where("__k > 0").withColumns({"__at": F.col("__k"), "__step": F.lit(0)})
+    # The k-th upload comes after every taken number with fewer than k free ones below it.
+    order = Window.partitionBy("__slug").orderBy("__at", "__step").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = wanted.unionByName(below, allowMissingColumns=True).withColumn("__n", F.col("__at") + F.sum("__step").over(order)).where("__step = 0")
+    numbered = numbered.select(*uploads.columns, F.concat_ws("-", "__slug", F.col("__n").cast("string")).alias("paper_id"))
+    return rows.where("__k = 0").select(*uploads.columns, F.col("__slug").alias("paper_id")).unionByName(numbered)
 
 
 def queue_snapshot(papers: DataFrame) -> DataFrame:
     return papers.groupBy("status").agg(F.count("*").alias("n"), F.max("updated_at").alias("newest"))
+
+
+def active_papers(papers: DataFrame, statuses: tuple[str, ...] = ("uploaded", "processing")) -> DataFrame:
+    """Papers that wait or are worked on, newest first; those without a time come last."""
+    return papers.where(F.col("status").isin(*statuses)).orderBy(F.desc_nulls_last("updated_at"), "paper_id")

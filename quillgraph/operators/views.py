@@ -9,7 +9,13 @@ from pyspark.sql import functions as F
 
 from quillgraph.operators.qa import both_directions
 
-RINGS = ("supplier", "part")
+# Types and dominant sections of each ring, from the centre outwards.
+RINGS = (
+    (("method", "model", "approach", "task", "architecture", "algorithm"), ()),
+    (("component", "module", "parameter", "hyperparameter", "protein", "gene", "sequence"), ("methods", "approach", "implementation")),
+    (("dataset", "data", "corpus", "benchmark", "experiment"), ()),
+    (("metric", "score", "measure", "accuracy", "loss"), ("results", "evaluation", "conclusion", "discussion")),
+)
 
 
 def graph_view(edges: DataFrame, confidence: float = 0.5, relations: Sequence[str] = (), sections: Sequence[str] = (), comentions: bool = False, papers: DataFrame | None = None, limit: int = 500, nodes: DataFrame | None = None, access: DataFrame | None = None) -> DataFrame:
@@ -53,8 +59,11 @@ def view_edges(view: DataFrame) -> DataFrame:
     return view.withColumn("id", F.concat(F.col("src"), F.lit("->"), F.col("dst"), F.lit(":"), F.col("relation"), F.lit(":"), F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss")))
 
 
-def node_importance(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """times_seen + 2.5 * degree as a share of the greatest; ring 0 for the few most important, else by type."""
+def node_importance(nodes: DataFrame, edges: DataFrame, rings: Sequence[tuple[Sequence[str], Sequence[str]]] = RINGS) -> DataFrame:
+    """times_seen + 2.5 * degree as a share of the greatest; ring 0 for the few most important, else the first ring that has the type or dominant section.
+
+    The dominant section is that of the greatest count in the map `sections`, where nodes have one; of several the first by name.
+    """
     ends = edges.select(F.col("src").alias("node_id")).unionAll(edges.select(F.col("dst").alias("node_id")))
     degree = ends.groupBy("node_id").agg(F.count("*").alias("degree"))
     scored = nodes.join(degree, "node_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0).cast("long")))
@@ -63,10 +72,24 @@ def node_importance(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     scale = scored.agg(F.max("raw").alias("top"), F.greatest(F.lit(1), F.least(F.lit(3), F.bround(F.count("*") * 0.08).cast("int"))).alias("core"))
     first = scored.orderBy(F.desc("raw"), "node_id").limit(3).withColumn("place", F.row_number().over(Window.orderBy(F.desc("raw"), "node_id"))).select("node_id", "place")
     joined = scored.crossJoin(F.broadcast(scale)).join(F.broadcast(first), "node_id", "left")
+    type_, section = F.lower(F.trim("type")), F.lit(None).cast("string")
+    if "sections" in nodes.columns:
+        section = F.lower(F.get(F.array_sort(F.transform(F.map_entries("sections"), lambda e: F.struct((-e["value"]).alias("n"), e["key"].alias("name")))), 0)["name"])
     ring = F.when(F.col("place") <= F.col("core"), 0)
-    for i, type_ in enumerate(RINGS):
-        ring = ring.when(F.col("type") == type_, i + 1)
-    return joined.select("node_id", "type", "degree", (F.col("raw") / F.col("top")).alias("importance"), ring.otherwise(len(RINGS) + 1).alias("ring"))
+    for i, (types, sections) in enumerate(rings):
+        ring = ring.when(type_.isin(*types) | section.isin(*sections), i + 1)
+    return joined.select("node_id", "type", "degree", (F.col("raw") / F.col("top")).alias("importance"), ring.otherwise(len(rings) + 1).alias("ring"))
+
+
+def partition_nodes(parts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """`node_id, part`: each node under each of its documents, and under `unattributed` where an edge there needs it.
+
+    `parts` are the edges of partition_by_document.
+    """
+    own = nodes.select("node_id", F.explode("docs").alias("part"))
+    left_over = parts.where("part = 'unattributed'")
+    needed = left_over.select(F.col("src").alias("node_id"), "part").unionAll(left_over.select(F.col("dst").alias("node_id"), "part"))
+    return own.unionAll(needed).distinct()
 
 
 def partition_by_document(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -135,6 +135,16 @@ def search_papers(spark, sf):
     return registry.search_papers(state, text="9").select("paper_id", "title")
 
 
+def search_authors(spark, sf):
+    """Parts as papers: the words of a name are its authors."""
+    p = tables.read(spark, sf, "part").select(F.col("p_partkey").alias("paper_id"), F.col("p_name").alias("title"), F.col("p_type").alias("file_name"), F.split("p_name", " ").alias("authors"))
+    return registry.search_papers(p, text="al", author="O").select("paper_id")
+
+
+def active_papers(spark, sf):
+    return registry.active_papers(registry.registry_state(_paper_events(spark, sf), ("status", "title"))).select("paper_id", "status", "updated_at")
+
+
 def paper_counts(spark, sf):
     return registry.paper_counts(registry.registry_state(_paper_events(spark, sf), ("status", "title")))
 
@@ -213,7 +223,7 @@ _LINES = _EDGE_TABLE + ", " + sql.NODES + """, lines AS (SELECT 0 AS part, node_
 QUERIES = {f"d_{f.__name__}": f for f in (triple_budget, build_requests, cache_hits, cache_misses, normalise_relations, entity_types, validate_triples, supporting_sentence, section_counts, type_votes, extraction_summary)}
 QUERIES |= {f"a_{f.__name__}": f for f in (parse_responses, response_status, section_maps, evidence_json, text_log)}
 QUERIES |= {f"f_{f.__name__}": f for f in (pending_chunks, mark_processed, force_reset, needs_deprecation)}
-QUERIES |= {f"k_{f.__name__}": f for f in (registry_state, search_papers, paper_counts, queue_snapshot, assign_paper_ids)}
+QUERIES |= {f"k_{f.__name__}": f for f in (registry_state, search_papers, search_authors, active_papers, paper_counts, queue_snapshot, assign_paper_ids)}
 QUERIES |= {f"l_{f.__name__}": f for f in (export_edges, export_graphml, export_manifest, share_records, share_state)}
 
 ORACLES = {
@@ -239,6 +249,8 @@ ORACLES = {
     "f_needs_deprecation": f"WITH {_REG} SELECT DISTINCT doc_id FROM reg WHERE version <> 'v1'",
     "k_registry_state": f"WITH {_PAPERS} SELECT * FROM state",
     "k_search_papers": f"WITH {_PAPERS} SELECT paper_id, title FROM state WHERE contains(title, '9')",
+    "k_search_authors": "SELECT p_partkey AS paper_id FROM part WHERE (contains(lower(p_name), 'al') OR contains(lower(p_type), 'al')) AND len(list_filter(string_split(p_name, ' '), lambda a: contains(lower(a), 'o'))) > 0",
+    "k_active_papers": f"WITH {_PAPERS} SELECT paper_id, status, updated_at FROM state WHERE status IN ('uploaded', 'processing')",
     "k_paper_counts": f"WITH {_PAPERS} SELECT count(*) AS total, count(*) FILTER (status = 'complete') AS complete, count(*) FILTER (status = 'processing') AS processing, count(*) FILTER (status = 'failed') AS failed FROM state",
     "k_queue_snapshot": f"WITH {_PAPERS} SELECT status, count(*) AS n FROM state GROUP BY status",
     "k_assign_paper_ids": "WITH s AS (SELECT p_partkey AS seq, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY seq) - 1 AS k FROM s) SELECT seq, CASE WHEN k = 0 THEN slug ELSE slug || '-' || k END AS paper_id FROM r",

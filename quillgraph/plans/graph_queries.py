@@ -230,13 +230,20 @@ def view_nodes(spark, sf):
 
 
 def node_importance(spark, sf):
-    return views.node_importance(tables.graph_nodes(spark, sf), _edges(spark, sf)).select("node_id", "degree", F.round("importance", 9).alias("importance"), "ring")
+    rings = ((("supplier",), ()), (("part",), ()), ((), ("results",)))
+    nodes = tables.graph_nodes(spark, sf).withColumn("sections", F.create_map(F.lit("Methods"), F.col("times_seen") % 3, F.lit("Results"), F.col("times_seen") % 2))
+    return views.node_importance(nodes, _edges(spark, sf), rings).select("node_id", "degree", F.round("importance", 9).alias("importance"), "ring")
 
 
 def partition_by_document(spark, sf):
     return views.partition_by_document(_edges(spark, sf), tables.graph_nodes(spark, sf)).groupBy("part").agg(F.count("*").alias("edges"))
 
 
+def partition_nodes(spark, sf):
+    nodes = tables.graph_nodes(spark, sf)
+    return views.partition_nodes(views.partition_by_document(_edges(spark, sf), nodes), nodes).groupBy("part").agg(F.count("*").alias("nodes"))
+
+
 def node_focus(spark, sf):
     return views.node_focus(_edges(spark, sf), 6).select("node_id", "other", "edge_id", "k")
 
@@ -294,7 +301,7 @@ _I = config.INTENT_KEYWORDS
 QUERIES = {f"h_{f.__name__}": f for f in (upsert_nodes, combine_staged_nodes, upsert_edges, flag_conflicts, conflict_report, resolve_aliases, apply_alias_resolution, resolve_endpoints, unresolved_endpoints, known_documents, mark_cross_paper, check_edges, edge_attributes)}
 QUERIES |= {"f_deprecate_edges": deprecate_edges}
 QUERIES |= {f"i_{f.__name__}": f for f in (match_exact, match_contains, top_nodes, find_paths, rank_paths, neighbours, document_edges, fallback_neighbours, summary_neighbours, summary_documents, classify_intent, question_mentions, answer_table, answer_context, citation_check)}
-QUERIES |= {f"j_{f.__name__}": f for f in (graph_view, accessible_view, view_nodes, node_importance, partition_by_document, node_focus, accessible_papers)}
+QUERIES |= {f"j_{f.__name__}": f for f in (graph_view, accessible_view, view_nodes, node_importance, partition_by_document, partition_nodes, node_focus, accessible_papers)}
 
 ORACLES = {
     "h_upsert_nodes": f"""WITH {sql.NODES}, s AS (SELECT * FROM named WHERE times_seen IN (2, 4, 6))
@@ -340,9 +347,10 @@ ORACLES = {
     "j_accessible_view": f"""WITH {_EDGE_TABLE}, {sql.NODES}, r AS (SELECT node_id FROM named WHERE times_seen = 2), v AS (SELECT * FROM merged WHERE confidence >= 0.95 AND section = 'Methods' AND (CAST(doc_id AS BIGINT) % 10 = 0 OR CAST(doc_id AS BIGINT) % 15 = 3)), p AS (SELECT *, src IN (SELECT node_id FROM r) OR dst IN (SELECT node_id FROM r) AS ok FROM v)
         SELECT edge_id, row_number() OVER (ORDER BY confidence DESC, created_at DESC, edge_id) AS k FROM p WHERE ok OR NOT (SELECT coalesce(bool_or(ok), false) FROM p) ORDER BY k LIMIT 500""",
     "j_view_nodes": f"WITH {_EDGE_TABLE}, {sql.NODES}, v AS (SELECT src, dst FROM merged WHERE confidence >= 0.98 ORDER BY confidence DESC, created_at DESC, edge_id LIMIT 500) SELECT node_id, name FROM named WHERE node_id IN (SELECT src FROM v UNION SELECT dst FROM v)",
-    "j_node_importance": f"""WITH {_EDGE_TABLE}, {sql.NODES}, d AS (SELECT node_id, count(*) AS degree FROM (SELECT src AS node_id FROM merged UNION ALL SELECT dst FROM merged) GROUP BY 1), i AS (SELECT n.node_id, type, coalesce(degree, 0) AS degree, times_seen + 2.5 * coalesce(degree, 0) AS raw FROM named n LEFT JOIN d USING (node_id)),
-        r AS (SELECT *, raw / max(raw) OVER () AS importance, row_number() OVER (ORDER BY raw DESC, node_id) AS k FROM i) SELECT node_id, degree, round(importance, 9) AS importance, CASE WHEN k <= 3 THEN 0 ELSE CASE type WHEN 'supplier' THEN 1 WHEN 'part' THEN 2 ELSE 3 END END AS ring FROM r""",
+    "j_node_importance": f"""WITH {_EDGE_TABLE}, {sql.NODES}, d AS (SELECT node_id, count(*) AS degree FROM (SELECT src AS node_id FROM merged UNION ALL SELECT dst FROM merged) GROUP BY 1), i AS (SELECT n.node_id, type, times_seen, coalesce(degree, 0) AS degree, times_seen + 2.5 * coalesce(degree, 0) AS raw FROM named n LEFT JOIN d USING (node_id)),
+        r AS (SELECT *, raw / max(raw) OVER () AS importance, row_number() OVER (ORDER BY raw DESC, node_id) AS k FROM i) SELECT node_id, degree, round(importance, 9) AS importance, CASE WHEN k <= 3 THEN 0 WHEN type = 'supplier' THEN 1 WHEN type = 'part' THEN 2 WHEN times_seen % 2 > times_seen % 3 THEN 3 ELSE 4 END AS ring FROM r""",
     "j_partition_by_document": f"WITH {_EDGE_TABLE}, {sql.NODES}, p AS (SELECT list_intersect(s.docs, d.docs) AS shared FROM merged JOIN named s ON s.node_id = src JOIN named d ON d.node_id = dst) SELECT part, count(*) AS edges FROM (SELECT unnest(CASE WHEN len(shared) = 0 THEN ['unattributed'] ELSE list_distinct(shared) END) AS part FROM p) GROUP BY part",
+    "j_partition_nodes": f"WITH {_EDGE_TABLE}, {sql.NODES}, p AS (SELECT src, dst FROM merged JOIN named s ON s.node_id = src JOIN named d ON d.node_id = dst WHERE len(list_intersect(s.docs, d.docs)) = 0), a AS (SELECT node_id, unnest(docs) AS part FROM named UNION SELECT src, 'unattributed' FROM p UNION SELECT dst, 'unattributed' FROM p) SELECT part, count(*) AS nodes FROM a GROUP BY part",
     "j_node_focus": f"WITH {_EDGE_TABLE} SELECT * FROM (SELECT a AS node_id, b AS other, edge_id, row_number() OVER (PARTITION BY a ORDER BY times_seen DESC, edge_id) AS k FROM steps) WHERE k <= 6",
     "j_accessible_papers": "SELECT CAST(doc_id AS VARCHAR) AS paper_id FROM documents WHERE doc_id % 10 = 0 OR doc_id % 15 = 3 OR doc_id % 4 = 3",
 }

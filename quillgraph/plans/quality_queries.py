@@ -47,6 +47,19 @@ def audit_summary(spark, sf):
     return quality.audit_summary(quality.audit_kpis(_audits(spark, sf))[0])
 
 
+def _reviews(spark, sf):
+    rows = _audits(spark, sf).join(tables.read(spark, sf, "orders").select(F.col("o_orderkey").alias("audit_id"), "o_custkey"), "audit_id")
+    return rows.withColumn("reviewer", F.when(F.col("o_custkey") % 7 == 0, " ").otherwise(F.concat(F.lit("r"), (F.col("o_custkey") % 7).cast("string")))).withColumn("reviewed_at", F.timestamp_seconds(F.col("audit_id"))).drop("o_custkey")
+
+
+def audit_overview(spark, sf):
+    return quality.audit_overview(_reviews(spark, sf)).withColumn("reviewers", F.concat_ws("|", "reviewers"))
+
+
+def audit_findings(spark, sf):
+    return quality.audit_findings(_reviews(spark, sf)).select("audit_id", "reviewer", "total_edges", F.round("correct_ratio", 6).alias("correct_ratio"), F.round("duplicate_ratio", 6).alias("duplicate_ratio"))
+
+
 def auto_audit(spark, sf):
     return quality.auto_audit(_edges(spark, sf))
 
@@ -197,7 +210,7 @@ def _emb(column: str) -> str:
 
 
 QUERIES = {f"g_{f.__name__}": f for f in (aggregate_entities, name_features, hash_embedding, missing_embeddings, similarity_search, cluster_nodes, merge_map, merge_report)}
-QUERIES |= {f"m_{f.__name__}": f for f in (run_manifest, run_kpis, audit_kpis, audit_alerts, audit_summary, auto_audit, semantic_drift, triple_relevancy, recent_runs, kpi_status, recent_alerts, export_summary, qa_summary, soft_failures, recent_errors, graph_quality, log_downloads, log_stages, multi_paper_chains, multi_paper_chain_pairs)}
+QUERIES |= {f"m_{f.__name__}": f for f in (run_manifest, run_kpis, audit_kpis, audit_alerts, audit_summary, audit_overview, audit_findings, auto_audit, semantic_drift, triple_relevancy, recent_runs, kpi_status, recent_alerts, export_summary, qa_summary, soft_failures, recent_errors, graph_quality, log_downloads, log_stages, multi_paper_chains, multi_paper_chain_pairs)}
 QUERIES |= {"s_kpi_windows": kpi_windows}
 
 ORACLES = {
@@ -217,6 +230,9 @@ ORACLES = {
     "m_audit_kpis": f"WITH {_AUDIT} SELECT * FROM k",
     "m_audit_alerts": f"WITH {_AUDIT} SELECT metric, CASE status WHEN 'red' THEN 'critical' ELSE 'warning' END AS level, count(*) AS n FROM k WHERE status <> 'green' GROUP BY ALL",
     "m_audit_summary": f"WITH {_AUDIT} SELECT metric, round(avg(value), 6) AS average, count(*) AS audits, arg_min(status, CASE status WHEN 'red' THEN 0 WHEN 'amber' THEN 1 ELSE 2 END) AS worst FROM k GROUP BY metric",
+    "m_audit_overview": """WITH a AS (SELECT o_orderkey AS id, o_custkey % 20 AS t, o_custkey % 17 AS c, o_custkey % 3 AS d, o_custkey % 7 AS r FROM orders)
+        SELECT count(*) AS reviews, CAST(sum(t) AS BIGINT) AS total_edges, round(avg(c / t) FILTER (t > 0), 6) AS average_correct, round(avg(d / t) FILTER (t > 0), 6) AS average_duplicate, make_timestamp(max(id) * 1000000) AS last_reviewed_at, string_agg(DISTINCT CASE WHEN r > 0 THEN 'r' || r END, '|' ORDER BY CASE WHEN r > 0 THEN 'r' || r END) AS reviewers FROM a""",
+    "m_audit_findings": "SELECT o_orderkey AS audit_id, CASE WHEN o_custkey % 7 = 0 THEN 'Unknown' ELSE 'r' || o_custkey % 7 END AS reviewer, o_custkey % 20 AS total_edges, CASE WHEN o_custkey % 20 > 0 THEN round((o_custkey % 17) / (o_custkey % 20), 6) END AS correct_ratio, CASE WHEN o_custkey % 20 > 0 THEN round((o_custkey % 3) / (o_custkey % 20), 6) END AS duplicate_ratio FROM orders ORDER BY o_orderkey DESC LIMIT 5",
     "m_auto_audit": f"WITH {_EDGE_TABLE} SELECT doc_id, CAST(sum(times_seen) AS BIGINT) AS total_edges, CAST(sum(times_seen - 1) AS BIGINT) AS duplicate_edges FROM merged GROUP BY doc_id HAVING sum(times_seen) >= 10",
     "m_semantic_drift": """WITH r AS (SELECT strftime(ts, '%Y-%m-%d') AS run_id, user_id AS paper_id, count(*) FILTER (event_type = 'click') AS accepted, list_sort(list(DISTINCT event_type)) AS rel, max(ts) AS c FROM events GROUP BY ALL),
         w AS (SELECT *, lag(run_id) OVER o AS previous_run, lag(accepted) OVER o AS b, lag(rel) OVER o AS known FROM r WINDOW o AS (PARTITION BY paper_id ORDER BY c, run_id)), x AS (SELECT *, CASE WHEN b > 0 THEN greatest(0.0::DOUBLE, (b - accepted) / b) ELSE 0 END AS drop, list_filter(rel, lambda y: NOT list_contains(known, y)) AS fresh FROM w WHERE previous_run IS NOT NULL)

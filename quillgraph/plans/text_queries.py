@@ -50,10 +50,35 @@ def paper_dois(spark, sf):
 
 
 def validate_contracts(spark, sf):
-    rows = _elements(spark, sf).select("element_id", "doc_id", "start_char", F.when(F.length("content") % 7 == 0, F.col("start_char")).otherwise(F.col("end_char")).alias("end_char"), F.when(F.length("content") % 5 == 0, F.upper("content_hash")).otherwise(F.col("content_hash")).alias("content_hash"))
+    rows = _elements(spark, sf).select("element_id", "doc_id", "section", "content", "start_char", F.when(F.length("content") % 7 == 0, F.col("start_char")).otherwise(F.col("end_char")).alias("end_char"), F.when(F.length("content") % 5 == 0, F.upper("content_hash")).otherwise(F.col("content_hash")).alias("content_hash"))
     return elements.validate_contracts(rows, elements.element_rules()).select("element_id", "broken")
 
 
+def validate_nodes(spark, sf):
+    key = F.col("c_custkey")
+    rows = tables.read(spark, sf, "customer").select(F.concat(F.lit("c"), key.cast("string")).alias("node_id"), F.col("c_name").alias("name"), F.when(key % 7 == 0, "").otherwise(F.col("c_mktsegment")).alias("type"), (key % 10 - 1).alias("times_seen"))
+    return elements.validate_contracts(rows, elements.node_rules()).select("node_id", "broken")
+
+
+def validate_papers(spark, sf):
+    rows = tables.read(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), F.when(F.col("p_partkey") % 5 > 0, F.col("p_partkey") % 400 + 1800).alias("year"))
+    return elements.validate_contracts(rows, elements.paper_rules()).select("doc_id", "broken")
+
+
+def validate_triples(spark, sf):
+    order, customer = F.col("o_orderkey"), F.col("o_custkey")
+    rows = tables.read(spark, sf, "orders").select(
+        order.cast("string").alias("doc_id"), customer.cast("string").alias("element_id"), F.when(order % 11 == 0, "").otherwise(F.concat(F.lit("o"), order.cast("string"))).alias("src_text"), F.lit("uses").alias("relation"), F.concat(F.lit("c"), customer.cast("string")).alias("dst_text"),
+        (customer % 12 / 10).alias("confidence"), (customer % 30 - 1).alias("span_start"), (order % 60).alias("span_end"), F.lit("v1").alias("version"),
+    )
+    return elements.validate_contracts(rows, elements.triple_rules()).select("doc_id", "broken")
+
+
+def validate_edges(spark, sf):
+    rows = tables.graph_edges(spark, sf).withColumns({"element_id": F.col("line").cast("string"), "span_start": F.col("line") - 1, "span_end": F.col("line") % 5})
+    return elements.validate_contracts(rows, elements.edge_rules()).groupBy("broken").agg(F.count("*").alias("n"))
+
+
 def route_domain(spark, sf):
     d = tables.read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.substring("text", 1, 60).alias("title"), F.col("source").alias("venue"), F.col("text").alias("content"))
     return routing.route_domain(d, (("a", 2, ("tion", "src1")), ("b", 1, ("ung", "est")), ("c", 1, ("ción", "src2"))))
@@ -109,7 +134,7 @@ met AS (SELECT a.doc_id, a.element_id, a.section, a.sent_no, a.sentence, a.menti
 firsts AS (SELECT *, min((least(a_at, b_at), greatest(a_at, b_at))) OVER (PARTITION BY element_id, a, b) AS f FROM met),
 pairs AS (SELECT * FROM (SELECT *, dense_rank() OVER (PARTITION BY element_id ORDER BY f, a, b) AS pair_no FROM firsts) WHERE pair_no <= 10)"""
 
-QUERIES = {f"b_{f.__name__}": f for f in (clean_items, build_elements, sections_exact, paper_titles, paper_years, paper_venues, paper_dois, validate_contracts)}
+QUERIES = {f"b_{f.__name__}": f for f in (clean_items, build_elements, sections_exact, paper_titles, paper_years, paper_venues, paper_dois, validate_contracts, validate_nodes, validate_papers, validate_triples, validate_edges)}
 QUERIES |= {f"c_{f.__name__}": f for f in (route_domain, vocabulary_density, candidate_mentions, abbreviation_pairs, limit_mentions)}
 QUERIES |= {f"e_{f.__name__}": f for f in (sentences, mention_occurrences, comention_pairs, comention_edges)}
 
@@ -130,6 +155,10 @@ ORACLES = {
     "b_paper_venues": f"WITH {sql.ITEMS}, v AS (SELECT unnest(['Est', 'Ing', 'Der ', 'La ']) AS venue, unnest([0, 1, 2, 3]) AS rank) SELECT doc_id, arg_min(venue, (pos, rank)) AS venue FROM items JOIN v ON contains(text, venue) GROUP BY doc_id",
     "b_paper_dois": f"WITH {sql.ITEMS}, d AS (SELECT doc_id, pos, regexp_extract(CASE WHEN pos % 3 = 1 THEN 'see 10.' || (1000 + pos) || '/x' || doc_id || ' now' ELSE text END, '10\\.[0-9]{{4,}}/[^ ]+') AS doi FROM items) SELECT doc_id, arg_min(doi, pos) AS doi FROM d WHERE doi <> '' GROUP BY doc_id",
     "b_validate_contracts": f"WITH {sql.ELEMENTS} SELECT element_id, CASE WHEN trim(doc_id) = '' THEN 'doc_id' WHEN length(content) % 5 = 0 AND regexp_matches(content_hash, '[a-f]') THEN 'content_hash' WHEN start_char < 0 THEN 'start_char' WHEN length(content) % 7 = 0 THEN 'end_char' END AS broken FROM elements",
+    "b_validate_nodes": "SELECT 'c' || c_custkey AS node_id, CASE WHEN c_custkey % 7 = 0 THEN 'type' WHEN c_custkey % 10 = 0 THEN 'times_seen' END AS broken FROM customer",
+    "b_validate_papers": "SELECT CAST(p_partkey AS VARCHAR) AS doc_id, CASE WHEN p_partkey % 5 > 0 AND p_partkey % 400 NOT BETWEEN 100 AND 300 THEN 'year' END AS broken FROM part",
+    "b_validate_triples": "SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, CASE WHEN o_orderkey % 11 = 0 THEN 'src_text' WHEN o_custkey % 12 > 10 THEN 'confidence' WHEN o_custkey % 30 = 0 THEN 'span_start' WHEN o_orderkey % 60 <= o_custkey % 30 - 1 THEN 'span_end' END AS broken FROM orders",
+    "b_validate_edges": "SELECT CASE WHEN l_linenumber % 5 <= l_linenumber - 1 THEN 'span_end' WHEN l_shipdate IS NULL THEN 'created_at' END AS broken, count(*) * 2 AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1",
     "c_route_domain": f"""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, substr(text, 1, 60) AS title, source AS venue, text AS content FROM documents),
         s AS (SELECT doc_id, {_score("tion", "src1")} AS score, 2 AS p, 0 AS r, 'a' AS domain FROM d UNION ALL SELECT doc_id, {_score("ung", "est")}, 1, 1, 'b' FROM d UNION ALL SELECT doc_id, {_score("ción", "src2")}, 1, 2, 'c' FROM d)
         SELECT doc_id, domain, score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, p, r) = 1""",

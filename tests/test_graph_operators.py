@@ -181,3 +181,18 @@ def test_stream_status_and_windows_equal_batch(spark, tmp_path):
     batch = {(r.window_start, r.metric): r.n for r in jobs.kpi_windows(rows).collect()}
     got = {(r.window_start, r.metric): r.n for r in spark.table("win").collect()}
     assert got and all(batch[k] == n for k, n in got.items())
+
+
+def test_paper_ids_take_the_next_free_number(spark):
+    uploads = spark.createDataFrame([(1, "A"), (2, "a"), (3, "a-1"), (4, "a!"), (5, "A 1"), (6, "a-3"), (7, "a"), (8, "b-01"), (9, "b"), (10, "B")], "seq long, name string")
+    got = {r.seq: r.paper_id for r in registry.assign_paper_ids(uploads).collect()}
+    assert got == {1: "a", 2: "a-2", 3: "a-1", 4: "a-4", 5: "a-1-1", 6: "a-3", 7: "a-5", 8: "b-01", 9: "b", 10: "b-1"}
+
+
+def test_rings_by_type_then_dominant_section(spark):
+    rows = [(f"top{i}", "x", 100, None) for i in range(3)]
+    rows += [("m", " Method ", 1, {"results": 9}), ("g", "gene", 1, None), ("s", "dataset", 1, {"Methods": 2, "Results": 1}), ("d", "corpus", 1, {"Intro": 1}), ("e", "other", 1, {"Evaluation": 3, "Methods": 2}), ("z", None, 1, {})]
+    nodes = spark.createDataFrame([*rows, *[(f"f{i}", "x", 1, None) for i in range(30)]], "node_id string, type string, times_seen long, sections map<string,long>")
+    edges = spark.createDataFrame([], "src string, dst string")
+    ring = {r.node_id: r.ring for r in views.node_importance(nodes, edges).collect()}
+    assert [ring[k] for k in ("top0", "top1", "top2", "m", "g", "s", "d", "e", "z")] == [0, 0, 0, 1, 2, 2, 3, 4, 5]
