@@ -249,6 +249,75 @@ def answer_table(questions: DataFrame, ranked: DataFrame, fallback: DataFrame) -
     return joined.select("question_id", mode.alias("mode"), text.alias("summary"))
 
 
+# Texts of summaries.
+NO_ENTITY = "Unable to resolve any entities for the question."
+NO_DOCUMENT = "Unable to identify which document to summarize."
+NO_EVIDENCE = "Insufficient evidence to answer the question."
+FINDING = "%s %s %s (doc %s, conf=%.2f)"
+RELATED = "Insufficient evidence to answer. Related findings: %s"
+PROFILE = "%s (similarity %.2f, seen %dx, sections: %s)"
+PROFILES = "Insufficient evidence from graph relations. Known entity profiles: %s."
+OF_ENTITY = "Summary for %s derived from %d graph findings."
+OF_CLUSTER = "Cluster summary for %s derived from %d graph findings."
+OF_DOCUMENTS = "Summary for documents %s derived from %d graph findings."
+NOTHING_IN_DOCUMENTS = "No extracted findings available for documents: %s."
+
+
+def _joined(rows: Column, separator: str = "; ") -> Column:
+    """Texts of (place, text) pairs in order of place."""
+    return F.array_join(F.transform(F.array_sort(rows), lambda r: r["text"]), separator)
+
+
+def entity_profiles(candidates: DataFrame) -> DataFrame:
+    """`question_id, primary, leading, profiles` from `question_id, pos, k, node_id, name, similarity, times_seen, sections`.
+
+    primary is the candidate of the greatest similarity, leading the first three different nodes, profiles
+    a line for the most similar candidate of each mention. Ties go to the earlier mention, then the smaller k.
+    """
+    sections = F.coalesce(F.nullif(F.array_join(F.array_sort("sections"), ", "), F.lit("")), F.lit("unknown sections"))
+    line = F.format_string(PROFILE, "name", "similarity", "times_seen", sections)
+    best = candidates.groupBy("question_id", "pos").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "k", "name", line.alias("text"))).alias("b"))
+    lines = best.groupBy("question_id").agg(
+        F.min_by("b.name", F.struct("b.s", "pos")).alias("primary"),
+        _joined(F.collect_list(F.struct("pos", F.col("b.text").alias("text")))).alias("profiles"),
+    )
+    nodes = candidates.groupBy("question_id", "node_id").agg(F.min(F.struct("pos", "k", "name")).alias("b"))
+    order = Window.partitionBy("question_id").orderBy("b", "node_id")
+    first = nodes.withColumn("place", F.row_number().over(order)).where("place <= 3")
+    leading = first.groupBy("question_id").agg(_joined(F.collect_list(F.struct("place", F.col("b.name").alias("text"))), ", ").alias("leading"))
+    return lines.join(leading, "question_id")
+
+
+def answers(questions: DataFrame, candidates: DataFrame, paths: DataFrame, fallback: DataFrame, findings: DataFrame, k: int = config.PATH_TOP) -> DataFrame:
+    """`question_id, mode, summary` by each question's `intent` and `documents`.
+
+    `candidates` are those of entity_profiles; `paths` and `fallback` are edges (`question_id, k, src_name,
+    relation, dst_name, doc_id, confidence`, paths also with their step `i` and `conflicting`); `findings`
+    are the edges that a summary is made of. A summary without findings tells the profiles; entity and
+    cluster questions without a candidate are answered as factoids.
+    """
+    text = F.format_string(FINDING, "src_name", "relation", "dst_name", "doc_id", "confidence").alias("text")
+    best = paths.where(F.col("k") <= k).groupBy("question_id").agg(
+        _joined(F.collect_list(F.when(F.col("k") == 1, F.struct("i", text)))).alias("path"), F.max(F.coalesce("conflicting", F.lit(False))).alias("conflict")
+    )
+    near = fallback.where(F.col("k") <= k).groupBy("question_id").agg(_joined(F.collect_list(F.struct("k", text))).alias("near"))
+    counted = findings.groupBy("question_id").agg(F.count("*").alias("n"))
+    rows = questions.select("question_id", "intent", F.array_join(F.coalesce("documents", F.array().cast("array<string>")), ", ").alias("named"))
+    for part in (entity_profiles(candidates), best, near, counted):
+        rows = rows.join(part, "question_id", "left")
+    known, found = F.col("primary").isNotNull(), F.col("n").isNotNull()
+    told = F.coalesce(F.format_string(PROFILES, F.nullif(F.col("profiles"), F.lit(""))), F.lit(NO_EVIDENCE))
+    told = F.when(known, told).otherwise(NO_EVIDENCE)
+    factoid = F.when(~known, NO_ENTITY).when(F.col("path").isNotNull(), F.col("path")).when(F.col("near").isNotNull(), F.format_string(RELATED, "near")).otherwise(told)
+    paper = F.when(F.col("named") == "", NO_DOCUMENT).when(found, F.format_string(OF_DOCUMENTS, "named", "n")).otherwise(F.format_string(NOTHING_IN_DOCUMENTS, "named"))
+    is_paper = F.col("intent") == "paper_summary"
+    is_summary = F.col("intent").isin("entity_summary", "cluster_summary") & known
+    of_nodes = F.when(~found, told).when(F.col("intent") == "entity_summary", F.format_string(OF_ENTITY, "primary", "n")).otherwise(F.format_string(OF_CLUSTER, "leading", "n"))
+    direct = F.when(is_paper, found & (F.col("named") != "")).when(is_summary, found).otherwise(known & F.col("path").isNotNull())
+    mode = F.when(~direct, "insufficient").when(~is_paper & ~is_summary & F.col("conflict"), "conflicting").otherwise("direct")
+    return rows.select("question_id", mode.alias("mode"), F.when(is_paper, paper).when(is_summary, of_nodes).otherwise(factoid).alias("summary"))
+
+
 def answer_context(evidence: DataFrame) -> DataFrame:
     """`question_id, documents, prompt` from `question_id, n, src, dst, relation, doc_id`: numbered lines in order, each with its document."""
     line = F.struct("n", F.concat_ws("", F.col("n").cast("string"), F.lit(". "), "src", F.lit(" "), "relation", F.lit(" "), "dst", F.lit(" ["), "doc_id", F.lit("]")).alias("text"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillgraph import config
+from quillgraph.functions.checkpoints import checkpointed
 from quillgraph.operators import graph, qa, views
 from quillgraph.plans import sql
 from quillgraph.sources import tables
@@ -200,6 +201,19 @@ def answer_table(spark, sf):
     return qa.answer_table(_asked(spark, sf), ranked, near)
 
 
+def answers(spark, sf):
+    """A question for each supplier, of every intent; edges at the supplier stand for its paths of one step."""
+    asked, edges = _asked(spark, sf), checkpointed(_edges(spark, sf))
+    intent = F.get(F.array(*map(F.lit, ("paper_summary", "entity_summary", "cluster_summary", "factoid", "factoid"))), (F.col("question_id") % 5).cast("int"))
+    questions = asked.select("question_id", intent.alias("intent"), F.array(F.col("question_id").cast("string"), F.lit("b")).alias("documents"))
+    nodes = tables.graph_nodes(spark, sf)
+    candidates = asked.where("question_id % 5 < 4").join(nodes, "node_id").select("question_id", F.lit(0).alias("pos"), F.lit(1).alias("k"), "node_id", "name", F.lit(1.0).alias("similarity"), "times_seen", F.array().cast("array<string>").alias("sections"))
+    near = asked.where("question_id % 10 <> 3").join(qa.neighbours(asked, edges, 0.97, 2), "node_id")
+    paths = near.select("question_id", "k", F.lit(0).alias("i"), F.col("src").alias("src_name"), "relation", F.col("dst").alias("dst_name"), "doc_id", "confidence", (F.col("relation") == "improves").alias("conflicting"))
+    fallback = qa.fallback_neighbours(asked, edges).select("question_id", "k", F.col("src").alias("src_name"), "relation", F.col("dst").alias("dst_name"), F.split_part("edge_id", F.lit("|"), F.lit(4)).alias("doc_id"), "confidence")
+    return qa.answers(questions, candidates, paths, fallback, qa.summary_neighbours(asked, edges))
+
+
 def answer_context(spark, sf):
     near = qa.summary_neighbours(_asked(spark, sf), _edges(spark, sf))
     return qa.answer_context(near).select("question_id", F.concat_ws("|", "documents").alias("documents"), "prompt")
@@ -300,7 +314,7 @@ def _named_documents() -> str:
 _I = config.INTENT_KEYWORDS
 QUERIES = {f"h_{f.__name__}": f for f in (upsert_nodes, combine_staged_nodes, upsert_edges, flag_conflicts, conflict_report, resolve_aliases, apply_alias_resolution, resolve_endpoints, unresolved_endpoints, known_documents, mark_cross_paper, check_edges, edge_attributes)}
 QUERIES |= {"f_deprecate_edges": deprecate_edges}
-QUERIES |= {f"i_{f.__name__}": f for f in (match_exact, match_contains, top_nodes, find_paths, rank_paths, neighbours, document_edges, fallback_neighbours, summary_neighbours, summary_documents, classify_intent, question_mentions, answer_table, answer_context, citation_check)}
+QUERIES |= {f"i_{f.__name__}": f for f in (match_exact, match_contains, top_nodes, find_paths, rank_paths, neighbours, document_edges, fallback_neighbours, summary_neighbours, summary_documents, classify_intent, question_mentions, answer_table, answers, answer_context, citation_check)}
 QUERIES |= {f"j_{f.__name__}": f for f in (graph_view, accessible_view, view_nodes, node_importance, partition_by_document, partition_nodes, node_focus, accessible_papers)}
 
 ORACLES = {
@@ -341,6 +355,12 @@ ORACLES = {
     "i_question_mentions": f"WITH {_QUESTIONS}, w AS (SELECT question_id, list_filter(regexp_extract_all(text, '[A-Z][A-Za-z0-9]+'), lambda w: lower(w) NOT IN {config.WH_WORDS}) AS l FROM q), r AS (SELECT question_id, l[p] AS mention, p - 1 AS pos FROM (SELECT *, unnest(range(1, len(l) + 1)) AS p FROM w)) SELECT question_id, arg_min(mention, pos) AS mention, min(pos) AS pos FROM r GROUP BY question_id, lower(mention)",
     "i_answer_table": f"""WITH {_PATHS}, {_ASKED}, {_FALLBACK.format(steps='steps')}, p AS (SELECT CAST(substr(start, 2) AS BIGINT) AS question_id, count(*) AS n, bool_or(conflicting) AS c, arg_min(signature, k) AS best FROM ranked GROUP BY 1), f AS (SELECT question_id, count(*) AS m FROM fallback GROUP BY 1)
         SELECT question_id, CASE WHEN n IS NULL THEN 'insufficient' WHEN c THEN 'conflicting' ELSE 'direct' END AS mode, CASE WHEN n IS NOT NULL THEN n || ' paths, best by edges ' || best WHEN m IS NOT NULL THEN 'no path; ' || m || ' related findings' ELSE 'no evidence' END AS summary FROM asked LEFT JOIN p USING (question_id) LEFT JOIN f USING (question_id)""",
+    "i_answers": f"""WITH {_SUMMARY.format(asked=_ASKED)}, {_FALLBACK.format(steps='steps')}, pr AS (SELECT question_id, src || ' ' || relation || ' ' || dst || ' (doc ' || doc_id || ', conf=' || printf('%.2f', confidence) || ')' AS t, relation = 'improves' AS x, row_number() OVER (PARTITION BY a ORDER BY confidence DESC, created_at DESC, edge_id) AS pk FROM steps JOIN asked ON node_id = a WHERE confidence >= 0.97 AND question_id % 10 <> 3),
+        p AS (SELECT question_id, max(t) FILTER (pk = 1) AS path, bool_or(x) AS x FROM pr WHERE pk <= 2 GROUP BY 1), f AS (SELECT question_id, string_agg(split_part(edge_id, '|', 1) || ' ' || split_part(edge_id, '|', 3) || ' ' || split_part(edge_id, '|', 2) || ' (doc ' || split_part(edge_id, '|', 4) || ', conf=' || printf('%.2f', confidence) || ')', '; ' ORDER BY k) AS near FROM fallback GROUP BY 1), s AS (SELECT question_id, count(*) AS n FROM summary GROUP BY 1),
+        j AS (SELECT question_id, question_id % 5 AS i, s_name AS name, 'Insufficient evidence from graph relations. Known entity profiles: ' || s_name || ' (similarity 1.00, seen ' || (s_suppkey % 7 + 1) || 'x, sections: unknown sections).' AS profile, path, x, near, n FROM asked JOIN supplier ON s_suppkey = question_id LEFT JOIN p USING (question_id) LEFT JOIN f USING (question_id) LEFT JOIN s USING (question_id))
+        SELECT question_id, CASE WHEN i < 3 THEN CASE WHEN n > 0 THEN 'direct' ELSE 'insufficient' END WHEN i = 4 OR path IS NULL THEN 'insufficient' WHEN x THEN 'conflicting' ELSE 'direct' END AS mode,
+        CASE WHEN i = 0 THEN coalesce('Summary for documents ' || question_id || ', b derived from ' || n || ' graph findings.', 'No extracted findings available for documents: ' || question_id || ', b.') WHEN i = 1 THEN coalesce('Summary for ' || name || ' derived from ' || n || ' graph findings.', profile) WHEN i = 2 THEN coalesce('Cluster summary for ' || name || ' derived from ' || n || ' graph findings.', profile)
+        WHEN i = 4 THEN 'Unable to resolve any entities for the question.' ELSE coalesce(path, 'Insufficient evidence to answer. Related findings: ' || near, profile) END AS summary FROM j""",
     "i_answer_context": f"WITH {_SUMMARY.format(asked=_ASKED)} SELECT question_id, array_to_string(list_sort(list(DISTINCT doc_id)), '|') AS documents, string_agg(n || '. ' || src || ' ' || relation || ' ' || dst || ' [' || doc_id || ']', chr(10) ORDER BY n) AS prompt FROM summary GROUP BY question_id",
     "i_citation_check": "SELECT o_orderkey AS question_id, 2 AS cited, CASE WHEN o_orderkey % 5 = o_custkey % 5 THEN 1 ELSE 0 END AS valid FROM orders",
     "j_graph_view": f"WITH {_EDGE_TABLE} SELECT edge_id, row_number() OVER (ORDER BY confidence DESC, created_at DESC, edge_id) AS k FROM merged WHERE confidence >= 0.95 AND relation IN ('uses', 'improves') AND section = 'Results' ORDER BY k LIMIT 500",

@@ -196,3 +196,32 @@ def test_rings_by_type_then_dominant_section(spark):
     edges = spark.createDataFrame([], "src string, dst string")
     ring = {r.node_id: r.ring for r in views.node_importance(nodes, edges).collect()}
     assert [ring[k] for k in ("top0", "top1", "top2", "m", "g", "s", "d", "e", "z")] == [0, 0, 0, 1, 2, 2, 3, 4, 5]
+
+
+def test_answers_by_intent(spark):
+    questions = spark.createDataFrame(
+        [(1, "factoid", None), (2, "factoid", None), (3, "factoid", None), (4, "factoid", None), (5, "entity_summary", None), (6, "cluster_summary", None), (7, "paper_summary", ["d1", "d2"]), (8, "paper_summary", ["d9"]), (9, "paper_summary", []), (10, "entity_summary", None), (11, "entity_summary", None), (12, "factoid", None)],
+        "question_id long, intent string, documents array<string>",
+    )
+    candidates = [(q, 0, 1, "n1", "BERT", 0.9, 4, ["Results", "Methods"]) for q in (1, 2, 3, 5, 6, 10, 12)] + [(q, 1, 1, "n2", "GPT", 0.95, 2, []) for q in (3, 5, 6)] + [(6, 1, 2, "n3", "T5", 0.5, 1, None), (6, 2, 1, "n1", "BERT", 1.0, 4, None), (6, 2, 2, "n4", "X", 0.4, 1, None)]
+    candidates = spark.createDataFrame(candidates, "question_id long, pos int, k int, node_id string, name string, similarity double, times_seen long, sections array<string>")
+    form = "question_id long, k int, i int, src_name string, relation string, dst_name string, doc_id string, confidence double, conflicting boolean"
+    paths = spark.createDataFrame([(1, 1, 1, "b", "uses", "c", "d2", 0.8, False), (1, 1, 0, "a", "uses", "b", "d1", 0.9, None), (1, 2, 0, "a", "uses", "c", "d3", 0.7, False), (12, 1, 0, "a", "uses", "c", "d3", 0.7, False), (12, 2, 0, "a", "hurts", "c", "d3", 0.7, True), (5, 1, 0, "a", "uses", "c", "d3", 0.7, True)], form)
+    fallback = spark.createDataFrame([(2, 2, None, "x", "uses", "y", "d2", 0.5, None), (2, 1, None, "x", "uses", "z", "d1", 0.6, None)], form)
+    findings = spark.createDataFrame([(5,), (5,), (6,), (7,), (7,), (7,)], "question_id long")
+    got = {r.question_id: (r.mode, r.summary) for r in qa.answers(questions, candidates, paths, fallback, findings).collect()}
+    profile = "BERT (similarity 0.90, seen 4x, sections: Methods, Results)"
+    assert got == {
+        1: ("direct", "a uses b (doc d1, conf=0.90); b uses c (doc d2, conf=0.80)"),
+        2: ("insufficient", "Insufficient evidence to answer. Related findings: x uses z (doc d1, conf=0.60); x uses y (doc d2, conf=0.50)"),
+        3: ("insufficient", f"Insufficient evidence from graph relations. Known entity profiles: {profile}; GPT (similarity 0.95, seen 2x, sections: unknown sections)."),
+        4: ("insufficient", "Unable to resolve any entities for the question."),
+        5: ("direct", "Summary for GPT derived from 2 graph findings."),
+        6: ("direct", "Cluster summary for BERT, GPT, T5 derived from 1 graph findings."),
+        7: ("direct", "Summary for documents d1, d2 derived from 3 graph findings."),
+        8: ("insufficient", "No extracted findings available for documents: d9."),
+        9: ("insufficient", "Unable to identify which document to summarize."),
+        10: ("insufficient", f"Insufficient evidence from graph relations. Known entity profiles: {profile}."),
+        11: ("insufficient", "Unable to resolve any entities for the question."),
+        12: ("conflicting", "a uses c (doc d3, conf=0.70)"),
+    }
