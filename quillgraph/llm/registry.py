@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quillgraph.llm import decontamination, language, linededup, packing, passages, pii, sharding, simhash, spotsigs, toxicity
+from quillgraph.llm import chat, decontamination, language, linededup, merkle, oracles, packing, passages, pii, sharding, simhash, spotsigs, toxicity, trie
 from quillgraph.llm.common import read_table
 
 
@@ -51,6 +51,18 @@ def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(read_table(spark, sf_dir, "documents"))
 
 
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_and_read_back(read_table(spark, sf_dir, "conversations"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(read_table(spark, sf_dir, "conversations"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(read_table(spark, sf_dir, "documents"))
+
+
 def llm_spotsigs_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of fingerprint classes at least 0.8 alike, by size partitions and pruned Jaccard."""
     return spotsigs.near_duplicates(read_table(spark, sf_dir, "documents"))
@@ -72,6 +84,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rendezvous_sharding": op8_rendezvous_sharding,
     "op9_pii": op9_pii,
     "op10_passage_dedup": op10_passage_dedup,
+    "op11_chat_formatting": op11_chat_formatting,
+    "op12_conversation_trie": op12_conversation_trie,
+    "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": corpus_pipeline.run,
     "llm_spotsigs_near_duplicates": llm_spotsigs_near_duplicates,
     "llm_weighted_shards": llm_weighted_shards,
@@ -83,4 +98,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.ORACLES)

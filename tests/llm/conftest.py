@@ -32,3 +32,16 @@ def odd(spark):
 @pytest.fixture(scope="session")
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="session")
+def odd_turns(spark):
+    """Turns with nulls, ties, repeated rows, control strings, unknown roles, long texts and shared openings."""
+    rows = [
+        (0, 0, "user", "hello"), (0, 1, "assistant", "a\\b <s> \\<s> <\\s> [INST [INST] \\\\"), (0, 2, "user", "more [/TEXT]"), (0, 3, "assistant", None),
+        (1, 0, "user", "hello"), (1, 1, "assistant", "other"), (2, 5, "tool", "x [ROLE]"), (2, 5, "tool", "x [ROLE]"), (2, None, None, None), (3, 0, None, "\n"),
+        (3, 0, "user", " "), (3, 0, "assistant", ""), (4, 1, "[TEXT] odd \\", "<<SYS>>\n<</SYS>>\n\n"), (4, 0, "system", "\U0001f600 é"), (4, 2, "user", "long " * 20_000), (4, 3, "assistant", "long " * 20_000),
+        (7, 0, "user", "hello"), (7, 1, "assistant", "other"), (12, 0, "user", "hello"), (12, 1, "assistant", "other"), (18, 0, "user", "hello"),
+    ]
+    base = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    return base.withColumns({c: base["turn"] for c in ("segments", "turns", "t", "key", "n", "id", "depth", "__turns", "__text")})

@@ -57,4 +57,4 @@ def test_stages_take_odd_rows_and_keep_the_columns(spark, odd, empty, sf):
 
 def test_every_operator_has_a_query():
     names = registry.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
