@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph import config
+from quillgraph.functions import vectors
+from quillgraph.functions.checkpoints import checkpointed
 from quillgraph.functions.components import connected_components
+from quillgraph.operators import clustering
+from quillgraph.operators.clustering import cluster_entities
 
-#: Vectors in a block of queries.
-QUERY_BLOCK = 1024
 #: Members of one cluster are linked by pairs at least this near: the square of the merge threshold.
 BLOCK_COSINE = config.MERGE_BASE**2
 NODE_NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"
@@ -62,158 +62,40 @@ def missing_embeddings(names: DataFrame, cache: DataFrame) -> DataFrame:
     return keyed.join(cache.select("key").distinct(), "key", "left_anti")
 
 
-#: Blocks of queries that may be broadcast: about 30 MB of vectors of 64 numbers.
-BROADCAST_BLOCKS = 32
-#: Blocks with more members are reported: one is worked on by one task.
-GIANT_BLOCK = 20_000
-
-
-def giant_blocks(blocks: DataFrame, most: int = GIANT_BLOCK) -> DataFrame:
-    """`block, members` of merge blocks with more than `most` members: raise the threshold of `merge_blocks` for these."""
-    return blocks.groupBy("block").agg(F.count("*").alias("members")).where(F.col("members") > most)
+def similarity_search(queries: DataFrame, corpus: DataFrame, threshold: float, k: int | None = None) -> DataFrame:
+    """`query_id, id, score` of unit vectors at least `threshold` alike, best first; the join by pivots of `functions.vectors`."""
+    return vectors.similarity_join(queries, corpus, threshold, k)
 
 
-def similarity_search(queries: DataFrame, corpus: DataFrame, threshold: float, k: int | None = None) -> DataFrame:
-    """`query_id, id, score` of unit vectors at least `threshold` alike, best first.
+def near_pairs(entities: DataFrame, least: float = BLOCK_COSINE) -> DataFrame:
+    """`a, b`: names whose unit vectors (`name, vector`) are at least `least` near, each pair once.
 
-    The queries are packed into blocks of about QUERY_BLOCK vectors, each block is joined to the whole
-    corpus, and within a task a block's scores are one matrix product.
-    """
-    import numpy as np
-    import pandas as pd
-
-    n = max(1, -(-queries.count() // QUERY_BLOCK))
-    blocks = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(n)).alias("block"), "query_id", "vector").groupBy("block").agg(F.collect_list(F.struct("query_id", "vector")).alias("queries"))
-    dealt = corpus.select("id", "vector", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
-
-    def score(parts):
-        for rows in parts:
-            found = []
-            for _, part in rows.groupby("block"):
-                q = part["queries"].iloc[0]
-                left, right = np.array([list(x["vector"]) for x in q]), np.stack(part["vector"].map(np.asarray).to_list())
-                hit = np.argwhere((s := np.round(left @ right.T, 6)) >= threshold)
-                found.append(pd.DataFrame({"query_id": [q[i]["query_id"] for i, _ in hit], "id": part["id"].to_numpy()[hit[:, 1]], "score": s[hit[:, 0], hit[:, 1]]}))
-            yield pd.concat(found) if found else pd.DataFrame({"query_id": [], "id": [], "score": []})
-
-    # Few blocks go to the corpus, so that it isn't shuffled; n bounds their size.
-    met = dealt.join(F.broadcast(blocks) if n <= BROADCAST_BLOCKS else blocks, "block").mapInPandas(score, "query_id long, id long, score double")
-    if k is None:
-        return met
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return met.withColumn("k", F.row_number().over(order)).where(F.col("k") <= k)
-
-
-def section_shares(sections: dict | None) -> dict:
-    total = sum(v for v in (sections or {}).values() if v > 0)
-    return {k: v / total for k, v in sections.items() if v > 0} if total else {}
-
-
-def _top_sections(sections: dict, n: int = 2) -> set:
-    return {k for k, _ in sorted(sections.items(), key=lambda kv: (-kv[1], kv[0]))[:n]}
-
-
-def lexical(a: str, b: str) -> float:
-    return SequenceMatcher(None, a, b).ratio()
-
-
-def may_merge(candidate: dict, cluster: dict) -> bool:
-    """Whether a candidate may join a cluster: names, thresholds and sections."""
-    same = candidate["normalised"] in cluster["names"]
-    alike = max((lexical(candidate["normalised"], n) for n in cluster["names"]), default=0.0)
-    if not same:
-        if len(candidate["tokens"]) > config.NAME_MAX_TOKENS or len(candidate["name"]) > config.NAME_MAX_CHARS or candidate["sentence_like"]:
-            return False
-        shared = max((len(candidate["tokens"] & m["tokens"]) for m in cluster["members"]), default=0)
-        bridge = any(candidate["initials"] and candidate["initials"] == m["letters"] or m["initials"] and m["initials"] == candidate["letters"] for m in cluster["members"])
-        if alike < config.LEXICAL_MIN and shared < 1 and not bridge:
-            return False
-    blocked = candidate["blocked"] or any(m["blocked"] for m in cluster["members"])
-    poly = candidate["polysemous"] or len([v for v in cluster["sections"].values() if v > 0]) >= config.POLYSEMY_SECTIONS
-    if blocked:
-        bar = config.MERGE_BLOCKED
-    elif poly:
-        bar = config.MERGE_POLYSEMOUS
-    else:
-        bar = config.MERGE_BASE + (config.MERGE_SAME_TYPE if candidate["type"] in cluster["types"] else config.MERGE_CROSS_TYPE)
-        bar += config.MERGE_LEXICAL if alike >= config.LEXICAL_HIGH else 0
-    score = cluster["score"]
-    # The search that offers a cluster has cut at the base threshold already.
-    if score < max(bar, config.MERGE_BASE):
-        return False
-    if blocked:
-        a, b = section_shares(candidate["sections"]), section_shares(cluster["sections"])
-        return all(abs(a.get(k, 0) - b.get(k, 0)) <= config.SECTION_SHARE for k in a.keys() | b.keys())
-    if poly:
-        a, b = _top_sections(candidate["sections"]), _top_sections(cluster["sections"])
-        return not (a | b) or len(a & b) / len(a | b) >= config.SECTION_JACCARD
-    return True
-
-
-def greedy_clusters(rows: list[dict]) -> list[int]:
-    """Cluster number of each candidate, taken in order of falling times_seen, then name."""
-    import numpy as np
-
-    clusters: list[dict] = []
-    owner = [0] * len(rows)
-    for i in sorted(range(len(rows)), key=lambda i: (-rows[i]["times_seen"], rows[i]["normalised"], rows[i]["name"])):
-        c = rows[i]
-        v = np.asarray(c["vector"], dtype=float)
-        ranked = sorted(((float(v @ g["centre"]), -j) for j, g in enumerate(clusters)), reverse=True)
-        for score, j in ranked:
-            if score < config.MERGE_BASE:
-                ranked = []
-                break
-            g = clusters[-j]
-            g["score"] = score
-            if may_merge(c, g):
-                g["members"].append(c)
-                g["names"].add(c["normalised"])
-                g["types"].add(c["type"])
-                g["sum"] = g["sum"] + v
-                g["centre"] = g["sum"] / (np.linalg.norm(g["sum"]) or 1.0)
-                for k, n in (c["sections"] or {}).items():
-                    g["sections"][k] = g["sections"].get(k, 0) + n
-                owner[i] = -j
-                break
-        else:
-            ranked = []
-        if not ranked:
-            owner[i] = len(clusters)
-            clusters.append({"members": [c], "names": {c["normalised"]}, "types": {c["type"]}, "sum": v, "centre": v, "sections": dict(c["sections"] or {}), "score": 1.0})
-    return owner
-
-
-def merge_blocks(entities: DataFrame, least: float = BLOCK_COSINE) -> DataFrame:
-    """`name, block` from `name, vector` (unit vectors): connected components of the pairs at least `least` near.
-
-    A join needs a cosine of the merge threshold t with the cluster's centroid, so some member is at least
-    t * t near: no cluster crosses a block. With hashing vectors most names are that near to each other
-    and blocks are large; they are meant for real vectors.
+    A join needs a cosine of the merge threshold t with the cluster's centroid, so some member is at least t * t near.
     """
     ids = entities.select(F.xxhash64("name").alias("id"), "name", "vector")
     near = similarity_search(ids.select(F.col("id").alias("query_id"), "vector"), ids, least).where("query_id < id")
-    labels = connected_components(near, "query_id", "id")
-    return ids.join(labels, ids["id"] == labels["node"], "left").select("name", F.coalesce("label", "id").alias("block"))
+    a, b = ids.select(F.col("id").alias("query_id"), F.col("name").alias("a")), ids.select("id", F.col("name").alias("b"))
+    return near.join(a, "query_id").join(b, "id").select("a", "b")
 
 
-def cluster_entities(entities: DataFrame, blocks: DataFrame) -> DataFrame:
-    """`name, cluster` from featured entities with unit vectors, block by block (`name, block`).
+def merge_blocks(entities: DataFrame, least: float = BLOCK_COSINE, pairs: DataFrame | None = None) -> DataFrame:
+    """`name, block` from `name, vector` (unit vectors): connected components of the near pairs, so no cluster crosses a block.
 
-    Blocks must keep together whatever could merge: connected components of the pairs that share a name,
-    a token or initials with letters, or are near by vector (cosine of 0.7744 and more). Within a block the greedy
-    pass runs in the global order, so the result doesn't depend on the blocks.
+    With hashing vectors most names are that near to each other and blocks are large; they are meant for real vectors.
     """
+    labels = connected_components(near_pairs(entities, least) if pairs is None else pairs, "a", "b")
+    return entities.select("name").join(labels, F.col("name") == labels["node"], "left").select("name", F.coalesce("label", "name").alias("block"))
+
 
-    def run(pdf):
-        rows = [{**r, "tokens": set(r["tokens"]), "sections": dict(r["sections"] or {})} for r in pdf.to_dict("records")]
-        owner = greedy_clusters(rows)
-        pdf = pdf[["name", "block"]].copy()
-        pdf["cluster"] = [f"{b}/{o}" for b, o in zip(pdf["block"], owner)]
-        return pdf[["name", "cluster"]]
+def resolve_entities(entities: DataFrame, most: int = clustering.GIANT_BLOCK) -> DataFrame:
+    """`name, cluster` from `name, type, times_seen, sections, vector` (unit vectors, unique names): near pairs, blocks, greedy clusters."""
+    pairs = checkpointed(near_pairs(entities))
+    return cluster_entities(name_features(entities), merge_blocks(entities, pairs=pairs), pairs, most)
 
-    joined = entities.join(blocks, "name").select("block", "name", "type", "times_seen", "sections", "normalised", "tokens", "letters", "initials", "sentence_like", "blocked", "polysemous", "vector")
-    return joined.groupBy("block").applyInPandas(run, "name string, cluster string")
+
+def giant_blocks(blocks: DataFrame, most: int = clustering.GIANT_BLOCK) -> DataFrame:
+    """`block, members` of merge blocks with more than `most` members, which are clustered in rounds."""
+    return blocks.groupBy("block").agg(F.count("*").alias("members")).where(F.col("members") > most)
 
 
 def cluster_nodes(clustered: DataFrame) -> DataFrame:

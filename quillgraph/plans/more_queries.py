@@ -117,9 +117,27 @@ def resolve_mentions(spark, sf):
     return qa.resolve_mentions(_mentions(spark, sf), tables.graph_nodes(spark, sf), vectors).select("mention", "node_id", F.round("similarity", 6).alias("similarity"))
 
 
+def _entities(spark, sf):
+    """Vectors of the first four numbers, which lie near each other; names share a word and little else."""
+    name = F.concat(F.lit("entity "), F.md5(F.col("vec_id").cast("string")))
+    vector = canonical.unit(F.slice("embedding", 1, 4))
+    return tables.read(spark, sf, "embeddings").select(name.alias("name"), F.col("label").cast("string").alias("type"), (F.col("vec_id") % 7 + 1).cast("int").alias("times_seen"), vector.alias("vector"), F.create_map(F.lit("Results"), F.lit(1)).alias("sections"))
+
+
 def cluster_entities(spark, sf):
-    e = tables.read(spark, sf, "embeddings").select(F.concat(F.lit("entity "), F.col("vec_id").cast("string")).alias("name"), F.col("label").cast("string").alias("type"), (F.col("vec_id") % 7 + 1).cast("int").alias("times_seen"), canonical.unit(F.col("embedding")).alias("vector"), F.create_map(F.lit("Results"), F.lit(1)).alias("sections"))
-    return canonical.cluster_entities(canonical.name_features(e), canonical.merge_blocks(e))
+    """All entities of one giant block, decided in rounds of at most 200 a task."""
+    return canonical.resolve_entities(_entities(spark, sf), most=200)
+
+
+def giant_blocks(spark, sf):
+    return canonical.giant_blocks(canonical.merge_blocks(_entities(spark, sf)), 20).select("members")
+
+
+def near_pairs(spark, sf):
+    """Near names of four-number vectors at the clusters' base threshold, by pivots."""
+    e = tables.read(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("name"), canonical.unit(F.slice("embedding", 1, 4)).alias("vector"))
+    p = canonical.near_pairs(e, 0.88)
+    return p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def merge_blocks(spark, sf):
@@ -153,8 +171,9 @@ sem AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY phrase ORDER BY
 QUERIES = {"b_paper_authors": paper_authors}
 QUERIES |= {f"d_{f.__name__}": f for f in (semantic_relations, relation_decisions, prune_cache, resolve_entity_types, link_spans, link_exact, needs_review)}
 QUERIES |= {f"a_{f.__name__}": f for f in (write_read_parsed, append_read_log)} | {"s_ingest": stream_ingest, "s_paper_status": stream_paper_status}
-QUERIES |= {"i_resolve_mentions": resolve_mentions, "g_cluster_entities": cluster_entities, "g_merge_blocks": merge_blocks, "j_view_edges": view_edges, "j_access_violations": access_violations, "m_relevancy_summary": relevancy_summary}
+QUERIES |= {"i_resolve_mentions": resolve_mentions, "g_cluster_entities": cluster_entities, "g_merge_blocks": merge_blocks, "g_giant_blocks": giant_blocks, "g_near_pairs": near_pairs, "j_view_edges": view_edges, "j_access_violations": access_violations, "m_relevancy_summary": relevancy_summary}
 
+_NEAR = "v AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: x::DOUBLE) AS e FROM embeddings), u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v)"
 _RELEVANT = quality_queries.ORACLES["m_triple_relevancy"]
 _MENTIONS = "m AS (SELECT DISTINCT CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN 'PART ' || c_custkey ELSE 'ring' END AS mention FROM customer)"
 
@@ -174,6 +193,9 @@ ORACLES = {
     "g_merge_blocks": """WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v),
         n AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND round(list_dot_product(a.e, b.e), 6) >= 0.45), reach AS (SELECT vec_id AS a, vec_id AS b FROM u UNION SELECT reach.a, n.b FROM reach JOIN n ON n.a = reach.b),
         c AS (SELECT a, min(b) AS root FROM reach GROUP BY a) SELECT min('e' || a) AS least, count(*) AS members FROM c GROUP BY root""",
+    "g_giant_blocks": f"""WITH RECURSIVE {_NEAR}, n AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND round(list_dot_product(a.e, b.e), 6) >= {config.MERGE_BASE**2}),
+        reach AS (SELECT vec_id AS a, vec_id AS b FROM u UNION SELECT reach.a, n.b FROM reach JOIN n ON n.a = reach.b), c AS (SELECT a, min(b) AS root FROM reach GROUP BY a) SELECT count(*) AS members FROM c GROUP BY root HAVING count(*) > 20""",
+    "g_near_pairs": f"WITH {_NEAR} SELECT least(CAST(a.vec_id AS VARCHAR), CAST(b.vec_id AS VARCHAR)) AS a, greatest(CAST(a.vec_id AS VARCHAR), CAST(b.vec_id AS VARCHAR)) AS b FROM u a JOIN u b ON a.vec_id < b.vec_id AND round(list_dot_product(a.e, b.e), 6) >= 0.88",
     "m_relevancy_summary": f"SELECT count(*) AS documents, round(avg(average), 6) AS average, min(minimum) AS minimum, arg_min(status, CASE status WHEN 'red' THEN 0 WHEN 'yellow' THEN 1 ELSE 2 END) AS worst FROM ({_RELEVANT})",
     "i_resolve_mentions": f"""WITH {_NAMED}, {_MENTIONS}, ex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY times_seen DESC, name, node_id) AS k FROM (SELECT DISTINCT mention, node_id, name, times_seen FROM m JOIN lows ON lower(mention) = low)) WHERE k <= 3),
         rest AS (SELECT mention FROM m WHERE mention NOT IN (SELECT mention FROM ex)), terms AS (SELECT DISTINCT mention, unnest(list_append(list_filter(regexp_extract_all(lower(mention), '[a-z0-9]+'), lambda w: length(w) > 2), lower(mention))) AS term FROM rest),

@@ -74,15 +74,6 @@ def test_self_loop_conflicts_with_itself(spark):
     assert got == {("a", "a"): True, ("a", "b"): False, ("a", "c"): False, ("c", "a"): False}
 
 
-def test_greedy_clusters_join_by_name_and_vector():
-    def c(name, seen, v, type_="T"):
-        tokens = set(name.split())
-        return {"name": name, "normalised": name, "type": type_, "times_seen": seen, "sections": {}, "tokens": tokens, "letters": name.replace(" ", ""), "initials": None, "sentence_like": False, "blocked": False, "polysemous": False, "vector": v}
-
-    rows = [c("graph net", 5, [1.0, 0.0]), c("graph nets", 3, [0.99, 0.14]), c("other thing", 2, [1.0, 0.0]), c("graph map", 1, [0.0, 1.0])]
-    assert canonical.greedy_clusters(rows) == [0, 0, 1, 2]
-
-
 def test_clusters_do_not_depend_on_blocks(spark):
     names = [("alpha net", 4), ("alpha nets", 3), ("beta set", 2), ("beta sets", 1), ("gamma", 1)]
     e = canonical.name_features(spark.createDataFrame([(n, "T", t, {"R": 1}) for n, t in names], "name string, type string, times_seen int, sections map<string,int>"))
