@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph import config
+from quillgraph.functions import spans
 
 
 #: Triples in a group that is voted on together.
@@ -64,8 +66,9 @@ def parse_responses(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     return parsed.select("element_id", status.alias("status")), good.select("element_id", "pos", "t.*")
 
 
-def relation_patterns(spark) -> DataFrame:
-    rows = [(p, c, s) for c, s, phrases in config.RELATION_PATTERNS for p in phrases]
+def relation_patterns(spark, groups: Iterable[tuple[str, bool, Sequence[str]]] = config.RELATION_PATTERNS) -> DataFrame:
+    """`phrase, canonical, swap, rank` of pattern groups (canonical relation, swap, phrases), in their order."""
+    rows = [(p, c, s) for c, s, phrases in groups for p in phrases]
     return spark.createDataFrame([(p, c, s, i) for i, (p, c, s) in enumerate(rows)], "phrase string, canonical string, swap boolean, rank int")
 
 
@@ -73,13 +76,21 @@ def clean_phrase(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z]+", " "))
 
 
-def normalise_relations(triples: DataFrame, column: str = "relation_text") -> DataFrame:
+def read_relation_patterns(spark, path: str) -> DataFrame:
+    """Patterns from a JSON-lines file of groups `canonical, swap, phrases` in order, for lists too long for the configuration."""
+    groups = spark.read.schema("canonical string, swap boolean, phrases array<string>").json(path)
+    # A configuration file; its order is that of its lines.
+    rows = groups.select("canonical", F.coalesce("swap", F.lit(False)).alias("swap"), "phrases").collect()
+    return relation_patterns(spark, [(r.canonical, r.swap, r.phrases) for r in rows])
+
+
+def normalise_relations(triples: DataFrame, column: str = "relation_text", patterns: DataFrame | None = None) -> DataFrame:
     """Adds `relation, swap` by the longest pattern that the phrase contains; first in order among equals; null without one.
 
-    Each differing phrase is matched once; the patterns are a fixed list.
+    Each differing phrase is matched once; the patterns are the configured list unless a table of them is given.
     """
     phrases = triples.select(F.col(column).alias("raw")).distinct().withColumn("clean", clean_phrase(F.col("raw")))
-    met = phrases.join(F.broadcast(relation_patterns(triples.sparkSession)), F.contains("clean", "phrase"))
+    met = phrases.join(F.broadcast(relation_patterns(triples.sparkSession) if patterns is None else patterns), F.contains("clean", "phrase"))
     best = met.groupBy("raw").agg(F.min_by(F.struct("canonical", "swap"), F.struct(-F.length("phrase"), "rank")).alias("p"))
     joined = triples.join(best, triples[column] == best["raw"], "left")
     return joined.select(*[triples[c] for c in triples.columns], F.col("p.canonical").alias("relation"), F.coalesce("p.swap", F.lit(False)).alias("swap"))
@@ -151,56 +162,28 @@ def resolve_entity_types(triples: DataFrame) -> DataFrame:
     return ready.withColumn("dealt", F.pmod(F.xxhash64("element_id"), F.lit(groups))).groupBy("dealt").applyInPandas(vote, schema)
 
 
-def link_exact(text: Column, target: Column) -> Column:
-    """Start (from 0) of a target in a text: as written, else whatever its case, else null."""
-    return F.when(target == "", None).when(F.contains(text, target), F.call_function("locate", target, text) - 1).when(F.contains(F.lower(text), F.lower(target)), F.call_function("locate", F.lower(target), F.lower(text)) - 1)
-
-
-def window_ratio(text: str, target: str, threshold: float) -> tuple[int, int] | None:
-    """Best window of the target's length by SequenceMatcher ratio, if it reaches the threshold; a shorter text is compared whole."""
-    from difflib import SequenceMatcher
-
-    if not text or not target:
-        return None
-    n = len(target)
-    best, at = 0.0, -1
-    for i in range(max(1, len(text) - n + 1)):
-        matcher = SequenceMatcher(None, text[i : i + n].lower(), target.lower())
-        if matcher.real_quick_ratio() >= max(threshold, best) and matcher.quick_ratio() >= max(threshold, best):
-            ratio = matcher.ratio()
-            if ratio > best:
-                best, at = ratio, i
-    return (at, at + min(n, len(text))) if best >= threshold else None
+link_exact = spans.exact_start
 
 
 def link_spans(rows: DataFrame, text: str, target: str, threshold: float = config.SPAN_RATIO) -> DataFrame:
-    """Adds `span` (start, end): exact, then case-insensitive, then the best fuzzy window. Only rows without the first two reach Python."""
-    start = link_exact(F.col(text), F.col(target))
-    found = rows.withColumn("span", F.when(start.isNotNull(), F.struct(start.cast("int").alias("start"), (start + F.length(target)).cast("int").alias("end"))))
-
-    @F.pandas_udf("struct<start:int,end:int>")
-    def fuzzy(texts: pd.Series, targets: pd.Series) -> pd.DataFrame:
-        spans = [window_ratio(a, b, threshold) if a and b else None for a, b in zip(texts, targets)]
-        return pd.DataFrame({"start": pd.array([s[0] if s else None for s in spans], dtype="Int32"), "end": pd.array([s[1] if s else None for s in spans], dtype="Int32")})
-
-    # Only these reach Python; texts or targets that are blank have no window.
-    open_ = F.col("span").isNull() & F.col(text).isNotNull() & (F.trim(text) != "") & F.col(target).isNotNull() & (F.trim(target) != "")
-    missed = found.where(open_).withColumn("span", fuzzy(F.col(text), F.trim(target)))
-    missed = missed.withColumn("span", F.when(F.col("span.start").isNotNull(), F.col("span")))
-    return found.where(~open_).unionByName(missed)
+    """Adds `span` (start, end): exact, then case-insensitive, then the best fuzzy window."""
+    return rows.withColumn("span", spans.find_spans(F.col(text), {"span": F.col(target)}, threshold)["span"])
 
 
-def validate_triples(triples: DataFrame) -> DataFrame:
+def validate_triples(triples: DataFrame, threshold: float = config.SPAN_RATIO) -> DataFrame:
     """Adds `reason` (null if accepted), `src_text, dst_text` after the swap, and the sentence span as evidence.
 
     Needs content, subject, object, relation, swap, decision, subject_type, object_type, sentence, confidence.
-    Names and sentences are located as `link_spans` does: as written, in another case, or by the best fuzzy window.
+    Names and sentences are located as `link_spans` does: as written, in another case, or by the best fuzzy window,
+    all three in one pass over the row.
     """
     swap = F.coalesce("swap", F.lit(False))
     src, dst = F.when(swap, F.col("object")).otherwise(F.col("subject")), F.when(swap, F.col("subject")).otherwise(F.col("object"))
     staged = triples.select("*", src.alias("src_text"), dst.alias("dst_text"))
-    for column, name in (("src_text", "s"), ("dst_text", "o"), ("sentence", "sent")):
-        staged = link_spans(staged, "content", column).withColumn(f"{name}_at", F.col("span.start")).withColumn(f"{name}_end", F.col("span.end")).drop("span")
+    found = spans.find_spans(F.col("content"), {"s": F.col("src_text"), "o": F.col("dst_text"), "sent": F.col("sentence")}, threshold)
+    staged = staged.select("*", F.struct(*[v.alias(k) for k, v in found.items()]).alias("__spans"))
+    ends = [F.col(f"__spans.{k}.{part}").alias(f"{k}_{name}") for k in found for part, name in (("start", "at"), ("end", "end"))]
+    staged = staged.select("*", *ends).drop("__spans")
     n, s_end, o_end = F.length("content"), F.col("s_end"), F.col("o_end")
     reason = (
         F.when(F.col("decision") == "review", "relation_needs_review")

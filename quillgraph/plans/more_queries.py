@@ -57,8 +57,13 @@ def resolve_entity_types(spark, sf):
 
 
 def link_spans(spark, sf):
-    t = _triples(spark, sf).select("element_id", "sent_no", "content", F.when(F.col("sent_no") % 5 == 0, F.concat(F.substring("subject", 1, 5), F.lit("x"))).otherwise(F.col("subject")).alias("target"))
-    return extraction.link_spans(t, "content", "target").select("element_id", "sent_no", F.col("span.start").alias("span_start"), F.col("span.end").alias("span_end"))
+    """Part names with one letter in the middle changed, sought in a sentence; every seventh is nothing like it."""
+    p = tables.read(spark, sf, "part").select("p_partkey", "p_name", F.length("p_name").alias("n"))
+    half = (F.col("n") / 2).cast("int")
+    changed = F.concat(F.substring(F.upper("p_name"), F.lit(1), half), F.lit("#"), F.substring(F.upper("p_name"), half + 2, F.col("n")))
+    target = F.when(F.col("p_partkey") % 7 == 0, "0123456789").when(F.col("p_partkey") % 5 == 0, F.col("p_name")).otherwise(changed)
+    t = p.select("p_partkey", F.concat(F.lit("Of <"), "p_name", F.lit("> we say 1."), F.repeat(F.lit(" It is so."), (F.col("p_partkey") % 50).cast("int"))).alias("content"), target.alias("target"))
+    return extraction.link_spans(t, "content", "target").select("p_partkey", F.coalesce(F.col("span.start").cast("long"), F.lit(-1)).alias("span_start"), F.coalesce(F.col("span.end").cast("long"), F.lit(-1)).alias("span_end"))
 
 
 def link_exact(spark, sf):
@@ -185,6 +190,9 @@ ORACLES = {
         SELECT doc_id, string_agg(name, '|' ORDER BY place) AS authors FROM o GROUP BY doc_id""",
     "d_prune_cache": f"""WITH {sql.ELEMENTS}, k AS (SELECT sha256('m1‖p1‖' || content_hash) AS response_key, CAST(doc_id AS INT) AS d FROM elements), r AS (SELECT DISTINCT response_key, 1 AS seq, 'old' AS body FROM k WHERE d % 3 = 0 UNION SELECT response_key, 2, 'new' FROM k WHERE d % 6 = 0)
         SELECT * FROM r WHERE response_key IN (SELECT response_key FROM k WHERE d % 2 = 0)""",
+    # One letter of n is wrong, so the ratio of the name's own window is (n - 1) / n, and no other can be higher.
+    "d_link_spans": f"""WITH p AS (SELECT *, p_partkey % 7 <> 0 AND (p_partkey % 5 = 0 OR (length(p_name) - 1) / length(p_name) >= {config.SPAN_RATIO}) AS hit FROM part)
+        SELECT p_partkey, CAST(CASE WHEN hit THEN 4 ELSE -1 END AS BIGINT) AS span_start, CAST(CASE WHEN hit THEN 4 + length(p_name) ELSE -1 END AS BIGINT) AS span_end FROM p""",
     "d_link_exact": f"WITH {_TRIPLES}, t AS (SELECT element_id, sent_no, content, CASE WHEN sent_no % 3 = 0 THEN upper(subject) WHEN sent_no % 7 = 0 THEN '' ELSE object END AS target FROM full_t) SELECT element_id, sent_no, CASE WHEN target = '' THEN -1 WHEN contains(content, target) THEN instr(content, target) - 1 WHEN contains(lower(content), lower(target)) THEN instr(lower(content), lower(target)) - 1 ELSE -1 END AS span_start FROM t",
     "a_write_read_parsed": f"WITH {sql.ELEMENTS} SELECT CAST(doc_id AS VARCHAR) AS doc_id, source AS content, 'paper' AS kind FROM documents UNION ALL SELECT doc_id, content, element_id FROM elements",
     "a_append_read_log": "SELECT event_id, ts, event_type FROM events ORDER BY ts DESC LIMIT 1000",

@@ -42,7 +42,7 @@ def test_same_rows(spark, sf, duck, name):
 
 
 def test_every_query_is_checked():
-    unchecked = {"d_resolve_entity_types", "d_link_spans", "g_cluster_entities"}
+    unchecked = {"d_resolve_entity_types", "g_cluster_entities"}
     assert set(catalog.queries()) - set(catalog.oracle_sql()) == unchecked
 
 
