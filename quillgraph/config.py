@@ -15,7 +15,18 @@ SECTION_ALIASES = (
 )
 SECTION_FUZZY = 85.0
 AUTO_SECTION = "_auto_"
-KNOWN_VENUES = ("Nature", "Science", "The Lancet", "Cell", "NeurIPS", "ACL", "ICML", "ICLR")
+KNOWN_VENUES = (
+    "Nature",
+    "Science",
+    "The Lancet",
+    "Cell",
+    "Proceedings of the National Academy of Sciences",
+    "IEEE Transactions on Pattern Analysis and Machine Intelligence",
+    "NeurIPS",
+    "ACL",
+    "ICML",
+    "ICLR",
+)
 METADATA_PAGES = 2
 
 #: (domain, priority, keywords): keywords count once each, lower case, as substrings.
@@ -68,6 +79,11 @@ AMBIGUOUS_TYPES = ("other", "unknown", "misc")
 SPAN_RATIO = 0.88
 
 COMENTION_DISTANCE, COMENTION_PAIRS, COMENTION_MIN, COMENTION_CONFIDENCE = 200, 10, 2, 0.3
+#: Words that are no mentions, in lower case.
+MENTION_STOP_WORDS = ("the", "a", "an", "and", "or", "but", "if", "it", "its", "they", "them", "their", "this", "that", "these", "those", "we", "you", "he", "she", "him", "her", "i")
+PRONOUNS = ("it", "its", "they", "them", "their", "theirs", "we", "us", "our", "ours", "he", "him", "his", "she", "her", "hers", "you", "your", "yours", "i", "me", "my", "mine")
+#: A long form and its abbreviation.
+ABBREVIATION = r"([A-Za-z][A-Za-z0-9\-\s]+?)\s*\(([A-Za-z0-9\-]{2,})\)"
 STOP_WORDS = ("The", "This", "That", "These", "And", "With", "From")
 
 MERGE_BASE, MERGE_BLOCKED, MERGE_POLYSEMOUS = 0.88, 0.94, 0.92

@@ -9,6 +9,7 @@ from quillgraph import config
 from quillgraph.functions import vectors
 from quillgraph.functions.checkpoints import checkpointed
 from quillgraph.functions.components import connected_components
+from quillgraph.functions.text import nfkc
 from quillgraph.operators import clustering
 from quillgraph.operators.clustering import cluster_entities
 
@@ -27,8 +28,8 @@ def aggregate_entities(mentions: DataFrame) -> DataFrame:
 
 
 def normalised(name: Column) -> Column:
-    """Lower case, punctuation to blanks, single blanks. Names in other normal forms than NFKC are to be normalised first."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(name), r"[^\p{L}\p{N} ]+", " "), " +", " "))
+    """Normal form KC, lower case, punctuation to blanks, single blanks."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(nfkc(name)), r"[^\p{L}\p{N} ]+", " "), " +", " "))
 
 
 def name_features(entities: DataFrame) -> DataFrame:
@@ -44,11 +45,15 @@ def name_features(entities: DataFrame) -> DataFrame:
 
 
 def hash_embedding(name: Column, dims: int = 16) -> Column:
-    """The first bytes of the name's sha-256, repeated to `dims`, as a unit vector."""
-    digest = F.sha2(name, 256)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.conv(F.substring(digest, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double"))
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(F.array(F.struct(raw.alias("v"), norm.alias("n"))), lambda s: F.transform(s["v"], lambda x: F.when(s["n"] > 0, x / s["n"]).otherwise(0.0)))[0]
+    """The first bytes of the sha-256 of the name in normal form KC, repeated to `dims`, as a unit vector."""
+
+    def vector(digest: Column) -> Column:
+        raw = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.conv(F.substring(digest, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double"))
+        norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
+        return F.transform(F.array(F.struct(raw.alias("v"), norm.alias("n"))), lambda s: F.transform(s["v"], lambda x: F.when(s["n"] > 0, x / s["n"]).otherwise(0.0)))[0]
+
+    # The digest is made outside the functions of single elements, in which Python can't be called.
+    return F.transform(F.array(F.sha2(nfkc(name), 256)), vector)[0]
 
 
 def unit(vector: Column) -> Column:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph import config
+from quillgraph.functions.checkpoints import checkpointed
+from quillgraph.functions.components import connected_components
 
 EDGE_KEY = ("src", "dst", "relation", "doc_id", "version")
 
@@ -141,6 +143,40 @@ def apply_alias_resolution(staged: DataFrame, resolutions: DataFrame) -> DataFra
     return joined.select(F.coalesce("target_id", "node_id").alias("node_id"), name.alias("name"), aliases.alias("aliases"), *[c for c in staged.columns if c not in ("node_id", "name", "aliases")])
 
 
+def resolve_chains(resolutions: DataFrame) -> DataFrame:
+    """Resolutions `node_id, target_id, target_name` followed to their ends, by pointer jumping.
+
+    Of several targets of a node the least one counts. A chain ends at the node that resolves to nothing; nodes in a ring all
+    end at the ring's least id, which then resolves to nothing. The number of rounds is the logarithm of the
+    longest chain.
+    """
+    first = resolutions.where("node_id <> target_id").groupBy("node_id").agg(F.min("target_id").alias("target_id"))
+    links = checkpointed(first)
+    names = resolutions.groupBy(F.col("target_id").alias("id")).agg(F.min("target_name").alias("target_name"))
+    labels = checkpointed(connected_components(links, "node_id", "target_id"))
+    longest = labels.groupBy("label").count().agg(F.max("count")).first()[0] or 1
+    pointers = links
+    for _ in range((longest - 1).bit_length()):
+        onward = pointers.select(F.col("node_id").alias("target_id"), F.col("target_id").alias("next"))
+        pointers = checkpointed(pointers.join(onward, "target_id", "left").select("node_id", F.coalesce("next", "target_id").alias("target_id")))
+    # After that many jumps all of a component is at its end, or somewhere on its ring.
+    ends = pointers.join(labels.withColumnRenamed("node", "node_id"), "node_id").groupBy("label").agg(F.min("target_id").alias("id"))
+    out = links.select("node_id").join(labels.withColumnRenamed("node", "node_id"), "node_id").join(ends, "label").where("node_id <> id")
+    return out.join(names, "id").select("node_id", F.col("id").alias("target_id"), "target_name")
+
+
+def remap_merge_map(merge_map: DataFrame, resolutions: DataFrame) -> DataFrame:
+    """`alias, node_id` with every node replaced by what it resolves to in the end."""
+    ends = resolve_chains(resolutions).select("node_id", "target_id")
+    return merge_map.join(ends, "node_id", "left").select("alias", F.coalesce("target_id", "node_id").alias("node_id")).distinct()
+
+
+def resolve_staged(existing: DataFrame, staged: DataFrame, merge_map: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Staged nodes with their aliases resolved to existing nodes, and the merge map remapped likewise."""
+    ends = resolve_chains(resolve_aliases(existing, staged))
+    return apply_alias_resolution(staged, ends), remap_merge_map(merge_map, ends)
+
+
 def resolve_endpoints(triples: DataFrame, nodes: DataFrame, merge_map: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Triples with `src` and `dst` node ids, and those of which an end has no node.
 

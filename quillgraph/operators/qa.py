@@ -26,22 +26,42 @@ def match_exact(mentions: DataFrame, nodes: DataFrame, k: int = 5) -> DataFrame:
     return met.withColumn("k", F.row_number().over(order)).where(F.col("k") <= k)
 
 
+#: Characters of a gram.
+GRAM = 3
+
+
+def _grams(text: Column, n: int) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))
+
+
+def term_candidates(terms: DataFrame, names: DataFrame) -> DataFrame:
+    """`term, low`: distinct terms with the distinct names (`low`) that hold the term's rarest gram; those that contain it are among them.
+
+    Names are listed under their grams of three characters (and of one and two, for shorter terms) and every gram has the
+    number of its names. A term with a gram that no name has meets nothing; any other is joined by its rarest
+    one only. What it meets beyond its matches are names that share that gram by chance.
+    """
+    names = names.select("low").distinct()
+    terms = terms.select("term").where("term <> ''").distinct()
+    listed = names.select("low", F.explode(F.concat(*[_grams(F.col("low"), n) for n in range(1, GRAM + 1)])).alias("gram"))
+    often = listed.groupBy("gram").agg(F.count("*").alias("names"))
+    asked = terms.select("term", F.explode(F.when(F.length("term") < GRAM, F.array("term")).otherwise(_grams(F.col("term"), GRAM))).alias("gram"))
+    counted = asked.join(often, "gram", "left")
+    rarest = counted.groupBy("term").agg(F.min_by("gram", F.struct(F.coalesce("names", F.lit(0)).alias("n"), "gram")).alias("gram"))
+    return rarest.join(listed, "gram").select("term", "low")
+
+
 def match_contains(mentions: DataFrame, nodes: DataFrame, k: int = 5) -> DataFrame:
     """Nodes of which a name or alias contains the mention or one of its words (over two characters); exact names first.
 
-    A name that contains a term contains the term's first three characters: names are listed under all
-    their pieces of one to three characters, joined by equality, and only then compared.
+    Terms meet names by their rarest gram (`term_candidates`) and are then compared.
     """
     low = F.lower("mention")
     words = F.filter(F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.length(w) > 2)
     terms = mentions.select("mention").distinct().select("mention", F.explode(F.array_distinct(F.concat(F.array(low), words))).alias("term"))
-    terms = terms.where("term <> ''").withColumn("piece", F.substring("term", 1, 3))
-
-    def pieces(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("low") - n + 1, F.lit(1))), lambda i: F.substring(F.col("low"), i, F.lit(n)))
-
-    listed = node_names(nodes).select("*", F.explode(F.array_distinct(F.concat(pieces(1), pieces(2), pieces(3)))).alias("piece"))
-    met = listed.join(terms, "piece").where(F.contains(F.col("low"), F.col("term")))
+    names = node_names(nodes)
+    pairs = term_candidates(terms, names).where(F.contains(F.col("low"), F.col("term")))
+    met = pairs.join(terms, "term").select("mention", "low").distinct().join(names, "low")
     best = met.groupBy("mention", "node_id", "name", "times_seen").agg(F.max((F.col("low") == F.lower("mention")).cast("int")).alias("exact"))
     order = Window.partitionBy("mention").orderBy(F.desc("exact"), F.desc("times_seen"), "name", "node_id")
     return best.withColumn("k", F.row_number().over(order)).where(F.col("k") <= k)
@@ -64,33 +84,60 @@ def section_weight(sections: Column) -> Column:
     return F.when(F.size(weights) > 0, F.aggregate(weights, F.lit(0.0), lambda a, x: a + x) / F.size(weights)).otherwise(F.lit(1.0))
 
 
+def _distances(ends: DataFrame, links: DataFrame, most: int) -> DataFrame:
+    """`node, far`: nodes within `most` steps of any of `ends` (`node`), and how many steps the nearest one is away."""
+    known = checkpointed(ends.select("node").distinct().withColumn("far", F.lit(0)))
+    front = known.select("node")
+    for step in range(1, most + 1):
+        reached = front.withColumnRenamed("node", "at").join(links, "at").select(F.col("to").alias("node")).distinct()
+        front = checkpointed(reached.join(known, "node", "left_anti"))
+        known = known.unionByName(front.withColumn("far", F.lit(step)))
+    return known
+
+
 def find_paths(pairs: DataFrame, edges: DataFrame, max_hops: int = 2, confidence: float = config.PATH_CONFIDENCE, relations: Sequence[str] = ()) -> DataFrame:
     """Undirected trails of 1 to max_hops edges between the `start` and `goal` of each pair.
 
     No edge is used twice; nodes may repeat. `hops` lists the steps (edge_id, from, to, relation,
-    confidence, created_at, conflicting) in walking order. Starts prune the first join and goals the last.
+    confidence, created_at, conflicting) in walking order. Half of a trail is walked from its start, half back from its
+    goal, and the halves meet in the middle. At every hop a walk goes on only to nodes from which
+    the other ends can still be reached with the hops that are left.
     """
     usable = edges.where(F.col("confidence") >= confidence)
     if relations:
         usable = usable.where(F.col("relation").isin(*relations))
-    # Made once: each hop and the goals' side read it.
+    # Made once: each hop of either side reads it.
     steps = checkpointed(both_directions(usable).select("at", "to", F.struct("edge_id", F.col("at").alias("from"), "to", "relation", "confidence", "created_at", "conflicting").alias("hop")))
-    pairs = pairs.select("start", "goal").distinct()
-    trails = pairs.join(steps, F.col("start") == F.col("at")).select("start", "goal", F.col("to").alias("here"), F.array("hop").alias("hops"))
-    found = [trails.where("here = goal")]
-    near_goal = steps.join(pairs.select(F.col("goal").alias("to")).distinct(), "to", "left_semi").select("at").distinct()
-    for hop in range(2, max_hops + 1):
-        if hop == max_hops:  # only walks that can still reach a goal go into the last join
-            trails = trails.join(near_goal.withColumnRenamed("at", "here"), "here", "left_semi")
-        joined = trails.join(steps, F.col("here") == F.col("at")).where(~F.exists("hops", lambda h: h["edge_id"] == F.col("hop.edge_id")))
-        if hop == max_hops:
-            joined = joined.where("to = goal")
-        trails = joined.select("start", "goal", F.col("to").alias("here"), F.concat("hops", F.array("hop")).alias("hops"))
-        found.append(trails.where("here = goal"))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.select("start", "goal", "hops")
+    pairs = checkpointed(pairs.select("start", "goal").distinct())
+    starts, goals = pairs.select(F.col("start").alias("node")).distinct(), pairs.select(F.col("goal").alias("node")).distinct()
+    links = steps.select("at", "to").distinct()
+    forth_hops, back_hops = -(-max_hops // 2), max_hops // 2
+
+    def walk(ends: DataFrame, toward: DataFrame, hops: int, near: str, far: str, add) -> list[DataFrame]:
+        """Trails of 1 to `hops` steps from the ends: `end, here, hops`."""
+        reach = _distances(toward, links, max_hops - 1)
+        out, here = [], None
+        for i in range(1, hops + 1):
+            held = reach.where(F.col("far") <= max_hops - i).select(F.col("node").alias(far))
+            onward = steps.join(held, far, "left_semi")
+            if here is None:
+                here = ends.join(onward, F.col("node") == F.col(near)).select(F.col("node").alias("end"), F.col(far).alias("here"), F.array("hop").alias("hops"))
+            else:
+                met = here.join(onward, F.col("here") == F.col(near)).where(~F.exists("hops", lambda h: h["edge_id"] == F.col("hop.edge_id")))
+                here = met.select("end", F.col(far).alias("here"), add(F.col("hops"), F.array("hop")).alias("hops"))
+            here = checkpointed(here)
+            out.append(here)
+        return out
+
+    forth = walk(starts, goals, forth_hops, "at", "to", lambda hops, hop: F.concat(hops, hop))
+    back = walk(goals, starts, back_hops, "to", "at", lambda hops, hop: F.concat(hop, hops))
+    out = pairs.join(forth[0], (F.col("start") == F.col("end")) & (F.col("goal") == F.col("here"))).select("start", "goal", "hops")
+    for hops in range(2, max_hops + 1):
+        first = forth[-(-hops // 2) - 1].select(F.col("end").alias("start"), "here", F.col("hops").alias("first"))
+        rest = back[hops // 2 - 1].select(F.col("end").alias("goal"), "here", F.col("hops").alias("rest"))
+        met = pairs.join(first, "start").join(rest, ["goal", "here"]).where(~F.exists("first", lambda h: F.exists("rest", lambda r: r["edge_id"] == h["edge_id"])))
+        out = out.unionByName(met.select("start", "goal", F.concat("first", "rest").alias("hops")))
+    return out
 
 
 def rank_paths(paths: DataFrame, nodes: DataFrame, k: int = config.PATH_TOP) -> DataFrame:

@@ -77,6 +77,17 @@ def apply_alias_resolution(spark, sf):
     return out.select("node_id", "name", F.concat_ws("|", "aliases").alias("aliases"))
 
 
+def merge_map_remap(spark, sf):
+    """Suppliers resolve to the one before, in chains of up to four; customers in rings of three."""
+    s, c = tables.read(spark, sf, "supplier"), tables.read(spark, sf, "customer")
+    row = lambda kind, key, to: (F.concat(F.lit(kind), key.cast("string")).alias("node_id"), F.concat(F.lit(kind), to.cast("string")).alias("target_id"), F.concat(F.lit("name "), to.cast("string")).alias("target_name"))
+    k, q = F.col("s_suppkey"), F.col("c_custkey")
+    ring = F.when(q % 3 == 2, q - 2).otherwise(q + 1)
+    resolutions = s.where(k % 5 > 0).select(*row("s", k, k - 1)).unionByName(c.select(*row("c", q, ring)))
+    aliases = s.select(F.col("s_name").alias("alias"), F.concat(F.lit("s"), k.cast("string")).alias("node_id")).unionByName(c.select(F.col("c_name").alias("alias"), F.concat(F.lit("c"), q.cast("string")).alias("node_id")))
+    return graph.remap_merge_map(aliases, resolutions)
+
+
 def _triples(spark, sf):
     o = tables.read(spark, sf, "orders")
     return o.select(F.col("o_orderkey").alias("triple_id"), F.concat(F.lit("customer "), F.when(F.col("o_orderkey") % 4 == 0, F.lit("none")).otherwise(F.col("o_custkey").cast("string"))).alias("subject"), F.concat(F.lit("PART "), (F.col("o_orderkey") % 50).cast("string")).alias("object"))
@@ -150,6 +161,21 @@ def find_paths(spark, sf):
     return paths.select("start", "goal", F.concat_ws(",", F.transform("hops", lambda h: h["edge_id"])).alias("signature"))
 
 
+def long_paths(spark, sf):
+    """Trails of up to four hops over the firmest edges, from every supplier to the next one."""
+    edges = _edges(spark, sf).withColumn("conflicting", F.lit(False))
+    near = tables.read(spark, sf, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("start"), F.concat(F.lit("s"), (F.col("s_suppkey") + 1).cast("string")).alias("goal"))
+    paths = qa.find_paths(near, edges, max_hops=4, confidence=1.0, relations=("uses",))
+    return paths.select("start", "goal", F.concat_ws(",", F.transform("hops", lambda h: h["edge_id"])).alias("signature"), F.size("hops").alias("n_hops"))
+
+
+def contains_customers(spark, sf):
+    """Every customer's name and its number as mentions."""
+    c = tables.read(spark, sf, "customer")
+    words = c.select(F.col("c_name").alias("mention")).unionByName(c.select(F.concat(F.lit("number "), F.lpad(F.col("c_custkey").cast("string"), 6, "0")).alias("mention")))
+    return qa.match_contains(words, tables.graph_nodes(spark, sf))
+
+
 def rank_paths(spark, sf):
     return _ranked(spark, sf).select("start", "goal", "signature", "score", "n_hops", "conflicting", "k")
 
@@ -312,9 +338,9 @@ def _named_documents() -> str:
 
 
 _I = config.INTENT_KEYWORDS
-QUERIES = {f"h_{f.__name__}": f for f in (upsert_nodes, combine_staged_nodes, upsert_edges, flag_conflicts, conflict_report, resolve_aliases, apply_alias_resolution, resolve_endpoints, unresolved_endpoints, known_documents, mark_cross_paper, check_edges, edge_attributes)}
+QUERIES = {f"h_{f.__name__}": f for f in (upsert_nodes, combine_staged_nodes, upsert_edges, flag_conflicts, conflict_report, resolve_aliases, apply_alias_resolution, resolve_endpoints, unresolved_endpoints, known_documents, mark_cross_paper, check_edges, edge_attributes, merge_map_remap)}
 QUERIES |= {"f_deprecate_edges": deprecate_edges}
-QUERIES |= {f"i_{f.__name__}": f for f in (match_exact, match_contains, top_nodes, find_paths, rank_paths, neighbours, document_edges, fallback_neighbours, summary_neighbours, summary_documents, classify_intent, question_mentions, answer_table, answers, answer_context, citation_check)}
+QUERIES |= {f"i_{f.__name__}": f for f in (match_exact, match_contains, contains_customers, top_nodes, find_paths, long_paths, rank_paths, neighbours, document_edges, fallback_neighbours, summary_neighbours, summary_documents, classify_intent, question_mentions, answer_table, answers, answer_context, citation_check)}
 QUERIES |= {f"j_{f.__name__}": f for f in (graph_view, accessible_view, view_nodes, node_importance, partition_by_document, partition_nodes, node_focus, accessible_papers)}
 
 ORACLES = {
@@ -325,9 +351,13 @@ ORACLES = {
     "h_combine_staged_nodes": f"WITH {sql.NODES} SELECT node_id, CASE WHEN times_seen > 3 THEN 2 * times_seen ELSE times_seen END AS times_seen, CASE WHEN times_seen % 2 = 0 THEN times_seen ELSE 1 END * CASE WHEN times_seen > 3 THEN 2 ELSE 1 END AS in_sections, CASE WHEN times_seen > 3 THEN len(list_distinct(docs)) + 2 ELSE len(list_distinct(docs)) END AS n_docs FROM named WHERE type = 'part'",
     "h_upsert_edges": f"WITH {_EDGE_TABLE} SELECT src, dst, relation, doc_id, version, verbatim, confidence, times_seen, evidence, created_at, section FROM merged",
     "h_flag_conflicts": f"WITH {_EDGE_TABLE} SELECT relation, count(*) AS edges, CAST(sum(CAST(conflicting AS INT)) AS BIGINT) AS conflicting FROM flagged GROUP BY relation",
-    "h_conflict_report": f"WITH {_EDGE_TABLE.replace('merged AS (', 'merged AS MATERIALIZED (')}, f AS MATERIALIZED (SELECT src, dst, relation, doc_id, src || '|' || dst || '|' || relation AS k FROM merged WHERE relation <> 'correlates-with'), r AS MATERIALIZED (SELECT doc_id, dst || '|' || src || '|' || relation AS k FROM f) SELECT f.src, f.dst, f.relation, f.doc_id, r.doc_id AS reverse_doc_id FROM f JOIN r ON f.k = r.k WHERE f.src < f.dst OR (f.src = f.dst AND f.doc_id <= r.doc_id)",
+    "h_conflict_report": f"WITH {sql.EDGES}, k AS MATERIALIZED (SELECT DISTINCT src, dst, relation, doc_id, version FROM edges WHERE relation <> 'correlates-with') SELECT f.src, f.dst, f.relation, f.doc_id, r.doc_id AS reverse_doc_id FROM k f JOIN k r ON f.src = r.dst AND f.dst = r.src AND f.relation = r.relation WHERE f.src < f.dst OR (f.src = f.dst AND f.doc_id <= r.doc_id)",
     "h_resolve_aliases": f"WITH {_ALIASED} SELECT node_id, t[1] AS target_id, t[2] AS target_name FROM resolved",
     "h_apply_alias_resolution": f"WITH {_ALIASED} SELECT coalesce(t[1], s.node_id) AS node_id, coalesce(t[2], s.name) AS name, array_to_string(list_sort(list_filter([s.name, s.aliases[1], 'zz'], lambda x: x <> coalesce(t[2], s.name))), '|') AS aliases FROM staged s LEFT JOIN resolved r ON s.node_id = r.node_id",
+    "h_merge_map_remap": """WITH RECURSIVE r AS (SELECT 's' || s_suppkey AS node_id, 's' || (s_suppkey - 1) AS target FROM supplier WHERE s_suppkey % 5 > 0), walk AS (SELECT node_id, target, 1 AS n FROM r UNION ALL SELECT w.node_id, r.target, n + 1 FROM walk w JOIN r ON r.node_id = w.target),
+        ends AS (SELECT node_id, arg_max(target, n) AS target FROM walk GROUP BY node_id)
+        SELECT s_name AS alias, coalesce(target, 's' || s_suppkey) AS node_id FROM supplier LEFT JOIN ends ON node_id = 's' || s_suppkey UNION
+        SELECT c_name, CASE WHEN part_of IS NULL THEN 'c' || (c_custkey + CASE WHEN c_custkey % 3 = 2 THEN -2 ELSE 1 END) ELSE part_of END FROM (SELECT c_name, c_custkey, (SELECT min(x) FROM (SELECT 'c' || (c_custkey // 3 * 3) AS x UNION ALL SELECT 'c' || (c_custkey // 3 * 3 + 1) UNION ALL SELECT 'c' || (c_custkey // 3 * 3 + 2))) AS part_of FROM customer)""",
     "h_resolve_endpoints": "WITH t AS (SELECT o_orderkey AS triple_id, o_custkey AS c, o_orderkey % 50 AS p FROM orders WHERE o_orderkey % 4 <> 0) SELECT triple_id, 'c' || c AS src, 'p' || p AS dst FROM t JOIN customer ON c_custkey = c JOIN part ON p_partkey = p",
     "h_unresolved_endpoints": "SELECT o_orderkey AS triple_id, CASE WHEN o_orderkey % 4 = 0 THEN 'customer none' ELSE 'customer ' || o_custkey END AS subject FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN part ON p_partkey = o_orderkey % 50 WHERE o_orderkey % 4 = 0 OR c_custkey IS NULL OR p_partkey IS NULL",
     "h_known_documents": f"WITH {_ALIASED}, r AS (SELECT node_id, docs FROM staged UNION ALL SELECT resolved.node_id, docs FROM resolved JOIN named ON named.node_id = t[1]) SELECT node_id, array_to_string(list_sort(list_distinct(flatten(list(docs)))), '|') AS docs FROM r GROUP BY node_id",
@@ -340,6 +370,12 @@ ORACLES = {
     "i_match_contains": f"""WITH {_NAMED}, m AS (SELECT DISTINCT 'green ' || lower(substr(n_name, 1, 3)) AS mention FROM nation), terms AS (SELECT DISTINCT mention, unnest(list_append(list_filter(regexp_extract_all(lower(mention), '[a-z0-9]+'), lambda w: length(w) > 2), lower(mention))) AS term FROM m),
         met AS (SELECT mention, node_id, name, times_seen, max(CAST(low = lower(mention) AS INT)) AS exact FROM lows JOIN terms ON contains(low, term) GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY exact DESC, times_seen DESC, name, node_id) AS k FROM met) WHERE k <= 5""",
     "i_top_nodes": f"WITH {sql.NODES} SELECT node_id, name, times_seen FROM named ORDER BY times_seen DESC, name, node_id LIMIT 100",
+    "i_contains_customers": f"""WITH {_NAMED}, m AS (SELECT c_name AS mention FROM customer UNION SELECT 'number ' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') FROM customer), terms AS (SELECT DISTINCT mention, unnest(list_append(list_filter(regexp_extract_all(lower(mention), '[a-z0-9]+'), lambda w: length(w) > 2), lower(mention))) AS term FROM m),
+        met AS (SELECT mention, node_id, name, times_seen, max(CAST(low = lower(mention) AS INT)) AS exact FROM lows JOIN terms ON contains(low, term) GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY exact DESC, times_seen DESC, name, node_id) AS k FROM met) WHERE k <= 5""",
+    "i_long_paths": f"""WITH RECURSIVE {sql.EDGES}, e AS (SELECT DISTINCT src, dst, src || '|' || dst || '|' || relation || '|' || doc_id || '|' || version AS edge_id FROM edges WHERE relation = 'uses' AND confidence >= 1.0),
+        steps AS (SELECT src AS a, dst AS b, edge_id FROM e UNION ALL SELECT dst, src, edge_id FROM e WHERE src <> dst), q AS (SELECT 's' || s_suppkey AS start, 's' || (s_suppkey + 1) AS goal FROM supplier),
+        walk AS (SELECT start, goal, b AS here, [edge_id] AS hops FROM q JOIN steps ON a = start UNION ALL SELECT start, goal, b, list_append(hops, edge_id) FROM walk JOIN steps ON a = here WHERE len(hops) < 4 AND NOT list_contains(hops, edge_id))
+        SELECT start, goal, array_to_string(hops, ',') AS signature, CAST(len(hops) AS INTEGER) AS n_hops FROM walk WHERE here = goal""",
     "i_find_paths": f"WITH {_PATHS} SELECT start, goal, signature FROM paths",
     "i_rank_paths": f"WITH {_PATHS} SELECT start, goal, signature, score, n_hops, conflicting, k FROM ranked",
     "i_neighbours": f"WITH {_EDGE_TABLE}, {_ASKED}, r AS (SELECT a AS node_id, b AS other, edge_id, row_number() OVER (PARTITION BY a ORDER BY confidence DESC, created_at DESC, edge_id) AS k FROM steps WHERE confidence >= 0.9) SELECT * FROM r SEMI JOIN asked USING (node_id) WHERE k <= 12",

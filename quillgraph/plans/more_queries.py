@@ -134,6 +134,15 @@ def cluster_entities(spark, sf):
     return canonical.resolve_entities(_entities(spark, sf), most=200)
 
 
+def normal_forms(spark, sf):
+    """Part names with a ligature, in full width, with a combining accent, and plain."""
+    n = F.col("p_partkey") % 4
+    name = F.when(n == 0, F.concat(F.lit("\ufb01ne "), "p_name")).when(n == 1, F.concat(F.lit("\uff26ine "), "p_name")).when(n == 2, F.concat(F.lit("fine\u0301 "), "p_name")).otherwise(F.concat(F.lit("Fine "), "p_name"))
+    p = canonical.name_features(tables.read(spark, sf, "part").select("p_partkey", "p_name", name.alias("name")))
+    same = canonical.hash_embedding(F.col("name")) == canonical.hash_embedding(F.when(n == 0, F.concat(F.lit("fine "), "p_name")).when(n == 1, F.concat(F.lit("Fine "), "p_name")).when(n == 2, F.concat(F.lit("fin\u00e9 "), "p_name")).otherwise(F.col("name")))
+    return p.select("p_partkey", "normalised", same.alias("same_vector"))
+
+
 def giant_blocks(spark, sf):
     return canonical.giant_blocks(canonical.merge_blocks(_entities(spark, sf)), 20).select("members")
 
@@ -176,7 +185,7 @@ sem AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY phrase ORDER BY
 QUERIES = {"b_paper_authors": paper_authors}
 QUERIES |= {f"d_{f.__name__}": f for f in (semantic_relations, relation_decisions, prune_cache, resolve_entity_types, link_spans, link_exact, needs_review)}
 QUERIES |= {f"a_{f.__name__}": f for f in (write_read_parsed, append_read_log)} | {"s_ingest": stream_ingest, "s_paper_status": stream_paper_status}
-QUERIES |= {"i_resolve_mentions": resolve_mentions, "g_cluster_entities": cluster_entities, "g_merge_blocks": merge_blocks, "g_giant_blocks": giant_blocks, "g_near_pairs": near_pairs, "j_view_edges": view_edges, "j_access_violations": access_violations, "m_relevancy_summary": relevancy_summary}
+QUERIES |= {"i_resolve_mentions": resolve_mentions, "g_cluster_entities": cluster_entities, "g_merge_blocks": merge_blocks, "g_giant_blocks": giant_blocks, "g_normal_forms": normal_forms, "g_near_pairs": near_pairs, "j_view_edges": view_edges, "j_access_violations": access_violations, "m_relevancy_summary": relevancy_summary}
 
 _NEAR = "v AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: x::DOUBLE) AS e FROM embeddings), u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v)"
 _RELEVANT = quality_queries.ORACLES["m_triple_relevancy"]
@@ -203,6 +212,7 @@ ORACLES = {
         c AS (SELECT a, min(b) AS root FROM reach GROUP BY a) SELECT min('e' || a) AS least, count(*) AS members FROM c GROUP BY root""",
     "g_giant_blocks": f"""WITH RECURSIVE {_NEAR}, n AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND round(list_dot_product(a.e, b.e), 6) >= {config.MERGE_BASE**2}),
         reach AS (SELECT vec_id AS a, vec_id AS b FROM u UNION SELECT reach.a, n.b FROM reach JOIN n ON n.a = reach.b), c AS (SELECT a, min(b) AS root FROM reach GROUP BY a) SELECT count(*) AS members FROM c GROUP BY root HAVING count(*) > 20""",
+    "g_normal_forms": "SELECT p_partkey, CASE WHEN p_partkey % 4 = 2 THEN 'fin\u00e9 ' ELSE 'fine ' END || trim(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) AS normalised, true AS same_vector FROM part",
     "g_near_pairs": f"WITH {_NEAR} SELECT least(CAST(a.vec_id AS VARCHAR), CAST(b.vec_id AS VARCHAR)) AS a, greatest(CAST(a.vec_id AS VARCHAR), CAST(b.vec_id AS VARCHAR)) AS b FROM u a JOIN u b ON a.vec_id < b.vec_id AND round(list_dot_product(a.e, b.e), 6) >= 0.88",
     "m_relevancy_summary": f"SELECT count(*) AS documents, round(avg(average), 6) AS average, min(minimum) AS minimum, arg_min(status, CASE status WHEN 'red' THEN 0 WHEN 'yellow' THEN 1 ELSE 2 END) AS worst FROM ({_RELEVANT})",
     "i_resolve_mentions": f"""WITH {_NAMED}, {_MENTIONS}, ex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY times_seen DESC, name, node_id) AS k FROM (SELECT DISTINCT mention, node_id, name, times_seen FROM m JOIN lows ON lower(mention) = low)) WHERE k <= 3),

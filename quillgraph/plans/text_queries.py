@@ -93,8 +93,19 @@ def candidate_mentions(spark, sf):
 
 
 def abbreviation_pairs(spark, sf):
-    rows = _elements(spark, sf).select("element_id", F.concat("content", F.lit(" neural network model (NNM) end")).alias("content"))
-    return routing.abbreviation_pairs(rows)
+    """Texts built around part names with abbreviations that have digits and hyphens, and long forms of all lengths."""
+    short = F.get(F.array(*[F.lit(x) for x in ("IL-6", "HER2", "p53", "NNM", "x")]), (F.col("p_partkey") % 5).cast("int"))
+    long = F.concat(F.lit("type-2 "), F.repeat(F.concat(F.col("p_name"), F.lit(" ")), (F.col("p_partkey") % 4 + 1).cast("int")), F.lit("unit"))
+    p = tables.read(spark, sf, "part").select(F.col("p_partkey").alias("element_id"), F.concat(F.lit("1. "), long, F.lit(" ("), short, F.lit("), and so (see 3.2) on.")).alias("content"))
+    return routing.abbreviation_pairs(p)
+
+
+def inventory(spark, sf):
+    """Annotations of parts: an entity, a noun phrase said twice, one said once, a pronoun, a lone letter, a word that isn't there."""
+    p = tables.read(spark, sf, "part").select(F.col("p_partkey").alias("element_id"), F.concat(F.lit("so "), F.lower("p_name"), F.lit(" of "), F.lower("p_type"), F.lit("; beta-cell unit (BCU), it is in z")).alias("content"))
+    rows = F.array(*[F.struct(F.lit(m).alias("mention"), F.lit(k).alias("kind")) for m, k in (("so", "proper"), ("is in", "noun"), ("IS in", "noun"), ("of", "noun"), ("it", "entity"), ("z", "entity"), ("quite absent", "entity"), (" unit ", "entity"))])
+    spans = tables.read(spark, sf, "part").select(F.col("p_partkey").alias("element_id"), F.explode(rows).alias("r")).select("element_id", "r.*")
+    return routing.candidate_mentions(p, ("beta",), spans=spans, specialised=True)
 
 
 def limit_mentions(spark, sf):
@@ -135,7 +146,7 @@ firsts AS (SELECT *, min((least(a_at, b_at), greatest(a_at, b_at))) OVER (PARTIT
 pairs AS (SELECT * FROM (SELECT *, dense_rank() OVER (PARTITION BY element_id ORDER BY f, a, b) AS pair_no FROM firsts) WHERE pair_no <= 10)"""
 
 QUERIES = {f"b_{f.__name__}": f for f in (clean_items, build_elements, sections_exact, paper_titles, paper_years, paper_venues, paper_dois, validate_contracts, validate_nodes, validate_papers, validate_triples, validate_edges)}
-QUERIES |= {f"c_{f.__name__}": f for f in (route_domain, vocabulary_density, candidate_mentions, abbreviation_pairs, limit_mentions)}
+QUERIES |= {f"c_{f.__name__}": f for f in (route_domain, vocabulary_density, candidate_mentions, inventory, abbreviation_pairs, limit_mentions)}
 QUERIES |= {f"e_{f.__name__}": f for f in (sentences, mention_occurrences, comention_pairs, comention_edges)}
 
 _ROUTE = "(3 * ({t}) + 4 * ({v}) + 2 * ({c}))"
@@ -165,11 +176,13 @@ ORACLES = {
     "c_vocabulary_density": f"WITH {sql.ELEMENTS}, w AS (SELECT element_id, regexp_extract_all(lower(content), '[a-z]+') AS l FROM elements), n AS (SELECT element_id, len(l) AS n_words, len(list_filter(l, lambda x: x IN {TERMS})) AS n_terms FROM w) SELECT element_id, n_words, n_terms, CASE WHEN n_words > 0 AND n_terms / n_words >= 0.2 THEN 'specialised' ELSE 'general' END AS profile FROM n",
     "c_candidate_mentions": f"""WITH {sql.ELEMENTS}, src AS (
         SELECT element_id, content, v AS mention, 3 AS score FROM elements, (SELECT unnest(['tion', 'ich']) AS v) WHERE contains(lower(content), v) UNION ALL
-        SELECT element_id, content, m, CASE WHEN regexp_full_match(m, '[A-Z]{{2,}}') THEN 2 ELSE 1 END FROM (SELECT element_id, content, unnest(regexp_extract_all(content, '[A-Z][A-Za-z]+')) AS m FROM elements) WHERE m NOT IN {sql.STOPS}),
-        placed AS (SELECT element_id, mention, score, instr(lower(content), lower(mention)) - 1 AS first_at FROM src WHERE length(mention) > 1),
-        best AS (SELECT element_id, min((-score, first_at, mention)) AS b FROM placed WHERE first_at >= 0 GROUP BY element_id, lower(mention))
-        SELECT element_id, b[3] AS mention, -b[1] AS score, b[2] AS first_at FROM best QUALIFY row_number() OVER (PARTITION BY element_id ORDER BY b) <= {config.MAX_CANDIDATES}""",
-    "c_abbreviation_pairs": f"WITH {sql.ELEMENTS}, t AS (SELECT element_id, content || ' neural network model (NNM) end' AS c FROM elements), p AS (SELECT element_id, unnest(regexp_extract_all(c, '([A-Za-z][A-Za-z ]{{3,40}}) \\(([A-Z]{{2,10}})\\)', 1)) AS l, unnest(regexp_extract_all(c, '([A-Za-z][A-Za-z ]{{3,40}}) \\(([A-Z]{{2,10}})\\)', 2)) AS s FROM t) SELECT element_id, trim(l) AS long_form, s AS abbreviation FROM p",
+        SELECT element_id, content, m, CASE WHEN regexp_full_match(m, '[A-Z]{{2,}}') THEN 2 ELSE 1 END FROM (SELECT element_id, content, unnest(regexp_extract_all(content, '[A-Z][A-Za-z]+')) AS m FROM elements) WHERE m NOT IN {sql.STOPS} AND lower(m) NOT IN {config.MENTION_STOP_WORDS + config.PRONOUNS}),
+        placed AS (SELECT element_id, mention, score, CASE WHEN contains(content, mention) THEN instr(content, mention) ELSE instr(lower(content), lower(mention)) END - 1 AS first_at, NOT contains(content, mention) AS other_case FROM src WHERE length(mention) > 1),
+        best AS (SELECT element_id, min((-score, first_at, other_case, mention)) AS b FROM placed WHERE first_at >= 0 GROUP BY element_id, lower(mention))
+        SELECT element_id, b[4] AS mention, -b[1] AS score, b[2] AS first_at FROM best QUALIFY row_number() OVER (PARTITION BY element_id ORDER BY b[1], b[2], b[4]) <= {config.MAX_CANDIDATES}""",
+    "c_abbreviation_pairs": "SELECT p_partkey AS element_id, 'type-2 ' || repeat(p_name || ' ', p_partkey % 4 + 1) || 'unit' AS long_form, ['IL-6', 'HER2', 'p53', 'NNM'][p_partkey % 5 + 1] AS abbreviation FROM part WHERE p_partkey % 5 < 4",
+    "c_inventory": """WITH p AS (SELECT p_partkey AS element_id, 'so ' || lower(p_name) || ' of ' || lower(p_type) AS head FROM part), n AS (SELECT element_id, length(head) AS n, head || '; beta-cell unit (BCU), it is in z' AS c, head FROM p)
+        SELECT element_id, m AS mention, score, CAST(CASE WHEN m = 'BCU' THEN n + 18 ELSE instr(c, m) - 1 END AS INTEGER) AS first_at FROM n, (VALUES ('beta', 3), ('unit', 3), ('is in', 2), ('beta-cell unit', 2), ('BCU', 2), ('so', 1)) AS v(m, score)""",
     "c_limit_mentions": f"WITH {sql.ELEMENTS} SELECT element_id, array_to_string(list_filter(list_transform(string_split(content, ' '), lambda x: trim(x)), lambda x: x <> '')[1:12], '|') AS mentions FROM elements",
     "e_sentences": f"WITH {sql.SENTENCES} SELECT doc_id, element_id, sent_no, sentence, start FROM sents",
     "e_mention_occurrences": f"WITH {_OCC} SELECT element_id, sent_no, mention, occ.\"at\" FROM occ",
