@@ -2,7 +2,8 @@
 
 Texts become normalised TF-IDF vectors of hashed character 1- to 3-grams; each language has several
 centroids from spherical k-means; a text takes the language of the centroid with the highest cosine,
-and is rejected if that cosine is below the centroid's radius.
+and is rejected if that cosine is below the centroid's radius. Short texts show few n-grams and are farther from
+every centroid, so the radius widens smoothly with fewer letters; no length is exempt.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ CENTROIDS = 4
 FIT_ROWS = 1200
 #: Of the cosine that 99 % of a centroid's members reach; below that share a text is rejected.
 RADIUS_SHARE = 0.4
-#: Texts with fewer letters show too little to be rejected by distance.
-MIN_LETTERS = 24
+#: Letters at which a text's expected cosine is 1 / sqrt(2) of a long text's.
+HALF_LETTERS = 24
 TEMPERATURE = 0.05
 UNKNOWN = "und"
 #: A model has CENTROIDS vectors of DIMS numbers for each language and is sent to every task.
@@ -86,6 +87,16 @@ class Model:
     radii: np.ndarray
     idf: np.ndarray
 
+    @functools.cached_property
+    def first(self) -> np.ndarray:
+        """Where each language's centroids begin; a language's centroids stand together."""
+        return np.array([i for i, lang in enumerate(self.langs) if i == 0 or lang != self.langs[i - 1]], dtype=np.int64)
+
+
+def expected_share(letters: np.ndarray | int) -> np.ndarray:
+    """The share of a long text's cosine that a text of so many letters is expected to reach: it rises with the root of the letters at first."""
+    return np.sqrt(letters / (letters + HALF_LETTERS))
+
 
 def vector(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     v = np.log1p(counts) * idf
@@ -149,7 +160,9 @@ def _fitter(idf: np.ndarray, k: int) -> Callable[[pa.Table], pa.Table]:
         c = _cluster(x, k)
         near = x @ c.T
         owner, best = near.argmax(axis=1), near.max(axis=1)
-        radii = [float(np.quantile(best[own], 0.01)) if (own := (owner == i) & (size >= MIN_LETTERS)).any() else 0.0 for i in range(len(c))]
+        # No centroid is stricter than its language: a cluster of a few equal texts would reject all others.
+        whole = float(np.quantile(best[size > 0], 0.01)) if (size > 0).any() else 0.0
+        radii = [min(whole, float(np.quantile(best[own], 0.01))) if (own := (owner == i) & (size > 0)).any() else 0.0 for i in range(len(c))]
         return pa.table({"lang": pa.array([table.column("lang")[0].as_py()] * len(c)), "radius": pa.array(radii, pa.float64()), "centroid": pa.array(c.tolist(), pa.list_(pa.float32()))})
 
     return fit
@@ -178,15 +191,15 @@ def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def classify(text: str | None, model: Model) -> tuple[str, float, bool]:
-    """Language, score from 0 to 1, and whether the text is rejected."""
+    """Language, score from 0 to 1, and whether the text is rejected: no letter, or a cosine below the radius for its length."""
     counts, letters = ngram_counts(text)
     if not letters or not model.langs:
         return UNKNOWN, 0.0, True
     near = model.centroids @ vector(counts, model.idf)
     best = int(near.argmax())
-    tops = np.array([max(c for c, name in zip(near, model.langs) if name == lang) for lang in dict.fromkeys(model.langs)])
+    tops = np.maximum.reduceat(near, model.first)
     share = np.exp((tops - near[best]) / TEMPERATURE)
-    return model.langs[best], float(1 / share.sum()), bool(letters >= MIN_LETTERS and near[best] < model.radii[best])
+    return model.langs[best], float(1 / share.sum()), bool(near[best] < model.radii[best] * expected_share(letters))
 
 
 def classifier(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -225,7 +238,7 @@ def predict_languages(docs: DataFrame) -> DataFrame:
 def keep_known_languages(docs: DataFrame) -> DataFrame:
     """Documents that the classifier doesn't reject, with their columns as they are.
 
-    Null texts and texts without a letter are rejected; repeated rows stay or go together; without a row
+    Null texts and texts without a letter are rejected, others by distance whatever their length; repeated rows stay or go together; without a row
     to learn from everything is rejected.
     """
     model = train(docs.where(docs["doc_id"].isNotNull() & ~_held_out(docs)))
