@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import checkpointed
 
 MAX_EDITS = 2
-#: Two edits in fewer characters than this leave lines less than 0.8 alike; such lines go by exact copies alone.
-MIN_CHARS = 10
+#: Characters of the shorter line for each edit that is allowed, up to MAX_EDITS.
+CHARS_PER_EDIT = 20
 #: Frequent letters whose counts are compared before a pair becomes a candidate (8 at most).
 COUNTED = "eantiors"
 #: Most hashes of candidate lines (8 bytes each) that are broadcast to pick out their texts.
@@ -29,6 +29,16 @@ def folded(line: Column) -> Column:
     return F.when(plain, line).otherwise(F.regexp_replace(line, r"[^\x00-\x7F]", "?")).cast("binary")
 
 
+def budget(a: Column, b: Column, edits: int = MAX_EDITS) -> Column:
+    """Edits allowed between two lines: one for every CHARS_PER_EDIT characters of the shorter one, `edits` at most."""
+    return F.least(F.lit(edits), (F.least(F.length(a), F.length(b)) / CHARS_PER_EDIT).cast("int"))
+
+
+def same_numbers(a: Column, b: Column) -> Column:
+    """Whether two lines have the same digits in the same order: lines that differ in a number say different things."""
+    return F.regexp_replace(a, "[^0-9]", "") == F.regexp_replace(b, "[^0-9]", "")
+
+
 def name_shapes(edits: int) -> list[tuple[int, int, int, int]]:
     """(own, shorter, segment, shift) of each name of a line.
 
@@ -192,14 +202,15 @@ def _marked(docs: DataFrame, edits: int) -> DataFrame:
     """Lines of which occurrences go: two hashes, the first rank, whether an earlier line is near, links."""
     occurrences = _occurrences(docs)
     # Letters are counted once, before the lines are dealt out: both sides of the join read that shuffle.
-    lines = occurrences.where(F.length("line") >= MIN_CHARS).groupBy("line", letter_counts(F.col("line")).alias("counts")).agg(F.count("*").alias("copies"))
+    # Shorter lines have a budget of no edits.
+    lines = occurrences.where(F.length("line") >= CHARS_PER_EDIT).groupBy("line", letter_counts(F.col("line")).alias("counts")).agg(F.count("*").alias("copies"))
     met = checkpointed(candidates(lines, edits))
     # The texts of candidates alone are fetched again; the rest of the work is on hashes.
     wanted = met.select(F.explode(F.array("x", "y")).alias("h")).distinct()
     small = met.count() * 2 <= BROADCAST_LINES
     texts = occurrences.join(F.broadcast(wanted) if small else wanted, F.xxhash64("line") == F.col("h"), "left_semi")
     texts = checkpointed(texts.groupBy("line").agg(F.min("rank").alias("first")))
-    links = verified(met, texts, edits)
+    links = verified(met, texts, edits).where((F.col("distance") <= budget(F.col("a"), F.col("b"), edits)) & same_numbers(F.col("a"), F.col("b")))
     ends = links.select(F.col("a").alias("line"), F.col("b").alias("other")).unionAll(links.select(F.col("b").alias("line"), F.col("a").alias("other")))
     ends = ends.join(texts, "line").join(texts.select(F.col("line").alias("other"), F.col("first").alias("other_first")), "other")
     near = ends.groupBy("line").agg(F.count("*").alias("links"), F.max(F.col("other_first") < F.col("first")).alias("late"))
@@ -229,9 +240,9 @@ def line_duplicates(docs: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
     """`doc_id, n_lines, removed_lines, n_links, most_copies` for every document.
 
     removed_lines are the numbers (from 0) of lines that go: all occurrences of a line but the first by
-    (doc_id, line number), and all occurrences of a line that is within `edits` edits of an earlier
-    line. Lines are compared without the blanks around them; lines under MIN_CHARS characters go as exact
-    copies only, and blank lines stay.
+    (doc_id, line number), and all occurrences of a line that is near an earlier line: of one edit for every
+    CHARS_PER_EDIT characters of the shorter line, `edits` at most, and with the same digits. Lines are
+    compared without the blanks around them; blank lines stay.
     n_links counts links of the document's lines to different lines. A null text has no lines; a null
     doc_id ranks last; rows that repeat a doc_id and text share one decision. Other columns are not read.
     """

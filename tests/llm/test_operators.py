@@ -419,7 +419,7 @@ def test_near_lines_equal_all_pairs(spark, edits):
 
 def test_line_dedup_equals_brute_force(spark):
     rng = random.Random(9)
-    pool = [w for w in varied(rng, 30, 26, 34, "abcdefgh ") if w == w.strip()] + ["short"]
+    pool = [w for n, m in ((8, 14), (16, 24), (26, 34), (38, 46)) for w in varied(rng, 12, n, m, "abcdefg 12") if w == w.strip()] + ["short"]
     texts = ["\n".join(rng.choice(pool) for _ in range(rng.randint(1, 6))) for _ in range(40)]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     first = {}
@@ -427,8 +427,9 @@ def test_line_dedup_equals_brute_force(spark):
         for k, line in enumerate(t.split("\n")):
             if line.strip():
                 first.setdefault(line, (i, k))
-    long = [a for a in first if len(a) >= 10]
-    late = {a for a in long for b in long if first[b] < first[a] and edit_distance(a, b) <= 2}
+    numbers = lambda a: re.sub("[^0-9]", "", a)
+    late = {a for a in first for b in first if first[b] < first[a] and numbers(a) == numbers(b) and edit_distance(a, b) <= min(2, min(len(a), len(b)) // 20)}
+    assert len(late) > 5
     gone = {i: [k for k, line in enumerate(t.split("\n")) if line.strip() and (first[line] != (i, k) or line in late)] for i, t in enumerate(texts)}
     got = {r.doc_id: r.removed_lines for r in linededup.line_duplicates(docs).collect()}
     assert got == gone
@@ -438,6 +439,24 @@ def test_line_dedup_equals_brute_force(spark):
         assert kept[i] == (want, len(want))
 
 
+def test_lines_that_differ_in_a_number_stay(spark):
+    lines = ["Chapter 11", "Chapter 12", "Invoice 2020-01-01", "Invoice 2020-02-03", "+44 1234567", "+44 1234589", "The total of invoice 2020-01-01 is due on receipt", "The total of invoice 2020-01-02 is due on receipt", "The total of invoice 2020-01-01 is due on reciept."]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(lines)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in linededup.line_duplicates(docs).collect() if r.removed_lines} == set()
+    near = docs.unionByName(spark.createDataFrame([(20, "The total of invoice 2020-01-01 is due on reciept", "en", "s", 1)], docs.schema))
+    assert {r.doc_id for r in linededup.line_duplicates(near).collect() if r.removed_lines} == {20}
+
+
+def test_short_foreign_texts_are_rejected_too(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.train(docs.where("doc_id % 4 <> 2"))
+    foreign = ["Ωραία μέρα", "Съешь же ещё", "これは日本語の文章", "שלום עולם", "안녕하세요 여러분"]
+    assert all(language.classify(t, model)[2] for t in foreign)
+    texts = [r.text for r in docs.where("text is not null and length(text) > 300 and lang is not null").limit(200).collect()]
+    kept = [not language.classify(t[at : at + n], model)[2] for t in texts for at in (0, 100) for n in (12, 20, 40, 80, 200) if any(c.isalpha() for c in t[at : at + n])]
+    assert sum(kept) > 0.98 * len(kept)
+
+
 def test_language_held_out_accuracy_and_rejection(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language.predict_languages(docs).toPandas().set_index("doc_id")
