@@ -372,6 +372,72 @@ def answer_context(evidence: DataFrame) -> DataFrame:
     return grouped.select("question_id", "documents", F.array_join(F.transform("lines", lambda x: x["text"]), "\n").alias("prompt"))
 
 
+def evidence_prompt(questions: DataFrame, paths: DataFrame, near: DataFrame) -> DataFrame:
+    """`question_id, documents, prompt`: what a model is shown for each question (`question_id, text`).
+
+    Edges of `paths` are numbered by path and step (`k, i`), those of `near` by `k`; both have src_name, relation, dst_name,
+    doc_id, citation, confidence and sentence (null: none). documents are those of all edges shown, in order. A question
+    without evidence says so.
+    """
+
+    def line(number: Column) -> Column:
+        said = F.coalesce(F.concat(F.lit(": "), "sentence"), F.lit(""))
+        return F.concat(number, F.lit(" "), F.concat_ws(" ", "src_name", "relation", "dst_name"), F.format_string(" [%s] (%.2f)", "citation", "confidence"), said)
+
+    steps = paths.select("question_id", "doc_id", F.struct(F.lit(0).alias("part"), "k", "i", line(F.concat(F.lit("path "), F.col("k").cast("string"), F.lit("."), (F.col("i") + 1).cast("string"))).alias("text")).alias("line"))
+    others = near.select("question_id", "doc_id", F.struct(F.lit(1).alias("part"), "k", F.lit(0).alias("i"), line(F.concat(F.lit("near "), F.col("k").cast("string"))).alias("text")).alias("line"))
+    shown = steps.unionByName(others).groupBy("question_id").agg(F.array_sort(F.collect_set("doc_id")).alias("documents"), F.array_sort(F.collect_list("line")).alias("lines"))
+    rows = questions.select("question_id", "text").join(shown, "question_id", "left")
+    body = F.coalesce(F.array_join(F.transform("lines", lambda x: x["text"]), "\n"), F.lit("no evidence"))
+    prompt = F.concat(F.lit("Question: "), F.coalesce("text", F.lit("")), F.lit("\n"), body)
+    return rows.select("question_id", F.coalesce("documents", F.array().cast("array<string>")).alias("documents"), prompt.alias("prompt"))
+
+
+def ask(questions: DataFrame, nodes: DataFrame, edges: DataFrame, vectors: DataFrame, max_hops: int = 2, k: int = config.PATH_TOP) -> DataFrame:
+    """`question_id, intent, mode, summary, documents, prompt` for a whole table of questions `question_id, text`.
+
+    Mentions are resolved to nodes; each two mentions' candidates are joined by ranked paths, the best k of a question
+    count; a question without a path falls back on edges at its nodes. Summaries take the edges around the best candidate
+    (entity), all candidates (cluster) or of the documents named (paper). Edges have `edge_id, src, dst, relation, confidence,
+    created_at, doc_id, conflicting, citation, sentence`; nodes `node_id, name, aliases, times_seen, sections`; vectors as
+    in `resolve_mentions`. Edges, candidates and the chosen evidence are each made once and read by what follows.
+    """
+    edges = checkpointed(edges)
+    intents = checkpointed(classify_intent(questions))
+    mentions = question_mentions(questions)
+    resolved = resolve_mentions(mentions.select("mention").distinct(), nodes, vectors)
+    held = nodes.select("node_id", F.map_keys("sections").alias("sections"))
+    candidates = mentions.join(resolved, "mention").join(held, "node_id").select("question_id", "pos", "k", "node_id", "name", "similarity", "times_seen", "sections")
+    candidates = checkpointed(candidates)
+    one, two = candidates.select("question_id", "pos", F.col("node_id").alias("start")), candidates.select("question_id", F.col("pos").alias("later"), F.col("node_id").alias("goal"))
+    pairs = checkpointed(one.join(two, "question_id").where("pos < later and start <> goal").select("question_id", "start", "goal").distinct())
+    found = checkpointed(find_paths(pairs.select("start", "goal"), edges, max_hops))
+    ranked = pairs.join(rank_paths(found, nodes, k), ["start", "goal"]).dropDuplicates(["question_id", "signature"])
+    order = Window.partitionBy("question_id").orderBy(F.desc("score"), F.desc("latest"), "signature")
+    ranked = ranked.withColumn("k", F.row_number().over(order)).where(F.col("k") <= k)
+    named = nodes.select("node_id", "name")
+    src, dst = named.select(F.col("node_id").alias("src"), F.col("name").alias("src_name")), named.select(F.col("node_id").alias("dst"), F.col("name").alias("dst_name"))
+    details = edges.select("edge_id", "src", "dst", "relation", "doc_id", "confidence", F.coalesce("conflicting", F.lit(False)).alias("conflicting"), "citation", "sentence")
+
+    def told(rows: DataFrame) -> DataFrame:
+        """Rows with an `edge_id` and all that is said of the edge."""
+        full = rows.join(details, "edge_id").join(src, "src", "left").join(dst, "dst", "left")
+        return full.withColumns({"src_name": F.coalesce("src_name", "src"), "dst_name": F.coalesce("dst_name", "dst")}).drop("src", "dst")
+
+    steps = ranked.select("question_id", "k", F.posexplode(F.split("signature", ",")).alias("i", "edge_id"))
+    steps = checkpointed(told(steps))
+    without = candidates.join(steps.select("question_id").distinct(), "question_id", "left_anti")
+    near = checkpointed(told(fallback_neighbours(without, edges, k).select("question_id", "k", "edge_id")))
+    first = Window.partitionBy("question_id").orderBy(F.desc("similarity"), "pos", "k")
+    best = candidates.withColumn("__first", F.row_number().over(first)).join(intents.select("question_id", "intent"), "question_id")
+    around = best.where("intent = 'cluster_summary' or intent = 'entity_summary' and __first = 1").select("question_id", "node_id")
+    of_papers = intents.where("intent = 'paper_summary'").select("question_id", F.explode("documents").alias("doc_id"))
+    findings = summary_neighbours(around, edges).select("question_id", "edge_id").unionByName(summary_documents(of_papers, edges).select("question_id", "edge_id"))
+    mode = answers(intents, candidates, steps, near, findings, k)
+    shown = evidence_prompt(questions, steps, near)
+    return intents.select("question_id", "intent").join(mode, "question_id").join(shown, "question_id")
+
+
 def citation_check(answers: DataFrame, evidence: DataFrame) -> DataFrame:
     """`question_id, cited, valid`: [doc:element] tokens of an answer, and how many of them are in its evidence (`question_id, citation`)."""
     rows = answers.select("question_id", F.explode_outer(F.regexp_extract_all("answer", F.lit(r"\[([^\]\[]+:[^\]\[]+)\]"), F.lit(1))).alias("citation"))

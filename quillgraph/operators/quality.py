@@ -27,6 +27,81 @@ def run_manifest(metrics: DataFrame) -> DataFrame:
     )
 
 
+def ordered_errors(errors: DataFrame, *group: str) -> DataFrame:
+    """`errors` of each group from `text, seq`: trimmed, without blanks, each once, in the order of their first occurrence."""
+    said = errors.withColumn("text", F.trim("text")).where("text <> ''").groupBy(*group, "text").agg(F.min("seq").alias("seq"))
+    return said.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda e: e["text"]).alias("errors"))
+
+
+def document_manifest(metrics: DataFrame, reasons: DataFrame, relations: DataFrame, errors: DataFrame) -> DataFrame:
+    """One row for each document of each run: `run_id, doc_id, metrics, rejection_reasons, relation_types, errors`.
+
+    From rows as they are logged: `run_id, doc_id, metric, value, seq` (the latest value of a metric counts), `run_id, doc_id,
+    reason, n` (summed), `run_id, doc_id, relation` (a set) and `run_id, doc_id, text, seq` (each error once, in
+    order; rows without a doc_id are errors of the batch). A document that only failed has empty metrics.
+    """
+    key = ["run_id", "doc_id"]
+    latest = metrics.groupBy(*key, "metric").agg(F.max_by("value", "seq").alias("value"))
+    measured = latest.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("metrics"))
+    counted = reasons.groupBy(*key, "reason").agg(F.sum("n").alias("n")).where("n > 0")
+    refused = counted.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "n")))).alias("rejection_reasons"))
+    kinds = relations.where("trim(relation) <> ''").groupBy(*key).agg(F.array_sort(F.collect_set(F.trim("relation"))).alias("relation_types"))
+    failed = ordered_errors(errors.where("doc_id is not null"), *key)
+    out = measured
+    for part in (refused, kinds, failed):
+        out = out.join(part, key, "full")
+    none = {"metrics": "map<string,double>", "rejection_reasons": "map<string,bigint>", "relation_types": "array<string>", "errors": "array<string>"}
+    empty = {c: (F.create_map() if t.startswith("map") else F.array()).cast(t) for c, t in none.items()}
+    return out.select(*key, *[F.coalesce(F.col(c).cast(t), empty[c]).alias(c) for c, t in none.items()])
+
+
+def batch_manifest(documents: DataFrame, runs: DataFrame, phases: DataFrame, errors: DataFrame) -> DataFrame:
+    """One row for each run of `run_id, pipeline_version, started_at, completed_at`: with papers, totals, phase metrics and batch errors.
+
+    `documents` is the document manifest, `phases` are `run_id, phase, metric, value, seq` (the latest value counts), batch errors the
+    rows of `errors` without a doc_id. Totals sum each metric over the documents.
+    """
+    summed = documents.select("run_id", F.explode("metrics").alias("metric", "value")).groupBy("run_id", "metric").agg(F.sum("value").alias("value"))
+    totals = summed.groupBy("run_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("totals"))
+    papers = documents.groupBy("run_id").agg(F.count("*").alias("documents"), F.count_if(F.size("errors") > 0).alias("failed_documents"))
+    each = phases.groupBy("run_id", "phase", "metric").agg(F.max_by("value", "seq").alias("value"))
+    nested = each.groupBy("run_id", "phase").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("m"))
+    nested = nested.groupBy("run_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("phase", F.map_entries("m").alias("m"))))).alias("entries"))
+    nested = nested.select("run_id", F.transform_values("entries", lambda k, v: F.map_from_entries(v)).alias("phase_metrics"))
+    failed = ordered_errors(errors.where("doc_id is null"), "run_id").withColumnRenamed("errors", "batch_errors")
+    out = runs
+    for part in (papers, totals, nested, failed):
+        out = out.join(part, "run_id", "left")
+    return out
+
+
+def latest_quality(documents: DataFrame, runs: DataFrame, drift: DataFrame) -> DataFrame:
+    """`kind, name, value` of the run that ended last (then the greatest run_id), from its document manifest.
+
+    Sums of attempted, accepted and rejected triples, nodes and edges; acceptance and edges per node where there is a denominator;
+    each rejection reason's share of the rejected; the ten relations that most documents have (ties by name);
+    drift events of all runs (`alert`). Without a run only the drift is told.
+    """
+    latest = runs.agg(F.max(F.struct("completed_at", "run_id")).alias("r")).select(F.col("r.run_id").alias("run_id"))
+    # One scan: everything is told from one row a document of the latest run, as (kind, name, value) pairs.
+    mine = documents.join(F.broadcast(latest), "run_id")
+    number = lambda k: F.coalesce(F.col("metrics")[k], F.lit(0.0))
+    pair = lambda kind, name, value: F.struct(F.lit(kind).alias("kind"), name.alias("name"), value.cast("double").alias("value"))
+    sums = F.array(*[pair("sum", F.lit(k), number(k)) for k in ("attempted", "accepted", "rejected", "nodes", "edges")], pair("sum", F.lit("documents"), F.lit(1)))
+    reasons = F.transform(F.map_entries("rejection_reasons"), lambda e: pair("rejection", e["key"], e["value"]))
+    relations = F.transform("relation_types", lambda r: pair("relation", r, F.lit(1)))
+    told = mine.select(F.explode(F.concat(sums, reasons, relations)).alias("t")).groupBy("t.kind", "t.name").agg(F.sum("t.value").alias("value"))
+    # From here on a row for each reason and relation name, not for each document.
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("value"), "name"))
+    of = lambda name: F.max(F.when((F.col("kind") == "sum") & (F.col("name") == name), F.col("value"))).over(Window.partitionBy())
+    told = told.withColumns({"place": place, "rejected": of("rejected"), "attempted": of("attempted"), "nodes": of("nodes")})
+    ratio = lambda kind, name, of_: told.where((F.col("kind") == "sum") & (F.col("name") == name) & (F.col(of_) > 0)).select(F.lit("ratio").alias("kind"), F.lit(kind).alias("name"), F.round(F.col("value") / F.col(of_), 6).alias("value"))
+    value = F.when(F.col("kind") == "rejection", F.round(F.when(F.col("rejected") > 0, F.col("value") / F.col("rejected")), 6)).otherwise(F.col("value"))
+    kept = told.where("kind <> 'relation' or place <= 10").select("kind", "name", value.alias("value"))
+    events = drift.where("alert").agg(F.count("*").cast("double").alias("value")).select(F.lit("drift").alias("kind"), F.lit("all").alias("name"), "value")
+    return kept.unionByName(ratio("acceptance_rate", "accepted", "attempted")).unionByName(ratio("edges_per_node", "edges", "nodes")).unionByName(events)
+
+
 def run_kpis(runs: DataFrame) -> DataFrame:
     """`run_id, metric, value, status`: acceptance and pipeline success, where there is a denominator."""
     pairs = F.array(

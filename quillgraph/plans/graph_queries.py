@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillgraph import config
 from quillgraph.functions.checkpoints import checkpointed
-from quillgraph.operators import graph, qa, views
+from quillgraph.operators import canonical, graph, qa, views
 from quillgraph.plans import sql
 from quillgraph.sources import tables
 
@@ -245,6 +245,20 @@ def answer_context(spark, sf):
     return qa.answer_context(near).select("question_id", F.concat_ws("|", "documents").alias("documents"), "prompt")
 
 
+def ask(spark, sf):
+    """Every conversation's first turn, asking how the supplier and the customer of its number go together."""
+    first = tables.read(spark, sf, "conversations").where("turn = 0")
+    n = tables.read(spark, sf, "supplier").agg(F.count("*").alias("n"), F.min("s_suppkey").alias("least"))
+    number = (F.col("conv_id") % F.col("n") + F.col("least")).cast("string")
+    questions = first.crossJoin(F.broadcast(n)).select(F.col("conv_id").alias("question_id"), F.concat(F.lower(F.substring("text", 1, 20)), F.lit(" How do S"), number, F.lit(" and C"), number, F.lit(" fit?")).alias("text"))
+    nodes = _nodes(spark, sf).withColumns({"name": F.upper("node_id"), "aliases": F.array().cast("array<string>")})
+    edges = graph.flag_conflicts(_edges(spark, sf)).withColumns({"citation": F.col("evidence"), "sentence": F.col("verbatim")})
+    words = questions.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Z][A-Za-z0-9]+"), F.lit(0))).alias("text")).distinct()
+    vectors = words.withColumn("vector", canonical.hash_embedding(F.col("text")))
+    out = qa.ask(questions, nodes, edges, vectors)
+    return out.select("question_id", "intent", "mode", "summary", F.concat_ws("|", "documents").alias("documents"), "prompt")
+
+
 def citation_check(spark, sf):
     o = tables.read(spark, sf, "orders")
     answers = o.select(F.col("o_orderkey").alias("question_id"), F.concat(F.lit("see [d"), (F.col("o_orderkey") % 7).cast("string"), F.lit(":1] and [d"), (F.col("o_orderkey") % 5).cast("string"), F.lit(":2] not [this]")).alias("answer"))
@@ -340,7 +354,7 @@ def _named_documents() -> str:
 _I = config.INTENT_KEYWORDS
 QUERIES = {f"h_{f.__name__}": f for f in (upsert_nodes, combine_staged_nodes, upsert_edges, flag_conflicts, conflict_report, resolve_aliases, apply_alias_resolution, resolve_endpoints, unresolved_endpoints, known_documents, mark_cross_paper, check_edges, edge_attributes, merge_map_remap)}
 QUERIES |= {"f_deprecate_edges": deprecate_edges}
-QUERIES |= {f"i_{f.__name__}": f for f in (match_exact, match_contains, contains_customers, top_nodes, find_paths, long_paths, rank_paths, neighbours, document_edges, fallback_neighbours, summary_neighbours, summary_documents, classify_intent, question_mentions, answer_table, answers, answer_context, citation_check)}
+QUERIES |= {f"i_{f.__name__}": f for f in (match_exact, match_contains, contains_customers, top_nodes, find_paths, long_paths, rank_paths, neighbours, document_edges, fallback_neighbours, summary_neighbours, summary_documents, classify_intent, question_mentions, answer_table, answers, answer_context, ask, citation_check)}
 QUERIES |= {f"j_{f.__name__}": f for f in (graph_view, accessible_view, view_nodes, node_importance, partition_by_document, partition_nodes, node_focus, accessible_papers)}
 
 ORACLES = {
@@ -398,6 +412,17 @@ ORACLES = {
         CASE WHEN i = 0 THEN coalesce('Summary for documents ' || question_id || ', b derived from ' || n || ' graph findings.', 'No extracted findings available for documents: ' || question_id || ', b.') WHEN i = 1 THEN coalesce('Summary for ' || name || ' derived from ' || n || ' graph findings.', profile) WHEN i = 2 THEN coalesce('Cluster summary for ' || name || ' derived from ' || n || ' graph findings.', profile)
         WHEN i = 4 THEN 'Unable to resolve any entities for the question.' ELSE coalesce(path, 'Insufficient evidence to answer. Related findings: ' || near, profile) END AS summary FROM j""",
     "i_answer_context": f"WITH {_SUMMARY.format(asked=_ASKED)} SELECT question_id, array_to_string(list_sort(list(DISTINCT doc_id)), '|') AS documents, string_agg(n || '. ' || src || ' ' || relation || ' ' || dst || ' [' || doc_id || ']', chr(10) ORDER BY n) AS prompt FROM summary GROUP BY question_id",
+    "i_ask": f"""WITH {_PATHS}, n AS (SELECT count(*) AS n, min(s_suppkey) AS least FROM supplier), qk AS (SELECT conv_id AS question_id, conv_id % n + least AS key, text FROM conversations, n WHERE turn = 0),
+        qq AS (SELECT question_id, key, lower(substr(text, 1, 20)) || ' How do S' || key || ' and C' || key || ' fit?' AS text FROM qk),
+        tp AS (SELECT question_id, r.k, unnest(string_split(signature, ',')) AS edge_id, unnest(range(len(string_split(signature, ',')))) AS i, r.conflicting FROM qq JOIN ranked r ON start = 's' || key AND goal = 'c' || key),
+        asked AS (SELECT question_id, unnest(['s' || key, 'c' || key]) AS node_id FROM qq WHERE question_id NOT IN (SELECT question_id FROM tp)), {_FALLBACK.format(steps='steps')},
+        said AS (SELECT edge_id, doc_id, upper(src) || ' ' || relation || ' ' || upper(dst) AS core, format('{{:.2f}}', confidence) AS conf, evidence, verbatim FROM merged),
+        shown AS (SELECT question_id, 0 AS part, k, i, doc_id, 'path ' || k || '.' || (i + 1) || ' ' || core || ' [' || evidence || '] (' || conf || '): ' || verbatim AS line, core || ' (doc ' || doc_id || ', conf=' || conf || ')' AS finding FROM tp JOIN said USING (edge_id)
+                  UNION ALL SELECT question_id, 1, k, 0, doc_id, 'near ' || k || ' ' || core || ' [' || evidence || '] (' || conf || '): ' || verbatim, core || ' (doc ' || doc_id || ', conf=' || conf || ')' FROM fallback JOIN said USING (edge_id)),
+        g AS (SELECT question_id, string_agg(line, chr(10) ORDER BY part, k, i) AS lines, array_to_string(list_sort(list_distinct(list(doc_id))), '|') AS documents, string_agg(finding, '; ' ORDER BY i) FILTER (part = 0 AND k = 1) AS path, string_agg(finding, '; ' ORDER BY k) FILTER (part = 1) AS near FROM shown GROUP BY question_id),
+        c AS (SELECT question_id, bool_or(conflicting) AS conflict FROM tp GROUP BY question_id), o AS (SELECT qq.*, lines, documents, path, near, conflict, ' (similarity 1.00, seen ' || (key % 7 + 1) || 'x, sections: ' || CASE WHEN (key % 7 + 1) % 2 = 0 THEN 'Results' ELSE 'Methods' END || ')' AS profile FROM qq LEFT JOIN g USING (question_id) LEFT JOIN c USING (question_id))
+        SELECT question_id, 'factoid' AS intent, CASE WHEN path IS NULL THEN 'insufficient' WHEN conflict THEN 'conflicting' ELSE 'direct' END AS mode, coalesce(path, 'Insufficient evidence to answer. Related findings: ' || near, 'Insufficient evidence from graph relations. Known entity profiles: S' || key || profile || '; C' || key || profile || '.') AS summary,
+        coalesce(documents, '') AS documents, 'Question: ' || text || chr(10) || coalesce(lines, 'no evidence') AS prompt FROM o""",
     "i_citation_check": "SELECT o_orderkey AS question_id, 2 AS cited, CASE WHEN o_orderkey % 5 = o_custkey % 5 THEN 1 ELSE 0 END AS valid FROM orders",
     "j_graph_view": f"WITH {_EDGE_TABLE} SELECT edge_id, row_number() OVER (ORDER BY confidence DESC, created_at DESC, edge_id) AS k FROM merged WHERE confidence >= 0.95 AND relation IN ('uses', 'improves') AND section = 'Results' ORDER BY k LIMIT 500",
     "j_accessible_view": f"""WITH {_EDGE_TABLE}, {sql.NODES}, r AS (SELECT node_id FROM named WHERE times_seen = 2), v AS (SELECT * FROM merged WHERE confidence >= 0.95 AND section = 'Methods' AND (CAST(doc_id AS BIGINT) % 10 = 0 OR CAST(doc_id AS BIGINT) % 15 = 3)), p AS (SELECT *, src IN (SELECT node_id FROM r) OR dst IN (SELECT node_id FROM r) AS ok FROM v)

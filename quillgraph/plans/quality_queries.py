@@ -27,6 +27,49 @@ def run_manifest(spark, sf):
     return quality.run_manifest(_metrics(spark, sf))
 
 
+def _run_id():
+    return F.date_format("ts", "yyyy-MM-dd").alias("run_id")
+
+
+def _document_manifest(spark, sf):
+    """Days as runs, users as documents: counts by event type as metrics, other types than clicks as reasons, errors by text."""
+    e = _events(spark, sf).select(_run_id(), F.col("user_id").alias("doc_id"), "event_id", "event_type", "value")
+    n = e.groupBy("run_id", "doc_id").agg(F.count("*").alias("attempted"), F.count_if(F.col("event_type") == "click").alias("accepted"), F.countDistinct("event_type").alias("nodes"), F.max("event_id").alias("seq"))
+    values = F.array(*[F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value")) for k, v in (("attempted", F.col("attempted")), ("accepted", F.col("accepted")), ("rejected", F.col("attempted") - F.col("accepted")), ("nodes", F.col("nodes")), ("edges", F.col("accepted") * 2))])
+    # An older value of each metric is logged too; the latest counts.
+    metrics = n.select("run_id", "doc_id", "seq", F.explode(values).alias("m")).select("run_id", "doc_id", "m.*", "seq")
+    metrics = metrics.unionByName(metrics.withColumns({"value": F.lit(-1.0), "seq": F.col("seq") - 1}))
+    reasons = e.where("event_type <> 'click'").select("run_id", "doc_id", F.col("event_type").alias("reason"), F.lit(1).alias("n"))
+    return quality.document_manifest(metrics, reasons, e.select("run_id", "doc_id", F.col("event_type").alias("relation")), _errors_of(spark, sf))
+
+
+def _errors_of(spark, sf):
+    """Errors of documents, and every third one of the batch."""
+    e = _events(spark, sf).where("event_type = 'error'")
+    return e.select(_run_id(), F.when(F.col("event_id") % 3 > 0, F.col("user_id")).alias("doc_id"), F.concat(F.lit(" e"), (F.col("event_id") % 5).cast("string"), F.lit(" ")).alias("text"), F.col("event_id").alias("seq"))
+
+
+def _runs(spark, sf):
+    return _events(spark, sf).groupBy(_run_id()).agg(F.lit("v1").alias("pipeline_version"), F.min("ts").alias("started_at"), F.max("ts").alias("completed_at"))
+
+
+def document_manifest(spark, sf):
+    d = _document_manifest(spark, sf)
+    pairs = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("long").cast("string"))), ",")
+    return d.select("run_id", "doc_id", pairs("metrics").alias("metrics"), pairs("rejection_reasons").alias("reasons"), F.array_join("relation_types", ",").alias("relations"), F.array_join("errors", ",").alias("errors"))
+
+
+def batch_manifest(spark, sf):
+    e = _events(spark, sf)
+    phases = e.select(_run_id(), F.col("event_type").alias("phase"), F.concat(F.lit("m"), (F.col("event_id") % 2).cast("string")).alias("metric"), F.col("event_id").cast("double").alias("value"), F.col("event_id").alias("seq"))
+    m = quality.batch_manifest(_document_manifest(spark, sf), _runs(spark, sf), phases, _errors_of(spark, sf))
+    return m.select("run_id", "documents", "failed_documents", F.col("totals")["accepted"].cast("long").alias("accepted"), F.size("phase_metrics").alias("phases"), F.col("phase_metrics")["view"]["m0"].cast("long").alias("view_m0"), F.array_join("batch_errors", ",").alias("batch_errors"))
+
+
+def latest_quality(spark, sf):
+    return quality.latest_quality(_document_manifest(spark, sf), _runs(spark, sf), semantic_drift(spark, sf))
+
+
 def run_kpis(spark, sf):
     return quality.run_kpis(quality.run_manifest(_metrics(spark, sf)))
 
@@ -210,10 +253,24 @@ def _emb(column: str) -> str:
 
 
 QUERIES = {f"g_{f.__name__}": f for f in (aggregate_entities, name_features, hash_embedding, missing_embeddings, similarity_search, cluster_nodes, merge_map, merge_report)}
-QUERIES |= {f"m_{f.__name__}": f for f in (run_manifest, run_kpis, audit_kpis, audit_alerts, audit_summary, audit_overview, audit_findings, auto_audit, semantic_drift, triple_relevancy, recent_runs, kpi_status, recent_alerts, export_summary, qa_summary, soft_failures, recent_errors, graph_quality, log_downloads, log_stages, multi_paper_chains, multi_paper_chain_pairs)}
+QUERIES |= {f"m_{f.__name__}": f for f in (run_manifest, document_manifest, batch_manifest, latest_quality, run_kpis, audit_kpis, audit_alerts, audit_summary, audit_overview, audit_findings, auto_audit, semantic_drift, triple_relevancy, recent_runs, kpi_status, recent_alerts, export_summary, qa_summary, soft_failures, recent_errors, graph_quality, log_downloads, log_stages, multi_paper_chains, multi_paper_chain_pairs)}
 QUERIES |= {"s_kpi_windows": kpi_windows}
 
+_MANIFEST = """ev AS (SELECT strftime(ts, '%Y-%m-%d') AS run_id, * FROM events), err AS (SELECT run_id, CASE WHEN event_id % 3 > 0 THEN user_id END AS doc_id, 'e' || (event_id % 5) AS text, min(event_id) AS at_id FROM ev WHERE event_type = 'error' GROUP BY ALL),
+man AS (SELECT run_id, user_id AS doc_id, count(*) AS attempted, count(*) FILTER (event_type = 'click') AS accepted, count(DISTINCT event_type) AS nodes, list_sort(list(DISTINCT event_type)) AS kinds FROM ev GROUP BY ALL),
+why AS (SELECT run_id, user_id AS doc_id, event_type AS reason, count(*) AS n FROM ev WHERE event_type <> 'click' GROUP BY ALL)"""
+
 ORACLES = {
+    "m_document_manifest": f"""WITH {_MANIFEST} SELECT m.run_id, m.doc_id, 'accepted=' || accepted || ',attempted=' || attempted || ',edges=' || accepted * 2 || ',nodes=' || nodes || ',rejected=' || (attempted - accepted) AS metrics,
+        coalesce((SELECT string_agg(reason || '=' || n, ',' ORDER BY reason) FROM why w WHERE w.run_id = m.run_id AND w.doc_id = m.doc_id), '') AS reasons, array_to_string(kinds, ',') AS relations,
+        coalesce((SELECT string_agg(text, ',' ORDER BY at_id) FROM err e WHERE e.run_id = m.run_id AND e.doc_id = m.doc_id), '') AS errors FROM man m""",
+    "m_batch_manifest": f"""WITH {_MANIFEST}, d AS (SELECT run_id, count(*) AS documents, CAST(sum(accepted) AS BIGINT) AS accepted FROM man GROUP BY run_id), f AS (SELECT run_id, count(DISTINCT doc_id) AS failed FROM err WHERE doc_id IS NOT NULL GROUP BY run_id),
+        b AS (SELECT run_id, string_agg(text, ',' ORDER BY at_id) AS batch_errors FROM err WHERE doc_id IS NULL GROUP BY run_id), p AS (SELECT run_id, count(DISTINCT event_type) AS phases, max(event_id) FILTER (event_type = 'view' AND event_id % 2 = 0) AS view_m0 FROM ev GROUP BY run_id)
+        SELECT run_id, documents, coalesce(failed, 0) AS failed_documents, accepted, CAST(phases AS INTEGER) AS phases, view_m0, batch_errors FROM d LEFT JOIN f USING (run_id) LEFT JOIN b USING (run_id) JOIN p USING (run_id)""",
+    "m_latest_quality": f"""WITH {_MANIFEST}, last AS (SELECT arg_max(run_id, (ts, run_id)) AS run_id FROM ev), mine AS (SELECT * FROM man SEMI JOIN last USING (run_id)), s AS (SELECT sum(attempted) AS attempted, sum(accepted) AS accepted, sum(attempted - accepted) AS rejected, sum(nodes) AS nodes, sum(accepted * 2) AS edges, count(*) AS documents FROM mine),
+        r AS (SELECT reason, sum(n) AS n FROM why SEMI JOIN last USING (run_id) GROUP BY reason), t AS (SELECT unnest(kinds) AS kind_of FROM mine), o AS (SELECT kind_of, count(*) AS n FROM t GROUP BY kind_of ORDER BY n DESC, kind_of LIMIT 10)
+        SELECT 'sum' AS kind, name, CAST(value AS DOUBLE) AS value FROM (UNPIVOT s ON attempted, accepted, rejected, nodes, edges, documents INTO NAME name VALUE value) UNION ALL SELECT 'rejection', reason, round(n / rejected, 6) FROM r, s UNION ALL SELECT 'relation', kind_of, CAST(n AS DOUBLE) FROM o
+        UNION ALL SELECT 'ratio', 'acceptance_rate', round(accepted / attempted, 6) FROM s WHERE attempted > 0 UNION ALL SELECT 'ratio', 'edges_per_node', round(edges / nodes, 6) FROM s WHERE nodes > 0 UNION ALL SELECT 'drift', 'all', CAST(count(*) AS DOUBLE) FROM (__DRIFT__) WHERE alert""",
     "g_aggregate_entities": f"WITH {_ROLES.replace('SELECT section, src_text', 'SELECT doc_id, section, src_text').replace('SELECT section, dst_text', 'SELECT doc_id, section, dst_text')}, v AS (SELECT name, type, count(*) AS n FROM roles GROUP BY ALL), t AS (SELECT name, arg_max(type, (n, type)) AS type FROM v GROUP BY name) SELECT name, t.type, count(*) AS times_seen, count(DISTINCT doc_id) AS n_docs, count(DISTINCT section) AS n_sections FROM roles JOIN t USING (name) GROUP BY name, t.type",
     "g_name_features": """WITH n AS (SELECT p_partkey, lower(p_name || ' of the ' || p_type) AS normalised FROM part), t AS (SELECT *, string_split(normalised, ' ') AS l FROM n)
         SELECT p_partkey, normalised, len(list_distinct(l)) AS n_tokens, replace(normalised, ' ', '') AS letters, CASE WHEN len(list_filter(l, lambda x: length(x) > 2 AND x NOT IN ('of', 'the'))) BETWEEN 2 AND 12 THEN array_to_string(list_transform(list_filter(l, lambda x: length(x) > 2 AND x NOT IN ('of', 'the')), lambda x: x[1]), '') END AS initials, len(l) > 5 AS sentence_like FROM t""",
@@ -259,3 +316,4 @@ ORACLES = {
         SELECT m.stream, start_seq, end_seq, round((epoch_us(e.ts) - epoch_us(m.ts)) / 1e6, 3) AS seconds FROM m JOIN e ON e.stream = m.stream AND e.seq = m.end_seq""",
     "s_kpi_windows": "SELECT date_trunc('day', ts) AS window_start, event_type AS metric, count(*) AS n, round(sum(value), 4) AS total, min(value) AS low, max(value) AS high FROM events GROUP BY ALL",
 }
+ORACLES["m_latest_quality"] = ORACLES["m_latest_quality"].replace("__DRIFT__", ORACLES["m_semantic_drift"])
