@@ -110,27 +110,27 @@ def find_paths(pairs: DataFrame, edges: DataFrame, max_hops: int = 2, confidence
     steps = checkpointed(both_directions(usable).select("at", "to", F.struct("edge_id", F.col("at").alias("from"), "to", "relation", "confidence", "created_at", "conflicting").alias("hop")))
     pairs = checkpointed(pairs.select("start", "goal").distinct())
     starts, goals = pairs.select(F.col("start").alias("node")).distinct(), pairs.select(F.col("goal").alias("node")).distinct()
-    links = steps.select("at", "to").distinct()
+    links = steps.select("at", "to")
     forth_hops, back_hops = -(-max_hops // 2), max_hops // 2
 
-    def walk(ends: DataFrame, toward: DataFrame, hops: int, near: str, far: str, add) -> list[DataFrame]:
-        """Trails of 1 to `hops` steps from the ends: `end, here, hops`."""
+    def walk(ends: DataFrame, toward: DataFrame, hops: int, near: str, far: str, add, last_once: bool) -> list[DataFrame]:
+        """Trails of 1 to `hops` steps from the ends: `end, here, hops`; what is read once only isn't written."""
         reach = _distances(toward, links, max_hops - 1)
         out, here = [], None
         for i in range(1, hops + 1):
-            held = reach.where(F.col("far") <= max_hops - i).select(F.col("node").alias(far))
-            onward = steps.join(held, far, "left_semi")
+            held = reach.where(F.col("far") <= max_hops - i).select(F.col("node").alias("here"))
             if here is None:
-                here = ends.join(onward, F.col("node") == F.col(near)).select(F.col("node").alias("end"), F.col(far).alias("here"), F.array("hop").alias("hops"))
+                here = ends.join(steps, F.col("node") == F.col(near)).select(F.col("node").alias("end"), F.col(far).alias("here"), F.array("hop").alias("hops"))
             else:
-                met = here.join(onward, F.col("here") == F.col(near)).where(~F.exists("hops", lambda h: h["edge_id"] == F.col("hop.edge_id")))
+                met = here.join(steps, F.col("here") == F.col(near)).where(~F.exists("hops", lambda h: h["edge_id"] == F.col("hop.edge_id")))
                 here = met.select("end", F.col(far).alias("here"), add(F.col("hops"), F.array("hop")).alias("hops"))
-            here = checkpointed(here)
+            here = here.join(held, "here", "left_semi")
+            here = here if i == hops and last_once else checkpointed(here)
             out.append(here)
         return out
 
-    forth = walk(starts, goals, forth_hops, "at", "to", lambda hops, hop: F.concat(hops, hop))
-    back = walk(goals, starts, back_hops, "to", "at", lambda hops, hop: F.concat(hop, hops))
+    forth = walk(starts, goals, forth_hops, "at", "to", lambda hops, hop: F.concat(hops, hop), max_hops % 2 == 1)
+    back = walk(goals, starts, back_hops, "to", "at", lambda hops, hop: F.concat(hop, hops), max_hops % 2 == 0)
     out = pairs.join(forth[0], (F.col("start") == F.col("end")) & (F.col("goal") == F.col("here"))).select("start", "goal", "hops")
     for hops in range(2, max_hops + 1):
         first = forth[-(-hops // 2) - 1].select(F.col("end").alias("start"), "here", F.col("hops").alias("first"))
