@@ -2,35 +2,80 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quillgraph.operators.incremental import KEY
 
 
-def ingest(elements: DataFrame, registry_path: str, out_path: str, version: str, checkpoint: str) -> StreamingQuery:
-    """Appends elements whose (doc_id, content_hash, version) the registry lacks, and registers them.
+REGISTRY = "doc_id string, content_hash string, version string"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _FirstSeen(StatefulProcessor):
+    """Hands on the first row of each key that neither the registry nor an earlier batch holds."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._seen = handle.getValueState("seen", "registered boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        first = next(rows)
+        if not self._seen.exists():
+            self._seen.update((True,))
+            yield first
+
+    def handleInitialState(self, key: tuple, initialState: Row, timerValues: object) -> None:
+        self._seen.update((True,))
 
-    A batch first writes its elements under its own batch folder, then its registry rows likewise, both by
-    overwriting, so a batch that is run again after a failure leaves the same files.
+
+def first_seen(elements: DataFrame, registry: DataFrame, version: str) -> DataFrame:
+    """Streamed elements whose (doc_id, content_hash, version) is new, by state kept for each key.
+
+    The registry seeds the state in the first batch of a new checkpoint and isn't read after that, so a
+    batch costs what its own rows cost, however many keys are known. The state is in RocksDB, on disk.
+    Null ids and hashes are keys like others; of rows that share a key one stays.
     """
+    keyed = elements.withColumn("__version", F.lit(version)).groupBy(*KEY, "__version")
+    known = registry.select(*KEY, F.col("version").alias("__version")).distinct().groupBy(*KEY, "__version")
+    out = StructType([*elements.schema.fields, StructField("__version", StringType())])
+    return keyed.transformWithState(_FirstSeen(), out, "Append", "None", known).drop("__version")
 
-    def batch(rows: DataFrame, number: int) -> None:
-        spark = rows.sparkSession
-        schema = "doc_id string, content_hash string, version string, batch long"
-        known = spark.read.schema(schema).parquet(registry_path).where((F.col("version") == version) & (F.col("batch") != number)) if _exists(spark, registry_path) else spark.createDataFrame([], schema)
-        new = rows.dropDuplicates(list(KEY)).join(known.select(*KEY), list(KEY), "left_anti")
-        new.write.mode("overwrite").parquet(f"{out_path}/batch={number}")
-        done = spark.read.parquet(f"{out_path}/batch={number}")
-        done.select(*KEY, F.lit(version).alias("version")).write.mode("overwrite").parquet(f"{registry_path}/batch={number}")
 
-    return elements.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def ingest(elements: DataFrame, registry_path: str, out_path: str, version: str, checkpoint: str) -> StreamingQuery:
+    """Appends elements whose (doc_id, content_hash, version) the registry lacks, and registers them.
 
+    A batch first writes its elements under its own folder, then its registry rows likewise, both by
+    overwriting, so a batch that is run again after a failure leaves the same files. Folders bear the
+    checkpoint's name too: one that starts anew counts its batches from 0 and must not overwrite others'.
+    A checkpoint knows what the registry held when it began and what it has added itself: let one at a time
+    write to a registry, and take over from another with a new checkpoint instead of going back to an old one.
+    """
+    spark = elements.sparkSession
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+    # The registry is a folder with a schema from the start.
+    spark.createDataFrame([], REGISTRY).write.mode("ignore").parquet(f"{registry_path}/run=none/batch=0")
+    registry = spark.read.schema(REGISTRY).parquet(registry_path)
 
-def _exists(spark, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    def batch(rows: DataFrame, number: int) -> None:
+        place = f"run={run}/batch={number}"
+        rows.write.mode("overwrite").parquet(f"{out_path}/{place}")
+        done = rows.sparkSession.read.schema(rows.schema).parquet(f"{out_path}/{place}")
+        done.select(*KEY, F.lit(version).alias("version")).write.mode("overwrite").parquet(f"{registry_path}/{place}")
+
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, _ROCKS)
+    try:
+        # The query takes its settings when it starts.
+        writer = first_seen(elements, registry, version).writeStream.foreachBatch(batch).outputMode("append")
+        return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(_PROVIDER, before)
 
 
 def kpi_windows(metrics: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:

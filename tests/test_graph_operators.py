@@ -159,6 +159,30 @@ def test_stream_ingest_equals_batch_and_repeats_nothing(spark, tmp_path):
     assert sorted(r.content_hash for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["h1", "h2"]
 
 
+def test_stream_ingest_keeps_state_over_restarts_and_checkpoints(spark, tmp_path):
+    schema = "doc_id string, content_hash string, content string, n long"
+    source, registry, out = str(tmp_path / "in"), str(tmp_path / "reg"), str(tmp_path / "out")
+
+    def run(rows, state, version="v1"):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
+        jobs.ingest(spark.readStream.schema(schema).parquet(source), registry, out, version, str(tmp_path / state)).awaitTermination()
+        return sorted(map(tuple, spark.read.parquet(out).select("doc_id", "content_hash", "content", "n").collect()), key=str)
+
+    big = (1 << 53) + 1
+    first = run([("d", "h1", "x", big), (None, "h1", "y", None), ("d", None, None, 2)], "a")
+    assert first == sorted([("d", "h1", "x", big), (None, "h1", "y", None), ("d", None, None, 2)], key=str)
+    # The same checkpoint goes on; a known key doesn't come again, a new one does.
+    second = run([("d", "h1", "again", 3), ("e", "h1", "z", 4)], "a")
+    assert second == sorted([*first, ("e", "h1", "z", 4)], key=str)
+    # A new checkpoint takes what is known from the registry and overwrites nothing.
+    third = run([("e", "h2", "w", 5), (None, "h1", "again", 6)], "b")
+    assert third == sorted([*second, ("e", "h2", "w", 5)], key=str)
+    # So does the next one, of both.
+    assert len(run([("f", "h", "v", 7)], "c")) == len(third) + 1
+    # Another version starts from nothing.
+    assert len(run([], "d", "v2")) == len(third) + 1 + 6
+
+
 def test_stream_status_and_windows_equal_batch(spark, tmp_path):
     schema = "paper_id string, seq int, ts timestamp, status string, metric string, value double"
     rows = spark.sql("select 'p' || (id % 3) as paper_id, cast(id as int) as seq, timestamp_seconds(id * 4000) as ts, 's' || (id % 4) as status, 'm' || (id % 2) as metric, cast(id as double) as value from range(60)")
