@@ -169,8 +169,8 @@ def ids_crc32(ids: bytes) -> int:
 _TAILS = "doc_id long, doc_tokens long, crcs array<long>, tail binary, keys array<long>, topic int"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _ROLES = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407][:KEYS], dtype=np.uint64)
-#: Leading tokens are told apart modulo this; rows are numbered below it.
-TOPICS, _ROWS = 128, 1 << 56
+#: Leading tokens are told apart modulo this; hashes of contents are taken modulo _NAMES.
+TOPICS, _NAMES = 128, 1 << 56
 
 
 def content_keys(tails: list[bytes]) -> tuple[list[list[int]], list[int]]:
@@ -253,15 +253,17 @@ def _numbered(rows: DataFrame, order: list[str]) -> DataFrame:
 
 
 def _shards(tails: DataFrame, shard_docs: int) -> DataFrame:
-    """`uid, shard` of tails with `uid, keys`: SHARD_DOCS neighbours in the order of their labels.
+    """`uid, shard` of tails with `uid, name, doc_id, doc_tokens, keys`: shard_docs neighbours in the order of their labels.
 
-    A tail's label is the least uid of those that share one of its keys; uids begin with the topic.
+    A tail's label is the least name of those that share one of its keys; names begin with the topic. The
+    order is one of contents; uid only parts rows that are equal in all of them, so the shards hold the same
+    rows however the table is partitioned.
     """
-    filed = tails.select("uid", F.explode("keys").alias("key"))
-    first = filed.groupBy("key").agg(F.min("uid").alias("first"), F.count("*").alias("n")).where("n > 1")
+    filed = tails.select("uid", "name", F.explode("keys").alias("key"))
+    first = filed.groupBy("key").agg(F.min("name").alias("first"), F.count("*").alias("n")).where("n > 1")
     labels = filed.join(first, "key").groupBy("uid").agg(F.min("first").alias("label"))
-    placed = tails.select("uid").join(labels, "uid", "left").select("uid", F.coalesce("label", "uid").alias("label"))
-    return _numbered(placed, ["label", "uid"]).select("uid", F.expr(f"number div {int(shard_docs)}").alias("shard"))
+    placed = tails.drop("keys").join(labels, "uid", "left").withColumn("label", F.coalesce("label", "name"))
+    return _numbered(placed, ["label", "name", "doc_id", "doc_tokens", "uid"]).select("uid", F.expr(f"number div {int(shard_docs)}").alias("shard"))
 
 
 class Bm25Index:
@@ -361,7 +363,8 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 
 def _pack_shard(table: pa.Table) -> pa.Table:
-    table = table.sort_by([("doc_id", "ascending"), ("doc_tokens", "ascending")])
+    # Rows that are equal in all three are alike, so the pieces don't depend on how the shuffle brought them.
+    table = table.sort_by([("doc_id", "ascending"), ("doc_tokens", "ascending"), ("name", "ascending")])
     ids, tokens = table.column("doc_id").to_pylist(), table.column("doc_tokens").to_pylist()
     shard = table.column("shard")[0].as_py()
     tails = [np.frombuffer(t.as_py(), dtype="<u2") for t in table.column("tail")]
@@ -385,11 +388,12 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, shard_docs: i
     """Pieces of every document: `doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_tokens`.
 
     A null text counts as empty: its only id is END_ID. Null and repeated doc_ids are packed row by row
-    like others. A shard holds `shard_docs` documents, the last one fewer, and fewer than WINDOW ids of
+    like others; the same rows in other partitions give the same pieces. A shard holds `shard_docs` documents, the last one fewer, and fewer than WINDOW ids of
     each, however many documents are alike. Other columns are not read; no rows give no pieces.
     """
     read = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_tokenize(vocabulary or default_vocabulary()), _TAILS)
-    # Cut here: texts are tokenized once, and rows keep their numbers.
-    tails = checkpointed(read).withColumn("uid", F.col("topic") * F.lit(_ROWS) + F.monotonically_increasing_id()).drop("topic")
-    dealt = tails.drop("keys").join(_shards(tails.select("uid", "keys"), shard_docs), "uid").drop("uid")
-    return dealt.groupBy("shard").applyInArrow(_pack_shard, _PIECES)
+    # The name is of the content alone: the topic, then a hash of the ids. Cut here: texts are tokenized once, and rows keep their uids.
+    name = F.col("topic") * F.lit(_NAMES) + F.pmod(F.xxhash64("doc_tokens", "crcs", "tail"), F.lit(_NAMES))
+    tails = checkpointed(read.withColumn("name", name).withColumn("uid", F.monotonically_increasing_id()).drop("topic"))
+    shards = _shards(tails.select("uid", "name", "doc_id", "doc_tokens", "keys"), shard_docs)
+    return tails.drop("keys").join(shards, "uid").drop("uid").groupBy("shard").applyInArrow(_pack_shard, _PIECES)

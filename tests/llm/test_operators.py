@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -313,6 +313,57 @@ def test_packing_round_trip(spark, docs):
     assert padding == 0
 
 
+def test_packing_is_the_same_for_any_partitioning(spark, docs):
+    schema = "doc_id long, text string"
+    odd = [(None, "a b c"), (None, "c b a"), (7, "one two"), (7, "two one"), (7, "one two"), (8, None), (8, None), *[(n, "same text here") for n in range(900, 930)]]
+    rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame(odd, schema))
+    got = []
+    for parts in (1, 3, 7):
+        order = F.xxhash64("text", "doc_id", F.lit(parts))
+        packed = packing.pack_documents(rows.repartition(parts, order).sortWithinPartitions(order), shard_docs=40)
+        got.append(Counter(map(tuple, packed.collect())))
+    assert got[0] == got[1] == got[2] and got[0]
+
+
+def test_greedy_fill_equals_the_rule_by_hand():
+    """Longest seed first, then unused documents by falling BM25 score that fit; the first too long one is cut to fill up and its rest seeds the next."""
+    rng = np.random.default_rng(11)
+    tails = [rng.integers(2, 40, size=rng.integers(1, 60)).astype("<u2") for _ in range(80)]
+    tails += [tails[0], tails[1], tails[1]]
+    window, n = 100, len(tails)
+    counts, mean = [Counter(t.tolist()) for t in tails], np.mean([len(t) for t in tails])
+    df = Counter(t for c in counts for t in c)
+
+    def score(a, b):
+        norm = packing.K1 * (1 - packing.B_LENGTH + packing.B_LENGTH * len(tails[b]) / mean)
+        return sum(np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * counts[b][t] * (packing.K1 + 1) / (counts[b][t] + norm) for t in counts[a] if t in counts[b])
+
+    free, want, rest = set(range(n)), [], None
+    while free or rest:
+        seed, at = rest or (min(free, key=lambda i: (-len(tails[i]), i)), 0)
+        free.discard(seed)
+        pieces, room, rest = [(seed, at, len(tails[seed]) - at)], window - len(tails[seed]) + at, None
+        over = None
+        # Scores are rounded, as sums in another order differ in their last bits; what ties then goes by number.
+        for i in sorted(free, key=lambda i: (-round(score(seed, i), 4), i)):
+            if not room:
+                break
+            if len(tails[i]) <= room:
+                pieces.append((i, 0, len(tails[i])))
+                free.discard(i)
+                room -= len(tails[i])
+            elif over is None:
+                over = i
+        if room and over is not None:
+            pieces.append((over, 0, room))
+            free.discard(over)
+            rest = (over, room)
+        want.append(pieces)
+    got = packing.pack_tails(tails, window=window)
+    full = [w for w in want if sum(p[2] for p in w) == window]
+    assert got[: len(full)] == full and len(full) >= len(want) - 1
+
+
 def test_bm25_scores_equal_the_formula():
     rng = np.random.default_rng(3)
     tails = [rng.integers(0, 60, rng.integers(0, 40)).astype("<u2") for _ in range(30)]
