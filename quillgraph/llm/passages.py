@@ -100,7 +100,7 @@ _TYPES = (pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()
 def units(text: str | None, line_words: int = LINE_WORDS) -> list[np.ndarray]:
     """Columns `line, digest, second, unit, start, end, words, again` of the pieces of a text, then of its lines of `line_words` words.
 
-    second is 32 bits of an independent digest; again is true where the text holds the same unit before.
+    second is 31 bits of a digest with another base; again is true where the text holds the same unit before.
     """
     raw = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), dtype="<u4")
     codes = _folded()[raw].astype(np.uint64)
@@ -154,21 +154,19 @@ def _passages(docs: DataFrame, min_words: int, line_words: int) -> DataFrame:
     seen = _units_of(docs, line_words).groupBy("digest", "second").agg(F.min("id").alias("kept"), F.max("id").alias("last")).where("kept <> last").select("digest", "second", "kept")
     # A unit goes if a smaller id holds it, or its own document does before.
     later = _units_of(docs, line_words).join(seen, ["digest", "second"], "left").where("again or id <> kept").withColumn("kept", F.coalesce("kept", "id"))
+    # Rows that repeat a doc_id and text bring the same units; one of each goes on, so that however many they are no task gets them all.
+    later = later.dropDuplicates(["id", "version", "unit"])
     # Pieces are numbered before lines; pieces next to each other make a run, a line is one of its own.
     order = Window.partitionBy("id", "version").orderBy("unit")
-    runs = later.withColumn("run", F.when(F.col("line"), -1 - F.col("unit")).otherwise(F.col("unit") - F.dense_rank().over(order)))
+    runs = later.withColumn("run", F.when(F.col("line"), -1 - F.col("unit")).otherwise(F.col("unit") - F.row_number().over(order)))
     found = runs.groupBy("id", "version", "run").agg(
         F.min("start").alias("start"),
         F.max("end").alias("end"),
         F.sum("words").alias("words"),
-        F.count("*").alias("units"),
         F.min("kept").alias("kept"),
-        F.countDistinct("unit").alias("distinct_units"),
         F.max("line").alias("line"),
     )
-    # Rows that repeat a doc_id and text bring every unit as often; count a run's words once.
-    once = (F.col("words") * F.col("distinct_units") / F.col("units")).cast("long")
-    found = found.withColumn("words", once).where(F.col("line") | (F.col("words") >= min_words)).select("id", "version", "start", "end", "words", "kept")
+    found = found.where(F.col("line") | (F.col("words") >= min_words)).select("id", "version", "start", "end", "words", "kept")
     # What overlaps - a line and a run of pieces in it - is one passage.
     place = Window.partitionBy("id", "version").orderBy("start", "end")
     joined = found.withColumn("before", F.max("end").over(place.rowsBetween(Window.unboundedPreceding, -1)))

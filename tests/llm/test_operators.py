@@ -717,6 +717,19 @@ def test_passage_pieces_do_not_depend_on_place():
         assert sum(w for d, w, line in zip(b[1].tolist(), b[6].tolist(), b[0].tolist()) if not line and d in own) >= 30
 
 
+def test_passages_of_a_hot_repeated_row(spark):
+    """A row that comes thousands of times loses what it would lose once, and no step sees its copies together."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    body = " ".join(word() for _ in range(60))
+    rows = [(1, body), (2, "x y " + body + " z " + body), (None, "q " + body)]
+    one = spark.createDataFrame(rows, "doc_id long, text string")
+    many = one.where("doc_id = 1").unionByName(one.where("doc_id = 2 or doc_id is null").crossJoin(spark.range(3000).select()))
+    want = sorted(map(tuple, passages.repeated_passages(one).collect()), key=str)
+    assert {r[0] for r in want} == {2, None}
+    assert sorted(map(tuple, passages.repeated_passages(many).collect()), key=str) == want
+
+
 def test_passages_equal_grouping_by_hand(spark, docs):
     holders = defaultdict(set)
     mine = {}
