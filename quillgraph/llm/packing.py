@@ -31,12 +31,13 @@ SHARD_DOCS = 1000
 K1, B_LENGTH = 1.2, 0.75
 #: Tokens of a run, and how many least hashes of runs a tail is filed under.
 RUN, KEYS = 4, 4
-#: Words (and as many words with what is attached to them) whose ids a Python worker remembers; beyond that it starts anew.
-CACHE_WORDS = 400_000
+#: Words whose ids a Python worker remembers; beyond that it starts anew.
+CACHE_WORDS = 600_000
+#: What often follows a word and has ids of its own.
+SIGNS = (",", ".")
 _CONTROL = "\x1c\x1d\x1e\x1f"
 
 _cache: dict[str, dict[str, bytes]] = {}
-_bare: dict[str, dict[str, bytes]] = {}
 _tokenizers: dict[str, object] = {}
 # How a vocabulary must treat a text so that words can be encoded one by one.
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -66,7 +67,7 @@ def _tokenizer(path: str):
         _tokenizers[path] = Tokenizer.from_file(path)
         if _tokenizers[path].get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in 16 bits")
-        _cache[path], _bare[path] = {}, {}
+        _cache[path] = {}
         with open(path, encoding="utf-8") as file:
             rules = json.load(file)
         _by_words[path] = rules.get("normalizer") == _NORMALIZER and rules.get("pre_tokenizer") == _PRE_TOKENIZER
@@ -83,39 +84,52 @@ def _byte_letters() -> dict[int, str]:
 _LETTERS = _byte_letters()
 
 
-def _remember(new: list[str], tok, cache: dict[str, bytes], bare: dict[str, bytes]) -> None:
+def _remember(new: list[str], tok, cache: dict[str, bytes]) -> None:
     """Puts the ids of new words in the cache.
 
-    The vocabulary's own rule lowers case and parts letters from signs. So a word of Latin letters, with
-    or without a comma or stop after it, has the ids of its letters in lower case and of the sign; its
-    letters are one piece to the vocabulary and the model is asked for it directly. Others go the whole way.
+    Latin letters in lower case are one piece to the vocabulary and the model is asked for them directly;
+    other words go the whole way.
     """
-    if len(bare) > CACHE_WORDS:
-        bare.clear()
     tokenize, pack, others = tok.model.tokenize, struct.pack, []
-    signs = {c: pack(f"<{len(ids)}H", *ids) for c in ",." for ids in [tok.encode(c, add_special_tokens=False).ids]}
     for word in new:
-        sign = signs.get(word[-1:])
-        core = word if sign is None else word[:-1]
-        if not (core.isalpha() and (core.isascii() or max(core) < "\u0130")):
+        ascii_only = word.isascii()
+        if not (word.isalpha() and (ascii_only or max(word) < "\u0130")):
             others.append(word)
             continue
-        core = core.lower()
-        ids = bare.get(core)
-        if ids is None:
-            piece = core if core.isascii() else core.encode().decode("latin-1").translate(_LETTERS)
-            numbers = [t.id for t in tokenize(piece)]
-            ids = bare[core] = pack(f"<{len(numbers)}H", *numbers)
-        cache[word] = ids if sign is None else ids + sign
+        numbers = [t.id for t in tokenize(word if ascii_only else word.encode().decode("latin-1").translate(_LETTERS))]
+        cache[word] = pack(f"<{len(numbers)}H", *numbers)
     for word, e in zip(others, tok.encode_batch_fast(others, add_special_tokens=False)):
         cache[word] = pack(f"<{len(e.ids)}H", *e.ids)
 
 
+def _bare_words(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """For each word what is looked up, and which of SIGNS follows it (0: none).
+
+    The vocabulary's own rule lowers case and parts letters from signs. So a word of Latin letters, with or
+    without a comma or stop after it, has the ids of its letters in lower case and of the sign. Any other
+    word is looked up as it stands; none of those is made of Latin letters alone.
+    """
+    sign = np.zeros(len(words), dtype=np.int64)
+    for k, c in enumerate(SIGNS, 1):
+        sign[pc.ends_with(words, c).to_numpy(zero_copy_only=False)] = k
+    core = pc.if_else(pa.array(sign > 0), pc.utf8_slice_codeunits(words, 0, -1), words)
+    latin = pc.and_(pc.utf8_is_alpha(core), pc.match_substring_regex(core, r"^[\x{0}-\x{12F}]+$"))
+    return pc.if_else(latin, pc.utf8_lower(core), words), np.where(latin.to_numpy(zero_copy_only=False), sign, 0)
+
+
+def _joined(pool: np.ndarray, sizes: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of a pool one after the other, and the place after each; `sizes` are those of the pool's entries in order."""
+    n = sizes[entries]
+    after = np.cumsum(n)
+    shift = ((np.cumsum(sizes) - sizes)[entries] - (after - n)).astype(np.int32)
+    return pool[np.repeat(shift, n) + np.arange(after[-1] if len(after) else 0, dtype=np.int32)], after
+
+
 def token_bytes(texts: pa.Array, path: str) -> list[bytes]:
     """Ids of each text as little-endian 16-bit integers, with END_ID at the end.
 
-    The vocabulary never joins characters across white space, so the differing words of all texts are
-    encoded once, remembered, and put together by their numbers. Splitting also cuts at four control
+    The vocabulary never joins characters across white space, so the differing words of all texts, without
+    case and closing signs, are encoded once, remembered, and put together by their numbers. Splitting also cuts at four control
     characters that the vocabulary does not treat as white space; texts that hold one are encoded whole.
     So is every text with a vocabulary that has other rules.
     """
@@ -127,22 +141,23 @@ def token_bytes(texts: pa.Array, path: str) -> list[bytes]:
     words = pc.utf8_split_whitespace(texts)
     bounds = words.offsets.to_numpy(zero_copy_only=False)
     numbered = words.flatten().dictionary_encode()
-    unique, index = numbered.dictionary.to_pylist(), numbered.indices.to_numpy(zero_copy_only=False)
+    bare, sign = _bare_words(numbered.dictionary)
+    bare = bare.dictionary_encode()
+    unique = bare.dictionary.to_pylist()
     parts = list(map(cache.get, unique))
     new = [w for w, ids in zip(unique, parts) if ids is None]
     if new:
         if len(cache) > CACHE_WORDS:
             cache.clear()
             new = unique
-        _remember(new, tok, cache, _bare[path])
+        _remember(new, tok, cache)
         parts = list(map(cache.__getitem__, unique))
-    pool = np.frombuffer(b"".join(parts), dtype="<u2")
+    parts += [b"", *(struct.pack(f"<{len(ids)}H", *ids) for c in SIGNS for ids in [tok.encode(c, add_special_tokens=False).ids])]
     sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 2
-    starts = np.cumsum(sizes) - sizes
-    n = sizes[index]
-    after = np.cumsum(n)
-    shift = (starts[index] - (after - n)).astype(np.int32)
-    ids = pool[np.repeat(shift, n) + np.arange(after[-1] if len(after) else 0, dtype=np.int32)]
+    # Each differing word is what was looked up and its sign; each text is its words.
+    entries = np.stack([bare.indices.to_numpy(zero_copy_only=False), len(unique) + sign], axis=1).ravel()
+    pool, after = _joined(np.frombuffer(b"".join(parts), dtype="<u2"), sizes, entries)
+    ids, after = _joined(pool, np.diff(after[1::2], prepend=0), numbered.indices.to_numpy(zero_copy_only=False))
     at = np.concatenate([[0], after])[bounds - bounds[0]]
     out = [ids[a:b].tobytes() + end for a, b in zip(at[:-1], at[1:])]
     for i in np.flatnonzero(pc.match_substring_regex(texts, f"[{_CONTROL}]").to_numpy(zero_copy_only=False)):
