@@ -6,6 +6,9 @@ reach into [d - r, d + r], and the plane halfway between the two pivots is no fa
 into those cells only. Within a cell a pair is left out where the pivot distances differ by more than r, or
 where its bound in the space of a few orthogonal pivots, q'.x' + |q - q'| |x - x'|, is under t; the rest is
 compared in full. Large cells are worked on in chunks, so no task holds a cell.
+
+Where only the connected components of the near pairs are asked for (`near_links`), vectors within r / 2 of the same pivot
+are near each other unseen, and a task hands on a forest of what it finds instead of all pairs.
 """
 
 from __future__ import annotations
@@ -18,8 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.functions.checkpoints import checkpointed
+
 #: Vectors of the corpus in one piece of a cell, and queries that meet one piece in one task.
 CHUNK, QUERY_CHUNK = 4096, 65_536
+#: Vectors of neighbouring cells that queries of `near_links` meet in one task.
+REGION = 16_384
 #: Bytes of pivots that go to every task, pivots at most, and sampled vectors for each of them.
 PIVOT_BYTES, MOST_PIVOTS, DRAWN = 8 << 20, 512, 4
 #: Scores are rounded to six digits; bounds allow for that.
@@ -229,3 +236,139 @@ def compared_pairs(queries: DataFrame, corpus: DataFrame, threshold: float) -> D
 
     each = pieces.mapInArrow(run, "met long, compared long, found long")
     return each.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("met", "compared", "found")])
+
+
+def _groups(points: np.ndarray, reach: float) -> np.ndarray:
+    """A number for each point, the same for points that are joined by steps of at most `reach`."""
+    square = (points**2).sum(1)
+    near = square[:, None] + square[None, :] - 2 * points @ points.T <= reach * abs(reach)
+    np.fill_diagonal(near, True)
+    label = np.arange(len(points))
+    while True:
+        least = np.where(near, label[None, :], len(points)).min(1)
+        if (least == label).all():
+            return label
+        label = least
+
+
+def _label(pivots: Pivots, core: float, group: np.ndarray):
+    """Adds each vector's cell and `far`, here the group of its cell if the vector is within `core` of the pivot, else -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                d = pivots.distances(_matrix(batch.column("vector")))
+                cell = d.argmin(1)
+                held = np.where(d[np.arange(len(d)), cell] <= core, group[cell], -1).astype(float)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vector"), pa.array(cell, pa.int32()), pa.array(held)], ["id", "vector", "cell", "far"])
+
+    return run
+
+
+def _send_regions(pivots: Pivots, threshold: float, group: np.ndarray, outer: np.ndarray, regions: np.ndarray):
+    """Copies each vector into its own and the later regions that may hold something near it and not yet known to be linked to it.
+
+    `regions` says for each cell (row) which regions (columns) hold its vectors; `outer` how many of a cell's are outside its core.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                own, held = np.asarray(part.column("region")), np.asarray(part.column("far"))
+                asked = pivots.cells(_matrix(part.column("vector")), threshold) & ((outer > 0)[None, :] | (group[None, :] != held[:, None]))
+                to = (asked.astype(np.float32) @ regions > 0) & (np.arange(regions.shape[1])[None, :] >= own[:, None])
+                row, region = np.nonzero(to)
+                taken = part.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([taken.column("id"), taken.column("vector"), pa.array(region, pa.int32()), taken.column("far")], ["id", "vector", "cell", "far"])
+
+    return run
+
+
+def _forest(threshold: float):
+    """Of the near pairs of a piece those that link what no earlier pair of the piece has linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, label = None, None
+        for (ids, q, _), corpus in _met(batches):
+            names, x, far = corpus
+            if corpus is not held:
+                # Members of one group are linked already.
+                first = np.unique(far, return_index=True, return_inverse=True)
+                held, label = corpus, np.where(far >= 0, first[1][first[2]], np.arange(len(far)))
+            a, b = [], []
+            for at in range(0, len(ids), 256):
+                scores = q[at : at + 256] @ x.T
+                for i, row in enumerate(scores):
+                    j = np.flatnonzero(row >= threshold - SLACK)
+                    j = j[(np.round(row[j], 6) >= threshold) & (names[j] != ids[at + i])]
+                    if not len(j):
+                        continue
+                    seen = label[j]
+                    if seen.min() == seen.max():
+                        at_label = [0]
+                    else:
+                        met, at_label = np.unique(seen, return_index=True)
+                        label[np.isin(label, met)] = met[0]
+                    a.extend([ids[at + i]] * len(at_label))
+                    b.extend(names[j[at_label]])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def near_links(corpus: DataFrame, threshold: float) -> DataFrame:
+    """`a, b`: links of ids (`id, vector`, unit vectors) with the same connected components as all pairs at least `threshold` alike.
+
+    Exact, and no more than a few links for each vector and region: copies of a vector hang on one of them; vectors within half
+    the radius of a pivot hang on one of these, and pivots that are near each other make their cells one group. What is
+    left is compared region by region, each two regions once.
+    """
+    if threshold <= 0:
+        pairs = similarity_join(corpus.select(F.col("id").alias("query_id"), "vector"), corpus, threshold)
+        return pairs.where("query_id <> id").select(F.col("query_id").alias("a"), F.col("id").alias("b"))
+    some = corpus.where(F.exists("vector", lambda x: x != 0)).select("id", "vector")
+    unique = checkpointed(some.groupBy("vector").agg(F.min("id").alias("id")))
+    pivots = choose_pivots(unique)
+    if pivots is None:
+        return corpus.sparkSession.createDataFrame([], "a long, b long")
+    copies = some.join(unique.withColumnRenamed("id", "b"), "vector").where("id <> b").select(F.col("id").alias("a"), "b")
+    radius = np.sqrt(max(0.0, 2 - 2 * threshold))
+    group = _groups(pivots.points, radius - SLACK)
+    dealt = checkpointed(unique.select("id", "vector").mapInArrow(_label(pivots, radius / 2 - SLACK, group), "id long, vector array<double>, cell int, far double"))
+    # One row a cell reaches the driver.
+    cells = dealt.groupBy("cell").agg(F.count("*").alias("n"), F.sum((F.col("far") < 0).cast("int")).alias("outer"), F.min(F.when(F.col("far") >= 0, F.col("id"))).alias("hub")).collect()
+    size, outer, hub = np.zeros(len(group), dtype=int), np.zeros(len(group), dtype=int), {}
+    for r in cells:
+        size[r.cell], outer[r.cell] = r.n, r.outer
+        if r.hub is not None:
+            hub[r.cell] = r.hub
+    pivots.count, pivots.low, pivots.high = size, np.full(len(size), -np.inf), np.full(len(size), np.inf)
+    # Cells of one group stand together, so that few regions hold several groups.
+    first, width, at, room = np.zeros(len(size), dtype=int), np.maximum(1, -(-size // REGION)), 0, REGION
+    for c in np.argsort(group, kind="stable"):
+        if room < size[c]:
+            at, room = at + 1, REGION
+        first[c], at = at, at + width[c] - 1
+        room = room - size[c] if width[c] == 1 else 0
+    regions = np.zeros((len(size), at + 1), dtype=np.float32)
+    for c in range(len(size)):
+        regions[c, first[c] : first[c] + width[c]] = 1
+    place = F.get(F.array(*[F.lit(int(x)) for x in first]), F.col("cell")) + F.pmod(F.xxhash64("id"), F.get(F.array(*[F.lit(int(x)) for x in width]), F.col("cell"))).cast("int")
+    placed = dealt.withColumn("region", place)
+    sent = checkpointed(placed.mapInArrow(_send_regions(pivots, threshold, group, outer, regions), "id long, vector array<double>, cell int, far double"))
+    asked = {r.cell: r.n for r in sent.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    parts = F.array(*[F.lit(max(1, -(-asked.get(c, 0) // QUERY_CHUNK))) for c in range(at + 1)])
+    keys = ["cell", "chunk", "part"]
+    left = placed.where(F.col("region").isin(*asked) if asked else F.lit(False)).select(F.col("region").alias("cell"), "id", "vector", "far").withColumn("part", F.explode(F.sequence(F.lit(0), F.get(parts, F.col("cell")) - 1)))
+    right = sent.withColumn("part", F.pmod(F.xxhash64("id"), F.get(parts, F.col("cell"))).cast("int"))
+    sides = [d.select("cell", F.lit(0).alias("chunk"), "part", F.lit(side).alias("side"), "id", "vector", "far") for side, d in enumerate((left, right))]
+    pieces = sides[0].unionByName(sides[1]).repartition(*keys).sortWithinPartitions(*keys, "side")
+    found = pieces.mapInArrow(_forest(threshold), "a long, b long")
+    # The hub of each core's first cell stands for its group.
+    heads = {}
+    for c in sorted(hub):
+        heads.setdefault(int(group[c]), hub[c])
+    head = F.get(F.array(*[F.lit(heads.get(g)).cast("long") for g in range(len(group))]), F.col("far").cast("int"))
+    cores = dealt.where("far >= 0").select(F.col("id").alias("a"), head.alias("b")).where("a <> b")
+    return checkpointed(copies.unionByName(cores).unionByName(found))

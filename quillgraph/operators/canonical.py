@@ -86,10 +86,17 @@ def near_pairs(entities: DataFrame, least: float = BLOCK_COSINE) -> DataFrame:
 def merge_blocks(entities: DataFrame, least: float = BLOCK_COSINE, pairs: DataFrame | None = None) -> DataFrame:
     """`name, block` from `name, vector` (unit vectors): connected components of the near pairs, so no cluster crosses a block.
 
+    Without given pairs only as many links are made as the components need (`vectors.near_links`), not all pairs.
+
     With hashing vectors most names are that near to each other and blocks are large; they are meant for real vectors.
     """
-    labels = connected_components(near_pairs(entities, least) if pairs is None else pairs, "a", "b")
-    return entities.select("name").join(labels, F.col("name") == labels["node"], "left").select("name", F.coalesce("label", "name").alias("block"))
+    if pairs is not None:
+        labels = connected_components(pairs, "a", "b")
+        return entities.select("name").join(labels, F.col("name") == labels["node"], "left").select("name", F.coalesce("label", "name").alias("block"))
+    ids = entities.select(F.xxhash64("name").alias("id"), "name", "vector")
+    labels = checkpointed(connected_components(vectors.near_links(ids, least), "a", "b"))
+    members = ids.select("id", "name").join(labels, ids["id"] == labels["node"], "left").select("name", F.coalesce("label", "id").alias("label"))
+    return members.join(members.groupBy("label").agg(F.min("name").alias("block")), "label").select("name", "block")
 
 
 def resolve_entities(entities: DataFrame, most: int = clustering.GIANT_BLOCK) -> DataFrame:

@@ -59,6 +59,38 @@ def test_best_k_and_empty_tables(spark):
         assert vectors.similarity_join(q, c, 0.5).count() == vectors.similarity_join(q, c, 0.5, 2).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["clustered", "isotropic", "low"])
+@pytest.mark.parametrize("threshold", [-0.1, 0.3, 0.45, 0.77, 0.95])
+def test_links_have_the_components_of_all_pairs(spark, monkeypatch, kind, threshold):
+    monkeypatch.setattr(vectors, "REGION", 90)
+    monkeypatch.setattr(vectors, "QUERY_CHUNK", 60)
+    if kind == "low":
+        a = np.random.default_rng(9).normal(size=(500, 4))
+        a = np.vstack([a / np.linalg.norm(a, axis=1, keepdims=True), np.zeros((3, 4))])
+    else:
+        a = unit_rows(kind, 300)
+    rows = spark.createDataFrame([(i * 7, v.tolist()) for i, v in enumerate(a)], "id long, vector array<double>")
+    links = vectors.near_links(rows, threshold).collect()
+
+    def parts(pairs):
+        label = list(range(len(a)))
+        for x, y in pairs:
+            if label[x] != label[y]:
+                old, new = max(label[x], label[y]), min(label[x], label[y])
+                label = [new if v == old else v for v in label]
+        return label
+
+    s = np.round(a @ a.T, 6) >= threshold
+    assert parts((r.a // 7, r.b // 7) for r in links) == parts(np.argwhere(np.triu(s, 1)))
+
+
+def test_links_are_few_where_pairs_are_many(spark):
+    a = np.random.default_rng(9).normal(size=(2000, 4))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(a)], "id long, vector array<double>")
+    assert vectors.near_links(rows, 0.77).count() < 5 * len(a) < (a @ a.T >= 0.77).sum() / 10
+
+
 def sequential(entities):
     """The greedy pass over everything, with every cluster's members looked at one by one."""
     clusters, owner = [], {}
