@@ -5,6 +5,10 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of keys that are sent to every task instead of dealing out the table that they are looked up in.
+FEW = 500_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -28,3 +32,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """The same rows from the reliable checkpoint folder, so that a lost executor costs no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def broadcast_if_few(keys: DataFrame) -> DataFrame:
+    """The same keys, made once and counted; up to FEW of them are broadcast in joins."""
+    keys = checkpointed(keys)
+    return F.broadcast(keys) if keys.count() <= FEW else keys

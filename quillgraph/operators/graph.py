@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph import config
-from quillgraph.functions.checkpoints import checkpointed
+from quillgraph.functions.checkpoints import broadcast_if_few, checkpointed
 from quillgraph.functions.components import connected_components
 
 EDGE_KEY = ("src", "dst", "relation", "doc_id", "version")
@@ -110,8 +110,13 @@ def _directional(relation: Column) -> Column:
 
 def flag_conflicts(edges: DataFrame) -> DataFrame:
     """`conflicting` set where a directional edge meets the same relation in reverse, whatever the document; a self-loop meets itself."""
-    reverse = edges.where(_directional(F.col("relation"))).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "relation").distinct().withColumn("met", F.lit(True))
-    joined = edges.join(reverse, ["src", "dst", "relation"], "left")
+    low, high = F.least("src", "dst"), F.greatest("src", "dst")
+    known = F.col("src").isNotNull() & F.col("dst").isNotNull()
+    ways = edges.where(_directional(F.col("relation")) & known).select(low.alias("__low"), high.alias("__high"), F.col("relation").alias("__relation"), (F.col("src") <= F.col("dst")).alias("forth"), (F.col("src") >= F.col("dst")).alias("back"))
+    # Only the ends that meet both ways are looked up, so the edges themselves are not dealt out for it.
+    both = ways.groupBy("__low", "__high", "__relation").agg(F.max("forth").alias("forth"), F.max("back").alias("back")).where("forth and back")
+    met = broadcast_if_few(both.select("__low", "__high", "__relation", F.lit(True).alias("met")))
+    joined = edges.join(met, (low == F.col("__low")) & (high == F.col("__high")) & (F.col("relation") == F.col("__relation")) & known, "left").drop("__low", "__high", "__relation")
     was = F.col("conflicting") if "conflicting" in edges.columns else F.lit(False)
     return joined.withColumn("conflicting", was | F.coalesce("met", F.lit(False))).drop("met")
 

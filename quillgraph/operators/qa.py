@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph import config
-from quillgraph.functions.checkpoints import checkpointed
+from quillgraph.functions.checkpoints import broadcast_if_few, checkpointed
 
 
 def node_names(nodes: DataFrame) -> DataFrame:
@@ -73,9 +73,10 @@ def top_nodes(nodes: DataFrame, k: int) -> DataFrame:
 
 def both_directions(edges: DataFrame) -> DataFrame:
     """Every edge as a step from each of its ends; a self-loop once."""
-    forth = edges.select("*", F.col("src").alias("at"), F.col("dst").alias("to"))
-    back = edges.where("src <> dst").select("*", F.col("dst").alias("at"), F.col("src").alias("to"))
-    return forth.unionAll(back)
+    forth, back = F.struct(F.col("src").alias("at"), F.col("dst").alias("to")), F.struct(F.col("dst").alias("at"), F.col("src").alias("to"))
+    # One pass over the edges, which may be dear to make.
+    ways = F.when(F.col("src") != F.col("dst"), F.array(forth, back)).otherwise(F.array(forth))
+    return edges.select("*", F.explode(ways).alias("__way")).select(*edges.columns, "__way.at", "__way.to")
 
 
 def section_weight(sections: Column) -> Column:
@@ -101,31 +102,39 @@ def find_paths(pairs: DataFrame, edges: DataFrame, max_hops: int = 2, confidence
     No edge is used twice; nodes may repeat. `hops` lists the steps (edge_id, from, to, relation,
     confidence, created_at, conflicting) in walking order. Half of a trail is walked from its start, half back from its
     goal, and the halves meet in the middle. At every hop a walk goes on only to nodes from which
-    the other ends can still be reached with the hops that are left.
+    the other ends can still be reached with the hops that are left; of at most two hops one is
+    walked on either side, over the steps at the ends alone, and the halves' meeting is all that prunes them.
     """
     usable = edges.where(F.col("confidence") >= confidence)
     if relations:
         usable = usable.where(F.col("relation").isin(*relations))
+    pairs = broadcast_if_few(pairs.select("start", "goal").distinct())
+    starts, goals = (broadcast_if_few(pairs.select(F.col(end).alias("node")).distinct()) for end in ("start", "goal"))
+    short = max_hops <= 2
+    steps = both_directions(usable).select("at", "to", "edge_id", "relation", "confidence", "created_at", "conflicting")
+    if short:
+        # Every step of a trail this short leaves a start or reaches a goal.
+        first, last = starts.select(F.col("node").alias("at"), F.lit(True).alias("__first")), goals.select(F.col("node").alias("to"), F.lit(True).alias("__last"))
+        steps = steps.join(first, "at", "left").join(last, "to", "left").where("__first or __last").drop("__first", "__last")
     # Made once: each hop of either side reads it.
-    steps = checkpointed(both_directions(usable).select("at", "to", F.struct("edge_id", F.col("at").alias("from"), "to", "relation", "confidence", "created_at", "conflicting").alias("hop")))
-    pairs = checkpointed(pairs.select("start", "goal").distinct())
-    starts, goals = pairs.select(F.col("start").alias("node")).distinct(), pairs.select(F.col("goal").alias("node")).distinct()
+    steps = checkpointed(steps).select("at", "to", F.struct("edge_id", F.col("at").alias("from"), "to", "relation", "confidence", "created_at", "conflicting").alias("hop"))
     links = steps.select("at", "to")
     forth_hops, back_hops = -(-max_hops // 2), max_hops // 2
 
     def walk(ends: DataFrame, toward: DataFrame, hops: int, near: str, far: str, add, last_once: bool) -> list[DataFrame]:
         """Trails of 1 to `hops` steps from the ends: `end, here, hops`; what is read once only isn't written."""
-        reach = _distances(toward, links, max_hops - 1)
+        reach = None if short else _distances(toward, links, max_hops - 1)
         out, here = [], None
         for i in range(1, hops + 1):
-            held = reach.where(F.col("far") <= max_hops - i).select(F.col("node").alias("here"))
             if here is None:
                 here = ends.join(steps, F.col("node") == F.col(near)).select(F.col("node").alias("end"), F.col(far).alias("here"), F.array("hop").alias("hops"))
             else:
                 met = here.join(steps, F.col("here") == F.col(near)).where(~F.exists("hops", lambda h: h["edge_id"] == F.col("hop.edge_id")))
                 here = met.select("end", F.col(far).alias("here"), add(F.col("hops"), F.array("hop")).alias("hops"))
-            here = here.join(held, "here", "left_semi")
-            here = here if i == hops and last_once else checkpointed(here)
+            if reach is not None:
+                held = reach.where(F.col("far") <= max_hops - i).select(F.col("node").alias("here"))
+                here = here.join(held, "here", "left_semi")
+                here = here if i == hops and last_once else checkpointed(here)
             out.append(here)
         return out
 
@@ -170,7 +179,8 @@ def neighbours(asked: DataFrame, edges: DataFrame, confidence: float, k: int) ->
 
 def document_edges(documents: DataFrame, edges: DataFrame, confidence: float, k: int) -> DataFrame:
     """Edges of each document (ids compared in lower case), each in both directions, the k best."""
-    met = both_directions(edges.where(F.col("confidence") >= confidence)).join(documents.select(F.lower("doc_id").alias("low")).distinct(), F.lower("doc_id") == F.col("low"))
+    low = documents.select(F.lower("doc_id").alias("low")).distinct()
+    met = both_directions(edges.where(F.col("confidence") >= confidence).withColumn("low", F.lower("doc_id")).join(low, "low", "left_semi"))
     order = Window.partitionBy("low").orderBy(F.desc("confidence"), F.desc("created_at"), "edge_id", "at")
     return met.withColumn("k", F.row_number().over(order)).where(F.col("k") <= k).select("doc_id", F.col("at").alias("node_id"), F.col("to").alias("other"), "edge_id", "relation", "confidence", "created_at", "k")
 
@@ -400,15 +410,23 @@ def ask(questions: DataFrame, nodes: DataFrame, edges: DataFrame, vectors: DataF
     count; a question without a path falls back on edges at its nodes. Summaries take the edges around the best candidate
     (entity), all candidates (cluster) or of the documents named (paper). Edges have `edge_id, src, dst, relation, confidence,
     created_at, doc_id, conflicting, citation, sentence`; nodes `node_id, name, aliases, times_seen, sections`; vectors as
-    in `resolve_mentions`. Edges, candidates and the chosen evidence are each made once and read by what follows.
+    in `resolve_mentions`. The edges that can count, candidates and the chosen evidence are each made once and read by what follows.
     """
-    edges = checkpointed(edges)
     intents = checkpointed(classify_intent(questions))
     mentions = question_mentions(questions)
     resolved = resolve_mentions(mentions.select("mention").distinct(), nodes, vectors)
     held = nodes.select("node_id", F.map_keys("sections").alias("sections"))
     candidates = mentions.join(resolved, "mention").join(held, "node_id").select("question_id", "pos", "k", "node_id", "name", "similarity", "times_seen", "sections")
     candidates = checkpointed(candidates)
+    of_papers = intents.where("intent = 'paper_summary'").select("question_id", F.explode("documents").alias("doc_id"))
+    if max_hops <= 2:
+        # Whatever is shown is at a candidate or in a document that is named.
+        ends = broadcast_if_few(candidates.select("node_id").distinct())
+        named = broadcast_if_few(of_papers.select(F.lower("doc_id").alias("__doc")).distinct())
+        for end in ("src", "dst"):
+            edges = edges.join(ends.select(F.col("node_id").alias(f"__{end}")), F.col(end) == F.col(f"__{end}"), "left")
+        edges = edges.join(named, F.lower("doc_id") == F.col("__doc"), "left").where("__src is not null or __dst is not null or __doc is not null").drop("__src", "__dst", "__doc")
+    edges = checkpointed(edges)
     one, two = candidates.select("question_id", "pos", F.col("node_id").alias("start")), candidates.select("question_id", F.col("pos").alias("later"), F.col("node_id").alias("goal"))
     pairs = checkpointed(one.join(two, "question_id").where("pos < later and start <> goal").select("question_id", "start", "goal").distinct())
     found = checkpointed(find_paths(pairs.select("start", "goal"), edges, max_hops))
@@ -431,7 +449,6 @@ def ask(questions: DataFrame, nodes: DataFrame, edges: DataFrame, vectors: DataF
     first = Window.partitionBy("question_id").orderBy(F.desc("similarity"), "pos", "k")
     best = candidates.withColumn("__first", F.row_number().over(first)).join(intents.select("question_id", "intent"), "question_id")
     around = best.where("intent = 'cluster_summary' or intent = 'entity_summary' and __first = 1").select("question_id", "node_id")
-    of_papers = intents.where("intent = 'paper_summary'").select("question_id", F.explode("documents").alias("doc_id"))
     findings = summary_neighbours(around, edges).select("question_id", "edge_id").unionByName(summary_documents(of_papers, edges).select("question_id", "edge_id"))
     mode = answers(intents, candidates, steps, near, findings, k)
     shown = evidence_prompt(questions, steps, near)

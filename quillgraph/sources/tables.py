@@ -39,10 +39,21 @@ def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+#: Line items of one task.
+TASK_LINES = 500_000
+
+
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as edges: supplier to part and customer to part, every fifth line the other way round."""
+    """Line items as edges: supplier to part and customer to part, every fifth line the other way round.
+
+    Both tables are dealt by document, so what is grouped by document afterwards isn't dealt again. The number of tasks
+    follows the line items, as each of them becomes several times larger after the join.
+    """
     line, orders = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")
-    joined = line.join(orders, line.l_orderkey == orders.o_orderkey)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-line.count() // TASK_LINES))
+    line = line.withColumn("doc_id", F.col("l_orderkey").cast("string")).drop("l_orderkey").repartition(tasks, "doc_id")
+    orders = orders.select(F.col("o_orderkey").cast("string").alias("doc_id"), "o_custkey").repartition(tasks, "doc_id")
+    joined = line.join(orders, "doc_id")
     part = F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
     ends = F.explode(F.array(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")), F.concat(F.lit("c"), F.col("o_custkey").cast("string"))))
     rows = joined.select("*", ends.alias("end"))
@@ -51,7 +62,7 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(flip, part).otherwise(F.col("end")).alias("src"),
         F.when(flip, F.col("end")).otherwise(part).alias("dst"),
         F.when(F.col("l_returnflag") == "R", "uses").when(F.col("l_returnflag") == "A", "improves").otherwise("correlates-with").alias("relation"),
-        F.col("l_orderkey").cast("string").alias("doc_id"),
+        "doc_id",
         F.when(F.col("l_linenumber") % 2 == 0, "v1").otherwise("v2").alias("version"),
         F.round(1 - F.col("l_discount"), 2).alias("confidence"),
         F.col("l_shipdate").cast("timestamp").alias("created_at"),
