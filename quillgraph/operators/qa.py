@@ -26,45 +26,62 @@ def match_exact(mentions: DataFrame, nodes: DataFrame, k: int = 5) -> DataFrame:
     return met.withColumn("k", F.row_number().over(order)).where(F.col("k") <= k)
 
 
-#: Characters of a gram.
-GRAM = 3
+#: Characters of the longest gram.
+GRAM = 16
 
 
-def _grams(text: Column, n: int) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))
+def _grams(text: Column, n: Column) -> Column:
+    """The distinct grams of n characters, none for shorter texts."""
+    starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, n)))
 
 
 def term_candidates(terms: DataFrame, names: DataFrame) -> DataFrame:
-    """`term, low`: distinct terms with the distinct names (`low`) that hold the term's rarest gram; those that contain it are among them.
+    """`term, low`: distinct terms with distinct names (`low`); those that contain the term are among them.
 
-    Names are listed under their grams of three characters (and of one and two, for shorter terms) and every gram has the
-    number of its names. A term with a gram that no name has meets nothing; any other is joined by its rarest
-    one only. What it meets beyond its matches are names that share that gram by chance.
+    A term of up to GRAM characters meets the names that have it as a gram of its own length, which are its matches. Names are
+    listed under grams of those lengths only that some term has. A longer term is joined by the rarest of its
+    grams of GRAM characters; what it meets beyond its matches are names that share so long a gram.
     """
     names = names.select("low").distinct()
     terms = terms.select("term").where("term <> ''").distinct()
-    listed = names.select("low", F.explode(F.concat(*[_grams(F.col("low"), n) for n in range(1, GRAM + 1)])).alias("gram"))
-    often = listed.groupBy("gram").agg(F.count("*").alias("names"))
-    asked = terms.select("term", F.explode(F.when(F.length("term") < GRAM, F.array("term")).otherwise(_grams(F.col("term"), GRAM))).alias("gram"))
+    # One row: GRAM lengths at most.
+    lengths = terms.agg(F.collect_set(F.least(F.length("term"), F.lit(GRAM))).alias("lengths"))
+    grams = F.flatten(F.transform("lengths", lambda n: _grams(F.col("low"), n)))
+    listed = names.crossJoin(F.broadcast(lengths)).select("low", F.explode(grams).alias("gram"))
+    long = F.length("term") > GRAM
+    asked = terms.where(long).select("term", F.explode(_grams(F.col("term"), F.lit(GRAM))).alias("gram"))
+    often = listed.where(F.length("gram") == GRAM).join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("names"))
     counted = asked.join(often, "gram", "left")
     rarest = counted.groupBy("term").agg(F.min_by("gram", F.struct(F.coalesce("names", F.lit(0)).alias("n"), "gram")).alias("gram"))
-    return rarest.join(listed, "gram").select("term", "low")
+    return terms.where(~long).select("term", F.col("term").alias("gram")).unionByName(rarest).join(listed, "gram").select("term", "low")
 
 
 def match_contains(mentions: DataFrame, nodes: DataFrame, k: int = 5) -> DataFrame:
     """Nodes of which a name or alias contains the mention or one of its words (over two characters); exact names first.
 
-    Terms meet names by their rarest gram (`term_candidates`) and are then compared.
+    Terms meet names by their grams (`term_candidates`) and are then compared. The k best nodes of each term are taken before
+    the term meets its mentions: any other node has k better ones with each mention, unless its name is the mention itself, and
+    these are found by name.
     """
     low = F.lower("mention")
     words = F.filter(F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.length(w) > 2)
-    terms = mentions.select("mention").distinct().select("mention", F.explode(F.array_distinct(F.concat(F.array(low), words))).alias("term"))
+    asked = mentions.select("mention").distinct()
+    terms = asked.select("mention", F.explode(F.array_distinct(F.concat(F.array(low), words))).alias("term"))
     names = node_names(nodes)
     pairs = term_candidates(terms, names).where(F.contains(F.col("low"), F.col("term")))
-    met = pairs.join(terms, "term").select("mention", "low").distinct().join(names, "low")
-    best = met.groupBy("mention", "node_id", "name", "times_seen").agg(F.max((F.col("low") == F.lower("mention")).cast("int")).alias("exact"))
+    best = ["node_id", "name", "times_seen"]
+
+    def first(rows: DataFrame, of: str) -> DataFrame:
+        order = Window.partitionBy(of).orderBy(F.desc("times_seen"), "name", "node_id")
+        return rows.select(of, *best).distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= k).drop("k")
+
+    met = terms.join(first(pairs.join(names, "low"), "term"), "term").select("mention", *best, F.lit(0).alias("exact"))
+    same = asked.where(low != "").join(names, low == F.col("low"))
+    exact = first(same, "mention").select("mention", *best, F.lit(1).alias("exact"))
+    joined = exact.unionByName(met).groupBy("mention", *best).agg(F.max("exact").alias("exact"))
     order = Window.partitionBy("mention").orderBy(F.desc("exact"), F.desc("times_seen"), "name", "node_id")
-    return best.withColumn("k", F.row_number().over(order)).where(F.col("k") <= k)
+    return joined.withColumn("k", F.row_number().over(order)).where(F.col("k") <= k)
 
 
 def top_nodes(nodes: DataFrame, k: int) -> DataFrame:

@@ -27,3 +27,23 @@ def test_conflicts_are_looked_up_without_dealing_the_edges(spark):
     assert "SortMergeJoin" not in plan(flagged)
     assert {(r.src, r.dst) for r in flagged.collect() if r.conflicting} == {("a", "b"), ("b", "a"), ("c", "c")}
     assert flagged.count() == len(rows)
+
+
+def test_a_word_of_all_names_is_ranked_before_it_meets_its_mentions(spark):
+    n = 400
+    nodes = spark.range(n).select(F.concat(F.lit("n"), "id").alias("node_id"), F.concat(F.lit("Thing "), F.lpad(F.col("id").cast("string"), 6, "0")).alias("name"), F.array().cast("array<string>").alias("aliases"), (F.col("id") % 7).alias("times_seen"))
+    names = [(r.node_id, r.name, r.times_seen) for r in nodes.collect()]
+    mentions = [r[1] for r in names[:100]] + ["thing", "a very long mention of thing 000009 and more", "00001", "x"]
+    got = {}
+    for r in qa.match_contains(spark.createDataFrame([(m,) for m in mentions], "mention string"), nodes, 3).collect():
+        got.setdefault(r.mention, {})[r.k] = r.node_id
+    want = {}
+    for m in mentions:
+        low = m.lower()
+        terms = [low, *(w for w in "".join(c if c.isalnum() else " " for c in low).split() if len(w) > 2)]
+        met = [(name.lower() != low, -seen, name, node) for node, name, seen in names if any(t in name.lower() for t in terms)]
+        if met:
+            want[m] = {k + 1: x[3] for k, x in enumerate(sorted(met)[:3])}
+    assert got == want
+    terms = spark.createDataFrame([(f"{i:06d}",) for i in range(n)], "term string")
+    assert qa.term_candidates(terms, nodes.select(F.lower("name").alias("low"))).count() == n
