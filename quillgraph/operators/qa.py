@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillgraph import config
 from quillgraph.functions.checkpoints import broadcast_if_few, checkpointed
+from quillgraph.operators import graph
 
 
 def node_names(nodes: DataFrame) -> DataFrame:
@@ -96,6 +97,23 @@ def both_directions(edges: DataFrame) -> DataFrame:
     return edges.select("*", F.explode(ways).alias("__way")).select(*edges.columns, "__way.at", "__way.to")
 
 
+def edges_at(edges: DataFrame, ends: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """Edges with an end among `ends` (`node_id`) or of one of the `documents` (`doc_id`, whatever its case).
+
+    The reverse of an edge has the same ends, so the conflicts of edges at the ends are all among these.
+    """
+    ends = broadcast_if_few(ends.select("node_id").distinct())
+    held = F.lit(False)
+    for end in ("src", "dst"):
+        edges = edges.join(ends.select(F.col("node_id").alias(f"__{end}")), F.col(end) == F.col(f"__{end}"), "left")
+        held = held | F.col(f"__{end}").isNotNull()
+    if documents is not None:
+        named = broadcast_if_few(documents.select(F.lower("doc_id").alias("__doc")).distinct())
+        edges = edges.join(named, F.lower("doc_id") == F.col("__doc"), "left")
+        held = held | F.col("__doc").isNotNull()
+    return edges.where(held).drop("__src", "__dst", "__doc")
+
+
 def section_weight(sections: Column) -> Column:
     """Mean weight of the weighted sections that are present, else 1."""
     weights = F.filter(F.array(*[F.when(F.array_contains(sections, s), F.lit(w)) for s, w in config.SECTION_WEIGHTS]), lambda x: x.isNotNull())
@@ -161,19 +179,38 @@ def find_paths(pairs: DataFrame, edges: DataFrame, max_hops: int = 2, confidence
     for hops in range(2, max_hops + 1):
         first = forth[-(-hops // 2) - 1].select(F.col("end").alias("start"), "here", F.col("hops").alias("first"))
         rest = back[hops // 2 - 1].select(F.col("end").alias("goal"), "here", F.col("hops").alias("rest"))
+        if short:
+            # Where the halves meet is found in few columns first, so only steps to and from there are dealt out in full.
+            meet = pairs.join(first.select("start", "here").distinct(), "start").join(rest.select("goal", "here").distinct(), ["goal", "here"])
+            meet = broadcast_if_few(meet.select("start", "goal", "here"))
+            first, rest = first.join(meet, ["start", "here"], "left_semi"), rest.join(meet, ["goal", "here"], "left_semi")
         met = pairs.join(first, "start").join(rest, ["goal", "here"]).where(~F.exists("first", lambda h: F.exists("rest", lambda r: r["edge_id"] == h["edge_id"])))
         out = out.unionByName(met.select("start", "goal", F.concat("first", "rest").alias("hops")))
     return out
 
 
-def rank_paths(paths: DataFrame, nodes: DataFrame, k: int = config.PATH_TOP) -> DataFrame:
+def path_conflicts(paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """`edge_id` of conflicting edges at the steps of the paths; only edges between the same two ends are compared.
+
+    `edges` hold all edges between the ends of a step.
+    """
+    low, high = F.least("hop.from", "hop.to").alias("__low"), F.greatest("hop.from", "hop.to").alias("__high")
+    ends = broadcast_if_few(paths.select(F.explode("hops").alias("hop")).select(low, high).distinct())
+    between = edges.join(ends, (F.least("src", "dst") == F.col("__low")) & (F.greatest("src", "dst") == F.col("__high")), "left_semi")
+    return broadcast_if_few(graph.flag_conflicts(checkpointed(between)).where("conflicting").select("edge_id"))
+
+
+def rank_paths(paths: DataFrame, nodes: DataFrame, k: int = config.PATH_TOP, conflicts: DataFrame | None = None) -> DataFrame:
     """Paths of each (start, goal) by score: product of confidences and of the section weights of every hop's ends.
 
-    One path for each set of edges in order; ties go to the latest edge, then to the edges' ids.
+    One path for each set of edges in order; ties go to the latest edge, then to the edges' ids. Edges among `conflicts`
+    (`edge_id`) are conflicting too.
     """
     weights = nodes.select("node_id", section_weight(F.map_keys("sections")).alias("weight"))
     placed = paths.select("start", "goal", "hops", F.concat_ws(",", F.transform("hops", lambda h: h["edge_id"])).alias("signature"))
     hops = placed.select("start", "goal", "signature", F.posexplode("hops").alias("i", "hop")).select("start", "goal", "signature", "i", "hop.*").dropDuplicates(["start", "goal", "signature", "i"])
+    if conflicts is not None:
+        hops = hops.join(conflicts.select("edge_id", F.lit(True).alias("__met")), "edge_id", "left").withColumn("conflicting", F.col("conflicting") | F.coalesce("__met", F.lit(False))).drop("__met")
     w1, w2 = weights.select(F.col("node_id").alias("from"), F.col("weight").alias("w1")), weights.select(F.col("node_id").alias("to"), F.col("weight").alias("w2"))
     scored = hops.join(w1, "from", "left").join(w2, "to", "left")
     factor = F.struct("i", (F.col("confidence") * F.coalesce("w1", F.lit(1.0)) * F.coalesce("w2", F.lit(1.0))).alias("f"))
@@ -420,7 +457,7 @@ def evidence_prompt(questions: DataFrame, paths: DataFrame, near: DataFrame) ->
     return rows.select("question_id", F.coalesce("documents", F.array().cast("array<string>")).alias("documents"), prompt.alias("prompt"))
 
 
-def ask(questions: DataFrame, nodes: DataFrame, edges: DataFrame, vectors: DataFrame, max_hops: int = 2, k: int = config.PATH_TOP) -> DataFrame:
+def ask(questions: DataFrame, nodes: DataFrame, edges: DataFrame, vectors: DataFrame, max_hops: int = 2, k: int = config.PATH_TOP, flag: bool = False) -> DataFrame:
     """`question_id, intent, mode, summary, documents, prompt` for a whole table of questions `question_id, text`.
 
     Mentions are resolved to nodes; each two mentions' candidates are joined by ranked paths, the best k of a question
@@ -428,6 +465,7 @@ def ask(questions: DataFrame, nodes: DataFrame, edges: DataFrame, vectors: DataF
     (entity), all candidates (cluster) or of the documents named (paper). Edges have `edge_id, src, dst, relation, confidence,
     created_at, doc_id, conflicting, citation, sentence`; nodes `node_id, name, aliases, times_seen, sections`; vectors as
     in `resolve_mentions`. The edges that can count, candidates and the chosen evidence are each made once and read by what follows.
+    With `flag` the conflicts of the trails' edges are looked up here, so `edges` need not come with all conflicts flagged.
     """
     intents = checkpointed(classify_intent(questions))
     mentions = question_mentions(questions)
@@ -438,16 +476,13 @@ def ask(questions: DataFrame, nodes: DataFrame, edges: DataFrame, vectors: DataF
     of_papers = intents.where("intent = 'paper_summary'").select("question_id", F.explode("documents").alias("doc_id"))
     if max_hops <= 2:
         # Whatever is shown is at a candidate or in a document that is named.
-        ends = broadcast_if_few(candidates.select("node_id").distinct())
-        named = broadcast_if_few(of_papers.select(F.lower("doc_id").alias("__doc")).distinct())
-        for end in ("src", "dst"):
-            edges = edges.join(ends.select(F.col("node_id").alias(f"__{end}")), F.col(end) == F.col(f"__{end}"), "left")
-        edges = edges.join(named, F.lower("doc_id") == F.col("__doc"), "left").where("__src is not null or __dst is not null or __doc is not null").drop("__src", "__dst", "__doc")
+        edges = edges_at(edges, candidates, of_papers)
     edges = checkpointed(edges)
     one, two = candidates.select("question_id", "pos", F.col("node_id").alias("start")), candidates.select("question_id", F.col("pos").alias("later"), F.col("node_id").alias("goal"))
     pairs = checkpointed(one.join(two, "question_id").where("pos < later and start <> goal").select("question_id", "start", "goal").distinct())
     found = checkpointed(find_paths(pairs.select("start", "goal"), edges, max_hops))
-    ranked = pairs.join(rank_paths(found, nodes, k), ["start", "goal"]).dropDuplicates(["question_id", "signature"])
+    conflicts = path_conflicts(found, edges) if flag else None
+    ranked = pairs.join(rank_paths(found, nodes, k, conflicts), ["start", "goal"]).dropDuplicates(["question_id", "signature"])
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), F.desc("latest"), "signature")
     ranked = ranked.withColumn("k", F.row_number().over(order)).where(F.col("k") <= k)
     named = nodes.select("node_id", "name")
@@ -460,7 +495,10 @@ def ask(questions: DataFrame, nodes: DataFrame, edges: DataFrame, vectors: DataF
         return full.withColumns({"src_name": F.coalesce("src_name", "src"), "dst_name": F.coalesce("dst_name", "dst")}).drop("src", "dst")
 
     steps = ranked.select("question_id", "k", F.posexplode(F.split("signature", ",")).alias("i", "edge_id"))
-    steps = checkpointed(told(steps))
+    steps = told(steps)
+    if conflicts is not None:
+        steps = steps.join(conflicts.select("edge_id", F.lit(True).alias("__met")), "edge_id", "left").withColumn("conflicting", F.col("conflicting") | F.coalesce("__met", F.lit(False))).drop("__met")
+    steps = checkpointed(steps)
     without = candidates.join(steps.select("question_id").distinct(), "question_id", "left_anti")
     near = checkpointed(told(fallback_neighbours(without, edges, k).select("question_id", "k", "edge_id")))
     first = Window.partitionBy("question_id").orderBy(F.desc("similarity"), "pos", "k")

@@ -150,10 +150,23 @@ def _pairs(spark, sf):
     return tables.read(spark, sf, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("start"), F.concat(F.lit("c"), F.col("s_suppkey").cast("string")).alias("goal"))
 
 
-def _ranked(spark, sf):
-    edges = graph.flag_conflicts(_edges(spark, sf))
-    paths = qa.find_paths(_pairs(spark, sf), edges, max_hops=2)
-    return qa.rank_paths(paths, _nodes(spark, sf))
+def _edges_at(spark, sf, ends, columns=("confidence", "created_at")):
+    """Edges at the ends (`node_id`), made once; the ids are put together from the keys, not stored."""
+    kept = qa.edges_at(graph.upsert_edges(None, _staged_edges(spark, sf)).select(*graph.EDGE_KEY, *columns), ends)
+    return checkpointed(kept).withColumn("edge_id", F.concat_ws("|", *graph.EDGE_KEY))
+
+
+def _pair_edges(spark, sf):
+    """Edges at the ends of the pairs."""
+    pairs = _pairs(spark, sf)
+    ends = pairs.select(F.col("start").alias("node_id")).unionByName(pairs.select(F.col("goal").alias("node_id")))
+    return _edges_at(spark, sf, ends)
+
+
+def _ranked(spark, sf, edges):
+    """Ranked paths of the pairs over the edges at their ends; conflicts are looked up for the paths' edges alone."""
+    paths = checkpointed(qa.find_paths(_pairs(spark, sf), edges.withColumn("conflicting", F.lit(False)), max_hops=2))
+    return qa.rank_paths(paths, _nodes(spark, sf), conflicts=qa.path_conflicts(paths, edges))
 
 
 def find_paths(spark, sf):
@@ -177,7 +190,7 @@ def contains_customers(spark, sf):
 
 
 def rank_paths(spark, sf):
-    return _ranked(spark, sf).select("start", "goal", "signature", "score", "n_hops", "conflicting", "k")
+    return _ranked(spark, sf, _pair_edges(spark, sf)).select("start", "goal", "signature", "score", "n_hops", "conflicting", "k")
 
 
 def _asked(spark, sf):
@@ -222,14 +235,16 @@ def question_mentions(spark, sf):
 
 
 def answer_table(spark, sf):
-    ranked = _ranked(spark, sf).withColumn("question_id", F.substring("start", 2, 20).cast("long"))
-    near = qa.fallback_neighbours(_asked(spark, sf), _edges(spark, sf))
+    edges = _pair_edges(spark, sf)
+    ranked = _ranked(spark, sf, edges).withColumn("question_id", F.substring("start", 2, 20).cast("long"))
+    near = qa.fallback_neighbours(_asked(spark, sf), edges)
     return qa.answer_table(_asked(spark, sf), ranked, near)
 
 
 def answers(spark, sf):
     """A question for each supplier, of every intent; edges at the supplier stand for its paths of one step."""
-    asked, edges = _asked(spark, sf), checkpointed(_edges(spark, sf))
+    asked = _asked(spark, sf)
+    edges = _edges_at(spark, sf, asked)
     intent = F.get(F.array(*map(F.lit, ("paper_summary", "entity_summary", "cluster_summary", "factoid", "factoid"))), (F.col("question_id") % 5).cast("int"))
     questions = asked.select("question_id", intent.alias("intent"), F.array(F.col("question_id").cast("string"), F.lit("b")).alias("documents"))
     nodes = tables.graph_nodes(spark, sf)
@@ -252,10 +267,10 @@ def ask(spark, sf):
     number = (F.col("conv_id") % F.col("n") + F.col("least")).cast("string")
     questions = first.crossJoin(F.broadcast(n)).select(F.col("conv_id").alias("question_id"), F.concat(F.lower(F.substring("text", 1, 20)), F.lit(" How do S"), number, F.lit(" and C"), number, F.lit(" fit?")).alias("text"))
     nodes = _nodes(spark, sf).withColumns({"name": F.upper("node_id"), "aliases": F.array().cast("array<string>")})
-    edges = graph.flag_conflicts(_edges(spark, sf)).withColumns({"citation": F.col("evidence"), "sentence": F.col("verbatim")})
+    edges = _edges(spark, sf).withColumns({"citation": F.col("evidence"), "sentence": F.col("verbatim")})
     words = questions.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Z][A-Za-z0-9]+"), F.lit(0))).alias("text")).distinct()
     vectors = words.withColumn("vector", canonical.hash_embedding(F.col("text")))
-    out = qa.ask(questions, nodes, edges, vectors)
+    out = qa.ask(questions, nodes, edges, vectors, flag=True)
     return out.select("question_id", "intent", "mode", "summary", F.concat_ws("|", "documents").alias("documents"), "prompt")
 
 

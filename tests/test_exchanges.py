@@ -47,3 +47,38 @@ def test_a_word_of_all_names_is_ranked_before_it_meets_its_mentions(spark):
     assert got == want
     terms = spark.createDataFrame([(f"{i:06d}",) for i in range(n)], "term string")
     assert qa.term_candidates(terms, nodes.select(F.lower("name").alias("low"))).count() == n
+
+
+def stored(monkeypatch, *modules):
+    """Columns of what the modules write to checkpoints, as they write it."""
+    seen = []
+    for m in modules:
+        before = m.checkpointed
+        monkeypatch.setattr(m, "checkpointed", lambda df, before=before: seen.append(df.columns) or before(df))
+    return seen
+
+
+def test_answers_store_the_edges_at_their_ends_in_few_columns(spark, sf, monkeypatch):
+    seen = stored(monkeypatch, graph_queries)
+    graph_queries.answers(spark, sf)
+    assert seen and all("attributes" not in c and "edge_id" not in c for c in seen)
+
+
+def test_conflicts_are_looked_up_for_the_edges_of_paths(spark, sf, monkeypatch):
+    rows = [("s", "p", "uses", "1"), ("p", "s", "uses", "2"), ("p", "c", "uses", "3"), ("x", "y", "uses", "4"), ("y", "x", "uses", "5")]
+    edges = spark.createDataFrame(rows, "src string, dst string, relation string, doc_id string")
+    edges = edges.selectExpr("*", "doc_id edge_id", "0.9D confidence", "timestamp'2020-01-01' created_at", "false conflicting")
+    pairs = spark.createDataFrame([("s", "c")], "start string, goal string")
+    near = qa.edges_at(edges, pairs.selectExpr("start node_id").unionAll(pairs.selectExpr("goal")))
+    assert {r.edge_id for r in near.collect()} == {"1", "2", "3"}
+    paths = qa.find_paths(pairs, edges, 2)
+    conflicts = qa.path_conflicts(paths, edges)
+    assert {r.edge_id for r in conflicts.collect()} == {"1", "2"}
+    nodes = spark.createDataFrame([], "node_id string, sections map<string,long>")
+    got = {(r.signature, r.conflicting) for r in qa.rank_paths(paths, nodes, conflicts=conflicts).collect()}
+    assert got == {("1,3", True), ("2,3", True)}
+    flagged = []
+    before = graph.flag_conflicts
+    monkeypatch.setattr(graph, "flag_conflicts", lambda e: flagged.append(e.count()) or before(e))
+    graph_queries.answer_table(spark, sf)
+    assert flagged == [flagged[0]] and flagged[0] * 10 < graph_queries.upsert_edges(spark, sf).count()
