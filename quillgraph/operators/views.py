@@ -25,6 +25,7 @@ def graph_view(edges: DataFrame, confidence: float = 0.5, relations: Sequence[st
     a section filter that no edge passes is dropped. `papers` are those asked for, `access` those that the
     user may see (`doc_id`). Filters come before the limit.
     """
+    order = [F.desc("confidence"), F.desc("created_at"), F.col("edge_id")]
     kept = edges.where(F.col("confidence") >= confidence)
     if relations:
         kept = kept.where(F.col("relation").isin(*relations))
@@ -40,12 +41,14 @@ def graph_view(edges: DataFrame, confidence: float = 0.5, relations: Sequence[st
                 own = nodes.select(F.col("node_id").alias(end), F.map_keys("sections").alias(f"__{end}"))
                 kept = kept.join(own, end, "left")
                 passes = passes | F.coalesce(F.arrays_overlap(F.col(f"__{end}"), F.array(*map(F.lit, sections))), F.lit(False))
-        # One row says whether any edge passes; it decides for all.
-        found = kept.agg(F.coalesce(F.max(passes.cast("int")), F.lit(0)).alias("__any"))
-        kept = kept.crossJoin(F.broadcast(found)).where((F.col("__any") == 0) | passes).drop("__any", "__src", "__dst")
+        # Edges that pass come first, so the first `limit` say whether there is one; it decides for all.
+        first = kept.withColumn("__passes", passes.cast("int")).drop("__src", "__dst").orderBy(F.desc("__passes"), *order).limit(limit)
+        some = first.withColumn("__any", F.max("__passes").over(Window.partitionBy()))
+        top = some.where(F.col("__passes") == F.col("__any")).drop("__passes", "__any")
+    else:
+        top = kept.orderBy(*order).limit(limit)
     # The limit comes before the numbering, so one task numbers `limit` rows at most.
-    top = kept.orderBy(F.desc("confidence"), F.desc("created_at"), "edge_id").limit(limit)
-    return top.withColumn("k", F.row_number().over(Window.orderBy(F.desc("confidence"), F.desc("created_at"), "edge_id")))
+    return top.withColumn("k", F.row_number().over(Window.orderBy(*order)))
 
 
 def view_nodes(view: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quillgraph.operators import graph, qa
+from quillgraph.operators import graph, qa, views
 from quillgraph.plans import graph_queries
 
 
@@ -82,3 +82,13 @@ def test_conflicts_are_looked_up_for_the_edges_of_paths(spark, sf, monkeypatch):
     monkeypatch.setattr(graph, "flag_conflicts", lambda e: flagged.append(e.count()) or before(e))
     graph_queries.answer_table(spark, sf)
     assert flagged == [flagged[0]] and flagged[0] * 10 < graph_queries.upsert_edges(spark, sf).count()
+
+
+def test_a_view_reads_its_edges_once(spark, sf):
+    plan_of = plan(graph_queries.accessible_view(spark, sf))
+    assert plan_of.split("+- == Initial Plan ==")[-1].count("lineitem.parquet") == 1
+    edges = spark.createDataFrame([("1", "a", 0.9), ("2", "b", 0.8), ("3", "b", 0.95)], "edge_id string, section string, confidence double").selectExpr("*", "'u' src", "'v' dst", "timestamp'2020-01-01' created_at")
+    assert [r.edge_id for r in views.graph_view(edges, sections=("b",), limit=1).orderBy("k").collect()] == ["3"]
+    assert [r.edge_id for r in views.graph_view(edges, sections=("a",), limit=2).orderBy("k").collect()] == ["1"]
+    assert [r.edge_id for r in views.graph_view(edges, sections=("zz",), limit=2).orderBy("k").collect()] == ["3", "1"]
+    assert views.graph_view(edges.where("false"), sections=("a",)).count() == 0
