@@ -19,10 +19,15 @@ NODE_NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"
 
 
 def aggregate_entities(mentions: DataFrame) -> DataFrame:
-    """`name, type, times_seen, docs, sections` by exact name: counts of sections, most voted type (then the greatest name)."""
-    types = mentions.groupBy("name", "type").agg(F.count("*").alias("votes")).groupBy("name").agg(F.max_by("type", F.struct("votes", "type")).alias("type"))
-    sections = mentions.groupBy("name", "section").agg(F.count("*").alias("n")).groupBy("name").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("section", "n")))).alias("sections"))
-    base = mentions.groupBy("name").agg(F.sum(F.greatest("times_seen", F.lit(0))).alias("seen"), F.array_sort(F.collect_set("doc_id")).alias("docs"))
+    """`name, type, times_seen, docs, sections` by exact name: counts of sections, most voted type (then the greatest name).
+
+    Mentions may be dear to make: they are counted once, by all that is grouped by.
+    """
+    counted = mentions.groupBy("name", "type", "section", "doc_id").agg(F.count("*").alias("n"), F.sum(F.greatest("times_seen", F.lit(0))).alias("seen"))
+    counted = checkpointed(counted)
+    types = counted.groupBy("name", "type").agg(F.sum("n").alias("votes")).groupBy("name").agg(F.max_by("type", F.struct("votes", "type")).alias("type"))
+    sections = counted.groupBy("name", "section").agg(F.sum("n").alias("n")).groupBy("name").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("section", "n")))).alias("sections"))
+    base = counted.groupBy("name").agg(F.sum("seen").alias("seen"), F.array_sort(F.collect_set("doc_id")).alias("docs"))
     joined = base.join(types, "name").join(sections, "name")
     return joined.select("name", F.coalesce("type", F.lit("Unknown")).alias("type"), F.when(F.col("seen") > 0, F.col("seen")).otherwise(F.size("docs").cast("long")).alias("times_seen"), "docs", "sections")
 

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from quillgraph import config
 
 
-def sentences(elements: DataFrame) -> DataFrame:
-    """`doc_id, element_id, section, sent_no, sentence, start`: pieces up to . ! or ?, trimmed, with their offset in the element."""
+def sentences(elements: DataFrame, *more: str) -> DataFrame:
+    """`doc_id, element_id, section, sent_no, sentence, start` (and the columns `more`): pieces up to . ! or ?, trimmed, with their offset in the element."""
     pieces = F.regexp_extract_all("content", F.lit(r"[.!?]*[^.!?]+[.!?]?"), F.lit(0))
-    rows = elements.select("doc_id", "element_id", "section", F.posexplode(pieces).alias("piece_no", "piece"))
+    rows = elements.select("doc_id", "element_id", "section", *more, F.posexplode(pieces).alias("piece_no", "piece"))
     before = Window.partitionBy("doc_id", "element_id").orderBy("piece_no").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("piece_start", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)))
     bare = rows.withColumn("bare", F.regexp_replace("piece", r"^[.!?]+", ""))
@@ -22,6 +22,7 @@ def sentences(elements: DataFrame) -> DataFrame:
         F.col("piece_no").alias("sent_no"),
         F.trim("bare").alias("sentence"),
         (F.col("piece_start") + F.length("piece") - F.length(F.ltrim("bare"))).cast("long").alias("start"),
+        *more,
     )
     return kept.where("sentence <> ''")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph import config
+from quillgraph.functions.checkpoints import checkpointed
 
 
 def level(value: Column, bars: tuple[float, float], higher: bool = True) -> Column:
@@ -199,11 +200,14 @@ def recent_errors(errors: DataFrame, n: int = 50) -> DataFrame:
 
 def graph_quality(edges: DataFrame, nodes: DataFrame, rejections: DataFrame) -> DataFrame:
     """`kind, name, value`: edges per node, share of each rejection reason, top 10 relations by documents (ties by name)."""
-    per_node = edges.agg(F.count("*").alias("e")).crossJoin(nodes.agg(F.count("*").alias("n"))).select(F.lit("edges_per_node").alias("kind"), F.lit("all").alias("name"), F.round(F.col("e") / F.col("n"), 6).alias("value"))
-    counted = rejections.where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
+    # Edges and rejections may be dear to make: each is read once, into a row for each relation and each reason.
+    documents = edges.groupBy("relation", "doc_id").agg(F.count("*").alias("e"))
+    relations = checkpointed(documents.groupBy("relation").agg(F.count("doc_id").alias("n"), F.sum("e").alias("e")))
+    per_node = relations.agg(F.coalesce(F.sum("e"), F.lit(0)).alias("e")).crossJoin(nodes.agg(F.count("*").alias("n"))).select(F.lit("edges_per_node").alias("kind"), F.lit("all").alias("name"), F.round(F.col("e") / F.col("n"), 6).alias("value"))
+    counted = checkpointed(rejections.where("reason is not null").groupBy("reason").agg(F.count("*").alias("n")))
     total = counted.agg(F.sum("n").alias("all"))
     shares = counted.crossJoin(F.broadcast(total)).select(F.lit("rejection").alias("kind"), F.col("reason").alias("name"), F.round(F.col("n") / F.col("all"), 6).alias("value"))
-    top = edges.groupBy("relation").agg(F.countDistinct("doc_id").alias("n")).orderBy(F.desc("n"), "relation").limit(10).select(F.lit("relation").alias("kind"), F.col("relation").alias("name"), F.col("n").cast("double").alias("value"))
+    top = relations.orderBy(F.desc("n"), "relation").limit(10).select(F.lit("relation").alias("kind"), F.col("relation").alias("name"), F.col("n").cast("double").alias("value"))
     return per_node.unionByName(shares).unionByName(top)
 
 

@@ -53,10 +53,10 @@ def response_status(spark, sf):
 
 def _triples(spark, sf):
     """First and last capitalised word of each sentence; relation, type and confidence by document."""
-    s = comention.sentences(_elements(spark, sf))
+    s = comention.sentences(_elements(spark, sf), "content")
     caps = s.withColumn("caps", tables.capitalised(F.col("sentence"))).where(F.size("caps") >= 1).withColumn("d", F.col("doc_id").cast("int"))
     pick = F.get(F.array(*[F.lit(p) for p in PHRASES]), F.col("d") % len(PHRASES))
-    return caps.join(_elements(spark, sf).select("element_id", "content"), "element_id").select(
+    return caps.select(
         "doc_id", "element_id", "section", "sent_no", "content", "sentence", F.get("caps", 0).alias("subject"), F.element_at("caps", -1).alias("object"), pick.alias("relation_text"),
         F.when(F.col("d") % 9 == 0, None).otherwise("Method").alias("subject_type"), F.when(F.col("d") % 11 == 0, None).otherwise("Task").alias("object_type"), (F.col("d") * 37 % 120 / 100).alias("confidence"), F.lit("none").alias("decision"),
     )
