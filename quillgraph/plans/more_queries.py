@@ -58,7 +58,7 @@ def resolve_entity_types(spark, sf):
 
 def link_spans(spark, sf):
     """Part names with one letter in the middle changed, sought in a sentence; every seventh is nothing like it."""
-    p = tables.read(spark, sf, "part").select("p_partkey", "p_name", F.length("p_name").alias("n"))
+    p = tables.dealt(tables.read(spark, sf, "part").select("p_partkey", "p_name", F.length("p_name").alias("n")), "p_partkey")
     half = (F.col("n") / 2).cast("int")
     changed = F.concat(F.substring(F.upper("p_name"), F.lit(1), half), F.lit("#"), F.substring(F.upper("p_name"), half + 2, F.col("n")))
     target = F.when(F.col("p_partkey") % 7 == 0, "0123456789").when(F.col("p_partkey") % 5 == 0, F.col("p_name")).otherwise(changed)

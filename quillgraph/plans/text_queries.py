@@ -102,9 +102,10 @@ def abbreviation_pairs(spark, sf):
 
 def inventory(spark, sf):
     """Annotations of parts: an entity, a noun phrase said twice, one said once, a pronoun, a lone letter, a word that isn't there."""
-    p = tables.read(spark, sf, "part").select(F.col("p_partkey").alias("element_id"), F.concat(F.lit("so "), F.lower("p_name"), F.lit(" of "), F.lower("p_type"), F.lit("; beta-cell unit (BCU), it is in z")).alias("content"))
+    parts = tables.dealt(tables.read(spark, sf, "part").select(F.col("p_partkey").alias("element_id"), "p_name", "p_type"), "element_id")
+    p = parts.select("element_id", F.concat(F.lit("so "), F.lower("p_name"), F.lit(" of "), F.lower("p_type"), F.lit("; beta-cell unit (BCU), it is in z")).alias("content"))
     rows = F.array(*[F.struct(F.lit(m).alias("mention"), F.lit(k).alias("kind")) for m, k in (("so", "proper"), ("is in", "noun"), ("IS in", "noun"), ("of", "noun"), ("it", "entity"), ("z", "entity"), ("quite absent", "entity"), (" unit ", "entity"))])
-    spans = tables.read(spark, sf, "part").select(F.col("p_partkey").alias("element_id"), F.explode(rows).alias("r")).select("element_id", "r.*")
+    spans = parts.select("element_id", F.explode(rows).alias("r")).select("element_id", "r.*")
     return routing.candidate_mentions(p, ("beta",), spans=spans, specialised=True)
 
 

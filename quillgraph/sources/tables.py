@@ -39,8 +39,14 @@ def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-#: Line items of one task.
-TASK_LINES = 500_000
+#: Line items of one task, and rows of one task where each is dear.
+TASK_LINES, TASK_ROWS = 500_000, 20_000
+
+
+def dealt(rows: DataFrame, key: str, most: int = TASK_ROWS) -> DataFrame:
+    """The rows dealt out by a key; the number of tasks follows the rows, as a small file of many rows would be one task."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // most))
+    return rows.repartition(tasks, key)
 
 
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
