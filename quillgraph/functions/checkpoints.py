@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of keys that are sent to every task instead of dealing out the table that they are looked up in.
@@ -34,6 +35,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder's name in the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, key: str, slab: Column) -> DataFrame:
+    """The same rows as a table in the shared checkpoint folder, dealt by slab and sorted by key, so that a range of keys reads little of it."""
+    path = scratch(df.sparkSession)
+    df.repartition(slab).sortWithinPartitions(key).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_few(keys: DataFrame) -> DataFrame:
     """The same keys, made once and counted; up to FEW of them are broadcast in joins."""
     keys = checkpointed(keys)

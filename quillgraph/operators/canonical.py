@@ -11,10 +11,8 @@ from quillgraph.functions.checkpoints import checkpointed
 from quillgraph.functions.components import connected_components
 from quillgraph.functions.text import nfkc
 from quillgraph.operators import clustering
-from quillgraph.operators.clustering import cluster_entities
+from quillgraph.operators.clustering import BLOCK_COSINE, cluster_entities
 
-#: Members of one cluster are linked by pairs at least this near: the square of the merge threshold.
-BLOCK_COSINE = config.MERGE_BASE**2
 NODE_NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"
 
 
@@ -105,9 +103,8 @@ def merge_blocks(entities: DataFrame, least: float = BLOCK_COSINE, pairs: DataFr
 
 
 def resolve_entities(entities: DataFrame, most: int = clustering.GIANT_BLOCK) -> DataFrame:
-    """`name, cluster` from `name, type, times_seen, sections, vector` (unit vectors, unique names): near pairs, blocks, greedy clusters."""
-    pairs = checkpointed(near_pairs(entities))
-    return cluster_entities(name_features(entities), merge_blocks(entities, pairs=pairs), pairs, most)
+    """`name, cluster` from `name, type, times_seen, sections, vector` (unit vectors, unique names): blocks, greedy clusters."""
+    return cluster_entities(name_features(entities), merge_blocks(entities), most)
 
 
 def giant_blocks(blocks: DataFrame, most: int = clustering.GIANT_BLOCK) -> DataFrame:

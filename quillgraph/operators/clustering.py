@@ -4,10 +4,10 @@ The greedy pass takes entities in a fixed order (most seen first, then by name);
 that the gate lets it into, or founds one. Only clusters with a member at least BLOCK_COSINE near can
 take an entity, so entities and clusters that aren't connected by such pairs don't depend on each other.
 
-A block of a bearable size is one pass. Giant blocks are decided in rounds: the next entities in the order, the
-clusters they are near to, and the near pairs among these fall into components, and each component is
-one pass in one task. A cluster goes on as one row: its distinct names, types, section counts and vector
-sum. How far a round reaches follows from the components: it is halved while one is too large.
+A block of a bearable size is one pass. Giant blocks are decided in rounds: the next entities in the order and the
+clusters they are near to, which are one pass in one task. Where the near pairs among these fall into small
+components a round reaches farther, and each component is one pass. A cluster goes on as one row: its distinct
+names, types, section counts and vector sum.
 """
 
 from __future__ import annotations
@@ -18,15 +18,20 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph import config
-from quillgraph.functions.checkpoints import checkpointed
+from quillgraph.functions.checkpoints import checkpointed, scratch, stored
 from quillgraph.functions.components import connected_components
+from quillgraph.functions.vectors import similarity_join
 
 #: Entities that one task decides.
 GIANT_BLOCK = 20_000
+#: How much farther a round is tried to reach at a time.
+WIDER = 4
+#: Members of one cluster are linked by pairs at least this near: the square of the merge threshold.
+BLOCK_COSINE = config.MERGE_BASE**2
 FEATURES = ["name", "type", "times_seen", "sections", "normalised", "tokens", "letters", "initials", "sentence_like", "blocked", "polysemous", "vector"]
 
 
@@ -178,41 +183,69 @@ def _round(component: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(decided, columns=columns, dtype=object)
 
 
-def _giant_blocks(entities: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
-    """`no, founder` of entities whose blocks are too large for one task, in rounds over components.
+def _giant_blocks(entities: DataFrame, most: int) -> DataFrame:
+    """`no, founder` of entities whose blocks are too large for one task, in rounds.
 
-    `pairs` are `a, b` with a < b, the places of entities at least BLOCK_COSINE near.
+    Entities and near pairs lie in tables ordered by place, so a round reads its own; what rounds decide is appended to one
+    table. A round's joins broadcast nothing, as the rounds are many and the driver would hold the broadcasts of all.
     """
     spark = entities.sparkSession
-    entities, pairs = checkpointed(entities.select("no", *FEATURES)), checkpointed(pairs.select("a", "b"))
     order = sequence_positions(entities)
     total = order.agg(F.max("at")).first()[0]
-    decided = spark.createDataFrame([], "no long, founder long")
+    if total is None:
+        return spark.createDataFrame([], "no long, founder long")
+    slab = lambda c: F.floor(F.col(c) / most)
+    placed = stored(entities.select("no", *FEATURES).join(order, "no").drop("no").withColumnRenamed("at", "no"), "no", slab("no"))
+    ids = placed.select(F.col("no").alias("id"), "vector")
+    near = similarity_join(ids.withColumnRenamed("id", "query_id"), ids, BLOCK_COSINE).where("id < query_id")
+    pairs = stored(near.select(F.col("id").alias("a"), F.col("query_id").alias("b")), "b", slab("b"))
+    log = scratch(spark)
+    schema = f"no long, {_STATE}, round int"
+    spark.createDataFrame([], schema).write.parquet(log)
     states = spark.createDataFrame([], _STATE)
-    done, reach = 0, most
-    while total is not None and done <= total:
-        while True:
-            batch = order.where((F.col("at") >= done) & (F.col("at") < done + reach)).select("no")
-            inner = pairs.join(batch.withColumnRenamed("no", "b"), "b", "left_semi")
-            # An earlier end is in the batch or decided; a decided one stands for its cluster, by the founder's place.
-            ends = inner.join(decided, inner["a"] == decided["no"], "left").select(F.coalesce("founder", "a").alias("a"), "b")
-            labels = checkpointed(connected_components(ends, "a", "b"))
-            parts = batch.join(labels, batch["no"] == labels["node"], "left").select("no", F.coalesce("label", "no").alias("component"))
-            largest = parts.groupBy("component").count().agg(F.max("count")).first()[0] or 0
-            if largest <= most or reach == 1:
-                break
-            reach = max(1, reach // 2)
-        rows = entities.join(parts, "no").select("component", "no", *FEATURES)
-        held = states.join(labels, states["founder"] == labels["node"]).select(F.col("label").alias("component"), *states.columns)
-        met = rows.unionByName(held, allowMissingColumns=True)
-        out = checkpointed(met.groupBy("component").applyInPandas(_round, f"no long, {_STATE}"))
-        decided = checkpointed(decided.unionByName(out.where("no is not null").select("no", "founder")))
-        fresh = out.where("no is null").drop("no")
-        states = checkpointed(states.join(fresh.select("founder"), "founder", "left_anti").select(*fresh.columns).unionByName(fresh))
-        done += reach
-        if largest * 4 <= most:
-            reach *= 4
-    return decided
+
+    def within(column: str, reach: int) -> Column:
+        return (F.col(column) >= done) & (F.col(column) < done + reach)
+
+    def ends(reach: int) -> DataFrame:
+        """Near pairs of the round; a decided end stands for its cluster, by the founder's place."""
+        inner, decided = pairs.where(within("b", reach)), spark.read.schema(schema).parquet(log).where("no is not null").select("no", "founder")
+        return inner.join(decided.hint("merge"), inner["a"] == decided["no"], "left").select(F.coalesce("founder", "a").alias("a"), "b")
+
+    # Up to `most` entities are one task whatever is near to what. Rounds that reach farther need components; they are tried
+    # first, and after a vain trial again in twice as many rounds.
+    done, reach, number, wait, pause = 0, most, 0, 0, 1
+    while done <= total:
+        labels, largest = None, most
+        if reach > most or wait == 0:
+            reach = max(reach, WIDER * most)
+            while reach > most:
+                labels = checkpointed(connected_components(ends(reach), "a", "b"))
+                parts = placed.where(within("no", reach)).select("no").join(labels.hint("merge"), F.col("no") == F.col("node"), "left").select("no", F.coalesce("label", "no").alias("component"))
+                largest = parts.groupBy("component").count().agg(F.max("count")).first()[0]
+                if largest <= most:
+                    break
+                reach, labels = max(most, reach // WIDER), None
+            wait, pause = (0, 1) if labels is not None else (pause, 2 * pause)
+        else:
+            wait -= 1
+        rows = placed.where(within("no", reach))
+        if labels is None:
+            met = ends(reach).select(F.col("a").alias("founder")).distinct()
+            rows, held = rows.withColumn("component", F.lit(0).cast("long")), states.join(met.hint("merge"), "founder", "left_semi").withColumn("component", F.lit(0).cast("long"))
+        else:
+            rows = rows.join(parts.hint("merge"), "no")
+            held = states.join(labels.hint("merge"), states["founder"] == labels["node"]).select(F.col("label").alias("component"), *states.columns)
+        out = rows.unionByName(held, allowMissingColumns=True).groupBy("component").applyInPandas(_round, f"no long, {_STATE}")
+        out.withColumn("round", F.lit(number)).write.mode("append").parquet(log)
+        fresh = spark.read.schema(schema).parquet(log).where((F.col("round") == number) & F.col("no").isNull()).drop("no", "round")
+        states = checkpointed(states.join(fresh.select("founder").hint("merge"), "founder", "left_anti").select(*fresh.columns).unionByName(fresh))
+        done, number = done + reach, number + 1
+        if labels is not None and largest * WIDER <= most:
+            reach *= WIDER
+    decided = spark.read.schema(schema).parquet(log).where("no is not null").select("no", "founder")
+    founders = order.select(F.col("at").alias("founder"), F.col("no").alias("by"))
+    return decided.withColumnRenamed("no", "at").join(order, "at").join(founders, "founder").select("no", F.col("by").alias("founder"))
 
 
 def sequence_positions(rows: DataFrame) -> DataFrame:
@@ -227,24 +260,16 @@ def sequence_positions(rows: DataFrame) -> DataFrame:
     return marked.select("no", (base + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).cast("long").alias("at"))
 
 
-def cluster_entities(entities: DataFrame, blocks: DataFrame, pairs: DataFrame | None = None, most: int = GIANT_BLOCK) -> DataFrame:
+def cluster_entities(entities: DataFrame, blocks: DataFrame, most: int = GIANT_BLOCK) -> DataFrame:
     """`name, cluster` from featured entities with unit vectors and `name, block`; names are unique.
 
     Blocks must keep together whatever is near by vector (a cosine of BLOCK_COSINE and more); the result doesn't
-    depend on them otherwise. Blocks of over `most` entities are decided in rounds and need `pairs`, the near
-    pairs `a, b` of names; without them they are one pass each. A cluster is called by its founder's name.
+    depend on them otherwise. Blocks of over `most` entities are decided in rounds, for which the near pairs of
+    their own entities are made. A cluster is called by its founder's name.
     """
     numbered = checkpointed(sequence_number(entities.join(blocks, "name")))
-    if pairs is None:
-        owners = _small_blocks(numbered)
-    else:
-        giant = numbered.groupBy("block").count().where(F.col("count") > most).select("block")
-        owners = _small_blocks(numbered.join(giant, "block", "left_anti"))
-        large = numbered.join(giant, "block", "left_semi")
-        # Only names of giant blocks are looked up; either end of a pair is in the same block.
-        place = large.select("name", "no")
-        known = pairs.join(place.select(F.col("name").alias("a"), F.col("no").alias("x")), "a").join(place.select(F.col("name").alias("b"), F.col("no").alias("y")), "b")
-        near = known.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        owners = owners.unionByName(_giant_blocks(large, near, most))
+    giant = numbered.groupBy("block").count().where(F.col("count") > most).select("block")
+    owners = _small_blocks(numbered.join(giant, "block", "left_anti"))
+    owners = owners.unionByName(_giant_blocks(checkpointed(numbered.join(giant, "block", "left_semi")), most))
     founders = numbered.select(F.col("no").alias("founder"), F.col("name").alias("cluster"))
     return numbered.select("no", "name").join(owners, "no").join(founders, "founder").select("name", "cluster")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillgraph import config
 from quillgraph.functions import vectors
+from quillgraph.functions.components import connected_components
 from quillgraph.operators import canonical, clustering
 from quillgraph.plans import more_queries
 
@@ -154,6 +155,50 @@ def test_rounds_equal_the_sequential_pass(spark, most):
     assert 20 < len(set(want.values())) < len(rows)
 
 
+def _counted(monkeypatch):
+    """One item for each time that a round looks for components."""
+    calls = []
+
+    def counted(edges, a, b):
+        calls.append(1)
+        return connected_components(edges, a, b)
+
+    monkeypatch.setattr(clustering, "connected_components", counted)
+    return calls
+
+
+_ENTITY = "name string, type string, times_seen int, sections map<string,int>, vector array<double>"
+
+
+def test_rounds_of_a_dense_block_look_for_components_a_few_times_only(spark, monkeypatch):
+    gen = np.random.default_rng(3)
+    a = gen.normal(size=(160, 3))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    table = spark.createDataFrame([(f"graph {i}", "T", i % 5 + 1, {"R": 1}, v.tolist()) for i, v in enumerate(a)], _ENTITY)
+    calls = _counted(monkeypatch)
+    got = {r.name: r.cluster for r in canonical.resolve_entities(table, 10).collect()}
+    assert got == sequential([r.asDict() for r in canonical.name_features(table).collect()])
+    # Sixteen rounds of ten.
+    assert 1 <= len(calls) <= 5
+
+
+def test_rounds_reach_farther_where_components_are_small(spark, monkeypatch):
+    # Groups of four in right angles to each other, joined into one block by two late steps of 30 degrees each.
+    rows, eye = [], np.eye(30)
+    for i in range(30):
+        rows += [(f"group {i} {j}", "T", 5, {"R": 1}, eye[i].tolist()) for j in range(4)]
+        for k, turn in ((0, np.pi / 6), (1, np.pi / 3)):
+            if i < 29:
+                rows.append((f"step {i} {k}", "T", 1, {"R": 1}, (np.cos(turn) * eye[i] + np.sin(turn) * eye[i + 1]).tolist()))
+    table = spark.createDataFrame(rows, _ENTITY)
+    assert canonical.giant_blocks(canonical.merge_blocks(table), 20).first().members == len(rows) == 178
+    calls = _counted(monkeypatch)
+    got = {r.name: r.cluster for r in canonical.resolve_entities(table, 20).collect()}
+    assert got == sequential([r.asDict() for r in canonical.name_features(table).collect()])
+    # The first round takes 80, and no trial is vain until the steps come.
+    assert 1 <= len(calls) <= 4
+
+
 def test_query_equals_the_sequential_pass(spark, sf):
     entities = more_queries._entities(spark, sf)
     got = {r.name: r.cluster for r in more_queries.cluster_entities(spark, sf).collect()}
