@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.streaming import StreamingQuery
 
 from quillgraph.operators.incremental import KEY
 
@@ -18,33 +16,23 @@ _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class _FirstSeen(StatefulProcessor):
-    """Hands on the first row of each key that neither the registry nor an earlier batch holds."""
+def _key(version: Column) -> Column:
+    """The key as one struct, in which nulls are equal."""
+    return F.struct(*KEY, version.alias("version"))
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._seen = handle.getValueState("seen", "registered boolean")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
-        first = next(rows)
-        if not self._seen.exists():
-            self._seen.update((True,))
-            yield first
+def first_seen(elements: DataFrame, registered: DataFrame, version: str) -> DataFrame:
+    """Streamed elements whose (doc_id, content_hash, version) is new, with the key in `__key`, by state kept for each key.
 
-    def handleInitialState(self, key: tuple, initialState: Row, timerValues: object) -> None:
-        self._seen.update((True,))
-
-
-def first_seen(elements: DataFrame, registry: DataFrame, version: str) -> DataFrame:
-    """Streamed elements whose (doc_id, content_hash, version) is new, by state kept for each key.
-
-    The registry seeds the state in the first batch of a new checkpoint and isn't read after that, so a
-    batch costs what its own rows cost, however many keys are known. The state is in RocksDB, on disk.
-    Null ids and hashes are keys like others; of rows that share a key one stays.
+    What others have registered is a stream of keys, all of which come in the first batch of a new checkpoint; later batches
+    don't read them again and cost what their own rows cost, however many keys are known. Where an element and its
+    registered key come in one batch, either may be taken for the first: `ingest` leaves such elements out of that batch.
+    The state is in RocksDB, on disk. Null ids and hashes are keys like others; of rows that share a key one stays.
     """
-    keyed = elements.withColumn("__version", F.lit(version)).groupBy(*KEY, "__version")
-    known = registry.select(*KEY, F.col("version").alias("__version")).distinct().groupBy(*KEY, "__version")
-    out = StructType([*elements.schema.fields, StructField("__version", StringType())])
-    return keyed.transformWithState(_FirstSeen(), out, "Append", "None", known).drop("__version")
+    known = registered.select(_key(F.col("version")).alias("__key"), F.lit(True).alias("__known"))
+    asked = elements.withColumn("__key", _key(F.lit(version))).withColumn("__known", F.lit(False))
+    both = asked.unionByName(known, allowMissingColumns=True).dropDuplicates(["__key"])
+    return both.where(~F.col("__known")).drop("__known")
 
 
 def ingest(elements: DataFrame, registry_path: str, out_path: str, version: str, checkpoint: str) -> StreamingQuery:
@@ -53,26 +41,31 @@ def ingest(elements: DataFrame, registry_path: str, out_path: str, version: str,
     A batch first writes its elements under its own folder, then its registry rows likewise, both by
     overwriting, so a batch that is run again after a failure leaves the same files. Folders bear the
     checkpoint's name too: one that starts anew counts its batches from 0 and must not overwrite others'.
-    A checkpoint knows what the registry held when it began and what it has added itself: let one at a time
+    The first batch looks its keys up in what others have registered, later ones have these in their state. Let one at a time
     write to a registry, and take over from another with a new checkpoint instead of going back to an old one.
     """
     spark = elements.sparkSession
     run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
     # The registry is a folder with a schema from the start.
     spark.createDataFrame([], REGISTRY).write.mode("ignore").parquet(f"{registry_path}/run=none/batch=0")
-    registry = spark.read.schema(REGISTRY).parquet(registry_path)
+    others = F.col("run") != run
+    registered = spark.readStream.schema(f"{REGISTRY}, run string, batch long").parquet(registry_path).where(others)
 
     def batch(rows: DataFrame, number: int) -> None:
-        place = f"run={run}/batch={number}"
+        spark, place = rows.sparkSession, f"run={run}/batch={number}"
+        if number == 0:
+            known = spark.read.schema(f"{REGISTRY}, run string, batch long").parquet(registry_path).where(others)
+            rows = rows.join(known.select(_key(F.col("version")).alias("__key")), "__key", "left_anti")
+        rows = rows.drop("__key")
         rows.write.mode("overwrite").parquet(f"{out_path}/{place}")
-        done = rows.sparkSession.read.schema(rows.schema).parquet(f"{out_path}/{place}")
+        done = spark.read.schema(rows.schema).parquet(f"{out_path}/{place}")
         done.select(*KEY, F.lit(version).alias("version")).write.mode("overwrite").parquet(f"{registry_path}/{place}")
 
     before = spark.conf.get(_PROVIDER)
     spark.conf.set(_PROVIDER, _ROCKS)
     try:
         # The query takes its settings when it starts.
-        writer = first_seen(elements, registry, version).writeStream.foreachBatch(batch).outputMode("append")
+        writer = first_seen(elements, registered, version).writeStream.foreachBatch(batch).outputMode("append")
         return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     finally:
         spark.conf.set(_PROVIDER, before)

@@ -1,5 +1,6 @@
 """Operators whose rules SQL can't say, on literal tables."""
 
+import json
 import uuid
 
 import pytest
@@ -183,6 +184,27 @@ def test_stream_ingest_keeps_state_over_restarts_and_checkpoints(spark, tmp_path
     assert len(run([], "d", "v2")) == len(third) + 1 + 6
 
 
+def test_stream_ingest_keeps_its_keys_without_python_and_takes_over_in_later_batches(spark, tmp_path):
+    schema = "doc_id string, content_hash string, content string"
+    registry, out = str(tmp_path / "reg"), str(tmp_path / "out")
+
+    def run(name, files, state):
+        for k, rows in enumerate(files):
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+        query = jobs.ingest(stream, registry, out, "v1", str(tmp_path / state))
+        query.awaitTermination()
+        return query
+
+    query = run("in", [[("d", "h1", "x"), ("d", "h2", "x")], [("d", "h1", "y"), (None, "h3", "y")]], "a")
+    operators = [o["operatorName"] for p in query.recentProgress for o in json.loads(p.json)["stateOperators"]]
+    assert operators and set(operators) == {"dedupe"}
+    # Keys of the first run come back in the first and in a later batch of the second one.
+    run("more", [[("d", "h1", "z"), ("e", "h1", "z")], [("d", "h2", "z"), (None, "h3", "z"), (None, None, "z")], [("e", "h1", "w"), (None, None, "w")]], "b")
+    got = [(r.doc_id, r.content_hash) for r in spark.read.parquet(out).collect()]
+    assert sorted(got, key=str) == sorted([("d", "h1"), ("d", "h2"), (None, "h3"), ("e", "h1"), (None, None)], key=str)
+
+
 def test_stream_status_and_windows_equal_batch(spark, tmp_path):
     schema = "paper_id string, seq int, ts timestamp, status string, metric string, value double"
     rows = spark.sql("select 'p' || (id % 3) as paper_id, cast(id as int) as seq, timestamp_seconds(id * 4000) as ts, 's' || (id % 4) as status, 'm' || (id % 2) as metric, cast(id as double) as value from range(60)")
