@@ -25,8 +25,11 @@ from quillgraph.functions.checkpoints import checkpointed
 
 #: Vectors of the corpus in one piece of a cell, and queries that meet one piece in one task.
 CHUNK, QUERY_CHUNK = 4096, 65_536
-#: Vectors of neighbouring cells that queries of `near_links` meet in one task.
-REGION = 16_384
+#: Vectors of neighbouring cells that queries of `near_links` meet in one task, at least and at most; in between about as
+#: many as make REGIONS of the table, so that a vector is sent to a few regions however many vectors there are.
+REGION, WIDEST, REGIONS = 16_384, 131_072, 8
+#: Scores that a task of `near_links` holds at a time.
+SCORES = 4 << 20
 #: Bytes of pivots that go to every task, pivots at most, and sampled vectors for each of them.
 PIVOT_BYTES, MOST_PIVOTS, DRAWN = 8 << 20, 512, 4
 #: Scores are rounded to six digits; bounds allow for that.
@@ -297,8 +300,9 @@ def _forest(threshold: float):
                 first = np.unique(far, return_index=True, return_inverse=True)
                 held, label = corpus, np.where(far >= 0, first[1][first[2]], np.arange(len(far)))
             a, b = [], []
-            for at in range(0, len(ids), 256):
-                scores = q[at : at + 256] @ x.T
+            step = max(1, SCORES // max(1, len(x)))
+            for at in range(0, len(ids), step):
+                scores = q[at : at + step] @ x.T
                 for i, row in enumerate(scores):
                     j = np.flatnonzero(row >= threshold - SLACK)
                     j = j[(np.round(row[j], 6) >= threshold) & (names[j] != ids[at + i])]
@@ -345,10 +349,11 @@ def near_links(corpus: DataFrame, threshold: float) -> DataFrame:
             hub[r.cell] = r.hub
     pivots.count, pivots.low, pivots.high = size, np.full(len(size), -np.inf), np.full(len(size), np.inf)
     # Cells of one group stand together, so that few regions hold several groups.
-    first, width, at, room = np.zeros(len(size), dtype=int), np.maximum(1, -(-size // REGION)), 0, REGION
+    most = min(max(REGION, WIDEST), max(REGION, int(size.sum()) // REGIONS))
+    first, width, at, room = np.zeros(len(size), dtype=int), np.maximum(1, -(-size // most)), 0, most
     for c in np.argsort(group, kind="stable"):
         if room < size[c]:
-            at, room = at + 1, REGION
+            at, room = at + 1, most
         first[c], at = at, at + width[c] - 1
         room = room - size[c] if width[c] == 1 else 0
     regions = np.zeros((len(size), at + 1), dtype=np.float32)
@@ -358,7 +363,9 @@ def near_links(corpus: DataFrame, threshold: float) -> DataFrame:
     placed = dealt.withColumn("region", place)
     sent = checkpointed(placed.mapInArrow(_send_regions(pivots, threshold, group, outer, regions), "id long, vector array<double>, cell int, far double"))
     asked = {r.cell: r.n for r in sent.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    parts = F.array(*[F.lit(max(1, -(-asked.get(c, 0) // QUERY_CHUNK))) for c in range(at + 1)])
+    # Queries pass batch by batch, so their number in a task may follow the table; each part brings the region's vectors along.
+    passing = max(QUERY_CHUNK, int(size.sum()) // REGIONS)
+    parts = F.array(*[F.lit(max(1, -(-asked.get(c, 0) // passing))) for c in range(at + 1)])
     keys = ["cell", "chunk", "part"]
     left = placed.where(F.col("region").isin(*asked) if asked else F.lit(False)).select(F.col("region").alias("cell"), "id", "vector", "far").withColumn("part", F.explode(F.sequence(F.lit(0), F.get(parts, F.col("cell")) - 1)))
     right = sent.withColumn("part", F.pmod(F.xxhash64("id"), F.get(parts, F.col("cell"))).cast("int"))

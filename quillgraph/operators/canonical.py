@@ -61,7 +61,9 @@ def hash_embedding(name: Column, dims: int = 16) -> Column:
 
 def unit(vector: Column) -> Column:
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return F.transform(vector, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(0.0))
+    # The norm is held in a struct: within the function of single elements it would be made for each of them.
+    held = F.array(F.struct(vector.alias("v"), norm.alias("n")))
+    return F.get(F.transform(held, lambda s: F.transform(s["v"], lambda x: F.when(s["n"] > 0, x.cast("double") / s["n"]).otherwise(0.0))), 0)
 
 
 def missing_embeddings(names: DataFrame, cache: DataFrame) -> DataFrame:

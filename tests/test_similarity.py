@@ -92,6 +92,19 @@ def test_links_are_few_where_pairs_are_many(spark):
     assert vectors.near_links(rows, 0.77).count() < 5 * len(a) < (a @ a.T >= 0.77).sum() / 10
 
 
+def test_regions_stay_few(spark, monkeypatch):
+    seen, send = [], vectors._send_regions
+    monkeypatch.setattr(vectors, "REGION", 20)
+    monkeypatch.setattr(vectors, "_send_regions", lambda *a: seen.append(a[-1].shape[1]) or send(*a))
+    a = unit_rows("isotropic", 600)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(a)], "id long, vector array<double>")
+    links = vectors.near_links(rows, 0.3)
+    assert 1 < seen[0] <= 2 * vectors.REGIONS
+    got = {r.node: r.label for r in connected_components(links, "a", "b").collect()}
+    near = [np.flatnonzero(row) for row in np.round(a @ a.T, 6) >= 0.3]
+    assert set(got) == {i for i, js in enumerate(near) if len(js) > 1} and all(got[i] == got[int(j)] for i, js in enumerate(near) for j in js if len(js) > 1)
+
+
 def sequential(entities):
     """The greedy pass over everything, with every cluster's members looked at one by one."""
     clusters, owner = [], {}
