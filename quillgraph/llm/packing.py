@@ -16,6 +16,7 @@ import json
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +32,14 @@ SHARD_DOCS = 1000
 K1, B_LENGTH = 1.2, 0.75
 #: Tokens of a run, and how many least hashes of runs a tail is filed under.
 RUN, KEYS = 4, 4
-#: Words whose ids a Python worker remembers; beyond that it starts anew.
-CACHE_WORDS = 600_000
-#: What often follows a word and has ids of its own.
-SIGNS = (",", ".")
+#: Words whose ids a Python worker remembers; beyond that it goes on with those of the latest texts.
+CACHE_WORDS = 1_000_000
+#: What may follow a word and has ids of its own: ASCII signs but the apostrophe, which the vocabulary's rule joins to letters.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _CONTROL = "\x1c\x1d\x1e\x1f"
 
-_cache: dict[str, dict[str, bytes]] = {}
+#: By vocabulary: words, the number of ids of each, and the ids of all.
+_cache: dict[str, tuple[pa.Array, np.ndarray, np.ndarray]] = {}
 _tokenizers: dict[str, object] = {}
 # How a vocabulary must treat a text so that words can be encoded one by one.
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -67,7 +69,7 @@ def _tokenizer(path: str):
         _tokenizers[path] = Tokenizer.from_file(path)
         if _tokenizers[path].get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in 16 bits")
-        _cache[path] = {}
+        _cache[path] = (pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.uint16))
         with open(path, encoding="utf-8") as file:
             rules = json.load(file)
         _by_words[path] = rules.get("normalizer") == _NORMALIZER and rules.get("pre_tokenizer") == _PRE_TOKENIZER
@@ -84,37 +86,58 @@ def _byte_letters() -> dict[int, str]:
 _LETTERS = _byte_letters()
 
 
-def _remember(new: list[str], tok, cache: dict[str, bytes]) -> None:
-    """Puts the ids of new words in the cache.
+def _encoded(words: pa.Array, tok) -> tuple[np.ndarray, np.ndarray]:
+    """The number of ids of each word, and the ids of all in order.
 
     Latin letters in lower case are one piece to the vocabulary and the model is asked for them directly;
     other words go the whole way.
     """
-    tokenize, pack, others = tok.model.tokenize, struct.pack, []
-    for word in new:
+    found, tokenize, others = [], tok.model.tokenize, []
+    for i, word in enumerate(words.to_pylist()):
         ascii_only = word.isascii()
-        if not (word.isalpha() and (ascii_only or max(word) < "\u0130")):
-            others.append(word)
-            continue
-        numbers = [t.id for t in tokenize(word if ascii_only else word.encode().decode("latin-1").translate(_LETTERS))]
-        cache[word] = pack(f"<{len(numbers)}H", *numbers)
-    for word, e in zip(others, tok.encode_batch_fast(others, add_special_tokens=False)):
-        cache[word] = pack(f"<{len(e.ids)}H", *e.ids)
-
-
-def _bare_words(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """For each word what is looked up, and which of SIGNS follows it (0: none).
+        if word.isalpha() and (ascii_only or max(word) < "\u0130"):
+            found.append([t.id for t in tokenize(word if ascii_only else word.encode().decode("latin-1").translate(_LETTERS))])
+        else:
+            found.append(())
+            others.append((i, word))
+    for (i, _), e in zip(others, tok.encode_batch_fast([w for _, w in others], add_special_tokens=False)):
+        found[i] = e.ids
+    sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+    return sizes, np.fromiter(chain.from_iterable(found), dtype=np.uint16, count=int(sizes.sum()))
+
+
+def _looked_up(words: pa.Array, path: str) -> np.ndarray:
+    """The place of each word in the cache, which gets the new ones."""
+    known, sizes, pool = _cache[path]
+    at = pc.index_in(words, value_set=known)
+    missing = words.filter(pc.is_null(at))
+    if not len(missing):
+        return at.to_numpy(zero_copy_only=False)
+    new = missing.unique()
+    new_sizes, new_pool = _encoded(new, _tokenizer(path))
+    if len(known) + len(new) > CACHE_WORDS:
+        # Only what these texts hold is kept of the old ones.
+        used = np.unique(at.drop_null().to_numpy(zero_copy_only=False))
+        known, pool, sizes = known.take(pa.array(used)), _joined(pool, sizes, used)[0], sizes[used]
+        at = pc.index_in(words, value_set=known)
+    added = pc.add(pc.index_in(words, value_set=new), len(known))
+    _cache[path] = (pa.concat_arrays([known, new]), np.concatenate([sizes, new_sizes]), np.concatenate([pool, new_pool]))
+    return pc.coalesce(at, added).to_numpy(zero_copy_only=False)
+
+
+def _bare_words(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """For each word what is looked up, and the SIGNS that follow it.
 
     The vocabulary's own rule lowers case and parts letters from signs. So a word of Latin letters, with or
-    without a comma or stop after it, has the ids of its letters in lower case and of the sign. Any other
+    without signs after it, has the ids of its letters in lower case and of the signs. Any other
     word is looked up as it stands; none of those is made of Latin letters alone.
     """
-    sign = np.zeros(len(words), dtype=np.int64)
-    for k, c in enumerate(SIGNS, 1):
-        sign[pc.ends_with(words, c).to_numpy(zero_copy_only=False)] = k
-    core = pc.if_else(pa.array(sign > 0), pc.utf8_slice_codeunits(words, 0, -1), words)
+    core = pc.utf8_rtrim(words, characters=SIGNS)
     latin = pc.and_(pc.utf8_is_alpha(core), pc.match_substring_regex(core, r"^[\x{0}-\x{12F}]+$"))
-    return pc.if_else(latin, pc.utf8_lower(core), words), np.where(latin.to_numpy(zero_copy_only=False), sign, 0)
+    signed = pc.and_(latin, pc.not_equal(core, words))
+    signs = pc.replace_substring_regex(words.filter(signed), pattern=r"^\pL+", replacement="")
+    after = pc.replace_with_mask(pa.repeat(pa.scalar("", words.type), len(words)), signed, signs)
+    return pc.if_else(latin, pc.utf8_lower(core), words), after
 
 
 def _joined(pool: np.ndarray, sizes: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,30 +156,19 @@ def token_bytes(texts: pa.Array, path: str) -> list[bytes]:
     characters that the vocabulary does not treat as white space; texts that hold one are encoded whole.
     So is every text with a vocabulary that has other rules.
     """
-    tok = _tokenizer(path)
-    cache, end = _cache[path], struct.pack("<H", END_ID)
-    texts = pc.fill_null(texts, "")
+    tok, end = _tokenizer(path), struct.pack("<H", END_ID)
+    texts = pc.fill_null(texts, "").cast(pa.string())
     if not _by_words[path]:
         return [struct.pack(f"<{len(e.ids)}H", *e.ids) + end for e in tok.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
     words = pc.utf8_split_whitespace(texts)
     bounds = words.offsets.to_numpy(zero_copy_only=False)
     numbered = words.flatten().dictionary_encode()
-    bare, sign = _bare_words(numbered.dictionary)
-    bare = bare.dictionary_encode()
-    unique = bare.dictionary.to_pylist()
-    parts = list(map(cache.get, unique))
-    new = [w for w, ids in zip(unique, parts) if ids is None]
-    if new:
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-            new = unique
-        _remember(new, tok, cache)
-        parts = list(map(cache.__getitem__, unique))
-    parts += [b"", *(struct.pack(f"<{len(ids)}H", *ids) for c in SIGNS for ids in [tok.encode(c, add_special_tokens=False).ids])]
-    sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 2
-    # Each differing word is what was looked up and its sign; each text is its words.
-    entries = np.stack([bare.indices.to_numpy(zero_copy_only=False), len(unique) + sign], axis=1).ravel()
-    pool, after = _joined(np.frombuffer(b"".join(parts), dtype="<u2"), sizes, entries)
+    bare, signs = (x.dictionary_encode() for x in _bare_words(numbered.dictionary))
+    places = _looked_up(pa.concat_arrays([bare.dictionary, signs.dictionary]), path)
+    # Each differing word is what was looked up and its signs; each text is its words.
+    entries = places[np.stack([bare.indices.to_numpy(zero_copy_only=False), len(bare.dictionary) + signs.indices.to_numpy(zero_copy_only=False)], axis=1).ravel()]
+    _, sizes, pool = _cache[path]
+    pool, after = _joined(pool, sizes, entries)
     ids, after = _joined(pool, np.diff(after[1::2], prepend=0), numbered.indices.to_numpy(zero_copy_only=False))
     at = np.concatenate([[0], after])[bounds - bounds[0]]
     out = [ids[a:b].tobytes() + end for a, b in zip(at[:-1], at[1:])]
@@ -166,7 +178,7 @@ def token_bytes(texts: pa.Array, path: str) -> list[bytes]:
     return out
 
 
-def _blocks(texts: pa.Array, size: int = 1 << 22) -> Iterator[pa.Array]:
+def _blocks(texts: pa.Array, size: int = 1 << 24) -> Iterator[pa.Array]:
     """Slices of about `size` bytes, of one text at least."""
     lengths = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) if len(texts) else []
     start = 0
