@@ -206,10 +206,12 @@ def known_documents(staged: DataFrame, existing: DataFrame, resolutions: DataFra
 
 def mark_cross_paper(edges: DataFrame, docs: DataFrame) -> DataFrame:
     """Adds `cross_paper`: both ends have documents and more than one between them."""
-    s, d = docs.select(F.col("node_id").alias("src"), F.col("docs").alias("s_docs")), docs.select(F.col("node_id").alias("dst"), F.col("docs").alias("d_docs"))
-    joined = edges.join(s, "src", "left").join(d, "dst", "left")
-    cross = (F.size("s_docs") > 0) & (F.size("d_docs") > 0) & (F.size(F.array_union("s_docs", "d_docs")) > 1)
-    return joined.withColumn("cross_paper", F.coalesce(cross, F.lit(False))).drop("s_docs", "d_docs")
+    # Edges carry no documents: whether there are several is told by their number (two at most) and, where it is one, by that one.
+    own = F.array_distinct("docs")
+    known = docs.select("node_id", F.when(F.size(own) > 1, 2).otherwise(F.size(own)).cast("byte").alias("n"), F.when(F.size(own) == 1, F.get(own, 0)).alias("one"))
+    joined = edges.join(known.toDF("src", "s_n", "s_one"), "src", "left").join(known.toDF("dst", "d_n", "d_one"), "dst", "left")
+    cross = (F.col("s_n") > 0) & (F.col("d_n") > 0) & ((F.col("s_n") > 1) | (F.col("d_n") > 1) | ~F.col("s_one").eqNullSafe(F.col("d_one")))
+    return joined.withColumn("cross_paper", F.coalesce(cross, F.lit(False))).drop("s_n", "s_one", "d_n", "d_one")
 
 
 def check_edges(edges: DataFrame) -> DataFrame:
