@@ -90,8 +90,8 @@ def partition_nodes(parts: DataFrame, nodes: DataFrame) -> DataFrame:
     `parts` are the edges of partition_by_document.
     """
     own = nodes.select("node_id", F.explode("docs").alias("part"))
-    left_over = parts.where("part = 'unattributed'")
-    needed = left_over.select(F.col("src").alias("node_id"), "part").unionAll(left_over.select(F.col("dst").alias("node_id"), "part"))
+    # One pass over the edges, which may be dear to make.
+    needed = parts.where("part = 'unattributed'").select(F.explode(F.array("src", "dst")).alias("node_id"), "part")
     return own.unionAll(needed).distinct()
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillgraph.operators import graph
+from quillgraph.operators import graph, views
 
 
 def test_cross_paper_from_the_number_of_documents_and_the_only_one(spark):
@@ -15,3 +15,13 @@ def test_cross_paper_from_the_number_of_documents_and_the_only_one(spark):
     assert set(marked.columns) == {"src", "dst", "cross_paper"} and {(r.src, r.dst): r.cross_paper for r in marked.collect()} == want
     # The documents themselves don't travel with the edges.
     assert "array_union" not in marked._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_partition_nodes_reads_the_edges_once(spark):
+    edges = spark.range(40).selectExpr("concat('n', id % 5) as src", "concat('n', id % 7) as dst")
+    nodes = spark.createDataFrame([(f"n{i}", [str(i % 3)]) for i in range(7)], "node_id string, docs array<string>")
+    got = views.partition_nodes(views.partition_by_document(edges, nodes), nodes)
+    pairs = {(i % 5, i % 7) for i in range(40)}
+    apart = {n for p in pairs if p[0] % 3 != p[1] % 3 for n in p}
+    assert {(r.node_id, r.part) for r in got.collect()} == {(f"n{i}", str(i % 3)) for i in range(7)} | {(f"n{i}", "unattributed") for i in apart}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
