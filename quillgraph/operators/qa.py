@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph import config
-from quillgraph.functions.checkpoints import broadcast_if_few, checkpointed
+from quillgraph.functions.checkpoints import FEW, broadcast_if_few, checkpointed
 from quillgraph.operators import graph
 
 
@@ -224,9 +224,26 @@ def rank_paths(paths: DataFrame, nodes: DataFrame, k: int = config.PATH_TOP, con
     return total.withColumn("k", F.row_number().over(order)).where(F.col("k") <= k)
 
 
+def _within_best(met: DataFrame, k: int) -> DataFrame:
+    """Steps that can be among the k best at their node (`at`): those of the classes of confidence and year that hold the k best."""
+    # Both passes read the same columns of the edges, so Spark makes their shuffles once; the bars are one row a node.
+    ranked = met.withColumn("__class", F.struct("confidence", F.coalesce(F.year("created_at"), F.lit(-(1 << 31)))))
+    before = Window.partitionBy("at").orderBy(F.desc("__class")).rowsBetween(Window.unboundedPreceding, -1)
+    classes = ranked.groupBy("at", "__class").agg(F.count("*").alias("n")).withColumn("better", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    bars = classes.where(F.col("better") < k).groupBy("at").agg(F.min("__class").alias("__bar"))
+    return ranked.join(F.broadcast(bars), "at").where("__class >= __bar").select(met.columns)
+
+
 def neighbours(asked: DataFrame, edges: DataFrame, confidence: float, k: int) -> DataFrame:
-    """The k best edges at each asked node: confidence, then newest, then id."""
-    met = both_directions(edges.where(F.col("confidence") >= confidence)).join(asked.select(F.col("node_id").alias("at")).distinct(), "at")
+    """The k best edges at each asked node: confidence, then newest, then id.
+
+    Up to FEW asked nodes have their edges counted by confidence and year first, and only those that can be among the k best are dealt out.
+    """
+    at = checkpointed(asked.select(F.col("node_id").alias("at")).distinct())
+    few = at.count() <= FEW
+    met = both_directions(edges.where(F.col("confidence") >= confidence)).join(F.broadcast(at) if few else at, "at")
+    if few:
+        met = _within_best(met, k)
     order = Window.partitionBy("at").orderBy(F.desc("confidence"), F.desc("created_at"), "edge_id")
     return met.withColumn("k", F.row_number().over(order)).where(F.col("k") <= k).select(F.col("at").alias("node_id"), F.col("to").alias("other"), "edge_id", "src", "dst", "relation", "confidence", "created_at", "doc_id", "k")
 
