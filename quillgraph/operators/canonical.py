@@ -10,6 +10,7 @@ from quillgraph.functions import vectors
 from quillgraph.functions.checkpoints import checkpointed
 from quillgraph.functions.components import connected_components
 from quillgraph.functions.text import nfkc
+from quillgraph.functions.vectors import unit
 from quillgraph.operators import clustering
 from quillgraph.operators.clustering import BLOCK_COSINE, cluster_entities
 
@@ -59,13 +60,6 @@ def hash_embedding(name: Column, dims: int = 16) -> Column:
     return F.transform(F.array(F.sha2(nfkc(name), 256)), vector)[0]
 
 
-def unit(vector: Column) -> Column:
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    # The norm is held in a struct: within the function of single elements it would be made for each of them.
-    held = F.array(F.struct(vector.alias("v"), norm.alias("n")))
-    return F.get(F.transform(held, lambda s: F.transform(s["v"], lambda x: F.when(s["n"] > 0, x.cast("double") / s["n"]).otherwise(0.0))), 0)
-
-
 def missing_embeddings(names: DataFrame, cache: DataFrame) -> DataFrame:
     """Names without a vector in the cache, by the sha-256 of the name."""
     keyed = names.select("name", F.sha2("name", 256).alias("key")).dropDuplicates(["key"])

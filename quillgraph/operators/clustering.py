@@ -5,31 +5,38 @@ that the gate lets it into, or founds one. Only clusters with a member at least
 take an entity, so entities and clusters that aren't connected by such pairs don't depend on each other.
 
 A block of a bearable size is one pass. Giant blocks are decided in rounds: the next entities in the order and the
-clusters they are near to, which are one pass in one task. Where the near pairs among these fall into small
+clusters that may take one of them, which are one pass in one task. Where the near pairs among these fall into small
 components a round reaches farther, and each component is one pass. A cluster goes on as one row: its distinct
-names, types, section counts and vector sum.
+names, types, section counts and vector sum. Rounds of one task each follow one another within a job.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillgraph import config
-from quillgraph.functions.checkpoints import checkpointed, scratch, stored
+from quillgraph.functions.checkpoints import checkpointed, scratch
 from quillgraph.functions.components import connected_components
-from quillgraph.functions.vectors import similarity_join
+from quillgraph.functions.vectors import near_links, similarity_join, unit
 
 #: Entities that one task decides.
 GIANT_BLOCK = 20_000
 #: How much farther a round is tried to reach at a time.
 WIDER = 4
+#: Clusters that a round of one task takes along unasked, and rounds at most that are one job.
+HELD_CLUSTERS, TURNS = 20_000, 16
+#: Places of the letter counts that bound how alike two names are.
+SIGNS = 128
 #: Members of one cluster are linked by pairs at least this near: the square of the merge threshold.
 BLOCK_COSINE = config.MERGE_BASE**2
 FEATURES = ["name", "type", "times_seen", "sections", "normalised", "tokens", "letters", "initials", "sentence_like", "blocked", "polysemous", "vector"]
@@ -48,20 +55,88 @@ def _top_sections(sections: dict, n: int = 2) -> set:
     return {k for k, _ in sorted(sections.items(), key=lambda kv: (-kv[1], kv[0]))[:n]}
 
 
+def _sign_counts(names: list[str]) -> np.ndarray:
+    """How often a name (row) has letters of each place."""
+    codes = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    row = np.repeat(np.arange(len(names)), [len(n) for n in names])
+    return np.bincount(row * SIGNS + codes % SIGNS, minlength=len(names) * SIGNS).reshape(-1, SIGNS).astype(np.int32)
+
+
+class Names:
+    """A cluster's distinct normalised names with their tokens, letters, initials and flag.
+
+    Those of earlier rounds stay Arrow structs, of which only what is asked for is looked at; the first `old` of them are
+    kept elsewhere.
+    """
+
+    def __init__(self, earlier: Sequence[pa.StructArray] = (), old: int = 0):
+        self.earlier, self.old = pa.concat_arrays(earlier).cast(_NAME) if earlier else None, old
+        self.new: dict[str, dict] = {}
+        self.tokens, self.letters, self.initials = set(), set(), set()
+        self.blocked = bool(earlier) and bool(pc.any(self.earlier.field("blocked")).as_py())
+        self.listed, self.counts, self.lengths = [], np.zeros((0, SIGNS), dtype=np.int32), np.zeros(0, dtype=int)
+
+    def __contains__(self, name: str) -> bool:
+        return name in self.new or self._held("name", name)
+
+    def _held(self, column: str, value: str) -> bool:
+        return self.earlier is not None and pc.index(self.earlier.field(column), value).as_py() >= 0
+
+    def add(self, c: dict) -> None:
+        if c["normalised"] in self:
+            return
+        self.new[c["normalised"]] = {"name": c["normalised"], "tokens": sorted(set(c["tokens"])), "letters": c["letters"], "initials": c["initials"], "blocked": bool(c["blocked"])}
+        self.tokens.update(c["tokens"])
+        self.letters.add(c["letters"])
+        self.initials.add(c["initials"])
+        self.blocked = self.blocked or bool(c["blocked"])
+
+    def share(self, tokens: set) -> bool:
+        if tokens & self.tokens:
+            return True
+        if self.earlier is None or not tokens:
+            return False
+        held = self.earlier.field("tokens").flatten()
+        return bool(pc.any(pc.is_in(held, value_set=pa.array(sorted(tokens), held.type))).as_py())
+
+    def bridge(self, letters: str, initials: str | None) -> bool:
+        """Whether the initials are a name's letters or the letters a name's initials."""
+        return bool(initials and (initials in self.letters or self._held("letters", initials)) or letters and (letters in self.initials or self._held("initials", letters)))
+
+    def alike(self, name: str, least: float) -> bool:
+        """Whether one of the names is at least `least` alike; only names whose letters allow it are compared."""
+        first = len(self.earlier) if self.earlier is not None else 0
+        if len(self.listed) < first + len(self.new):
+            self.listed = self.listed or (self.earlier.field("name").to_pylist() if first else [])
+            self.listed += list(self.new)[len(self.listed) - first :]
+            known = len(self.lengths)
+            more = _sign_counts(self.listed[known:])
+            self.counts, self.lengths = np.concatenate([self.counts, more]), np.concatenate([self.lengths, more.sum(1)])
+        # The ratio's own upper bound, by the same formula.
+        both = self.lengths + len(name)
+        bound = np.where(both > 0, 2.0 * np.minimum(self.counts, _sign_counts([name])).sum(1) / np.maximum(both, 1), 1.0)
+        return any(lexical(name, self.listed[i]) >= least for i in np.argsort(-bound, kind="stable")[: np.count_nonzero(bound >= least)])
+
+    def rows(self, whole: bool) -> list[pa.StructArray]:
+        """All names as structs, or those that aren't kept elsewhere."""
+        held = [] if self.earlier is None else [self.earlier if whole else self.earlier[self.old :]]
+        return [*held, pa.array(list(self.new.values()), _NAME)]
+
+
 @dataclass
 class Cluster:
-    """What the gate asks of a cluster: `names` maps a distinct normalised name to its tokens, letters, initials and flag."""
+    """What the gate asks of a cluster."""
 
     founder: int
     sum: np.ndarray
-    names: dict[str, tuple[frozenset, str, str | None, bool]] = field(default_factory=dict)
+    names: Names = field(default_factory=Names)
     types: set = field(default_factory=set)
     sections: dict = field(default_factory=dict)
 
     def take(self, c: dict, first: bool = False) -> None:
         if not first:
             self.sum = self.sum + c["vector"]
-        self.names.setdefault(c["normalised"], (frozenset(c["tokens"]), c["letters"], c["initials"], bool(c["blocked"])))
+        self.names.add(c)
         self.types.add(c["type"])
         for k, n in (c["sections"] or {}).items():
             self.sections[k] = self.sections.get(k, 0) + n
@@ -74,26 +149,25 @@ def may_merge(candidate: dict, cluster: Cluster, score: float) -> bool:
     """Whether a candidate may join a cluster whose centroid is `score` near: names, thresholds and sections."""
     names = cluster.names
     same = candidate["normalised"] in names
-    alike = 1.0 if same else max((lexical(candidate["normalised"], n) for n in names), default=0.0)
-    if not same:
-        if len(candidate["tokens"]) > config.NAME_MAX_TOKENS or len(candidate["name"]) > config.NAME_MAX_CHARS or candidate["sentence_like"]:
-            return False
-        tokens, letters, initials = set(candidate["tokens"]), candidate["letters"], candidate["initials"]
-        shared = any(tokens & t for t, _, _, _ in names.values())
-        bridge = any(initials and initials == le or i and i == letters for _, le, i, _ in names.values())
-        if alike < config.LEXICAL_MIN and not shared and not bridge:
-            return False
-    blocked = candidate["blocked"] or any(b for _, _, _, b in names.values())
+    if not same and (len(candidate["tokens"]) > config.NAME_MAX_TOKENS or len(candidate["name"]) > config.NAME_MAX_CHARS or candidate["sentence_like"]):
+        return False
+    blocked = candidate["blocked"] or names.blocked
     poly = candidate["polysemous"] or len([v for v in cluster.sections.values() if v > 0]) >= config.POLYSEMY_SECTIONS
     if blocked:
-        bar = config.MERGE_BLOCKED
+        bar = near_bar = config.MERGE_BLOCKED
     elif poly:
-        bar = config.MERGE_POLYSEMOUS
+        bar = near_bar = config.MERGE_POLYSEMOUS
     else:
         bar = config.MERGE_BASE + (config.MERGE_SAME_TYPE if candidate["type"] in cluster.types else config.MERGE_CROSS_TYPE)
-        bar += config.MERGE_LEXICAL if alike >= config.LEXICAL_HIGH else 0
+        near_bar = bar + config.MERGE_LEXICAL
     # The search that offers a cluster has cut at the base threshold already.
-    if score < max(bar, config.MERGE_BASE):
+    over, over_near = (score >= max(b, config.MERGE_BASE) for b in (bar, near_bar))
+    if not over and not over_near:
+        return False
+    # Names are compared letter by letter only where that decides.
+    if over != over_near and not (over_near if same or names.alike(candidate["normalised"], config.LEXICAL_HIGH) else over):
+        return False
+    if not same and not names.share(set(candidate["tokens"])) and not names.bridge(candidate["letters"], candidate["initials"]) and not names.alike(candidate["normalised"], config.LEXICAL_MIN):
         return False
     if blocked:
         a, b = section_shares(candidate["sections"]), section_shares(cluster.sections)
@@ -163,89 +237,147 @@ def _small_blocks(entities: DataFrame) -> DataFrame:
     return entities.select("no", "block", *FEATURES).groupBy("block").applyInPandas(run, "no long, founder long")
 
 
-_STATE = "founder long, sum array<double>, names array<struct<name:string,tokens:array<string>,letters:string,initials:string,blocked:boolean>>, types array<string>, counts array<struct<section:string,n:long>>"
+_STATE = "founder long, sum array<double>, names array<struct<name:string,tokens:array<string>,letters:string,initials:string,blocked:boolean>>, types array<string>, counts array<struct<section:string,n:long>>, taken array<long>, turn int"
+_NAME = pa.struct([("name", pa.string()), ("tokens", pa.list_(pa.string())), ("letters", pa.string()), ("initials", pa.string()), ("blocked", pa.bool_())])
+_COUNT = pa.struct([("section", pa.string()), ("n", pa.int64())])
+
 
+def _round(component: pa.Table, turn: int = 1, last: bool = True) -> pa.Table:
+    """One component: its entities with `no`, its clusters as rows with `founder`; the new states, each with the entities `taken` in this job.
 
-def _round(component: pd.DataFrame) -> pd.DataFrame:
-    """One component: its clusters as rows with `founder` and no `no`, its entities with `no`; the entities' founders and the new states."""
-    states = component[component["no"].isna()].sort_values("founder")
-    clusters = []
-    for r in states.to_dict("records"):
-        names = {n["name"]: (frozenset(n["tokens"]), n["letters"], n["initials"], bool(n["blocked"])) for n in r["names"]}
-        clusters.append(Cluster(int(r["founder"]), np.asarray(r["sum"], dtype=float), names, set(r["types"]), {s["section"]: s["n"] for s in r["counts"]}))
-    rows = [_candidate(r) for r in component[component["no"].notna()].sort_values("no").to_dict("records")]
-    owners = greedy_pass(rows, clusters)
-    columns = ["no", "founder", "sum", "names", "types", "counts"]
-    decided = [{**dict.fromkeys(columns), "no": int(r["no"]), "founder": int(o)} for r, o in zip(rows, owners)]
-    for c in clusters:
-        names = [{"name": n, "tokens": sorted(t), "letters": le, "initials": i, "blocked": b} for n, (t, le, i, b) in c.names.items()]
-        decided.append({"no": None, "founder": int(c.founder), "sum": c.sum.tolist(), "names": names, "types": [t for t in c.types if t is not None] + ([None] if None in c.types else []), "counts": [{"section": k, "n": int(n)} for k, n in c.sections.items()]})
-    return pd.DataFrame(decided, columns=columns, dtype=object)
+    Of a job's rounds the first gets whole states (turn 0) and the last gives them. In between states are those of the turn
+    before, with the names that the whole ones, which each round gets, don't have.
+    """
+    held = component.filter(pc.is_valid(component["founder"]))
+    wholes, states = (held.filter(pc.equal(held["turn"], t)) for t in (0, turn - 1))
+    kept = {f: n.values for f, n in zip(wholes["founder"].to_pylist(), wholes["names"])}
+    clusters, taken = [], {}
+    for r, since in zip(states.select(["founder", "sum", "types", "counts", "taken"]).to_pylist(), states["names"]):
+        earlier = [x for x in (kept.get(r["founder"]), since.values if turn > 1 else None) if x is not None]
+        names = Names(earlier, len(kept.get(r["founder"], ())))
+        clusters.append(Cluster(r["founder"], np.asarray(r["sum"], dtype=float), names, set(r["types"]), {s["section"]: s["n"] for s in r["counts"]}))
+        taken[r["founder"]] = r["taken"] if turn > 1 else []
+    clusters.sort(key=lambda c: c.founder)
+    entities = component.filter(pc.is_valid(component["no"])).select(["no", *FEATURES]).to_pylist()
+    rows = sorted(map(_candidate, entities), key=lambda r: r["no"])
+    for r, owner in zip(rows, greedy_pass(rows, clusters)):
+        taken.setdefault(owner, []).append(r["no"])
+    pieces = [c.names.rows(last) for c in clusters]
+    ends = np.cumsum([0, *(sum(map(len, p)) for p in pieces)])
+    names = pa.concat_arrays([x for p in pieces for x in p])
+    columns = {
+        "founder": pa.array([c.founder for c in clusters], pa.int64()),
+        "sum": pa.array([c.sum.tolist() for c in clusters], pa.list_(pa.float64())),
+        "names": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), names),
+        "types": pa.array([list(c.types) for c in clusters], pa.list_(pa.string())),
+        "counts": pa.array([[{"section": k, "n": int(n)} for k, n in c.sections.items()] for c in clusters], pa.list_(_COUNT)),
+        "taken": pa.array([taken[c.founder] for c in clusters], pa.list_(pa.int64())),
+        "turn": pa.array([0 if last else turn] * len(clusters), pa.int32()),
+    }
+    return pa.table(columns)
+
+
+def _turn(turn: int, last: bool):
+    """A round whose rows are all one component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _round(pa.Table.from_batches(list(batches)), turn, last).to_batches()
+
+    return run
+
+
+def _largest_component(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of the vectors the largest component of near ones has, in one row."""
+    vectors = np.array([v for batch in batches for v in batch.column("vector").to_pylist()], dtype=float)
+    label = np.arange(len(vectors))
+    for i, v in enumerate(vectors):
+        met = np.unique(label[np.flatnonzero(vectors[: i + 1] @ v >= BLOCK_COSINE)])
+        if len(met) > 1:
+            label[np.isin(label, met)] = met[0]
+    yield pa.RecordBatch.from_pydict({"largest": [int(np.bincount(label).max()) if len(label) else 0]})
+
+
+def _centres(states: DataFrame) -> DataFrame:
+    return states.select(F.col("founder").alias("id"), unit(F.col("sum")).alias("vector"))
 
 
 def _giant_blocks(entities: DataFrame, most: int) -> DataFrame:
     """`no, founder` of entities whose blocks are too large for one task, in rounds.
 
-    Entities and near pairs lie in tables ordered by place, so a round reads its own; what rounds decide is appended to one
-    table. A round's joins broadcast nothing, as the rounds are many and the driver would hold the broadcasts of all.
+    Entities lie in folders of `most` places each, so a round reads its own; what a round decides is a folder of its own too.
+    A cluster takes none of a round's entities unless one of them is as near to its centre as the threshold, so no pairs with the
+    members are made: where all entities and clusters of a round are one task, that looks for itself. Entities that are to be
+    decided apart are linked by near pairs of their own and with centres at least BLOCK_COSINE near: what joins a cluster is
+    that near to its centre before the round, or to one that has joined in the round.
     """
     spark = entities.sparkSession
     order = sequence_positions(entities)
     total = order.agg(F.max("at")).first()[0]
     if total is None:
         return spark.createDataFrame([], "no long, founder long")
-    slab = lambda c: F.floor(F.col(c) / most)
-    placed = stored(entities.select("no", *FEATURES).join(order, "no").drop("no").withColumnRenamed("at", "no"), "no", slab("no"))
-    ids = placed.select(F.col("no").alias("id"), "vector")
-    near = similarity_join(ids.withColumnRenamed("id", "query_id"), ids, BLOCK_COSINE).where("id < query_id")
-    pairs = stored(near.select(F.col("id").alias("a"), F.col("query_id").alias("b")), "b", slab("b"))
-    log = scratch(spark)
-    schema = f"no long, {_STATE}, round int"
-    spark.createDataFrame([], schema).write.parquet(log)
-    states = spark.createDataFrame([], _STATE)
-
-    def within(column: str, reach: int) -> Column:
-        return (F.col(column) >= done) & (F.col(column) < done + reach)
-
-    def ends(reach: int) -> DataFrame:
-        """Near pairs of the round; a decided end stands for its cluster, by the founder's place."""
-        inner, decided = pairs.where(within("b", reach)), spark.read.schema(schema).parquet(log).where("no is not null").select("no", "founder")
-        return inner.join(decided.hint("merge"), inner["a"] == decided["no"], "left").select(F.coalesce("founder", "a").alias("a"), "b")
-
-    # Up to `most` entities are one task whatever is near to what. Rounds that reach farther need components; they are tried
-    # first, and after a vain trial again in twice as many rounds.
+    places, log = scratch(spark), scratch(spark)
+    placed = entities.select("no", *FEATURES).join(order, "no").drop("no").withColumnRenamed("at", "no")
+    placed.withColumn("slab", F.floor(F.col("no") / most)).repartition("slab").sortWithinPartitions("slab", "no").write.partitionBy("slab").parquet(places)
+    states, held_at, clusters = spark.createDataFrame([], _STATE), None, 0
+    kind, both = placed.schema, StructType([*placed.schema, *states.schema])
+
+    def window(reach: int) -> DataFrame:
+        return spark.read.schema(kind).parquet(*(f"{places}/slab={i}" for i in range(done // most, min(done + reach - 1, total) // most + 1)))
+
+    def links(rows: DataFrame) -> DataFrame:
+        ids = rows.select(F.col("no").alias("id"), "vector")
+        held = similarity_join(ids.withColumnRenamed("id", "query_id"), _centres(states), BLOCK_COSINE)
+        return near_links(ids, BLOCK_COSINE).unionByName(held.select(F.col("id").alias("a"), F.col("query_id").alias("b")))
+
+    # Rounds that reach farther need components; they are tried first, and after a vain trial again after twice as many jobs
+    # of TURNS rounds of `most` entities, if the next `most` aren't nearly one component by themselves.
     done, reach, number, wait, pause = 0, most, 0, 0, 1
     while done <= total:
         labels, largest = None, most
-        if reach > most or wait == 0:
+        loose = number == 0 or wait == 0 and window(most).select("vector").coalesce(1).mapInArrow(_largest_component, "largest long").first()[0] * WIDER <= most
+        if reach > most or loose:
             reach = max(reach, WIDER * most)
             while reach > most:
-                labels = checkpointed(connected_components(ends(reach), "a", "b"))
-                parts = placed.where(within("no", reach)).select("no").join(labels.hint("merge"), F.col("no") == F.col("node"), "left").select("no", F.coalesce("label", "no").alias("component"))
+                labels = checkpointed(connected_components(links(window(reach)), "a", "b"))
+                parts = window(reach).select("no").join(labels.hint("merge"), F.col("no") == F.col("node"), "left").select("no", F.coalesce("label", "no").alias("component"))
                 largest = parts.groupBy("component").count().agg(F.max("count")).first()[0]
                 if largest <= most:
                     break
                 reach, labels = max(most, reach // WIDER), None
             wait, pause = (0, 1) if labels is not None else (pause, 2 * pause)
-        else:
+        elif wait:
             wait -= 1
-        rows = placed.where(within("no", reach))
-        if labels is None:
-            met = ends(reach).select(F.col("a").alias("founder")).distinct()
-            rows, held = rows.withColumn("component", F.lit(0).cast("long")), states.join(met.hint("merge"), "founder", "left_semi").withColumn("component", F.lit(0).cast("long"))
+        path = f"{log}/round={number}"
+        if labels is None and clusters <= HELD_CLUSTERS:
+            # All clusters go from round to round, each of which is a task and hands on what it has decided.
+            turns, out = max(1, min(TURNS, HELD_CLUSTERS // most, -(-(total + 1 - done) // most))), None
+            for turn in range(1, turns + 1):
+                rows = spark.read.schema(both).parquet(f"{places}/slab={done // most}", *([held_at] if held_at else []))
+                rows = rows if out is None else rows.unionByName(out.repartition(1), allowMissingColumns=True)
+                out, done = rows.coalesce(1).mapInArrow(_turn(turn, turn == turns), _STATE), done + most
+            out.write.parquet(path)
+            held_at = path
         else:
-            rows = rows.join(parts.hint("merge"), "no")
-            held = states.join(labels.hint("merge"), states["founder"] == labels["node"]).select(F.col("label").alias("component"), *states.columns)
-        out = rows.unionByName(held, allowMissingColumns=True).groupBy("component").applyInPandas(_round, f"no long, {_STATE}")
-        out.withColumn("round", F.lit(number)).write.mode("append").parquet(log)
-        fresh = spark.read.schema(schema).parquet(log).where((F.col("round") == number) & F.col("no").isNull()).drop("no", "round")
-        states = checkpointed(states.join(fresh.select("founder").hint("merge"), "founder", "left_anti").select(*fresh.columns).unionByName(fresh))
-        done, number = done + reach, number + 1
-        if labels is not None and largest * WIDER <= most:
-            reach *= WIDER
-    decided = spark.read.schema(schema).parquet(log).where("no is not null").select("no", "founder")
+            rows = window(reach)
+            if labels is None:
+                ids = rows.select(F.col("no").alias("query_id"), "vector")
+                met = similarity_join(ids, _centres(states), config.MERGE_BASE).select(F.col("id").alias("founder")).distinct()
+                rows, held = rows.withColumn("component", F.lit(0).cast("long")), states.join(met.hint("merge"), "founder", "left_semi").withColumn("component", F.lit(0).cast("long"))
+            else:
+                rows = rows.join(parts.hint("merge"), "no")
+                held = states.join(labels.hint("merge"), states["founder"] == labels["node"]).select(F.col("label").alias("component"), *states.columns)
+            out = rows.unionByName(held, allowMissingColumns=True).groupBy("component").applyInArrow(lambda table: _round(table), _STATE)
+            out.write.parquet(path)
+            fresh, held_at = spark.read.schema(_STATE).parquet(path), scratch(spark)
+            states.join(fresh.select("founder").hint("merge"), "founder", "left_anti").select(*fresh.columns).unionByName(fresh).write.parquet(held_at)
+            done += reach
+            if labels is not None and largest * WIDER <= most:
+                reach *= WIDER
+        states, number = spark.read.schema(_STATE).parquet(held_at), number + 1
+        clusters = states.count()
+    decided = spark.read.schema(_STATE).parquet(log).select("founder", F.explode("taken").alias("at"))
     founders = order.select(F.col("at").alias("founder"), F.col("no").alias("by"))
-    return decided.withColumnRenamed("no", "at").join(order, "at").join(founders, "founder").select("no", F.col("by").alias("founder"))
+    return decided.join(order, "at").join(founders, "founder").select("no", F.col("by").alias("founder"))
 
 
 def sequence_positions(rows: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 from difflib import SequenceMatcher
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -219,6 +220,90 @@ def test_query_equals_the_sequential_pass(spark, sf):
     assert canonical.giant_blocks(canonical.merge_blocks(entities), 200).count() == 1
 
 
+def test_rounds_of_a_dense_block_make_no_table_of_pairs_and_few_jobs(spark, monkeypatch):
+    gen = np.random.default_rng(4)
+    a = gen.normal(size=(160, 3))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    table = spark.createDataFrame([(f"graph {i}", "TU"[i % 2], i % 5 + 1, {"R": 1}, v.tolist()) for i, v in enumerate(a)], _ENTITY)
+    asked = []
+
+    def counted(queries, corpus, threshold, k=None):
+        asked.append(queries.count())
+        return vectors.similarity_join(queries, corpus, threshold, k)
+
+    monkeypatch.setattr(clustering, "similarity_join", counted)
+    numbered = clustering.checkpointed(clustering.sequence_number(canonical.name_features(table)))
+    spark.sparkContext.setJobGroup("rounds", "rounds")
+    try:
+        owners = clustering._giant_blocks(numbered, 5).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    place = {r.no: r.name for r in numbered.collect()}
+    assert {place[r.no]: place[r.founder] for r in owners} == sequential([r.asDict() for r in canonical.name_features(table).collect()])
+    # Only the first trial asks, with 20 entities; 32 rounds are decided in three jobs, each of which is one stage after another.
+    assert max(asked, default=0) <= 20
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("rounds")) < 160
+
+
+def _mixed(spark, n, dims, seed):
+    rng, gen = random.Random(seed), np.random.default_rng(seed)
+    words = ["net", "nets", "graph", "map", "loss", "data", "model", "IBM", "it", *config.BLOCKED_NAMES[:2]]
+    rows = {}
+    for i in range(n):
+        name = " ".join(rng.choices(words, k=rng.randint(1, 3))) + rng.choice(["", "", f" {i % 40}", "."])
+        v = gen.normal(size=dims)
+        rows[name] = (name, rng.choice(["T", "U", None]), rng.randint(1, 9), {s: rng.randint(1, 3) for s in rng.sample("RMDI", rng.randint(1, 3))}, (v / np.linalg.norm(v)).tolist())
+    return spark.createDataFrame(list(rows.values()), _ENTITY)
+
+
+@pytest.mark.parametrize("held, turns, most", [(30, 16, 25), (0, 16, 60), (1000, 2, 12)])
+def test_rounds_equal_the_sequential_pass_whichever_clusters_come_along(spark, monkeypatch, held, turns, most):
+    monkeypatch.setattr(clustering, "HELD_CLUSTERS", held)
+    monkeypatch.setattr(clustering, "TURNS", turns)
+    table = _mixed(spark, 220, 3, 12)
+    got = {r.name: r.cluster for r in canonical.resolve_entities(table, most).collect()}
+    want = sequential([r.asDict() for r in canonical.name_features(table).collect()])
+    assert got == want and 20 < len(set(want.values())) < len(want)
+
+
+def test_names_are_compared_only_where_that_decides(monkeypatch):
+    calls = []
+    monkeypatch.setattr(clustering, "lexical", lambda a, b: calls.append(1) or SequenceMatcher(None, a, b).ratio())
+    rng = random.Random(5)
+
+    def entity(name, type_):
+        return {"name": name, "normalised": name, "type": type_, "times_seen": 1, "sections": {"R": 1}, "tokens": name.split(), "letters": "".join(filter(str.isalpha, name)), "initials": None, "sentence_like": False, "blocked": False, "polysemous": False, "vector": np.array([1.0, 0.0])}
+
+    code = lambda: "".join(rng.choices("0123456789abcdef", k=32))
+    members = [entity(f"entity {code()}", "T") for _ in range(300)]
+    cluster = clustering.Cluster(0, members[0]["vector"])
+    for i, m in enumerate(members):
+        cluster.take(m, first=i == 0)
+    assert clustering.may_merge(entity(f"entity {code()}", "T"), cluster, 0.9) and not clustering.may_merge(entity(f"entity {code()}", "U"), cluster, 0.89)
+    assert not calls
+    # Between the two bars of another type the names decide, but few have letters that are alike enough.
+    assert not clustering.may_merge(entity(f"entity {code()}", "U"), cluster, 0.92) and clustering.may_merge(entity(members[7]["name"][:-1] + "x", "U"), cluster, 0.92)
+    assert len(calls) < 30
+
+
+def test_names_alike_equal_a_comparison_with_all(spark):
+    rng = random.Random(6)
+    words = ["graph net", "graph nets", "loss map", "", "a", "\u00e9t\u00e9 \u4e2d\u6587", "x" * 250, "xy" * 120]
+    listed = [w + rng.choice(["", "s", " 1", "q" * rng.randint(0, 9)]) for w in words for _ in range(6)]
+    for split in (0, 20, len(listed)):
+        held, new = list(dict.fromkeys(listed[:split])), [n for n in dict.fromkeys(listed) if n not in listed[:split]]
+        structs = [pa.array([{"name": n, "tokens": n.split(), "letters": n, "initials": None, "blocked": False} for n in held], clustering._NAME)] if held else []
+        names = clustering.Names(structs, len(held))
+        for n in new:
+            names.add({"normalised": n, "tokens": n.split(), "letters": n, "initials": None, "blocked": False})
+        for asked in [*words, "graph", "loss maps", "zzz"]:
+            for least in (0.55, 0.9):
+                assert names.alike(asked, least) == any(SequenceMatcher(None, asked, n).ratio() >= least for n in {*held, *new})
+            assert (asked in names) == (asked in {*held, *new})
+        assert [x["name"] for p in names.rows(True) for x in p.to_pylist()] == [*held, *new]
+        assert [x["name"] for p in names.rows(False) for x in p.to_pylist()] == new
+
+
 def test_no_entities_no_clusters(spark):
     table = spark.createDataFrame([], "name string, type string, times_seen int, sections map<string,int>, vector array<double>")
     assert canonical.resolve_entities(table, 5).count() == 0
