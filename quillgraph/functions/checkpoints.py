@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,13 +37,28 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Tables that are made and stored within leave no shuffle files; else these stay until the driver collects its garbage.
+
+    Only for tables that are stored at once and read from there, as whatever reads a freed shuffle again has to make it again.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder's name in the shared checkpoint folder."""
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
-def broadcast_if_few(keys: DataFrame) -> DataFrame:
-    """The same keys, made once and counted; up to FEW of them are broadcast in joins."""
+def broadcast_if_few(keys: DataFrame, most: int | None = None) -> DataFrame:
+    """The same keys, made once and counted; up to FEW (or `most`) of them are broadcast in joins."""
     keys = checkpointed(keys)
-    return F.broadcast(keys) if keys.count() <= FEW else keys
+    return F.broadcast(keys) if keys.count() <= (FEW if most is None else most) else keys

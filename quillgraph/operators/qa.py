@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph import config
-from quillgraph.functions.checkpoints import FEW, broadcast_if_few, checkpointed
+from quillgraph.functions.checkpoints import FEW, broadcast_if_few, checkpointed, scratch, shuffles_freed
 from quillgraph.operators import graph
 
 
@@ -333,13 +333,18 @@ def resolve_mentions(mentions: DataFrame, nodes: DataFrame, vectors: DataFrame,
     return exact.unionByName(near).withColumn("k", F.row_number().over(order)).where(F.col("k") <= k)
 
 
+#: Nodes, pairs of nodes or documents that are sent to every task where the edges would be dealt out for each of them otherwise.
+MOST_SENT = 1_000_000
+
+
 def fallback_neighbours(questions: DataFrame, edges: DataFrame, k: int = config.PATH_TOP) -> DataFrame:
     """Edges at the nodes of each question (`question_id, node_id`): those of confidence 0.7 and more, else of 0.45 and more.
 
     One scan at the lower bar; the higher one is applied where a question has such an edge. The first
     edge of each (src, dst, relation) stays.
     """
-    met = both_directions(edges.where(F.col("confidence") >= config.FALLBACK_CONFIDENCE)).join(questions.select("question_id", F.col("node_id").alias("at")).distinct(), "at")
+    asked = broadcast_if_few(questions.select("question_id", F.col("node_id").alias("at")).distinct(), MOST_SENT)
+    met = both_directions(edges.where(F.col("confidence") >= config.FALLBACK_CONFIDENCE)).join(asked, "at")
     strong = F.max((F.col("confidence") >= config.PATH_CONFIDENCE).cast("int")).over(Window.partitionBy("question_id"))
     kept = met.withColumn("strong", strong).where((F.col("strong") == 0) | (F.col("confidence") >= config.PATH_CONFIDENCE))
     first = kept.groupBy("question_id", "src", "dst", "relation").agg(F.min(F.struct((-F.col("confidence")).alias("c"), (-F.unix_micros("created_at")).alias("t"), "edge_id")).alias("b"))
@@ -491,12 +496,18 @@ def ask(questions: DataFrame, nodes: DataFrame, edges: DataFrame, vectors: DataF
     candidates = mentions.join(resolved, "mention").join(held, "node_id").select("question_id", "pos", "k", "node_id", "name", "similarity", "times_seen", "sections")
     candidates = checkpointed(candidates)
     of_papers = intents.where("intent = 'paper_summary'").select("question_id", F.explode("documents").alias("doc_id"))
-    if max_hops <= 2:
-        # Whatever is shown is at a candidate or in a document that is named.
-        edges = edges_at(edges, candidates, of_papers)
-    edges = checkpointed(edges)
     one, two = candidates.select("question_id", "pos", F.col("node_id").alias("start")), candidates.select("question_id", F.col("pos").alias("later"), F.col("node_id").alias("goal"))
     pairs = checkpointed(one.join(two, "question_id").where("pos < later and start <> goal").select("question_id", "start", "goal").distinct())
+    first = Window.partitionBy("question_id").orderBy(F.desc("similarity"), "pos", "k")
+    best = candidates.withColumn("__first", F.row_number().over(first)).join(intents.select("question_id", "intent"), "question_id")
+    around = best.where("intent = 'cluster_summary' or intent = 'entity_summary' and __first = 1").select("question_id", "node_id")
+    edges = edges.select("edge_id", "src", "dst", "relation", "confidence", "created_at", "doc_id", "conflicting", "citation", "sentence")
+    if max_hops <= 2:
+        edges = edges_that_count(edges, candidates, pairs, around, of_papers, k)
+    kept = scratch(edges.sparkSession)
+    with shuffles_freed(edges.sparkSession):
+        edges.select("*").write.parquet(kept)
+    edges = edges.sparkSession.read.schema(edges.schema).parquet(kept)
     found = checkpointed(find_paths(pairs.select("start", "goal"), edges, max_hops))
     conflicts = path_conflicts(found, edges) if flag else None
     ranked = pairs.join(rank_paths(found, nodes, k, conflicts), ["start", "goal"]).dropDuplicates(["question_id", "signature"])
@@ -512,21 +523,68 @@ def ask(questions: DataFrame, nodes: DataFrame, edges: DataFrame, vectors: DataF
         return full.withColumns({"src_name": F.coalesce("src_name", "src"), "dst_name": F.coalesce("dst_name", "dst")}).drop("src", "dst")
 
     steps = ranked.select("question_id", "k", F.posexplode(F.split("signature", ",")).alias("i", "edge_id"))
-    steps = told(steps)
+    steps = told(broadcast_if_few(steps))
     if conflicts is not None:
         steps = steps.join(conflicts.select("edge_id", F.lit(True).alias("__met")), "edge_id", "left").withColumn("conflicting", F.col("conflicting") | F.coalesce("__met", F.lit(False))).drop("__met")
     steps = checkpointed(steps)
     without = candidates.join(steps.select("question_id").distinct(), "question_id", "left_anti")
     near = checkpointed(told(fallback_neighbours(without, edges, k).select("question_id", "k", "edge_id")))
-    first = Window.partitionBy("question_id").orderBy(F.desc("similarity"), "pos", "k")
-    best = candidates.withColumn("__first", F.row_number().over(first)).join(intents.select("question_id", "intent"), "question_id")
-    around = best.where("intent = 'cluster_summary' or intent = 'entity_summary' and __first = 1").select("question_id", "node_id")
     findings = summary_neighbours(around, edges).select("question_id", "edge_id").unionByName(summary_documents(of_papers, edges).select("question_id", "edge_id"))
     mode = answers(intents, candidates, steps, near, findings, k)
     shown = evidence_prompt(questions, steps, near)
     return intents.select("question_id", "intent").join(mode, "question_id").join(shown, "question_id")
 
 
+def _rank_class() -> Column:
+    """Confidence and year; an edge of a greater class comes first wherever edges are ranked, but for those without a date."""
+    return F.struct("confidence", F.coalesce(F.year("created_at"), F.lit(-(1 << 31))).alias("year"))
+
+
+def edges_that_count(edges: DataFrame, asked: DataFrame, pairs: DataFrame, around: DataFrame, documents: DataFrame, k: int, limit: int = config.SUMMARY_LIMIT) -> DataFrame:
+    """The edges that answers can depend on, and a few more: what is ranked, joined or counted in `ask` is the same with all edges.
+
+    These are the edges at asked nodes (`node_id`) that can be among the best k of different (src, dst, relation), or at nodes
+    `around` among the best `limit`; all edges between the ends of a step of a trail of two hops at most for a pair
+    (`start, goal`); and those of the documents. The edges, which may be dear to make and to keep, are read
+    twice: nodes' classes of confidence and year and what both ends of a pair reach are found first, in one shuffle.
+    """
+    step = ["src", "dst", "relation", "confidence", "created_at"]
+    pairs = checkpointed(pairs.select("start", "goal").distinct()).withColumn("__pair", F.monotonically_increasing_id())
+    uses = asked.select(F.col("node_id").alias("at"), F.lit(None).cast("long").alias("__pair"), F.lit(0).alias("__side")).distinct()
+    for end, side in (("start", 1), ("goal", 2)):
+        uses = uses.unionByName(pairs.select(F.col(end).alias("at"), "__pair", F.lit(side).alias("__side")))
+    uses = broadcast_if_few(uses.groupBy("at").agg(F.collect_list(F.struct("__pair", "__side")).alias("__uses")), MOST_SENT)
+    # A bit for each of 128 kinds of edges: as many bits as are set, so many different ones there are at least.
+    kind = F.pmod(F.xxhash64("src", "dst", "relation"), F.lit(128)).cast("int")
+    low, high = (F.when(kind.between(at, at + 63), F.call_function("shiftleft", F.lit(1).cast("long"), kind - at)).otherwise(0) for at in (0, 64))
+    met = both_directions(edges.select(*step).where(F.col("confidence") >= min(config.FALLBACK_CONFIDENCE, config.PATH_CONFIDENCE))).join(uses, "at")
+    met = met.select("*", F.explode("__uses").alias("__use")).select("*", "__use.*")
+    is_end = F.col("__side") > 0
+    met = met.where(F.when(is_end, F.col("confidence") >= config.PATH_CONFIDENCE).otherwise(F.col("confidence") >= config.FALLBACK_CONFIDENCE))
+    met = met.select(F.when(is_end, F.col("to")).otherwise(F.col("at")).alias("node"), "__pair", F.when(~is_end, _rank_class()).alias("class"), F.when(is_end, F.col("__side").cast("long")).otherwise(low).alias("low"), F.when(is_end, 0).otherwise(high).alias("high"))
+    counted = met.groupBy("node", "__pair", "class").agg(F.count("*").alias("n"), F.bit_or("low").alias("low"), F.bit_or("high").alias("high")).where("__pair is null or low = 3")
+    before = Window.partitionBy("node", "__pair").orderBy(F.desc("class")).rowsBetween(Window.unboundedPreceding, -1)
+    kinds = [F.bit_count(F.coalesce(F.bit_or(bits).over(before), F.lit(0))) for bits in ("low", "high")]
+    counted = counted.withColumns({"better": F.coalesce(F.sum("n").over(before), F.lit(0)), "kinds": kinds[0] + kinds[1]})
+    far = around.select(F.col("node_id").alias("node"), F.lit(limit).alias("most")).distinct()
+    counted = counted.join(broadcast_if_few(far, MOST_SENT), "node", "left")
+    with shuffles_freed(edges.sparkSession):
+        found = checkpointed(counted.where((F.col("kinds") < k) | (F.col("better") < F.coalesce("most", F.lit(0)))).groupBy("node", "__pair").agg(F.min("class").alias("bar")))
+    bars = broadcast_if_few(found.where("__pair is null").select("node", "bar"), MOST_SENT)
+    reached = found.where("__pair is not null").join(pairs, "__pair")
+    between = pairs.select(F.col("start").alias("a"), F.col("goal").alias("b")).unionByName(reached.select(F.col("start").alias("a"), F.col("node").alias("b"))).unionByName(reached.select(F.col("goal").alias("a"), F.col("node").alias("b")))
+    between = broadcast_if_few(between.select(F.least("a", "b").alias("__low"), F.greatest("a", "b").alias("__high")).distinct(), MOST_SENT)
+    named = broadcast_if_few(documents.select(F.lower("doc_id").alias("__doc")).distinct(), MOST_SENT)
+    out, held = edges, F.lit(False)
+    for end in ("src", "dst"):
+        out = out.join(bars.select(F.col("node").alias(f"__{end}"), F.col("bar").alias(f"__bar_{end}")), F.col(end) == F.col(f"__{end}"), "left")
+        # Of edges without a date some rankings take the first, others the last.
+        held = held | (_rank_class() >= F.col(f"__bar_{end}")) | F.col("created_at").isNull() & (F.col("confidence") >= F.col(f"__bar_{end}.confidence"))
+    out = out.join(between, (F.least("src", "dst") == F.col("__low")) & (F.greatest("src", "dst") == F.col("__high")), "left")
+    out = out.join(named, F.lower("doc_id") == F.col("__doc"), "left")
+    return out.where(held | F.col("__low").isNotNull() | F.col("__doc").isNotNull()).select(*edges.columns)
+
+
 def citation_check(answers: DataFrame, evidence: DataFrame) -> DataFrame:
     """`question_id, cited, valid`: [doc:element] tokens of an answer, and how many of them are in its evidence (`question_id, citation`)."""
     rows = answers.select("question_id", F.explode_outer(F.regexp_extract_all("answer", F.lit(r"\[([^\]\[]+:[^\]\[]+)\]"), F.lit(1))).alias("citation"))
